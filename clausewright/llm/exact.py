@@ -99,7 +99,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     flagged = cut(possibly_repeated(rows))
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = flagged.where("maybe").select("doc_id", "text_sha256")
-    groups = some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that either side of the join below has an exchange of its own and Spark can split a large group
+    groups = cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     dealt = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(dealt)
 
