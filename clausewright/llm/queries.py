@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, near, substring
+from . import exact, mixing, near, packing, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +39,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op4_exact_dedup"] = exact.COPIES_SQL.format(documents="documents")
 
 
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir))
