@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, near, packing, substring
+from . import exact, interpolation, mixing, near, packing, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_source_mix"] = mixing.MIX_SQL.format(documents="documents")
+
+
+@query
+def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(_table(spark, sf_dir))

@@ -70,10 +70,9 @@ class Asking:
         part = (mix(hashes + U(7)) % U(self.parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for k in range(self.parts):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (hashes, rows, places, many))], ["part", "hashes", "rows", "places", "sure"])
+        own = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+        packed = [pa.array([x[i].tobytes() for _, i in own], pa.binary()) for x in (hashes, rows, places, many)]
+        yield pa.record_batch([pa.array([k for k, _ in own], pa.int32()), *packed], ["part", "hashes", "rows", "places", "sure"])
 
 
 def _certain(found: pa.RecordBatch, parts: int) -> pa.RecordBatch:
