@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, interpolation, mixing, near, packing, substring
+from . import exact, fingerprint, interpolation, licenses, mixing, near, packing, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +44,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op4_exact_dedup"] = exact.COPIES_SQL.format(documents="documents")
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir))
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
