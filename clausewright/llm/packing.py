@@ -26,8 +26,8 @@ from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
 GROUPS, LARGE = 48, 1 / 6
-#: Words whose ids a Python worker remembers; then it forgets them all and goes on.
-REMEMBERED = 1 << 19
+#: Words whose ids a Python worker remembers; then it keeps those that it has met again.
+REMEMBERED = 1 << 20
 _SEPARATOR = b"\x01"
 _memory: dict[str, tuple] = {}
 
@@ -41,6 +41,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
         (self.separator,) = self.tokenizer.encode(_SEPARATOR.decode(), add_special_tokens=False).ids
 
     def _encode(self, text: str) -> np.ndarray:
@@ -60,8 +61,11 @@ class Ids:
         for k in range(0, len(texts), 256):
             split = [t.split() for t in texts[k : k + 256]]
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = set().union(*split) - self.known.keys()
+                kept = self.again if len(self.again) < REMEMBERED // 2 else set()
+                self.known, self.again = {w: self.known[w] for w in kept}, set()
+            words = set().union(*split)
+            new = words - self.known.keys()
+            self.again |= words - new
             if new:
                 self.learn(list(new))
             for words in split:
