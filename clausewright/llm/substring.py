@@ -24,21 +24,22 @@ from pyspark.sql import functions as F
 from .store import partitions, texts
 from .words import U, column, find, grams, mix, pieces, starts
 
-#: part: the hash's share of the work; hashes, rows, places: packed 64-bit, 64-bit and 32-bit numbers; sure: 1 where the
-#: sender has the hash twice, and nobody waits for an answer.
-ASK = "part int, hashes binary, rows binary, places binary, sure binary"
-#: row: the document; places: packed 32-bit numbers
-FOUND = "row long, places binary"
+#: part: the hashes' share of the work; hashes, rows, places: packed 64-bit, 64-bit and 32-bit numbers; sure: 1 where the
+#: sender has the hash twice, and nobody waits for an answer. Without hashes it is no question: rows and places of a
+#: block that are certain already.
+ASK = "part int, block int, hashes binary, rows binary, places binary, sure binary"
+#: Of the documents of one block: packed 64-bit numbers of documents and, for each, a 32-bit place.
+FOUND = "block int, rows binary, places binary"
 
 
-def _packed(row: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row a document with its places."""
-    if not len(row):
-        return
-    order = np.argsort(row, kind="stable")
-    row, place = row[order], place[order].astype(np.int32)
-    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    yield pa.record_batch({"row": pa.array(row[at], pa.int64()), "places": pa.array([x.tobytes() for x in np.split(place, at[1:])], pa.binary())})
+def _packed(row: np.ndarray, place: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """FOUND rows, one a block."""
+    block = row % blocks
+    order = np.lexsort((row, block))
+    block, row, place = block[order], row[order], place[order].astype(np.int32)
+    at = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    cuts = list(zip(at, [*at[1:], len(row)], strict=True))
+    return pa.record_batch({"block": pa.array(block[at], pa.int32()), **{k: pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for k, x in (("rows", row), ("places", place))}})
 
 
 class Asking:
@@ -64,50 +65,49 @@ class Asking:
         at = np.flatnonzero(first)
         many = np.diff(np.append(at, len(hashes))) > 1
         twice = np.repeat(many, np.diff(np.append(at, len(hashes))))
-        for found in _packed(rows[twice], places[twice]):
-            yield _certain(found, self.parts)
+        if twice.any():
+            yield _certain(_packed(rows[twice], places[twice], self.parts))
         hashes, rows, places = hashes[at], rows[at], places[at]
         part = (mix(hashes + U(7)) % U(self.parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
         own = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
         packed = [pa.array([x[i].tobytes() for _, i in own], pa.binary()) for x in (hashes, rows, places, many)]
-        yield pa.record_batch([pa.array([k for k, _ in own], pa.int32()), *packed], ["part", "hashes", "rows", "places", "sure"])
+        none = pa.nulls(len(own), pa.int32())
+        yield pa.record_batch([pa.array([k for k, _ in own], pa.int32()), none, *packed], ["part", "block", "hashes", "rows", "places", "sure"])
 
 
-def _certain(found: pa.RecordBatch, parts: int) -> pa.RecordBatch:
-    """FOUND rows that travel with the questions, without hashes: one document a row."""
-    n, row = len(found), found.column("row").to_numpy()
-    part = (mix(row.view(U)) % U(parts)).astype(np.int32)
-    packed = pa.array([x.tobytes() for x in row.reshape(-1, 1)], pa.binary())
-    return pa.record_batch([pa.array(part), pa.nulls(n, pa.binary()), packed, found.column("places"), pa.nulls(n, pa.binary())], ["part", "hashes", "rows", "places", "sure"])
+def _certain(found: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(len(found), pa.binary())
+    return pa.record_batch([found.column("block"), found.column("block"), none, found.column("rows"), found.column("places"), none], ["part", "block", "hashes", "rows", "places", "sure"])
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(blocks: int):
     """Within one task: of each part's hashes, where those stand that are there twice."""
-    parts: dict[int, list[tuple]] = {}
-    for batch in batches:
-        known = batch.filter(pc.is_null(batch.column("hashes")))
-        if len(known):
-            row = np.frombuffer(b"".join(known.column("rows").to_pylist()), np.int64)
-            yield pa.record_batch({"row": pa.array(row), "places": known.column("places")})
-            batch = batch.filter(pc.is_valid(batch.column("hashes")))  # noqa: PLW2901
-        for k, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "rows", "places", "sure")), strict=True):
-            parts.setdefault(k, []).append(tuple(x))
-    for k in list(parts):
-        got = parts.pop(k)
-        hashes, rows, places, sure = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in enumerate((U, np.int64, np.int32, bool)))
-        order = np.argsort(hashes, kind="stable")
-        at = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
-        n = np.diff(np.append(at, len(hashes)))
-        again = np.repeat((n > 1) | np.logical_or.reduceat(sure[order], at), n) & ~sure[order]
-        yield from _packed(rows[order][again], places[order][again])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            yield batch.filter(pc.is_null(batch.column("hashes"))).select(["block", "rows", "places"])
+            asked = batch.filter(pc.is_valid(batch.column("hashes")))
+            for k, *x in zip(*(asked.column(c).to_pylist() for c in ("part", "hashes", "rows", "places", "sure")), strict=True):
+                parts.setdefault(k, []).append(tuple(x))
+        for k in list(parts):
+            got = parts.pop(k)
+            hashes, rows, places, sure = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in enumerate((U, np.int64, np.int32, bool)))
+            order = np.argsort(hashes, kind="stable")
+            at = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+            n = np.diff(np.append(at, len(hashes)))
+            again = np.repeat((n > 1) | np.logical_or.reduceat(sure[order], at), n) & ~sure[order]
+            if again.any():
+                yield _packed(rows[order][again], places[order][again], blocks)
+
+    return apply
 
 
-def repeated(df: DataFrame, asks: Callable[[Iterator[pa.RecordBatch], Asking], Iterator[pa.RecordBatch]], parts: int) -> DataFrame:
-    """FOUND rows of the hashes that asks() draws from df and that are there more than once; a document may have several rows."""
-    asked = df.mapInArrow(lambda batches: asks(batches, Asking(parts)), ASK)
-    return asked.repartition(partitions(df.sparkSession), "part").mapInArrow(_answers, FOUND)
+def answered(asked: DataFrame, parts: int) -> DataFrame:
+    """FOUND rows of the hashes that are asked about and are there more than once; a block may have several rows."""
+    return asked.repartition(parts, "part").mapInArrow(_answers(parts), FOUND)
 
 
 def _least(seeds: np.ndarray, width: int) -> np.ndarray:
@@ -122,8 +122,9 @@ def _least(seeds: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def _seeds(window: int, seed: int):
-    def asks(batches: Iterator[pa.RecordBatch], asking: Asking) -> Iterator[pa.RecordBatch]:
+def _seeds(window: int, seed: int, parts: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = Asking(parts)
         for batch in batches:
             data, bounds = column(batch)
             ids = batch.column("row").to_numpy()
@@ -138,87 +139,99 @@ def _seeds(window: int, seed: int):
                 yield from asking.add(short[chosen], ids[a:z][of], chosen - words.first[of])
         yield from asking.send()
 
-    return asks
+    return apply
+
+
+class Places:
+    """By document, the distinct places of all FOUND rows of its block, ascending."""
+
+    def __init__(self, found: pa.Table):
+        rows, places = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in (("rows", np.int64), ("places", np.int32)))
+        order = np.lexsort((places, rows))
+        rows, places = rows[order], places[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (places[1:] != places[:-1])
+        self.rows, self.places = rows[new], places[new]
 
+    def of(self, row: int) -> np.ndarray:
+        a, z = np.searchsorted(self.rows, [row, row + 1]) if row < np.iinfo(np.int64).max else (np.searchsorted(self.rows, row), len(self.rows))
+        return self.places[a:z]
 
-def _positions(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    """Of the k-th document of a batch, all places of all its FOUND rows, distinct and ascending."""
-    found = batch.column("found")[k].as_py() or []
-    return np.unique(np.frombuffer(b"".join(found), np.int32))
 
+def _with_places(docs: pa.Table, found: pa.Table):
+    """Pieces of a block's documents, with each one's number in the block, id and places."""
+    places = Places(found)
+    data, bounds = column(docs)
+    rows = docs.column("row").to_pylist()
+    for a, z, own, cuts in pieces(data, bounds):
+        yield a, z, own, find(own, cuts), [(k - a, rows[k], places.of(rows[k])) for k in range(a, z)]
 
-def _pieces_with(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        data, bounds = column(batch)
-        for a, z, own, cuts in pieces(data, bounds):
-            yield batch, a, z, own, cuts
 
+ASK_TABLE = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "rows", "places", "sure"))])
 
-def _twice(window: int, seed: int):
+
+def _twice(window: int, seed: int, parts: int):
     """The two windows of twice a repeated seed's length that end with it or start with it: place * 2 and place * 2 + 1."""
 
-    def asks(batches: Iterator[pa.RecordBatch], asking: Asking) -> Iterator[pa.RecordBatch]:
-        for batch, a, z, own, cuts in _pieces_with(batches):
-            words = find(own, cuts)
+    def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
+        asking, out = Asking(parts), []
+        for _, _, _, words, each in _with_places(docs, found):
             double = grams(words.hash, 2 * seed)
-            for k in range(a, z):
-                first, end, place = words.first[k - a], words.first[k - a + 1], _positions(batch, k)
-                row = batch.column("row")[k].as_py()
+            for k, row, place in each:
                 for side, at in ((0, place - seed), (1, place)):
-                    ok = (at >= 0) & (at + 2 * seed <= end - first)
-                    yield from asking.add(double[first + at[ok]], np.full(ok.sum(), row), place[ok] * 2 + side)
-        yield from asking.send()
+                    ok = (at >= 0) & (at + 2 * seed <= words.counts[k])
+                    out += asking.add(double[words.first[k] + at[ok]], np.full(ok.sum(), row), place[ok] * 2 + side)
+        return pa.Table.from_batches([*out, *asking.send()], ASK_TABLE)
 
-    return asks
+    return apply
 
 
-def _windows(window: int, seed: int):
+def _windows(window: int, seed: int, parts: int):
     """All windows around seeds whose extensions, as far as a window holds them, are repeated too."""
 
-    def asks(batches: Iterator[pa.RecordBatch], asking: Asking) -> Iterator[pa.RecordBatch]:
-        for batch, a, z, own, cuts in _pieces_with(batches):
-            words = find(own, cuts)
+    def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
+        asking, out = Asking(parts), []
+        for _, _, _, words, each in _with_places(docs, found):
             whole = grams(words.hash, window)
-            for k in range(a, z):
-                first, n, found = words.first[k - a], words.counts[k - a] - window + 1, _positions(batch, k)
-                if n <= 0 or not len(found):
+            for k, row, place in each:
+                n = words.counts[k] - window + 1
+                if n <= 0 or not len(place):
                     continue
-                right, left = found[found % 2 == 1] // 2, found[found % 2 == 0] // 2
+                right, left = place[place % 2 == 1] // 2, place[place % 2 == 0] // 2
                 both = np.intersect1d(left, right, assume_unique=True)
                 # a window at place - o holds the seed; the extension to the right if o <= window - 2 * seed, to the left if o >= seed
-                mark = np.zeros(n + 2, np.int32)
-                for place, low, high in ((both, 0, window - seed), (right, 0, seed - 1), (left, window - 2 * seed + 1, window - seed)):
-                    lo, hi = np.clip(place - high, 0, n), np.clip(place - low + 1, 0, n)
-                    np.add.at(mark, lo, 1)
-                    np.add.at(mark, hi, -1)
+                mark = np.zeros(n + 1, np.int32)
+                for at, low, high in ((both, 0, window - seed), (right, 0, seed - 1), (left, window - 2 * seed + 1, window - seed)):
+                    np.add.at(mark, np.clip(at - high, 0, n), 1)
+                    np.add.at(mark, np.clip(at - low + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                yield from asking.add(whole[first + at], np.full(len(at), batch.column("row")[k].as_py()), at)
-        yield from asking.send()
+                out += asking.add(whole[words.first[k] + at], np.full(len(at), row), at)
+        return pa.Table.from_batches([*out, *asking.send()], ASK_TABLE)
+
+    return apply
+
 
-    return asks
+KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
 
 
 def _kept(window: int, keep_text: bool):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, z, own, cuts in _pieces_with(batches):
-            words = find(own, cuts)
+    def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in KEPT}
+        for _, _, own, words, each in _with_places(docs, found):
             raw = own.tobytes()
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
-            for k in range(a, z):
-                first, end = words.first[k - a], words.first[k - a + 1]
-                place = _positions(batch, k)
-                mark = np.zeros(end - first + 1, np.int32)
+            for k, _, place in each:
+                n = int(words.counts[k])
+                mark = np.zeros(n + 1, np.int32)
                 np.add.at(mark, place, 1)
                 np.add.at(mark, place + window, -1)
-                stays = first + np.flatnonzero(np.cumsum(mark)[:-1] == 0)
+                stays = words.first[k] + np.flatnonzero(np.cumsum(mark)[:-1] == 0)
                 kept = b" ".join([raw[s:e] for s, e in zip(words.start[stays].tolist(), words.end[stays].tolist(), strict=True)])
-                out["n_words"].append(int(end - first))
-                out["n_removed"].append(int(end - first) - len(stays))
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(stays))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    out["kept_text"].append(kept.decode("utf-8", "replace"))
-            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-            yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, z - a)} | {c: pa.array(v, kinds[c]) for c, v in out.items() if keep_text or c != "kept_text"})
+                out["kept_text"].append(kept.decode("utf-8", "replace") if keep_text else None)
+        out["doc_id"] = docs.column("doc_id").to_pylist()
+        return pa.table({c: pa.array(out[c], kind) for c, kind in KEPT.items() if keep_text or c != "kept_text"})
 
     return apply
 
@@ -236,15 +249,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seed, spark = window // 4, docs.sparkSession
     parts = partitions(spark)
     rows = texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    by_row = rows.repartition(parts, "row")  # one exchange, which the three joins below share
-
-    def with_found(found: DataFrame, how: str) -> DataFrame:
-        # rows that are equal in id and text have one entry here, with the places of all
-        gathered = found.groupBy("row").agg(F.collect_list("places").alias("found"))
-        return by_row.join(gathered.hint("shuffle_hash"), "row", how).select("doc_id", "row", "text", "found")
-
-    level = repeated(rows.select("row", "text"), _seeds(window, seed), parts)
-    level = repeated(with_found(level, "inner"), _twice(window, seed), parts)
-    level = repeated(with_found(level, "inner"), _windows(window, seed), parts)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return with_found(level, "left").mapInArrow(_kept(window, keep_text), schema)
+    by_block = rows.withColumn("block", F.pmod("row", F.lit(parts)).cast("int")).groupBy("block")  # one exchange, which the three steps below share
+
+    def with_found(found: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        # rows that are equal in id and text have the places of all of them
+        return by_block.cogroup(found.groupBy("block")).applyInArrow(step, schema)
+
+    found = answered(rows.select("row", "text").mapInArrow(_seeds(window, seed, parts), ASK), parts)
+    found = answered(with_found(found, _twice(window, seed, parts), ASK), parts)
+    found = answered(with_found(found, _windows(window, seed, parts), ASK), parts)
+    return with_found(found, _kept(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
