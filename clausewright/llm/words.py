@@ -59,12 +59,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """start, end: bytes of each word in the piece; hash: of its bytes; first: for each text, and once more, its first word's number."""
+    """start, end: bytes of each word in the piece; hash: of its bytes; first: for each text, and once more, its first word's number.
+
+    sums: running sums from which the hash of any bytes within a word follows.
+    """
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
+
+    def heads(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first n bytes of words that are longer, and those words' numbers."""
+        long = np.flatnonzero(self.end - self.start > n)
+        at = self.start[long]
+        return mix((self.sums[at + n] - self.sums[at]) * _power(len(self.sums))[1][at] + U(n << 32)), long
 
     @property
     def counts(self) -> np.ndarray:
@@ -91,7 +101,7 @@ def find(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = BLANK_SEPARAT
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((_FOLDED if fold else _EXACT)[data] * power[: len(data)], out=sums[1:])
     value = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(U)
-    return Words(start, end, mix(value), np.searchsorted(start, bounds))
+    return Words(start, end, mix(value), np.searchsorted(start, bounds), sums)
 
 
 def grams(one: np.ndarray, n: int) -> np.ndarray:
