@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring
+from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.scores(_table(spark, sf_dir))
