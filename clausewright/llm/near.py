@@ -1,11 +1,13 @@
 """Near-duplicate groups with HyperMinHash signatures.
 
 Every register keeps, for the least hash of its bucket, the number of leading zeros and a few mantissa
-bits. Bands of compressed registers propose links, an estimate corrected for chance collisions thins
-them out, and what is left is confirmed on the full shingle sets. Texts with equal shingle sets are one
-class from the start, and within a band's bucket links are tried to one member first, so copies and
-large groups are never expanded into all their pairs; members that stay apart from others of their
-bucket are then compared across the parts that are left.
+bits. Bands of compressed registers propose links, an estimate corrected for chance collisions gathers
+them into groups, and links are confirmed on the full shingle sets.
+
+No pairs of a group are listed. Texts with equal shingle sets are one class from the start; each class is
+compared with the member of its buckets that it shares most bands with; and where a group still has parts
+that no confirmed link joins, those are compared in tiles of bounded size, whose tasks count all common
+shingles at once and return only links that join parts.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from .words import BLANK_SEPARATED, U, column, find, grams, mix, pieces, starts
 BAND, BANDS = 5, 26
 REGISTERS = BAND * BANDS
 MANTISSA = 10
-#: Of the estimate's standard deviations, how many below the threshold a pair may stay and still be confirmed on full sets.
-SLACK = 5.0
-#: Members of one bucket that are compared in one go.
-TILE = 1024
+#: A bucket's members belong to the group of its first one if the estimate is above the threshold less SLACK; so far
+#: below it that two linked texts would have to differ on this for every band they share to be kept apart.
+SLACK = 0.35
+#: Members in one block of a group, and columns of shingles that are counted together.
+TILE, COLUMNS = 512, 4096
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
@@ -76,11 +79,6 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (equal / np.maximum(used, 1) - COLLISION) / (1 - COLLISION), used
 
 
-def plausible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    guess, used = estimate(a, b)
-    return guess >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-
-
 def _signed(width: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,12 +115,12 @@ def _registers(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _plausible(threshold: float):
+def _alike(least: float):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                good = plausible(_registers(batch.column("ra")), _registers(batch.column("rb")), threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+                guess, _ = estimate(_registers(batch.column("ra")), _registers(batch.column("rb")))
+                yield batch.select(["a", "b"]).filter(pa.array(guess >= least))
 
     return apply
 
@@ -142,40 +140,74 @@ def _confirmed(width: int, percent: int):
     return apply
 
 
-def _across(threshold: float):
-    """Rows of one bucket's tile, together and in order: pairs of members of different parts that the estimate finds plausible."""
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    values, column_, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    owner, at = np.repeat(np.arange(n), [len(s) for s in sets]), place[column_]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for k in range(0, len(shared), COLUMNS):
+        i, j = np.searchsorted(at, [k, k + COLUMNS])
+        x = np.zeros((n, min(COLUMNS, len(shared) - k)), np.float32)
+        x[owner[i:j], at[i:j] - k] = 1
+        out += x @ x.T
+    return out
+
 
-    def tile(node: np.ndarray, part: np.ndarray, side: np.ndarray, registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in x:
-            j = y[part[y] != part[i]]
-            j = j[(node[j] > node[i]) | (side[i] == 1)]
-            if len(j):
-                j = j[plausible(registers[i], registers[j], threshold)]
-                found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
-        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+def joining(node: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of one tile that join its parts, one for each two parts that become one."""
+    both, size = common(sets), np.array([len(s) for s in sets], np.float32)
+    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+    _, of = np.unique(part, return_inverse=True)
+    top = list(range(of.max() + 1))
+
+    def find_top(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    out = []
+    for i in range(len(node)):
+        j = np.flatnonzero(linked[i, :i] & (of[:i] != of[i]) & ((side[:i] != side[i]) | (side[i] == 0)))
+        # one link for each other part is enough
+        for k in j[np.unique(of[j], return_index=True)[1]].tolist():
+            x, y = find_top(of[i]), find_top(of[k])
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((int(node[k]), int(node[i])))
+    return out
+
+
+def _tiled(width: int, percent: int):
+    """Rows of one tile come together and in order."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        sets = [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)]
+        links = joining(*(t.column(c).to_numpy() for c in ("node", "part", "side")), sets, percent)
+        return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
-
-        def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            a, b = tile(*(t.column(c).to_numpy() for c in ("node", "part", "side")), _registers(t.column("registers")))
-            return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], 1)
-            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(key) else []
+            key = np.stack([batch.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
+            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))).tolist() if len(key) else []
             for s, e in zip(at, [*at[1:], len(key)], strict=True):
                 if held and tuple(key[s]) != last:
-                    yield done()
+                    yield done(held)
                     held = []
                 held.append(batch.slice(s, e - s))
                 last = tuple(key[s])
         if held:
-            yield done()
+            yield done(held)
 
     return apply
 
@@ -222,44 +254,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = cut(classes.select("node", "registers").mapInArrow(_banded, "band long, node long").distinct())
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(bands.join(hubs, "band"))
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    # a node stands for several texts only where documents share an id; each of its signatures is then tried
-    stars = cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_plausible(threshold), "a long, b long").distinct())
-    # the texts that later steps compare, once: one for each class in a bucket with others
-    wanted = classes.join(shared.where("n > 1").select("node").distinct(), "node", "left_semi").select("node", "d1", "d2")
-    ids = wanted.select("node").distinct()
+    # every bucket's members and its first, with the number of bands they share
+    stars = cut(shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    # the texts that later steps compare, once
+    ids = shared.select("node").distinct()
     sources = cut(plain.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        both = _with(_with(pairs, "a", sources, "text", "ta"), "b", sources, "text", "tb")
-        return cut(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(width, percent), "a long, b long"))
-
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs whose ends are not in one part yet."""
-        pa_, pb = (parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
-        return pairs.join(pa_, "a", "left").join(pb, "b", "left").where(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))).select("a", "b")
-
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirm(first)
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = _with(_with(nearest, "a", sources, "text", "ta"), "b", sources, "text", "tb").select("a", "b", "ta", "tb")
+    links = cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
     parts = cut(components(links))
-    left = stars.join(first, ["a", "b"], "left_anti")
-    more = confirm(apart(left, parts))
-    links = links.unionByName(more)
-    parts = cut(components(links)) if more.head(1) else parts
-    # buckets of three and more that still hold several parts: whatever else they propose
-    named = shared.where("n > 2").select("band", "node", "n").join(parts, "node", "left").select("band", "node", "n", F.coalesce("part", "node").alias("part"))
-    mixed = named.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    members = named.join(mixed, "band").withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # tile t meets every tile: with itself once, with others as the lower or the upper of two
-    dealt = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "band", "node", "part", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2).alias("side")
-    )
-    held = _with(dealt, "node", classes, "registers", "registers").repartition(partitions(docs.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = cut(held.mapInArrow(_across(threshold), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = confirm(rest)
-    links = links.unionByName(more)
-    parts = cut(components(links)) if more.head(1) else parts
+    # groups: parts, joined where a bucket's member is like its first one
+    pa_, pb = (parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
+    named = stars.join(pa_, "a", "left").join(pb, "b", "left").select("a", "b", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb")).where("pa <> pb")
+    alike = _with(_with(named.select("a", "b"), "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long").distinct()
+    groups = components(alike.unionByName(parts.select(F.col("part").alias("a"), F.col("node").alias("b"))))
+    members = cut(groups.withColumnRenamed("part", "grp").join(parts, "node", "left").select("grp", "node", F.coalesce("part", "node").alias("part")))
+    sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("n > most.n")
+    # members of a group's largest part (blocks of kind 1) needn't meet each other, all others (of kind 0) meet every one
+    n_rest, n_most = (F.ceil(c / TILE).cast("int") for c in (F.col("n") - F.col("most.n"), F.col("most.n")))
+    one_tile = F.col("n") <= TILE
+    own = members.join(sizes, "grp").select(
+        "grp", "node", "part", ((F.col("part") == F.col("most.part")) & ~one_tile).alias("in_most"),
+        F.when(one_tile, 1).otherwise(n_rest).alias("n_rest"), F.when(one_tile, 0).otherwise(n_most).alias("n_most"),
+    )
+    own = own.withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("in_most"), F.col("n_most")).otherwise(F.col("n_rest"))).cast("int"))
+    meets = F.when(F.col("in_most"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_most") - 1))
+    dealt = own.withColumn("o", F.explode(meets))
+    last = F.when(F.col("in_most"), F.col("n_rest") + F.col("k")).otherwise(F.col("k"))  # blocks of kind 1 are numbered after the others
+    dealt = dealt.select("grp", "node", "part", F.least(last, "o").alias("i"), F.greatest(last, "o").alias("j"), F.when(last == F.col("o"), 0).when(last < F.col("o"), 1).otherwise(2).alias("side"))
+    held = _with(dealt, "node", sources, "text", "text").repartition(partitions(docs.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    more = cut(held.mapInArrow(_tiled(width, percent), "a long, b long"))
+    parts = cut(components(links.unionByName(more))) if more.head(1) else parts
     member = real.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"])
     member = member.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("part", "node").alias("component_id"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
