@@ -36,7 +36,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
         F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
     )
     dealt = dealt.withColumn("level", level).withColumn("full", F.col("top") / F.col("weight") <= F.col("level"))
-    common = F.min(F.when(~F.col("full"), F.col("level"))).over(all_rows)
+    # those at their top come first; from the first that isn't, whose level all others share, levels only fall
+    common = F.max(F.when(~F.col("full"), F.col("level"))).over(all_rows)
     return dealt.select("source", "source_size", F.when(F.col("full"), F.col("top")).otherwise(F.col("weight") * common).alias("target"))
 
 
@@ -73,6 +74,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     together; an empty table gives no rows. Each source's taken words differ from its target by at most
     half the size of the documents that share one 36-bit hash, as a rule one document.
     """
+    sized, edges = _edges(docs, id_col, text_col, source_col, weights, share, most)
+    joined = sized.alias("d").join(edges.alias("e"), F.expr("d.source <=> e.source"))
+    return joined.select("d.doc_id", "d.size", "e.source_size", "e.target", (F.col("d.size") * _copies(F.col("d.h"))).cast("long").alias("taken"))
+
+
+def _edges(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
     sized = cut(
         docs.select(
             docs[id_col].cast("long").alias("doc_id"),
@@ -82,9 +89,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         )
     )
     wanted = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    edges = thresholds(sized, wanted)
-    taken = F.col("d.size") * (F.col("e.base") + F.when(F.col("d.h") < F.col("e.edge"), 1).otherwise(0))
-    return sized.alias("d").join(edges.alias("e"), F.expr("d.source <=> e.source")).select("d.doc_id", "d.size", "e.source_size", "e.target", taken.cast("long").alias("taken"))
+    return sized, thresholds(sized, wanted).select("source", "source_size", "target", "base", "edge")
+
+
+def _copies(h: Column) -> Column:
+    return F.col("e.base") + F.when(h < F.col("e.edge"), 1).otherwise(0)
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, each as many times as mix() takes it."""
+    _, edges = _edges(docs, id_col, text_col, source_col, weights, share, most)
+    joined = docs.alias("d").join(edges.alias("e"), F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("e.source")))
+    times = F.explode(F.array_repeat(F.lit(True), _copies(hash36(F.col(f"d.{id_col}"))).cast("int"))).alias("_time")
+    return joined.select("d.*", times).drop("_time")
 
 
 MIX_SQL = r"""
@@ -101,7 +118,7 @@ dealt as (
   from weighed window w as (order by "top" / weight, place rows between unbounded preceding and 1 preceding)),
 wanted as (
   select source, source_size, case when "top" / weight <= level then "top"
-    else weight * (min(level) filter (where "top" / weight > level) over ()) end as target
+    else weight * (max(level) filter (where "top" / weight > level) over ()) end as target
   from dealt),
 needs as (select *, case when target >= source_size then 1 else 0 end::bigint as base, target - (case when target >= source_size then 1 else 0 end) * source_size as need from wanted),
 units as (
