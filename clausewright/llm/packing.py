@@ -26,50 +26,69 @@ from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
 GROUPS, LARGE = 48, 1 / 6
-#: Words whose ids a Python worker remembers; then it keeps those that it has met again.
+#: Words, and runs of letters, whose ids a Python worker remembers; then it forgets them all and goes on.
 REMEMBERED = 1 << 20
 _SEPARATOR = b"\x01"
 _memory: dict[str, tuple] = {}
 
 
 class Ids:
-    """Token ids of texts as packed 32-bit numbers. The tokenizer splits at blanks whatever stands around them, so each word is encoded once."""
+    """Token ids of texts as packed 32-bit numbers.
+
+    The tokenizer lower-cases, and splits at blanks and between letters and other signs whatever stands
+    around them. So each word is encoded once, and of letters with a point or comma after them only the letters.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
         (self.separator,) = self.tokenizer.encode(_SEPARATOR.decode(), add_special_tokens=False).ids
+        self.tails = {t: self._encode(t.decode()).tobytes() for t in (b"", b".", b",")}
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         plain = [w for w in words if _SEPARATOR not in w]
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
             ids = self._encode((b" " + _SEPARATOR + b" ").join(some).decode("utf-8", "replace"))
             at, raw = np.flatnonzero(ids == self.separator) * 4, ids.tobytes()
-            self.known.update(zip(some, [raw[a:z] for a, z in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)], strict=True))
+            yield from zip(some, [raw[a:z] for a, z in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)], strict=True)
         for w in set(words) - set(plain):
-            self.known[w] = self._encode(w.decode("utf-8", "replace")).tobytes()
+            yield w, self._encode(w.decode("utf-8", "replace")).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        split, others = [], []
+        for w in words:
+            core, tail = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
+            letters = core.decode("utf-8", "replace")
+            if letters.isalpha() and "\u03a3" not in letters:  # capital sigma's small letter depends on where it stands
+                split.append((w, letters.lower().encode(), tail))
+            else:
+                others.append(w)
+        if len(self.cores) > REMEMBERED:
+            self.cores.clear()
+        self.cores.update(self._encoded(list({core for _, core, _ in split if core not in self.cores})))
+        for w, core, tail in split:
+            self.known[w] = self.cores[core] + self.tails[tail]
+        self.known.update(self._encoded(others))
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 256):
-            split = [t.split() for t in texts[k : k + 256]]
+        for k in range(0, len(texts), 512):
+            split = [t.split() for t in texts[k : k + 512]]
             if len(self.known) > REMEMBERED:
-                kept = self.again if len(self.again) < REMEMBERED // 2 else set()
-                self.known, self.again = {w: self.known[w] for w in kept}, set()
-            words = set().union(*split)
-            new = words - self.known.keys()
-            self.again |= words - new
+                self.known.clear()
+            new = set().union(*split).difference(self.known)
             if new:
-                self.learn(list(new))
-            for words in split:
-                yield b"".join([self.known[w] for w in words])
+                self.learn(new)
+            get = self.known.__getitem__
+            for own in split:
+                yield b"".join(map(get, own))
 
 
 def ids_of(path: str) -> Ids:
