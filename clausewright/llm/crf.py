@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,3 +204,15 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = learn(docs, labels, "quality", id_col, text_col, modulus, left_out)
     own = texts(docs, id_col, text_col).withColumn("held_out", remainder(modulus) == left_out)
     return own.mapInArrow(_scored(model, limit), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, left_out: int = 2, limit: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose text scores limit or more; nothing is shuffled."""
+    model = learn(docs, labels, "quality", id_col, text_col, modulus, left_out)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        data, bounds = column(pa.record_batch({"text": pa.array(text, pa.string())}))
+        return pd.Series(np.concatenate([quality(*lines(own, cuts), model) for _, _, own, cuts in pieces(data, bounds)] or [np.zeros(0)]))
+
+    return docs.where(score(F.coalesce(docs[text_col], F.lit(""))) >= limit)

@@ -7,12 +7,12 @@ possibly repeated, are shuffled and grouped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut, partitions
@@ -60,8 +60,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"shard": pa.array(list(have), pa.int32()), "twice": pa.array([b.tobytes() for _, b in have.values()], pa.binary())})
 
 
-def possibly_repeated(keys: DataFrame, key: str = "key") -> DataFrame:
-    """Adds the boolean column maybe to keys, a table that is cheap to read twice: false only where key (long) is there once.
+def possibly_repeated(keys: DataFrame, key: str = "key") -> Callable[[Column], Column]:
+    """A function of a key column: false only where the key (long) is in keys, a table that is cheap to read twice, just once.
 
     What reaches the driver and is broadcast is the filter: CELLS_PER_TEXT bits a row, 8 MB at most.
     """
@@ -80,13 +80,28 @@ def possibly_repeated(keys: DataFrame, key: str = "key") -> DataFrame:
         places = _places(key.to_numpy(np.int64), cells)
         return pd.Series(((sent.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(0))
 
-    return keys.withColumn("maybe", reached(F.col(key)))
+    return reached
+
+
+def digest(text: Column) -> Column:
+    """Of the text with each run of blanks as one space."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "), 256)
+
+
+def key_of(sha256: Column) -> Column:
+    """A digest's first 60 bits."""
+    return F.conv(F.substring(sha256, 1, 15), 16, 10).cast("long")
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_sha256 of the text with each run of blanks as one space, and key, the digest's first 60 bits."""
-    text = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), BLANKS, " ")
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256")).withColumn("key", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long"))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), digest(docs[text_col]).alias("text_sha256")).withColumn("key", key_of(F.col("text_sha256")))
+
+
+def _dealt(some: DataFrame) -> DataFrame:
+    """Every row of doc_id and text_sha256 with what its group keeps."""
+    # written, so that either side of the join below has an exchange of its own and Spark can split a large group
+    groups = cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    return some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,17 +111,20 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     is larger than any other. An empty table gives no rows.
     """
     rows = cut(hashed(docs, id_col, text_col))
-    flagged = cut(possibly_repeated(rows))
+    flagged = cut(rows.withColumn("maybe", possibly_repeated(rows)(F.col("key"))))
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = flagged.where("maybe").select("doc_id", "text_sha256")
-    # written, so that either side of the join below has an exchange of its own and Spark can split a large group
-    groups = cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    dealt = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(dealt)
+    return alone.unionByName(_dealt(flagged.where("maybe").select("doc_id", "text_sha256")))
 
 
-def dropped_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return copies(docs, id_col, text_col).where(~F.col("kept")).select("doc_id")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that copies() keeps: texts that are surely alone pass straight through, only the others are shuffled."""
+    rows = cut(hashed(docs, id_col, text_col))
+    maybe = possibly_repeated(rows)
+    kept = _dealt(rows.where(maybe(F.col("key"))).select("doc_id", "text_sha256")).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    marked = docs.withColumn("_maybe", maybe(key_of(digest(docs[text_col]))))
+    some = marked.where("_maybe")
+    some = some.join(kept, some[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    return marked.where("not _maybe").unionByName(some).drop("_maybe")
 
 
 COPIES_SQL = r"""

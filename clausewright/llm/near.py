@@ -290,3 +290,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = member.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("part", "node").alias("component_id"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return member.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of docs, all columns, that near_groups() keeps: one document of each group."""
+    gone = near_groups(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(cut(gone), docs[id_col].cast("long") == F.col("_gone_id"), "left_anti")
