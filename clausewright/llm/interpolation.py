@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def _unique(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 #: kind of a document: 0 isn't learned from, 1 is, 2 is and is held out when the weights are learned
-ASK = "block int, part int, order int, hashes binary, learned binary, held binary"
+ASK = "block int, part int, order int, hashes binary, learned binary"
 ANSWER = "block int, part int, order int, learned binary, held binary, total long, held_total long, distinct long"
 
 
@@ -104,6 +105,17 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return np.cumsum(out.view(U)[:, 0], dtype=U)
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as bytes; those from 255 on follow as 32-bit numbers."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int32).tobytes()
+
+
+def _large(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int32)
+    out[out == 255] = np.frombuffer(raw, np.int32, (len(raw) - n) // 4, n)
+    return out
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Runs of rows of one value, of batches that are sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -127,51 +139,64 @@ def _asks(parts: int):
             block = _block(own)
             ones, at_one, twos, at_two, kind = _unique(block)
             for order, (hashes, at) in enumerate(((ones, at_one), (twos, at_two))):
-                learned, held = _sums(at, len(hashes), kind > 0), _sums(at, len(hashes), kind == 2)
+                learned = _sums(at, len(hashes), kind > 0)
                 by_part, cuts = _routes(hashes, parts)
                 own = [(k, by_part[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
                 same = [pa.array(np.full(len(own), x, np.int32)) for x in (number, order)]
-                packed = [[_packed(hashes[i], WIDTH[order]) for _, i in own], *([x[i].tobytes() for _, i in own] for x in (learned, held))]
-                yield pa.record_batch([same[0], pa.array([k for k, _ in own], pa.int32()), same[1], *(pa.array(x, pa.binary()) for x in packed)], ["block", "part", "order", "hashes", "learned", "held"])
+                packed = [[_packed(hashes[i], WIDTH[order]) for _, i in own], [_small(learned[i]) for _, i in own]]
+                yield pa.record_batch([same[0], pa.array([k for k, _ in own], pa.int32()), same[1], *(pa.array(x, pa.binary()) for x in packed)], ["block", "part", "order", "hashes", "learned"])
 
     return apply
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part and order: the sums over all blocks, in the order each block asked; totals and distinct counts with the first answer."""
-    for _, rows in _grouped(batches, "key"):
-        t = pa.Table.from_batches(rows).combine_chunks()
-        raw = [t.column(c).to_pylist() for c in ("hashes", "learned", "held")]
-        every = [_unpacked(x, WIDTH[o]) for x, o in zip(raw[0], t.column("order").to_pylist(), strict=True)]
-        sizes = np.array([len(x) for x in every])
-        hashes, at = np.unique(np.concatenate(every), return_inverse=True)
-        learned, held = (np.bincount(at, np.frombuffer(b"".join(x), np.int32), len(hashes)).astype(np.int64) for x in raw[1:])
-        n = len(sizes)
-        some = [(int(x.sum()), int(held.sum()), int((x > 0).sum())) if not k else (0, 0, 0) for k, x in enumerate([learned] * n)]
-        cuts = np.cumsum(sizes)[:-1]
-        yield pa.record_batch(
-            [t.column(c).combine_chunks() for c in ("block", "part", "order")]
-            + [pa.array([v.tobytes() for v in np.split(x[at].astype(np.int32), cuts)], pa.binary()) for x in (learned, held)]
-            + [pa.array([s[k] for s in some], pa.int64()) for k in range(3)],
-            ["block", "part", "order", "learned", "held", "total", "held_total", "distinct"],
-        )
+def _answers(n_blocks: int):
+    """For each part and order: the sums over all blocks, in the order each block asked; totals and distinct counts with the first answer.
+
+    Blocks from n_blocks on hold the held-out documents; only they are told what was learned from these.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, "key"):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            rows.clear()
+            every = [_unpacked(x, WIDTH[o]) for x, o in zip(t.column("hashes").to_pylist(), t.column("order").to_pylist(), strict=True)]
+            sizes = [len(x) for x in every]
+            hashes, at = np.unique(np.concatenate(every), return_inverse=True)
+            del every
+            said = [_large(x, n) for x, n in zip(t.column("learned").to_pylist(), sizes, strict=True)]
+            is_held = t.column("block").to_numpy() >= n_blocks
+            learned = np.bincount(at, np.concatenate(said), len(hashes)).astype(np.int64)
+            held = np.bincount(at, np.concatenate([x * h for x, h in zip(said, is_held, strict=True)]), len(hashes)).astype(np.int64)
+            cuts = np.cumsum([0, *sizes])
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            totals = (int(learned.sum()), int(held.sum()), int((learned > 0).sum()))
+            yield pa.record_batch(
+                [t.column(c).combine_chunks() for c in ("block", "part", "order")]
+                + [
+                    pa.array([_small(learned[at[a:z]]) for a, z in spans], pa.binary()),
+                    pa.array([_small(held[at[a:z]]) if h else None for (a, z), h in zip(spans, is_held, strict=True)], pa.binary()),
+                ]
+                + [pa.array([v, *[0] * (len(spans) - 1)], pa.int64()) for v in totals],
+                ["block", "part", "order", "learned", "held", "total", "held_total", "distinct"],
+            )
+
+    return apply
 
 
-def _counts(block: dict[str, np.ndarray], answers: list[tuple[int, int, bytes, bytes]], parts: int) -> tuple[np.ndarray, ...]:
-    """Per token: how often it, its pair and its context were learned, and the same of held-out documents."""
+def _counts(block: dict[str, np.ndarray], answers: list[tuple], parts: int, sides: tuple[int, ...]) -> list[np.ndarray]:
+    """Per token: how often it and then its pair were learned (side 0), or learned from held-out documents (side 1)."""
     ones, at_one, twos, at_two, _ = _unique(block)
     found = {(part, order): x for part, order, *x in answers}
     out = []
     for order, (hashes, at) in enumerate(((ones, at_one), (twos, at_two))):
         by_part, cuts = _routes(hashes, parts)
-        for side in (0, 1):
-            n = np.zeros(len(hashes), np.int64)
+        for side in sides:
+            n = np.zeros(len(hashes), np.int32)
             for k in range(parts):
                 if (k, order) in found:
-                    n[by_part[cuts[k] : cuts[k + 1]]] = np.frombuffer(found[k, order][side], np.int32)
+                    n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k, order][side], cuts[k + 1] - cuts[k])
             out.append(n[at])
-    one, one_held, two, two_held = out
-    return one, two, one_held, two_held
+    return out
 
 
 def _context(one: np.ndarray, n: np.ndarray, texts_: int) -> np.ndarray:
@@ -208,23 +233,21 @@ def learned_weights(sums: list[tuple[int, int, int, float]], distinct: int, roun
     return weights
 
 
-def _joined(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]]:
+def _joined(batches: Iterator[pa.RecordBatch], parts: int, sides: tuple[int, ...]) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
     """Blocks with the counts of their tokens: rows of one block come together, answers among its documents."""
     for _, rows in _grouped(batches, "block"):
-        t = pa.Table.from_batches(rows)
-        is_doc = t.column("part").is_null()
-        docs = t.filter(is_doc).combine_chunks().to_batches()
-        said = t.filter(t.column("part").is_valid())
-        block = _block(docs)
+        block = _block(b.filter(pc.is_null(b.column("part"))) for b in rows)
         if block is not None:
-            yield block, _counts(block, list(zip(*(said.column(c).to_pylist() for c in ("part", "order", "learned", "held")), strict=True)), parts)
+            answers = [x for b in rows for x in zip(*(b.filter(pc.is_valid(b.column("part"))).column(c).to_pylist() for c in ("part", "order", "learned", "held")), strict=True)]
+            rows.clear()
+            yield block, _counts(block, answers, parts, sides)
 
 
 def _summed(parts: int, total: int, docs: int):
     """Of held-out documents' tokens: bucket, steps of the two estimates from what isn't held out, how many."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (one, two, one_held, two_held) in _joined(batches, parts):
+        for block, (one, one_held, two, two_held) in _joined(batches, parts, (0, 1)):
             single, double = one - one_held, two - two_held
             context = _context(single, block["n"], docs)
             own = np.repeat(block["kind"], block["n"]) == 2
@@ -239,7 +262,7 @@ def _summed(parts: int, total: int, docs: int):
 
 def _scored(parts: int, total: int, distinct: int, docs: int, weights: np.ndarray):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (one, two, *_) in _joined(batches, parts):
+        for block, (one, two) in _joined(batches, parts, (0,)):
             first = np.cumsum(block["n"]) - block["n"]
             context = _context(one, block["n"], docs)
             p1, p2 = _estimates(one, two, context, total)
@@ -277,13 +300,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     kind = F.when(remainder(modulus) == left_out, 0).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HELD_OUT)) == 0, 2).otherwise(1).cast("int")
     own = texts(docs, id_col, text_col).withColumn("kind", kind)
     # held-out documents have blocks of their own, so that learning the weights reads no others
-    few = -(-parts // HELD_OUT)
-    dealt = F.xxhash64("doc_id", "text")
-    block = F.when(F.col("kind") == 2, parts + F.pmod(dealt, F.lit(few))).otherwise(F.pmod(dealt, F.lit(parts))).cast("int")
+    n_blocks = 2 * parts
+    few, dealt = -(-n_blocks // HELD_OUT), F.xxhash64("doc_id", "text")
+    block = F.when(F.col("kind") == 2, n_blocks + F.pmod(dealt, F.lit(few))).otherwise(F.pmod(dealt, F.lit(n_blocks))).cast("int")
     blocks = own.withColumn("block", block).repartition(parts, "block").sortWithinPartitions("block")
     asked = blocks.mapInArrow(_asks(parts), ASK)
     keyed = asked.withColumn("key", F.col("part") * 2 + F.col("order")).repartition(parts, "key").sortWithinPartitions("key")
-    answers = cut(keyed.mapInArrow(_answers, ANSWER))
+    answers = cut(keyed.mapInArrow(_answers(n_blocks), ANSWER))
     known = {r.order: r for r in answers.groupBy("order").agg(F.sum("total").alias("total"), F.sum("held_total").alias("held"), F.sum("distinct").alias("distinct")).collect()}
     learned_docs = {r.kind: r["count"] for r in own.groupBy("kind").count().collect()}
     total, held, distinct = (known[0].total, known[0].held, known[0].distinct) if 0 in known else (0, 0, 0)
@@ -296,8 +319,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         )
         return asking.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block")
 
-    sums = with_answers(own.where("kind = 2"), said.where(F.col("block") >= parts)).mapInArrow(_summed(parts, total - held, learned_docs.get(1, 0)), "bucket long, single long, double long, n long")
+    sums = with_answers(own.where("kind = 2"), said.where(F.col("block") >= n_blocks)).mapInArrow(_summed(parts, total - held, learned_docs.get(1, 0)), "bucket long, single long, double long, n long")
     sums = sums.groupBy("bucket", "single", "double").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS times the squared number of steps
     weights = learned_weights([tuple(r) for r in sums], distinct)
-    return with_answers(own, said).mapInArrow(_scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), weights), SCORES)
+    return with_answers(own, said.withColumn("held", F.lit(None).cast("binary"))).mapInArrow(_scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), weights), SCORES)
 
