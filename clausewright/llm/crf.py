@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import remainder, texts
+from .store import remainder, small_batches, texts
 from .words import U, column, find, mix, pieces
 
 #: Labelled documents to fit on, at most: those with the least hash of their id. Rounds and rate of the fit.
@@ -215,4 +215,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         data, bounds = column(pa.record_batch({"text": pa.array(text, pa.string())}))
         return pd.Series(np.concatenate([quality(*lines(own, cuts), model) for _, _, own, cuts in pieces(data, bounds)] or [np.zeros(0)]))
 
+    small_batches(docs.sparkSession)
     return docs.where(score(F.coalesce(docs[text_col], F.lit(""))) >= limit)

@@ -2,8 +2,8 @@
 
 Every run of three words of every text is joined with the runs of the license templates. Matches that lie
 on one diagonal (place in the text minus place in the template) belong to one copy; diagonals a few words
-apart, as an insertion or deletion leaves them, are merged; a span counts when enough of its template's
-runs are found in it in order.
+apart, as insertions and deletions leave them, are merged; a span counts when enough of its template's
+runs are found in it.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The base is a phrase's words
 standing consecutively; templates of notices add labels of their own.
@@ -22,7 +22,7 @@ from .store import cut, texts
 from .words import ALPHANUMERIC, column, find, grams, pieces, starts
 
 GRAM = 3
-#: Words by which diagonals of one copy may differ, and the share of a template's runs that must be found in order;
+#: Words by which diagonals of one copy may differ, and the share of a template's runs that must be found in a span;
 #: of templates of fewer runs than SHORT, and of the base, all of them.
 DRIFT, ENOUGH, SHORT = 6, 0.6, 10
 
@@ -95,16 +95,8 @@ def spans(found: DataFrame) -> DataFrame:
     by_place = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > DRIFT, F.lit(True))
     merged = votes.withColumn("copy", F.sum(new.cast("int")).over(by_place)).groupBy("row", "template", "label", "base", "size", "copy")
-    merged = merged.agg(F.array_sort(F.collect_list(F.struct("first", "last", "places"))).alias("parts"))
-    # in order: of each diagonal only places beyond those of the ones that start before it in the text
-    state = F.struct(F.lit(-1).alias("upto"), F.lit(0).alias("n"))
-
-    def step(s: F.Column, part: F.Column) -> F.Column:
-        own = F.filter(part["places"], lambda p: p > s["upto"])
-        return F.struct(F.greatest(s["upto"], F.coalesce(F.array_max(own), F.lit(-1))).alias("upto"), (s["n"] + F.size(own)).alias("n"))
-
-    covered = F.aggregate("parts", state, step)
-    out = merged.select("row", "template", "label", "base", "size", F.element_at("parts", 1)["first"].alias("first_word"), F.array_max(F.transform("parts", lambda p: p["last"])).alias("last_word"), (covered["n"] / F.col("size")).alias("coverage"))
+    merged = merged.agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first_word"), F.max("last").alias("last_word"))
+    out = merged.select("row", "template", "label", "base", "size", "first_word", "last_word", (F.size("places") / F.col("size")).alias("coverage"))
     return out.where(F.col("coverage") >= F.when(F.col("base") | (F.col("size") < SHORT), 1.0).otherwise(ENOUGH)).drop("size")
 
 

@@ -4,10 +4,10 @@ Every register keeps, for the least hash of its bucket, the number of leading ze
 bits. Bands of compressed registers propose links, an estimate corrected for chance collisions gathers
 them into groups, and links are confirmed on the full shingle sets.
 
-No pairs of a group are listed. Texts with equal shingle sets are one class from the start; each class is
-compared with the member of its buckets that it shares most bands with; and where a group still has parts
-that no confirmed link joins, those are compared in tiles of bounded size, whose tasks count all common
-shingles at once and return only links that join parts.
+No pairs of a group are listed. Texts with equal shingle sets are one class from the start. A group of at
+most TILE classes is compared by one task, which counts all common shingles at once. In a larger one each
+class is first compared with the member of its buckets that it shares most bands with; only the parts that
+these links leave apart are then compared, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _alike(least: float):
         for batch in batches:
             if len(batch):
                 guess, _ = estimate(_registers(batch.column("ra")), _registers(batch.column("rb")))
-                yield batch.select(["a", "b"]).filter(pa.array(guess >= least))
+                yield batch.select(["a", "b", "bands"]).filter(pa.array(guess >= least))
 
     return apply
 
@@ -160,8 +160,8 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joining(node: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Confirmed links of one tile that join its parts, one for each two parts that become one."""
+def joining(part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Confirmed links of one tile that join its parts, one for each two that become one; and for each member the part's first member."""
     both, size = common(sets), np.array([len(s) for s in sets], np.float32)
     linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
     _, of = np.unique(part, return_inverse=True)
@@ -174,31 +174,36 @@ def joining(node: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[np.
         return k
 
     out = []
-    for i in range(len(node)):
+    for i in range(len(of)):
         j = np.flatnonzero(linked[i, :i] & (of[:i] != of[i]) & ((side[:i] != side[i]) | (side[i] == 0)))
         # one link for each other part is enough
         for k in j[np.unique(of[j], return_index=True)[1]].tolist():
             x, y = find_top(of[i]), find_top(of[k])
             if x != y:
                 top[max(x, y)] = min(x, y)
-                out.append((int(node[k]), int(node[i])))
-    return out
+                out.append((k, i))
+    return out, np.array([find_top(k) for k in of])
 
 
-def _tiled(width: int, percent: int):
-    """Rows of one tile come together and in order."""
+def _tiled(width: int, percent: int, keys: list[str], settle: bool):
+    """Rows of one tile come together and in order. Returns the links that join parts, or with settle every node and the least one of its part."""
 
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         sets = [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)]
-        links = joining(*(t.column(c).to_numpy() for c in ("node", "part", "side")), sets, percent)
-        return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        node, part, side = (t.column(c).to_numpy() for c in ("node", "part", "side"))
+        links, top = joining(part, side, sets, percent)
+        if settle:
+            least = np.full(top.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, top, node)
+            return pa.record_batch({"node": pa.array(node), "part": pa.array(least[top])})
+        return pa.record_batch({"a": pa.array([node[a] for a, _ in links], pa.int64()), "b": pa.array([node[b] for _, b in links], pa.int64())})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
+            key = np.stack([batch.column(c).to_numpy() for c in keys], 1)
             at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))).tolist() if len(key) else []
             for s, e in zip(at, [*at[1:], len(key)], strict=True):
                 if held and tuple(key[s]) != last:
@@ -215,22 +220,27 @@ def _tiled(width: int, percent: int):
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). node, part: the least node that can be reached, for every node of a link.
 
-    Alternates between pointing all larger neighbours at the least one and all neighbours at it, until
-    nothing changes; each round is written to the shared folder.
+    A round points all larger neighbours of a node at the least one around it, then all smaller ones and the
+    node itself; it is written to the shared folder. Rounds go on until nothing changes.
     """
+
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+    before = state(links)
+    while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # every node's larger neighbours, to the least node around it
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").alias("l").join(least.alias("r"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        # every node's smaller neighbours and itself, to the least of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = cut(large.alias("l").join(small.alias("r"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
-        if not after.exceptAll(links).head(1) and not links.exceptAll(after).head(1):
-            return after.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("part")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct()).groupBy("node").agg(F.min("part").alias("part"))
-        links = after
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        links = cut(large.join(low, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct())
+        after = state(links)
+        if after == before:
+            break
+        before = after
+    return links.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
 
 
 def _with(pairs: DataFrame, side: str, table: DataFrame, value: str, name: str) -> DataFrame:
@@ -238,6 +248,33 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, value: str, name: str)
     return pairs.join(other, side)
 
 
+def _large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, width: int, percent: int, n_tasks: int) -> DataFrame:
+    """groups: grp, node. node, part for each: every node is compared with the one it shares most bands with, then parts with parts."""
+    own = alike.join(groups.select(F.col("node").alias("b")), "b", "left_semi")
+    nearest = own.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = _with(_with(nearest, "a", sources, "text", "ta"), "b", sources, "text", "tb").select("a", "b", "ta", "tb")
+    links = cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
+    members = cut(groups.join(components(links), "node", "left").select("grp", "node", F.coalesce("part", "node").alias("part")))
+    sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("n > most.n")
+    # members of a group's largest part needn't meet each other; all others meet every one
+    n_rest, n_most = (F.ceil(c / TILE).cast("int") for c in (F.col("n") - F.col("most.n"), F.col("most.n")))
+    dealt = members.join(sizes, "grp").select("grp", "node", "part", (F.col("part") == F.col("most.part")).alias("in_most"), n_rest.alias("n_rest"), n_most.alias("n_most"))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("in_most"), F.col("n_most")).otherwise(F.col("n_rest"))).cast("int"))
+    meets = F.when(F.col("in_most"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_most") - 1))
+    dealt = dealt.withColumn("o", F.explode(meets))
+    block = F.when(F.col("in_most"), F.col("n_rest") + F.col("k")).otherwise(F.col("k"))  # blocks of the largest part are numbered after the others
+    dealt = dealt.select("grp", "node", "part", F.least(block, "o").alias("i"), F.greatest(block, "o").alias("j"), F.when(block == F.col("o"), 0).when(block < F.col("o"), 1).otherwise(2).alias("side"))
+    held = _with(dealt, "node", sources, "text", "text").repartition(n_tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    more = cut(held.mapInArrow(_tiled(width, percent, ["grp", "i", "j"], False), "a long, b long"))
+    if not more.head(1):
+        return members.select("node", "part")
+    # what the tiles join, between the parts there were
+    named = more.join(members.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(members.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    last = components(named.select(F.col("pa").alias("a"), F.col("pb").alias("b"))).select(F.col("node").alias("part"), F.col("part").alias("last"))
+    return members.join(last, "part", "left").select("node", F.coalesce("last", "part").alias("part"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -254,38 +291,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = cut(classes.select("node", "registers").mapInArrow(_banded, "band long, node long").distinct())
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(bands.join(hubs, "band"))
-    # every bucket's members and its first, with the number of bands they share
-    stars = cut(shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands")))
+    # every bucket's members and its first, with the number of bands they share; groups are what the alike of them join
+    stars = shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    alike = cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long, bands long"))
+    groups = cut(components(alike.select("a", "b")).withColumnRenamed("part", "grp"))
     # the texts that later steps compare, once
-    ids = shared.select("node").distinct()
-    sources = cut(plain.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
-    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
-    pairs = _with(_with(nearest, "a", sources, "text", "ta"), "b", sources, "text", "tb").select("a", "b", "ta", "tb")
-    links = cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
-    parts = cut(components(links))
-    # groups: parts, joined where a bucket's member is like its first one
-    pa_, pb = (parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
-    named = stars.join(pa_, "a", "left").join(pb, "b", "left").select("a", "b", F.coalesce("pa", "a").alias("pa"), F.coalesce("pb", "b").alias("pb")).where("pa <> pb")
-    alike = _with(_with(named.select("a", "b"), "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long").distinct()
-    groups = components(alike.unionByName(parts.select(F.col("part").alias("a"), F.col("node").alias("b"))))
-    members = cut(groups.withColumnRenamed("part", "grp").join(parts, "node", "left").select("grp", "node", F.coalesce("part", "node").alias("part")))
-    sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("n > most.n")
-    # members of a group's largest part (blocks of kind 1) needn't meet each other, all others (of kind 0) meet every one
-    n_rest, n_most = (F.ceil(c / TILE).cast("int") for c in (F.col("n") - F.col("most.n"), F.col("most.n")))
-    one_tile = F.col("n") <= TILE
-    own = members.join(sizes, "grp").select(
-        "grp", "node", "part", ((F.col("part") == F.col("most.part")) & ~one_tile).alias("in_most"),
-        F.when(one_tile, 1).otherwise(n_rest).alias("n_rest"), F.when(one_tile, 0).otherwise(n_most).alias("n_most"),
-    )
-    own = own.withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("in_most"), F.col("n_most")).otherwise(F.col("n_rest"))).cast("int"))
-    meets = F.when(F.col("in_most"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_most") - 1))
-    dealt = own.withColumn("o", F.explode(meets))
-    last = F.when(F.col("in_most"), F.col("n_rest") + F.col("k")).otherwise(F.col("k"))  # blocks of kind 1 are numbered after the others
-    dealt = dealt.select("grp", "node", "part", F.least(last, "o").alias("i"), F.greatest(last, "o").alias("j"), F.when(last == F.col("o"), 0).when(last < F.col("o"), 1).otherwise(2).alias("side"))
-    held = _with(dealt, "node", sources, "text", "text").repartition(partitions(docs.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    more = cut(held.mapInArrow(_tiled(width, percent), "a long, b long"))
-    parts = cut(components(links.unionByName(more))) if more.head(1) else parts
+    sources = cut(plain.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    sizes = cut(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    n_tasks = partitions(docs.sparkSession)
+    small = groups.join(sizes.where(F.col("n") <= TILE), "grp").select("grp", "node", F.col("node").alias("part"), F.lit(0).alias("side"))
+    small = _with(small, "node", sources, "text", "text").repartition(n_tasks, "grp").sortWithinPartitions("grp")
+    parts = small.mapInArrow(_tiled(width, percent, ["grp"], True), "node long, part long").distinct()
+    large = sizes.where(F.col("n") > TILE)
+    if large.head(1):
+        parts = parts.unionByName(_large_groups(groups.join(large.select("grp"), "grp"), alike, sources, width, percent, n_tasks))
     member = real.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"])
     member = member.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("part", "node").alias("component_id"))
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

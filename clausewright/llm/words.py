@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are hashed together: small enough for the arrays to stay in cache.
-PIECE = 2 << 20
+PIECE = 1 << 19
 _STEP = U(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
 
 

@@ -1,0 +1,303 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from conftest import ODD
+
+from clausewright.llm import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
+
+P = pytest.importorskip("public_tokenizers")
+TOKENIZER = P.path("word_bpe_49k.json")
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def same(rows):
+    return sorted(rows, key=repr)
+
+
+@pytest.fixture(params=["documents", "odd", "twice", "empty"])
+def table(request):
+    return request.getfixturevalue(request.param)
+
+
+def plain(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def test_fingerprints(table):
+    rows = fingerprint.fingerprints(table)
+    assert got(rows, "doc_id", "n_chars", "edited_sha256") == same(brute.edited(plain(table)))
+    every = rows.collect()
+    assert all(0 <= x <= 1 for r in every for x in (r.near_edited, r.near_next))
+
+
+def test_fingerprints_follow_content(spark):
+    body = " ".join(f"word{k * k % 7919}" for k in range(2000)).encode()
+    a, b = fingerprint.chunks(body), fingerprint.chunks(b"some words before " + body[:5000] + b" an insertion " + body[5000:])
+    assert fingerprint.containment(a, b) > 0.95 and fingerprint.containment(a, fingerprint.chunks(body[::-1])) < 0.05
+    assert sum(len(body[s:e]) for s, e in zip([0, *fingerprint.ends(body)], fingerprint.ends(body), strict=False)) == len(body)
+    assert max(np.diff([0, *fingerprint.ends(body)])) <= fingerprint.MOST
+    assert fingerprint.containment({}, {}) == 1 and fingerprint.containment(a, {}) == 0
+    half = spark.createDataFrame([(1, body.decode()), (2, body.decode()[::-1])], "doc_id long, text string")
+    first = fingerprint.fingerprints(half).where("doc_id = 1").head()
+    assert 0.45 < first.near_edited < 0.55 and first.near_next < 0.05
+
+
+@pytest.mark.parametrize("window", [4, 9, 35])
+def test_substrings(table, window):
+    rows = substring.remove_repeats(table, window=window)
+    assert got(rows, "doc_id", "n_words", "n_removed", "kept_sha256") == same(brute.kept_words(plain(table), window))
+
+
+def test_substrings_in_one_text_and_at_edges(spark):
+    run = [f"a{k}" for k in range(40)]
+    texts = [" ".join([*run, "x", *run]), " ".join(run[:34]), " ".join(["y", *run[2:37], "z"]), " ".join(["same"] * 36), " ".join(["other"] * 35)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert got(substring.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256") == same(brute.kept_words(list(enumerate(texts))))
+
+
+def test_near_groups(documents, odd, empty, pairs):
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    assert got(near.near_groups(documents), *columns) == same(brute.components(pairs))
+    assert got(near.near_groups(odd), *columns) == same(brute.components(ODD))
+    assert near.near_groups(empty).count() == 0
+
+
+def test_near_groups_of_rows_without_or_with_equal_ids(twice):
+    rows = near.near_groups(twice).collect()
+    assert len(rows) == 2 * len(ODD) + 2
+    wanted = {i: (n, c) for i, n, c, _ in brute.components(ODD)}
+    assert all((r.n_shingles, r.component_id) == wanted[r.doc_id] for r in rows if r.doc_id is not None)
+    assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
+
+
+def family(n: int, seed: int = 0) -> list[tuple[int, str]]:
+    """A large group: copies of one text with more and more words changed, about and below the threshold, and chains."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(150)]
+    out, last = [], base
+    for k in range(n):
+        own = list(last if k % 3 == 0 else base)
+        for at in rng.integers(0, 150, rng.integers(0, 9)):
+            own[at] = f"n{k}_{at}"
+        last = own
+        out.append((k, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("tile", [8, 512])
+def test_near_groups_lose_no_link_of_a_large_group(spark, monkeypatch, tile):
+    monkeypatch.setattr(near, "TILE", tile)
+    rows = family(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = brute.components(rows)
+    assert 1 < len({c for _, _, c, _ in wanted}) < 120
+    assert got(near.near_groups(df), "doc_id", "n_shingles", "component_id", "kept") == same(wanted)
+
+
+def test_estimates_are_near_the_truth():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.85):
+        n, both = 1000, int(2000 * share / (1 + share))
+        pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        guesses = []
+        for k in range(20):
+            x = near.mix(pool + np.uint64(k))
+            s = near.signatures([np.unique(x[:n]), np.unique(np.concatenate([x[:both], x[2000 : 2000 + n - both]]))])
+            guesses.append(near.estimate(s[0], s[1])[0])
+        assert abs(np.mean(guesses) - share) < 0.03
+
+
+def test_exact(table):
+    groups = defaultdict(list)
+    rows = plain(table)
+    norm = lambda t: brute.re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    for i, t in rows:
+        groups[norm(t)].append(i)
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    wanted = [(i, least[norm(t)], len(groups[norm(t)]), i == least[norm(t)]) for i, t in rows]
+    assert got(exact.copies(table), "doc_id", "keep_id", "group_size", "kept") == same(wanted)
+    kept = exact.keep_first(table)
+    assert kept.columns == table.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _, _, k in wanted if k)
+
+
+def test_the_filter_only_passes_what_is_alone(spark, monkeypatch):
+    monkeypatch.setattr(exact, "MOST_CELLS", exact.SHARD)
+    monkeypatch.setattr(exact, "CELLS_PER_TEXT", 1)
+    df = spark.range(200_000).selectExpr("id div 1 as doc_id", "cast(if(id % 50 = 0, id div 100, id) as string) as text")
+    rows = exact.copies(df)
+    assert rows.count() == 200_000
+    assert rows.where("group_size > 1").count() == df.groupBy("text").count().where("count > 1").selectExpr("sum(count)").head()[0]
+
+
+def test_licenses(table):
+    rows = plain(table)
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    scan = licenses.scan(table)
+    assert got(scan, *columns) == same(brute.phrases(rows, licenses.PHRASES))
+    for r in scan.collect():
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+
+
+def test_notices_with_words_put_in_or_left_out(spark):
+    words = next(t for label, t in licenses.NOTICES if label == "bsd").split()
+    changed = words[:5] + ["indeed"] + words[5:12] + words[13:]
+    df = spark.createDataFrame([(1, "x " * 50 + " ".join(changed) + " y"), (2, " ".join(words[:5])), (3, " ".join(reversed(words))), (4, "licensed under CC BY-NC 4")], "doc_id long, text string")
+    got_ = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got_[1].labels == "bsd" and 0.6 <= got_[1].score < 1 and got_[1].n_base == 0
+    assert got_[2].labels == got_[3].labels == "" and got_[4].labels == "cc-by-nc"
+
+
+def test_packing(table):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(TOKENIZER)
+    coder.encode_special_tokens = True
+    rows = packing.pack(table, TOKENIZER, capacity=64).collect()
+    wanted = Counter()
+    for i, t in plain(table):
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for n, at in enumerate(range(0, len(ids), 64)):
+            wanted[i, n, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert all(brute.gapless(v) and sum(n for _, n in v) <= 64 for v in by_sequence.values())
+    if rows:
+        assert len(by_sequence) <= 1.12 * -(-sum(r.length for r in rows) // 64) + 2
+
+
+@pytest.mark.parametrize("lengths", [{1: 1}, {2048: 3}, {1025: 10, 1023: 10}, {700: 7, 683: 5, 2: 3}, {k: k % 7 + 1 for k in range(1, 2048, 13)}])
+def test_plans_hold_every_piece(lengths):
+    runs = packing.plan(lengths, 2048)
+    held = Counter()
+    for r in runs:
+        assert r.count > 0 and r.free == 2048 - sum(k * n for k, n in r.content.items()) >= 0
+        for k, n in r.content.items():
+            held[k] += n * r.count
+    assert held == Counter(lengths)
+    least = max(-(-sum(k * n for k, n in lengths.items()) // 2048), sum(n for k, n in lengths.items() if k > 1024))
+    assert sum(r.count for r in runs) <= 1.05 * least + 1
+
+
+def test_mixing(table):
+    rows = mixing.mix(table if "source" in table.columns else table.selectExpr("*", "concat('s', doc_id % 7) as source"))
+    data = table if "source" in table.columns else table.selectExpr("*", "concat('s', doc_id % 7) as source")
+    sizes: dict = defaultdict(int)
+    for r in data.select("source", "text").collect():
+        sizes[r.source] += len(brute.WORD.findall(r.text or ""))
+    wanted = brute.targets(sizes)
+    source = {r.doc_id: r.source for r in data.select("doc_id", "source").collect()}
+    took, largest = defaultdict(int), defaultdict(int)
+    every = rows.collect()
+    assert len(every) == data.count() and same(map(tuple, every)) == same(map(tuple, mixing.mix(data.repartition(5)).collect()))
+    unit = Counter()
+    for r in every:
+        if r.doc_id is None:
+            continue
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(wanted[s]) and 0 <= r.taken <= 2 * r.size
+        took[s] += r.taken
+        unit[r.doc_id] += r.size
+        largest[s] = max(largest[s], unit[r.doc_id])
+    if all(r.doc_id is not None for r in every):
+        for s, n in sizes.items():
+            assert abs(took[s] - wanted[s]) <= largest[s] / 2 + 1e-6
+    taken = mixing.take(data)
+    assert taken.columns == data.columns
+    assert taken.count() == sum(round(r.taken / r.size) if r.size else 0 for r in every if r.size) + taken.where("text is null or regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') = 0").count()
+
+
+def test_language_model(table):
+    rows = interpolation.scores(table)
+    every = {}
+    for r in rows.collect():
+        every.setdefault((r.doc_id, r.n_tokens, r.n_known, r.held_out, r.train_tokens), []).append(r)
+    wanted = Counter()
+    for i, held, n, known, total, score in brute.base_scores(plain(table)):
+        wanted[i, n, known, held, total] += 1
+        assert any(abs(r.base_score - score) < 1e-6 for r in every[i, n, known, held, total])
+    assert wanted == Counter({k: len(v) for k, v in every.items()})
+    assert all(r.score < 0 or r.score == pytest.approx(0) for v in every.values() for r in v)
+
+
+def test_language_model_is_a_distribution_and_better_than_its_base(documents):
+    rows = interpolation.scores(documents).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").head()
+    assert rows.s > rows.b
+    weights = interpolation.learned_weights([(3, 20, 5, 100.0), (3, 30, -1, 50.0), (0, 10, -1, 5.0)], 1000)
+    assert np.allclose(weights.sum(1), 1) and (weights >= 0).all() and weights[0, 0] == 0
+
+
+def auc(rows, label):
+    score = sorted((r.score, label[r.doc_id]) for r in rows if r.doc_id in label)
+    yes, no = [s for s, y in score if y], [s for s, y in score if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+
+
+def test_quality(spark, data, odd, twice, empty, labels):
+    documents = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    known = spark.read.parquet(f"{data}/../sf0.01/labels.parquet")
+    rows = crf.scores(documents, known).collect()
+    label = {r.doc_id: r.quality for r in known.collect()}
+    held = [r for r in rows if r.held_out]
+    assert auc(held, label) > 0.97
+    assert {r.held_out for r in rows if brute.crc(r.doc_id, 4) == 2} == {True}
+    assert np.mean([(r.score >= 0.7) == label[r.doc_id] for r in held if r.doc_id in label]) > 0.95
+    for table in (odd, twice, empty):
+        some = crf.scores(table, known).collect()
+        assert len(some) == table.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in some)
+    assert crf.keep_good(odd, known).columns == odd.columns
+    assert {r.score for r in crf.scores(odd, known.limit(0)).collect()} == {0.5}
+
+
+def test_marginals_agree_with_counting_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5):
+        good, ties = rng.normal(size=n), rng.normal(size=(2, 2))
+        every = {y: sum(g for g, k in zip(good, y, strict=True) if k) + sum(ties[a, b] for a, b in itertools.pairwise(y)) for y in itertools.product((0, 1), repeat=n)}
+        total = np.logaddexp.reduce(list(every.values()))
+        # next to another text, to see that they don't touch
+        chance, pair_chance, totals = crf.marginals(np.concatenate([good, [1.0, 2.0]]), ties, np.array([0, n, n + 2]))
+        assert totals[0] == pytest.approx(total)
+        for k in range(n):
+            assert np.exp(chance[k]) == pytest.approx(sum(np.exp(v - total) for y, v in every.items() if y[k]))
+            if k + 1 < n:
+                assert np.exp(pair_chance[k, 1, 0]) == pytest.approx(sum(np.exp(v - total) for y, v in every.items() if y[k] and not y[k + 1]))
+
+
+def test_toxicity(spark, data, odd, twice, empty):
+    documents = spark.read.parquet(f"{data}/../sf0.1/documents.parquet")
+    known = spark.read.parquet(f"{data}/../sf0.1/labels.parquet")
+    rows = toxicity.scores(documents, known).collect()
+    label = {r.doc_id: r.toxic for r in known.collect()}
+    held = [r for r in rows if r.held_out and r.doc_id in label]
+    assert auc(held, label) > 0.95 and np.mean([r.predicted == label[r.doc_id] for r in held]) > 0.97
+    assert {r.held_out for r in rows if brute.crc(r.doc_id, 5) == 0} == {True}
+    for table in (odd, twice, empty):
+        some = toxicity.scores(table, known).collect()
+        assert len(some) == table.count() and all(0 <= r.score <= 1 for r in some)
+    assert {r.score for r in toxicity.scores(odd, known.limit(0)).collect()} == {0.5}
+
+
+def test_the_machine_learns_what_two_terms_mean_together():
+    rng = np.random.default_rng(5)
+    slots, label = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        slots.append(np.unique(np.array([1] * int(a) + [2] * int(b) + rng.integers(10, 60, 5).tolist(), np.int32)))
+        label.append(int(a and b))
+    model = toxicity.fit(slots, np.array(label))
+    x = np.array([[1.0 * (k == s) for s in model["kept"]] for k in (1, 2)])
+    score = lambda m: toxicity.machine(m[None], model["w0"][0], model["w"], model["v"])[0]
+    together = score(x[0] + x[1]) - score(x[0]) - score(x[1]) + score(0 * x[0])
+    assert score(x[0] + x[1]) > 0 > max(score(x[0]), score(x[1])) and together > 0.5
