@@ -25,7 +25,7 @@ from .store import cut, partitions, texts
 from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
-GROUPS, LARGE = 48, 1 / 6
+GROUPS, LARGE = 96, 0.4
 #: Words, and runs of letters, whose ids a Python worker remembers; then it forgets them all and goes on.
 REMEMBERED = 1 << 20
 _SEPARATOR = b"\x01"
@@ -172,29 +172,36 @@ def plan(lengths: dict[int, int], capacity: int) -> list[Run]:
                     room = each
                 groups[-1].append([length, n := min(todo, room)])
                 todo -= n
-        merged: dict[int, list[list[int]]] = {}
+        demand: Counter = Counter()
         for g in groups:  # groups of one rounded size are one size
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes, queues = list(merged), list(merged.values())
-        for numbers, count in configurations(sizes, [sum(n for _, n in q) for q in queues], capacity):
-            # actual pieces, slot by slot: stretches of count sequences
-            slots = []
-            for j, n in enumerate(numbers):
-                for _ in range(n):
-                    need, taken = count, []
-                    while need:
-                        length, there = queues[j][0]
-                        taken.append((length, m := min(need, there)))
-                        need -= m
-                        queues[j][0][1] -= m
-                        if not queues[j][0][1]:
-                            queues[j].pop(0)
-                    slots.append(taken)
-            ends = sorted({e for t in slots for e in np.cumsum([n for _, n in t]).tolist()})
-            for begin, end in zip([0, *ends], ends, strict=False):
-                content = Counter(t[bisect.bisect_right(np.cumsum([n for _, n in t]).tolist(), begin)][0] for t in slots)
-                runs.append(Run(end - begin, content, capacity - sum(k * v for k, v in content.items())))
-                left -= Counter({k: v * (end - begin) for k, v in content.items()})
+            demand[g[0][0]] += sum(n for _, n in g)
+        sizes, there = sorted(demand, reverse=True), sorted(large)
+
+        def take(most: int, count: int) -> tuple[int, int]:
+            """The longest actual pieces up to a length, as many as are wanted or left."""
+            at = bisect.bisect_right(there, most) - 1
+            if at < 0:
+                return 0, count
+            length = there[at]
+            n = min(count, left[length])
+            left[length] -= n
+            if not left[length]:
+                there.pop(at)
+            return length, n
+
+        for numbers, count in configurations(sizes, [demand[s] for s in sizes], capacity):
+            slots = [s for s, n in zip(sizes, numbers, strict=True) for _ in range(n)]
+            # actual pieces replace the rounded ones; the last of a sequence may use what the others have left free
+            todo = [(count, Counter(), capacity, 0)]
+            while todo:
+                count, content, room, k = todo.pop()
+                if k == len(slots):
+                    runs.append(Run(count, content, room))
+                    continue
+                length, n = take(room if k == len(slots) - 1 else min(slots[k], room), count)
+                todo.append((n, content + Counter({length: 1}) if length else content, room - length, k + 1))
+                if n < count:
+                    todo.append((count - n, content, room, k))
     # what is left, the longest first, each into the fullest sequences that have room
     by_room: dict[int, list[Run]] = {}
     for r in runs:
