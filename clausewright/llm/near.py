@@ -31,6 +31,8 @@ MANTISSA = 10
 SLACK = 0.35
 #: Members in one block of a group, and columns of shingles that are counted together.
 TILE, COLUMNS = 512, 4096
+#: Tasks that share the links of one node.
+SALTS = 8
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
@@ -231,8 +233,9 @@ def components(links: DataFrame) -> DataFrame:
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # a node with very many neighbours meets its least in several tasks
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         links = cut(large.join(low, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct())

@@ -26,8 +26,8 @@ from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
 GROUPS, LARGE = 96, 0.4
-#: Words, and runs of letters, whose ids a Python worker remembers; then it forgets them all and goes on.
-REMEMBERED = 1 << 20
+#: Words, and runs of letters, whose ids a Python worker remembers (some 250 MB); then it forgets them and goes on.
+WORDS, CORES = 1 << 19, 3 << 18
 _SEPARATOR = b"\x01"
 _memory: dict[str, tuple] = {}
 
@@ -71,7 +71,7 @@ class Ids:
                 split.append((w, letters.lower().encode(), tail))
             else:
                 others.append(w)
-        if len(self.cores) > REMEMBERED:
+        if len(self.cores) > CORES:
             self.cores.clear()
         self.cores.update(self._encoded(list({core for _, core, _ in split if core not in self.cores})))
         for w, core, tail in split:
@@ -81,7 +81,7 @@ class Ids:
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(texts), 512):
             split = [t.split() for t in texts[k : k + 512]]
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > WORDS:
                 self.known.clear()
             new = set().union(*split).difference(self.known)
             if new:
