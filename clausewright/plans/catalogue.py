@@ -369,10 +369,11 @@ def section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("section", F.array_join(F.transform("f", lambda x: F.concat(x["field_ord"].cast("string"), F.lit(":"), x["field_name"])), ", ").alias("fields"), F.size("f").cast("long").alias("n"))
 
 
-@query("select user_id, arg_max(event_type, ts) as event_type, max(ts) as ts from events group by user_id")
+@query("select user_id, arg_max(event_type, ts) as event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as ts from events group by user_id")
 def status_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user, as the state of a job."""
-    return last_states(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+    rows = last_states(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("select date_trunc('day', ts)::varchar as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
