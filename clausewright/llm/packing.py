@@ -11,6 +11,7 @@ their place from their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,9 +27,10 @@ from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
 GROUPS, LARGE = 96, 0.4
-#: Words, and runs of letters, whose ids a Python worker remembers (some 250 MB); then it forgets them and goes on.
-WORDS, CORES = 1 << 19, 3 << 18
+#: Words, and runs of letters, whose ids a Python worker remembers (some 150 MB); then it forgets them and goes on.
+WORDS, CORES = 1 << 18, 1 << 19
 _SEPARATOR = b"\x01"
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _memory: dict[str, tuple] = {}
 
 
@@ -36,16 +38,20 @@ class Ids:
     """Token ids of texts as packed 32-bit numbers.
 
     The tokenizer lower-cases, and splits at blanks and between letters and other signs whatever stands
-    around them. So each word is encoded once, and of letters with a point or comma after them only the letters.
+    around them. So each word is encoded once, and letters with signs after them as the letters and the signs.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # of small ASCII letters nothing is left to normalise or to split but the blanks between words
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.separator,) = self.tokenizer.encode(_SEPARATOR.decode(), add_special_tokens=False).ids
-        self.tails = {t: self._encode(t.decode()).tobytes() for t in (b"", b".", b",")}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
@@ -62,18 +68,40 @@ class Ids:
         for w in set(words) - set(plain):
             yield w, self._encode(w.decode("utf-8", "replace")).tobytes()
 
+    def _encoded_letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            found = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
+            ends = np.append(np.flatnonzero(np.diff(np.array(found.word_ids))) + 1, len(found.ids)) * 4
+            raw, at = np.array(found.ids, np.uint32).tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                yield word, raw[at:end]
+                at = end
+
     def learn(self, words: set[bytes]) -> None:
-        split, others = [], []
+        split, others, ascii_cores, wide_cores = [], [], set(), set()
         for w in words:
-            core, tail = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
-            letters = core.decode("utf-8", "replace")
-            if letters.isalpha() and "\u03a3" not in letters:  # capital sigma's small letter depends on where it stands
-                split.append((w, letters.lower().encode(), tail))
+            core = w.rstrip(_SIGNS)
+            tail = w[len(core) :]
+            if core.isalpha():  # of bytes: ASCII letters
+                core = core.lower()
+                ascii_cores.add(core)
             else:
-                others.append(w)
+                letters = core.decode("utf-8", "replace")
+                if not letters.isalpha() or "\u03a3" in letters:  # capital sigma's small letter depends on where it stands
+                    others.append(w)
+                    continue
+                core = letters.lower().encode()
+                wide_cores.add(core)
+            if tail not in self.tails:
+                self.tails[tail] = self._encode(tail.decode()).tobytes()
+            split.append((w, core, tail))
+        if len(self.tails) > WORDS:
+            self.tails = {tail: self.tails[tail] for _, _, tail in split}
         if len(self.cores) > CORES:
             self.cores.clear()
-        self.cores.update(self._encoded(list({core for _, core, _ in split if core not in self.cores})))
+        self.cores.update(self._encoded_letters(list(ascii_cores.difference(self.cores))))
+        self.cores.update(self._encoded(list(wide_cores.difference(self.cores))))
         for w, core, tail in split:
             self.known[w] = self.cores[core] + self.tails[tail]
         self.known.update(self._encoded(others))
@@ -100,17 +128,21 @@ def ids_of(path: str) -> Ids:
 def _cut_up(path: str, capacity: int, end: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = ids_of(path), int(end).to_bytes(4, "little")
-        for batch in batches:
-            data, bounds = column(batch)
-            raw, docs = data.tobytes(), batch.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for doc, ids in zip(docs, coder.of([raw[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]), strict=True):
-                ids += last  # noqa: PLW2901
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[start : start + 4 * capacity]
-                    out.append((doc, piece, start // 4, len(own) // 4, zlib.crc32(own)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.disable()  # nothing here makes cycles, and the collector would walk all lists of words again and again
+        try:
+            for batch in batches:
+                data, bounds = column(batch)
+                raw, docs = data.tobytes(), batch.column("doc_id").to_pylist()
+                out: list[tuple] = []
+                for doc, ids in zip(docs, coder.of([raw[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]), strict=True):
+                    ids += last  # noqa: PLW2901
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[start : start + 4 * capacity]
+                        out.append((doc, piece, start // 4, len(own) // 4, zlib.crc32(own)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            gc.enable()
 
     return apply
 
