@@ -27,11 +27,12 @@ from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
 GROUPS, LARGE = 96, 0.4
-#: Words, and runs of letters, whose ids a Python worker remembers (some 150 MB); then it forgets them and goes on.
-WORDS, CORES = 1 << 18, 1 << 19
+#: Runs of letters whose ids a Python worker remembers, and half as many whole words (some 150 MB); then it forgets them
+#: and goes on. More memory spares time.
+REMEMBERED = 1 << 19
 _SEPARATOR = b"\x01"
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_memory: dict[str, tuple] = {}
+_memory: dict[tuple[str, int], Ids] = {}
 
 
 class Ids:
@@ -41,7 +42,8 @@ class Ids:
     around them. So each word is encoded once, and letters with signs after them as the letters and the signs.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,9 +98,9 @@ class Ids:
             if tail not in self.tails:
                 self.tails[tail] = self._encode(tail.decode()).tobytes()
             split.append((w, core, tail))
-        if len(self.tails) > WORDS:
+        if len(self.tails) > self.remembered:
             self.tails = {tail: self.tails[tail] for _, _, tail in split}
-        if len(self.cores) > CORES:
+        if len(self.cores) > self.remembered:
             self.cores.clear()
         self.cores.update(self._encoded_letters(list(ascii_cores.difference(self.cores))))
         self.cores.update(self._encoded(list(wide_cores.difference(self.cores))))
@@ -109,7 +111,7 @@ class Ids:
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(texts), 512):
             split = [t.split() for t in texts[k : k + 512]]
-            if len(self.known) > WORDS:
+            if len(self.known) > self.remembered // 2:
                 self.known.clear()
             new = set().union(*split).difference(self.known)
             if new:
@@ -119,15 +121,16 @@ class Ids:
                 yield b"".join(map(get, own))
 
 
-def ids_of(path: str) -> Ids:
-    if path not in _memory:
-        _memory[path] = Ids(path)
-    return _memory[path]
+def ids_of(path: str, remembered: int) -> Ids:
+    if (path, remembered) not in _memory:
+        _memory.clear()
+        _memory[path, remembered] = Ids(path, remembered)
+    return _memory[path, remembered]
 
 
-def _cut_up(path: str, capacity: int, end: int):
+def _cut_up(path: str, capacity: int, end: int, remembered: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last = ids_of(path), int(end).to_bytes(4, "little")
+        coder, last = ids_of(path, remembered), int(end).to_bytes(4, "little")
         gc.disable()  # nothing here makes cycles, and the collector would walk all lists of words again and again
         try:
             for batch in batches:
@@ -299,7 +302,7 @@ def _placed(table: np.ndarray):
     return apply
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     tokenizer: the path of a tokenizer file that every machine has. A document is its ids and then end; only
@@ -307,7 +310,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     an empty table gives no rows. Sequences are numbered from 0 and have no gaps.
     """
     spark = docs.sparkSession
-    pieces = cut(texts(docs, id_col, text_col).mapInArrow(_cut_up(tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = cut(texts(docs, id_col, text_col).mapInArrow(_cut_up(tokenizer, capacity, end, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     # the rank of a piece among those of its length: places before its bucket, and within it
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(8 * partitions(spark))))
     counts = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))

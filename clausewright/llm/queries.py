@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), remembered=1 << 20)
 
 
 @query
