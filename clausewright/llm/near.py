@@ -26,11 +26,13 @@ from .words import BLANK_SEPARATED, U, column, find, grams, mix, pieces, starts
 BAND, BANDS = 5, 26
 REGISTERS = BAND * BANDS
 MANTISSA = 10
-#: A bucket's members belong to the group of its first one if the estimate is above the threshold less SLACK; so far
-#: below it that two linked texts would have to differ on this for every band they share to be kept apart.
-SLACK = 0.35
-#: Members in one block of a group, and columns of shingles that are counted together.
-TILE, COLUMNS = 512, 4096
+#: A bucket's members belong to the group of its first one if the estimate is above the threshold less SLACK. Those
+#: below SETTLED meet each other too: registers that differ are (nearly) a metric, so what is linked to a member at
+#: SETTLED or above is itself above the threshold less SLACK, while the estimate of a link is off by less than NOISE.
+SLACK, NOISE = 0.35, 0.15
+SETTLED = 1 - SLACK + NOISE
+#: Members in one block of a group, columns of shingles that are counted together, and members in one block of a bucket.
+TILE, COLUMNS, BLOCK = 512, 4096, 1024
 #: Tasks that share the links of one node.
 SALTS = 8
 
@@ -122,11 +124,33 @@ def _alike(least: float):
         for batch in batches:
             if len(batch):
                 guess, _ = estimate(_registers(batch.column("ra")), _registers(batch.column("rb")))
-                yield batch.select(["a", "b", "bands"]).filter(pa.array(guess >= least))
+                yield batch.select(["a", "b", "bands"]).append_column("settled", pa.array(guess >= SETTLED)).filter(pa.array(guess >= least))
 
     return apply
 
 
+def meeting(part: np.ndarray, registers: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of one tile of a bucket, pairs with an estimate of `least` or more that join its parts, one for each two that become one.
+
+    Each member in turn meets all that are left, and settles those at SETTLED or above.
+    """
+    _, of = np.unique(part, return_inverse=True)
+    left = np.ones(len(of), bool)
+    out = []
+    for i in range(len(of)):
+        if not left[i]:
+            continue
+        left[i] = False
+        j = np.flatnonzero(left)
+        guess, _ = estimate(registers[j], registers[i])
+        left[j[guess >= SETTLED]] = False
+        j = j[(guess >= least) & (of[j] != of[i])]
+        for k in j[np.unique(of[j], return_index=True)[1]].tolist():
+            of[of == of[k]] = of[i]
+            out.append((i, k))
+    return out
+
+
 def _confirmed(width: int, percent: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,19 +211,8 @@ def joining(part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent:
     return out, np.array([find_top(k) for k in of])
 
 
-def _tiled(width: int, percent: int, keys: list[str], settle: bool):
-    """Rows of one tile come together and in order. Returns the links that join parts, or with settle every node and the least one of its part."""
-
-    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        sets = [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)]
-        node, part, side = (t.column(c).to_numpy() for c in ("node", "part", "side"))
-        links, top = joining(part, side, sets, percent)
-        if settle:
-            least = np.full(top.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, top, node)
-            return pa.record_batch({"node": pa.array(node), "part": pa.array(least[top])})
-        return pa.record_batch({"a": pa.array([node[a] for a, _ in links], pa.int64()), "b": pa.array([node[b] for _, b in links], pa.int64())})
+def _by_tile(keys: list[str], done):
+    """Rows of one tile come together and in order; done() gets them as a table."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,16 +222,43 @@ def _tiled(width: int, percent: int, keys: list[str], settle: bool):
             at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))).tolist() if len(key) else []
             for s, e in zip(at, [*at[1:], len(key)], strict=True):
                 if held and tuple(key[s]) != last:
-                    yield done(held)
+                    yield done(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 held.append(batch.slice(s, e - s))
                 last = tuple(key[s])
         if held:
-            yield done(held)
+            yield done(pa.Table.from_batches(held).combine_chunks())
 
     return apply
 
 
+def _met(least: float):
+    """The pairs of one tile of a bucket that join parts."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        node, part = (t.column(c).to_numpy() for c in ("node", "part"))
+        pairs = [sorted((node[i], node[k])) for i, k in meeting(part, _registers(t.column("registers")), least)]
+        return pa.record_batch({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return _by_tile(["band", "i", "j"], done)
+
+
+def _tiled(width: int, percent: int, keys: list[str], settle: bool):
+    """Returns the links of a tile that join parts, or with settle every node and the least one of its part."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        sets = [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)]
+        node, part, side = (t.column(c).to_numpy() for c in ("node", "part", "side"))
+        links, top = joining(part, side, sets, percent)
+        if settle:
+            least = np.full(top.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, top, node)
+            return pa.record_batch({"node": pa.array(node), "part": pa.array(least[top])})
+        return pa.record_batch({"a": pa.array([node[a] for a, _ in links], pa.int64()), "b": pa.array([node[b] for _, b in links], pa.int64())})
+
+    return _by_tile(keys, done)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (long). node, part: the least node that can be reached, for every node of a link.
 
@@ -246,6 +286,24 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
 
 
+def _left_over(shared: DataFrame, stars: DataFrame, classes: DataFrame, least: float, n_tasks: int) -> DataFrame:
+    """shared: band, node, hub; stars: a, b, settled. a, b: pairs that join what the hubs leave apart in a bucket.
+
+    Members that their hub doesn't settle meet each other wherever they are in two parts or more, in tiles of two blocks.
+    """
+    parts = components(stars.select("a", "b"))
+    settled = stars.where("settled").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    rest = shared.where("node <> hub").join(settled, ["hub", "node"], "left_anti").select("band", "node")
+    rest = cut(rest.join(parts, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
+    sizes = cut(rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
+    dealt = rest.join(sizes, "band").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    # a tile of two blocks compares either with itself, too
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("k <> o or n = 1")
+    dealt = dealt.select("band", "node", "part", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    held = _with(dealt, "node", classes, "registers", "registers").repartition(n_tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return held.mapInArrow(_met(least), "a long, b long").distinct()
+
+
 def _with(pairs: DataFrame, side: str, table: DataFrame, value: str, name: str) -> DataFrame:
     other = table.select(F.col("node").alias(side), F.col(value).alias(name))
     return pairs.join(other, side)
@@ -294,9 +352,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = cut(classes.select("node", "registers").mapInArrow(_banded, "band long, node long").distinct())
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(bands.join(hubs, "band"))
-    # every bucket's members and its first, with the number of bands they share; groups are what the alike of them join
+    # every bucket's members and its first, with the number of bands they share, then members whose first leaves them apart;
+    # groups are what the alike of them join
     stars = shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    alike = cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long, bands long"))
+    stars = cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long, bands long, settled boolean"))
+    more = _left_over(shared, stars, classes, threshold - SLACK, partitions(docs.sparkSession))
+    alike = cut(stars.drop("settled").unionByName(more.withColumn("bands", F.lit(1).cast("long"))))
     groups = cut(components(alike.select("a", "b")).withColumnRenamed("part", "grp"))
     # the texts that later steps compare, once
     sources = cut(plain.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))

@@ -102,6 +102,34 @@ def test_near_groups_lose_no_link_of_a_large_group(spark, monkeypatch, tile):
     assert got(near.near_groups(df), "doc_id", "n_shingles", "component_id", "kept") == same(wanted)
 
 
+def holders(n: int) -> list[tuple[int, str]]:
+    """n long texts that hold one passage, and after them two short ones that are little more than the passage."""
+    passage = [f"p{k}" for k in range(100)]
+    own = [[*passage, *(f"l{i}_{k}" for k in range(150))] for i in range(n)] + [[*passage, *(f"s{i}_{k}" for k in range(7))] for i in range(2)]
+    return [(i, " ".join(w)) for i, w in enumerate(own)]
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_near_copies_meet_though_their_buckets_begin_with_other_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = holders(1500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    component = {r.doc_id: r.component_id for r in near.near_groups(df).collect()}
+    assert component == {i: min(i, 1500) for i, _ in rows}
+
+
+def test_members_of_a_bucket_meet_as_if_all_were_compared():
+    rng = np.random.default_rng(4)
+    r = rng.integers(1, 60000, (6, near.REGISTERS)).astype(np.uint16)[rng.integers(0, 6, 150)]
+    r = np.where(rng.random(r.shape) < rng.choice([0.02, 0.1, 0.3, 0.5], (150, 1)), rng.integers(1, 60000, r.shape), r).astype(np.uint16)
+    top = list(range(150))
+    for i, k in near.meeting(np.arange(150), r, 0.5):
+        assert near.estimate(r[i], r[k])[0] >= 0.5
+        top = [top[i] if x == top[k] else x for x in top]
+    links = [(i, k) for i in range(150) for k in range(i) if near.estimate(r[i], r[k])[0] >= 0.7]
+    assert links and all(top[i] == top[k] for i, k in links)
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.85):
