@@ -5,7 +5,7 @@ the weights of a text's distinct terms and the products of the vectors of every
 terms mean together is learned besides what each means alone.
 
 The machine is fitted on a bounded sample of labelled documents, over the terms that tell their labels
-apart best.
+apart best, alone or two together.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .words import ALPHANUMERIC, U, column, find, mix, pieces
 #: Labelled documents to fit on, at most: those with the least hash of their id. Slots of hashed terms; terms that are
 #: kept; length of a term's vector; rounds of the fit.
 SAMPLE, SLOTS, TERMS, FACTORS, ROUNDS = 8000, 1 << 22, 4096, 4, 200
+#: Terms that are paired, at most, the most frequent ones; terms kept for their pairs, at most; terms in one product.
+PAIRED, TERMS_OF_PAIRS, COLUMNS = 8192, 4096, 2048
 #: Bytes of a word's head that are terms of their own.
 HEADS = (4, 5, 6)
 
@@ -67,6 +69,63 @@ def select_terms(slots: list[np.ndarray], label: np.ndarray, most: int = TERMS)
     return np.sort(some[np.argsort(-gain, kind="stable")[:most]])
 
 
+def present(slots: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
+    """Texts by kept terms, 0 or 1."""
+    x = np.zeros((len(slots), len(kept)), np.float32)
+    for i, s in enumerate(slots):
+        at = np.searchsorted(kept, s)
+        ok = at < len(kept)
+        at, s = at[ok], s[ok]  # noqa: PLW2901
+        x[i, at[kept[at] == s]] = 1
+    return x
+
+
+def select_pairs(slots: list[np.ndarray], label: np.ndarray, most: int = TERMS_OF_PAIRS) -> np.ndarray:
+    """The slots of pairs that say more about the label together than their terms do alone, ascending.
+
+    A pair's gain is the likelihood ratio of its own effect next to what each of its terms adds (in log odds, from
+    the base rate). The PAIRED most frequent terms in 3 texts or more are paired, a block of them at a time; terms that are in the
+    same texts count as one, and pairs in fewer than 3 texts don't count.
+    """
+    n = np.bincount(np.concatenate([*slots, np.zeros(0, int)]).astype(int), minlength=SLOTS)
+    some = np.flatnonzero(n >= 3)
+    some = np.sort(some[np.argsort(-n[some], kind="stable")[:PAIRED]])
+    if len(some) < 2 or not 0 < label.sum() < len(label):
+        return np.zeros(0, int)
+    cuts = range(0, len(some), COLUMNS)
+    # texts by terms, as bits; the first of each set of terms that are in the same texts
+    held = np.concatenate([np.packbits(present(slots, some[k : k + COLUMNS]).astype(bool), 0) for k in cuts], 1)
+    _, first, of = np.unique(np.ascontiguousarray(held.T).view(f"V{len(held)}").ravel(), return_index=True, return_inverse=True)
+    held = held[:, first]
+    cuts = range(0, len(first), COLUMNS)
+    n1, n0 = label.sum(), len(label) - label.sum()
+
+    def block(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.unpackbits(held[:, cuts[k] : cuts[k] + COLUMNS], 0, count=len(label))
+        yes, no = x[label == 1].astype(np.float32), x[label == 0].astype(np.float32)
+        return yes, no, np.log((yes.sum(0) + 0.5 * n1 / len(label)) / (no.sum(0) + 0.5 * n0 / len(label))) - np.log(n1 / n0)
+
+    best, limit = np.zeros(len(first)), 0.7 * np.log(len(some) * (len(some) - 1) / 2)
+    for k, at in enumerate(cuts):
+        yes, no, alone = block(k)
+        for other, to in list(enumerate(cuts))[k:]:
+            yes2, no2, alone2 = (yes, no, alone) if other == k else block(other)
+            a, b = yes.T @ yes2, no.T @ no2
+            if other == k:
+                np.fill_diagonal(a, 0)
+                np.fill_diagonal(b, 0)
+            i, j = np.nonzero(a + b >= 3)
+            a, b = a[i, j], b[i, j]
+            p = 1 / (1 + np.exp(-np.clip(np.log(n1 / n0) + alone[i] + alone2[j], -15, 15)))
+            rate = np.clip(a / (a + b), 1e-7, 1 - 1e-6)
+            gain = a * np.log(rate / p) + b * np.log((1 - rate) / (1 - p))
+            np.maximum.at(best, at + i, gain)
+            np.maximum.at(best, to + j, gain)
+    best = best[of]
+    good = np.flatnonzero(best > limit)
+    return np.sort(some[good[np.argsort(-best[good], kind="stable")[:most]]])
+
+
 def machine(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     """x: texts by terms, 0 or 1. The score before the logistic function."""
     both = x @ v
@@ -75,13 +134,8 @@ def machine(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarra
 
 def fit(slots: list[np.ndarray], label: np.ndarray) -> dict[str, np.ndarray]:
     """Weights by gradient ascent (Adam) on the penalised log likelihood, over the whole sample each round."""
-    kept = select_terms(slots, label)
-    x = np.zeros((len(slots), len(kept)), np.float32)
-    for i, s in enumerate(slots):
-        at = np.searchsorted(kept, s)
-        ok = at < len(kept)
-        at, s = at[ok], s[ok]  # noqa: PLW2901
-        x[i, at[kept[at] == s]] = 1
+    kept = np.union1d(select_terms(slots, label), select_pairs(slots, label))
+    x = present(slots, kept)
     y = label.astype(np.float32)
     rate = (y.sum() + 1) / (len(y) + 2)
     w0, w = float(np.log(rate / (1 - rate))), np.zeros(len(kept), np.float32)

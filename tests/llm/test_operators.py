@@ -329,3 +329,19 @@ def test_the_machine_learns_what_two_terms_mean_together():
     score = lambda m: toxicity.machine(m[None], model["w0"][0], model["w"], model["v"])[0]
     together = score(x[0] + x[1]) - score(x[0]) - score(x[1]) + score(0 * x[0])
     assert score(x[0] + x[1]) > 0 > max(score(x[0]), score(x[1])) and together > 0.5
+
+
+def test_the_machine_learns_a_pair_whose_terms_are_balanced_alone():
+    rng = np.random.default_rng(6)
+    slots, label = [], []
+    for k in range(2000):
+        # either term is in half of all toxic and half of all clean texts, both or neither of them only in toxic ones
+        a = rng.random() < 0.5
+        b = a if k % 2 else not a
+        slots.append(np.unique(np.array([1] * int(a) + [2] * int(b) + rng.integers(10, 400, 20).tolist(), np.int32)))
+        label.append(k % 2)
+    label = np.array(label)
+    assert not {1, 2} & set(toxicity.select_terms(slots, label).tolist())
+    model = toxicity.fit(slots[:1500], label[:1500])
+    score = toxicity.machine(toxicity.present(slots[1500:], model["kept"]).astype(float), model["w0"][0], model["w"], model["v"])
+    assert np.mean((score > 0) == label[1500:]) > 0.95
