@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import ODD
+from samples import ODD
 
 from clausewright.llm import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
 
