@@ -32,6 +32,8 @@ GROUPS, LARGE = 96, 0.4
 REMEMBERED = 1 << 19
 _SEPARATOR = b"\x01"
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: From here on, what counts as a letter differs between versions of Unicode.
+_LATER_SCRIPTS = "\u0530"
 _memory: dict[tuple[str, int], Ids] = {}
 
 
@@ -39,7 +41,8 @@ class Ids:
     """Token ids of texts as packed 32-bit numbers.
 
     The tokenizer lower-cases, and splits at blanks and between letters and other signs whatever stands
-    around them. So each word is encoded once, and letters with signs after them as the letters and the signs.
+    around them. So each word is encoded once, and letters with signs after them as the letters and the signs;
+    only letters of common scripts whose small letters are letters again, everything else is encoded as it stands.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -51,7 +54,7 @@ class Ids:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.separator,) = self.tokenizer.encode(_SEPARATOR.decode(), add_special_tokens=False).ids
         self.tails: dict[bytes, bytes] = {b"": b""}
         self.known: dict[bytes, bytes] = {}
@@ -85,12 +88,16 @@ class Ids:
         for w in words:
             core = w.rstrip(_SIGNS)
             tail = w[len(core) :]
+            if any(t in w for t in self.special):
+                others.append(w)
+                continue
             if core.isalpha():  # of bytes: ASCII letters
                 core = core.lower()
                 ascii_cores.add(core)
             else:
                 letters = core.decode("utf-8", "replace")
-                if not letters.isalpha() or "\u03a3" in letters:  # capital sigma's small letter depends on where it stands
+                # capital sigma's small letter depends on where it stands; a dotted capital I's is a letter and a mark
+                if not letters.isalpha() or max(letters) >= _LATER_SCRIPTS or "\u03a3" in letters or not letters.lower().isalpha():
                     others.append(w)
                     continue
                 core = letters.lower().encode()

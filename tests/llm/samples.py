@@ -11,4 +11,5 @@ def long_text(n: int = 60_000) -> str:
 ODD = [
     (1, None), (2, ""), (3, " \t\r\n\x0b\x0c"), (4, long_text()), (5, "a b c d e f g h"), (6, "a b c d e f g h"), (7, "A  b\tc d e f g h "),
     (8, "é ß ☃ 😀 \x00 x y"), (-9, "one two"), (10, "one two"), (11, "released under the MIT license; apache-license version 2. cc by-nc"), (12, " ".join(["again"] * 200)),
+    (13, "a <|endoftext|> b İ- Aİ! İ. ΑΣ"),
 ]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,7 +188,6 @@ def test_packing(table):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(TOKENIZER)
-    coder.encode_special_tokens = True
     rows = packing.pack(table, TOKENIZER, capacity=64).collect()
     wanted = Counter()
     for i, t in plain(table):
@@ -203,6 +203,17 @@ def test_packing(table):
         assert len(by_sequence) <= 1.12 * -(-sum(r.length for r in rows) // 64) + 2
 
 
+def test_token_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    coder, own, pick = Tokenizer.from_file(TOKENIZER), packing.Ids(TOKENIZER), random.Random(5)
+    odd = [*map(chr, range(1, 127)), *"İıΣσςßéÉſKﬁ中ひאا١Ⅷ😀ǅʹ", "\u0301", "\u0307", "\u0345", "\u200b", "\u00a0", "\u2028", "\x85", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'LL"]
+    every = [chr(k) for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000]
+    texts = ["".join(pick.choice(odd if pick.random() < 0.7 else every) for _ in range(pick.randint(0, 8))) for _ in range(20_000)]
+    for text, ids in zip(texts, own.of([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("lengths", [{1: 1}, {2048: 3}, {1025: 10, 1023: 10}, {700: 7, 683: 5, 2: 3}, {k: k % 7 + 1 for k in range(1, 2048, 13)}])
 def test_plans_hold_every_piece(lengths):
     runs = packing.plan(lengths, 2048)
