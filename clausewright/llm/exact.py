@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, partitions
+from .store import Tables, free_name, partitions
 from .words import U, mix
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: The filter has CELLS_PER_TEXT cells a text, at most MOST_CELLS (two bits each: 16 MB). Beyond that more
-#: texts are taken for possibly repeated and shuffled; no result changes.
+#: The filter has CELLS_PER_TEXT cells a text, at most MOST_CELLS. A task that counts holds a byte a cell (64 MB), what is
+#: broadcast has a bit a cell (8 MB). Beyond that more texts are taken for possibly repeated and shuffled; no result changes.
 CELLS_PER_TEXT, MOST_CELLS, HASHES, SHARD = 12, 1 << 26, 3, 1 << 16
 
 
@@ -63,7 +63,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def possibly_repeated(keys: DataFrame, key: str = "key") -> Callable[[Column], Column]:
     """A function of a key column: false only where the key (long) is in keys, a table that is cheap to read twice, just once.
 
-    What reaches the driver and is broadcast is the filter: CELLS_PER_TEXT bits a row, 8 MB at most.
+    What reaches the driver and is broadcast is one bit a cell: CELLS_PER_TEXT bits a row, 8 MB at most.
     """
     spark = keys.sparkSession
     cells = min(MOST_CELLS, max(SHARD, -(-keys.count() * CELLS_PER_TEXT // SHARD) * SHARD))
@@ -97,34 +97,50 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), digest(docs[text_col]).alias("text_sha256")).withColumn("key", key_of(F.col("text_sha256")))
 
 
-def _dealt(some: DataFrame) -> DataFrame:
-    """Every row of doc_id and text_sha256 with what its group keeps."""
-    # written, so that either side of the join below has an exchange of its own and Spark can split a large group
-    groups = cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-
-
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty. Rows that share the smallest id of their group are all kept; a null id
     is larger than any other. An empty table gives no rows.
     """
-    rows = cut(hashed(docs, id_col, text_col))
-    flagged = cut(rows.withColumn("maybe", possibly_repeated(rows)(F.col("key"))))
+    tables = Tables(docs.sparkSession)
+    rows = tables.cut(hashed(docs, id_col, text_col))
+    flagged = tables.cut(rows.withColumn("maybe", possibly_repeated(rows)(F.col("key"))))
+    tables.drop(rows)
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return alone.unionByName(_dealt(flagged.where("maybe").select("doc_id", "text_sha256")))
+    some = flagged.where("maybe").select("doc_id", "text_sha256")
+    # written, so that either side of the join below has an exchange of its own and Spark can split a large group
+    groups = tables.cut(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    met = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return alone.unionByName(met)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that copies() keeps: texts that are surely alone pass straight through, only the others are shuffled."""
-    rows = cut(hashed(docs, id_col, text_col))
+    """Of rows of docs whose texts are equal up to blanks, the one with the smallest id, with all its columns.
+
+    Texts that are surely alone pass straight through, only the others are shuffled. A null text counts as
+    empty, a null id is larger than any other; of several rows with one text and its smallest id, one stays
+    (any). An id may stay for one of its texts and go for another. An empty table gives no rows.
+    """
+    tables = Tables(docs.sparkSession)
+    rows = tables.cut(hashed(docs, id_col, text_col))
     maybe = possibly_repeated(rows)
-    kept = _dealt(rows.where(maybe(F.col("key"))).select("doc_id", "text_sha256")).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    marked = docs.withColumn("_maybe", maybe(key_of(digest(docs[text_col]))))
-    some = marked.where("_maybe")
-    some = some.join(kept, some[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
-    return marked.where("not _maybe").unionByName(some).drop("_maybe")
+    by_id = rows.where(maybe(F.col("key"))).groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = by_id.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.coalesce(F.min_by("n", "doc_id"), F.max("n")).alias("n"))
+    kept = tables.cut(kept)
+    tables.drop(rows)
+    sha, its_sha, its_id = (free_name(docs, c) for c in ("sha", "kept_sha", "kept_id"))
+    marked = docs.withColumn(sha, digest(docs[text_col]))
+    possible = maybe(key_of(F.col(sha)))
+
+    def those(which: DataFrame) -> DataFrame:
+        named = which.select(F.col("text_sha256").alias(its_sha), F.col("keep_id").alias(its_id))
+        return marked.where(possible).join(named, (F.col(sha) == F.col(its_sha)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(its_id)), "left_semi")
+
+    out = marked.where(~possible).unionByName(those(kept.where("n = 1")))
+    if kept.where("n > 1").head(1):
+        out = out.unionByName(those(kept.where("n > 1")).dropDuplicates([sha]))
+    return out.drop(sha)
 
 
 COPIES_SQL = r"""

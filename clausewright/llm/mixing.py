@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import Tables, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: 3 levels of 4,096 buckets: 36 bits of the id's md5
@@ -41,7 +41,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     return dealt.select("source", "source_size", F.when(F.col("full"), F.col("top")).otherwise(F.col("weight") * common).alias("target"))
 
 
-def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, wanted: DataFrame, tables: Tables) -> DataFrame:
     """sized: source, size, h. wanted: source, source_size, target. Adds base (whole copies of every document) and edge: one copy more where h < edge."""
     same = F.expr("l.source <=> r.source")
     found = wanted.withColumn("base", F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0).cast("long"))
@@ -63,7 +63,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
             F.coalesce(F.col("e.bucket"), end).alias("prefix"),
             (F.coalesce(F.col("e.bucket"), end) + F.when(nearer, 1).otherwise(0)).alias("edge"),
         )
-        found = cut(found)
+        found = tables.cut(found)
     return found.select("source", "source_size", "target", "base", "edge")
 
 
@@ -80,7 +80,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _edges(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
-    sized = cut(
+    tables = Tables(docs.sparkSession)
+    sized = tables.cut(
         docs.select(
             docs[id_col].cast("long").alias("doc_id"),
             docs[source_col].cast("string").alias("source"),
@@ -88,8 +89,8 @@ def _edges(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
             hash36(docs[id_col]).alias("h"),
         )
     )
-    wanted = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    return sized, thresholds(sized, wanted).select("source", "source_size", "target", "base", "edge")
+    wanted = tables.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    return sized, thresholds(sized, wanted, tables).select("source", "source_size", "target", "base", "edge")
 
 
 def _copies(h: Column) -> Column:
@@ -97,11 +98,17 @@ def _copies(h: Column) -> Column:
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix itself: the rows of docs, all columns, each as many times as mix() takes it."""
+    """The mix itself: the rows of docs, all columns, each as many times (0, 1 or 2) as mix() takes it.
+
+    Rows of size 0 (null texts, texts without words) cost no budget and go by their id's hash as others do;
+    rows that share an id in a source are taken together; null is a source of its own, the last; an empty
+    table gives no rows.
+    """
     _, edges = _edges(docs, id_col, text_col, source_col, weights, share, most)
     joined = docs.alias("d").join(edges.alias("e"), F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("e.source")))
-    times = F.explode(F.array_repeat(F.lit(True), _copies(hash36(F.col(f"d.{id_col}"))).cast("int"))).alias("_time")
-    return joined.select("d.*", times).drop("_time")
+    time = free_name(docs, "time")
+    times = F.explode(F.array_repeat(F.lit(True), _copies(hash36(F.col(f"d.{id_col}"))).cast("int"))).alias(time)
+    return joined.select("d.*", times).drop(time)
 
 
 MIX_SQL = r"""

@@ -5,7 +5,7 @@ bits. Bands of compressed registers propose links, an estimate corrected for cha
 them into groups, and links are confirmed on the full shingle sets.
 
 No pairs of a group are listed. Texts with equal shingle sets are one class from the start. A group of at
-most TILE classes is compared by one task, which counts all common shingles at once. In a larger one each
+most TILE classes (of WEIGHT shingles at most) is compared by one task, which counts all common shingles at once. In a larger one each
 class is first compared with the member of its buckets that it shares most bands with; only the parts that
 these links leave apart are then compared, in tiles of bounded size.
 """
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, partitions, texts
+from .store import Tables, free_name, partitions, texts
 from .words import BLANK_SEPARATED, U, column, find, grams, mix, pieces, starts
 
-#: Registers in bands: a pair at 0.85 shares no band with probability (1 - 0.85 ** 5) ** 26, or 3e-7.
+#: Registers in bands: a pair at 0.85 shares no band with probability (1 - 0.85 ** 5) ** 26, or 3e-7; one at 0.80 with 3e-5.
 BAND, BANDS = 5, 26
 REGISTERS = BAND * BANDS
 MANTISSA = 10
@@ -31,8 +31,9 @@ MANTISSA = 10
 #: SETTLED or above is itself above the threshold less SLACK, while the estimate of a link is off by less than NOISE.
 SLACK, NOISE = 0.35, 0.15
 SETTLED = 1 - SLACK + NOISE
-#: Members in one block of a group, columns of shingles that are counted together, and members in one block of a bucket.
-TILE, COLUMNS, BLOCK = 512, 4096, 1024
+#: Members in one block of a group, and their shingles, at most (but for a single text that has more); columns of shingles
+#: that are counted together, and members in one block of a bucket.
+TILE, WEIGHT, COLUMNS, BLOCK = 512, 1 << 21, 4096, 1024
 #: Tasks that share the links of one node.
 SALTS = 8
 
@@ -259,17 +260,17 @@ def _tiled(width: int, percent: int, keys: list[str], settle: bool):
     return _by_tile(keys, done)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """links: a, b (long). node, part: the least node that can be reached, for every node of a link.
 
     A round points all larger neighbours of a node at the least one around it, then all smaller ones and the
-    node itself; it is written to the shared folder. Rounds go on until nothing changes.
+    node itself; it is written to the shared folder in place of the round before. Rounds go on until nothing changes.
     """
 
     def state(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    links = tables.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -278,7 +279,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        links = cut(large.join(low, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct())
+        links, last = tables.cut(large.join(low, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct()), links
+        tables.drop(last)
         after = state(links)
         if after == before:
             break
@@ -286,16 +288,16 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
 
 
-def _left_over(shared: DataFrame, stars: DataFrame, classes: DataFrame, least: float, n_tasks: int) -> DataFrame:
+def _left_over(shared: DataFrame, stars: DataFrame, classes: DataFrame, least: float, n_tasks: int, tables: Tables) -> DataFrame:
     """shared: band, node, hub; stars: a, b, settled. a, b: pairs that join what the hubs leave apart in a bucket.
 
     Members that their hub doesn't settle meet each other wherever they are in two parts or more, in tiles of two blocks.
     """
-    parts = components(stars.select("a", "b"))
+    parts = components(stars.select("a", "b"), tables)
     settled = stars.where("settled").select(F.col("a").alias("hub"), F.col("b").alias("node"))
     rest = shared.where("node <> hub").join(settled, ["hub", "node"], "left_anti").select("band", "node")
-    rest = cut(rest.join(parts, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
-    sizes = cut(rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
+    rest = tables.cut(rest.join(parts, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
+    sizes = tables.cut(rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("n")))
     dealt = rest.join(sizes, "band").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     # a tile of two blocks compares either with itself, too
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("k <> o or n = 1")
@@ -309,34 +311,40 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, value: str, name: str)
     return pairs.join(other, side)
 
 
-def _large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, width: int, percent: int, n_tasks: int) -> DataFrame:
-    """groups: grp, node. node, part for each: every node is compared with the one it shares most bands with, then parts with parts."""
+def _blocks_of(n: str, weight: str):
+    """How many blocks so many members with so many shingles are dealt into."""
+    return F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(weight) / WEIGHT)).cast("int")
+
+
+def _large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, width: int, percent: int, n_tasks: int, tables: Tables) -> DataFrame:
+    """groups: grp, node, weight. node, part for each: every node is compared with the one it shares most bands with, then parts with parts."""
     own = alike.join(groups.select(F.col("node").alias("b")), "b", "left_semi")
     nearest = own.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
     pairs = _with(_with(nearest, "a", sources, "text", "ta"), "b", sources, "text", "tb").select("a", "b", "ta", "tb")
-    links = cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
-    members = cut(groups.join(components(links), "node", "left").select("grp", "node", F.coalesce("part", "node").alias("part")))
-    sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).where("n > most.n")
+    links = tables.cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
+    members = tables.cut(groups.join(components(links, tables), "node", "left").select("grp", "node", "weight", F.coalesce("part", "node").alias("part")))
+    sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "part")).alias("most")).where("n > most.n")
     # members of a group's largest part needn't meet each other; all others meet every one
-    n_rest, n_most = (F.ceil(c / TILE).cast("int") for c in (F.col("n") - F.col("most.n"), F.col("most.n")))
-    dealt = members.join(sizes, "grp").select("grp", "node", "part", (F.col("part") == F.col("most.part")).alias("in_most"), n_rest.alias("n_rest"), n_most.alias("n_most"))
+    sizes = sizes.selectExpr("grp", "most.part as most", "n - most.n as n", "w - most.w as w", "most.n as most_n", "most.w as most_w")
+    sizes = sizes.select("grp", "most", _blocks_of("n", "w").alias("n_rest"), _blocks_of("most_n", "most_w").alias("n_most"))
+    dealt = members.join(sizes, "grp").withColumn("in_most", F.col("part") == F.col("most"))
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("in_most"), F.col("n_most")).otherwise(F.col("n_rest"))).cast("int"))
     meets = F.when(F.col("in_most"), F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_most") - 1))
     dealt = dealt.withColumn("o", F.explode(meets))
     block = F.when(F.col("in_most"), F.col("n_rest") + F.col("k")).otherwise(F.col("k"))  # blocks of the largest part are numbered after the others
     dealt = dealt.select("grp", "node", "part", F.least(block, "o").alias("i"), F.greatest(block, "o").alias("j"), F.when(block == F.col("o"), 0).when(block < F.col("o"), 1).otherwise(2).alias("side"))
     held = _with(dealt, "node", sources, "text", "text").repartition(n_tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    more = cut(held.mapInArrow(_tiled(width, percent, ["grp", "i", "j"], False), "a long, b long"))
+    more = tables.cut(held.mapInArrow(_tiled(width, percent, ["grp", "i", "j"], False), "a long, b long"))
     if not more.head(1):
         return members.select("node", "part")
     # what the tiles join, between the parts there were
     named = more.join(members.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(members.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
-    last = components(named.select(F.col("pa").alias("a"), F.col("pb").alias("b"))).select(F.col("node").alias("part"), F.col("part").alias("last"))
+    last = components(named.select(F.col("pa").alias("a"), F.col("pb").alias("b")), tables).select(F.col("node").alias("part"), F.col("part").alias("last"))
     return members.join(last, "part", "left").select("node", F.coalesce("last", "part").alias("part"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Links join texts whose sets of `width`-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) have
@@ -344,38 +352,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are null or have no words link with nothing. Rows that share an id are one document with several texts;
     rows without an id stay alone, with a null component_id, and are kept. An empty table gives no rows.
     """
-    threshold = percent / 100
+    least, n_tasks, tables = percent / 100 - SLACK, partitions(docs.sparkSession), Tables(docs.sparkSession)
     plain = texts(docs, id_col, text_col)
-    rows = cut(plain.mapInArrow(_signed(width), "doc_id long, n_shingles long, d1 long, d2 long, registers binary"))
+    rows = tables.cut(plain.mapInArrow(_signed(width), "doc_id long, n_shingles long, d1 long, d2 long, registers binary"))
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")))
-    bands = cut(classes.select("node", "registers").mapInArrow(_banded, "band long, node long").distinct())
+    classes = tables.cut(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.max("n_shingles").alias("weight")))
+    bands = tables.cut(classes.select("node", "registers").mapInArrow(_banded, "band long, node long").distinct())
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(bands.join(hubs, "band"))
+    shared = tables.cut(bands.join(hubs, "band"))
+    tables.drop(bands)
     # every bucket's members and its first, with the number of bands they share, then members whose first leaves them apart;
     # groups are what the alike of them join
     stars = shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(threshold - SLACK), "a long, b long, bands long, settled boolean"))
-    more = _left_over(shared, stars, classes, threshold - SLACK, partitions(docs.sparkSession))
-    alike = cut(stars.drop("settled").unionByName(more.withColumn("bands", F.lit(1).cast("long"))))
-    groups = cut(components(alike.select("a", "b")).withColumnRenamed("part", "grp"))
+    stars = tables.cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(least), "a long, b long, bands long, settled boolean"))
+    more = _left_over(shared, stars, classes, least, n_tasks, tables)
+    alike = tables.cut(stars.drop("settled").unionByName(more.withColumn("bands", F.lit(1).cast("long"))))
+    tables.drop(shared, stars)
+    weights = classes.groupBy("node").agg(F.sum("weight").alias("weight"))
+    groups = tables.cut(components(alike.select("a", "b"), tables).withColumnRenamed("part", "grp").join(weights, "node"))
     # the texts that later steps compare, once
-    sources = cut(plain.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
-    sizes = cut(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
-    n_tasks = partitions(docs.sparkSession)
-    small = groups.join(sizes.where(F.col("n") <= TILE), "grp").select("grp", "node", F.col("node").alias("part"), F.lit(0).alias("side"))
+    sources = tables.cut(plain.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    sizes = tables.cut(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
+    few = (F.col("n") <= TILE) & (F.col("w") <= WEIGHT)
+    small = groups.join(sizes.where(few), "grp").select("grp", "node", F.col("node").alias("part"), F.lit(0).alias("side"))
     small = _with(small, "node", sources, "text", "text").repartition(n_tasks, "grp").sortWithinPartitions("grp")
     parts = small.mapInArrow(_tiled(width, percent, ["grp"], True), "node long, part long").distinct()
-    large = sizes.where(F.col("n") > TILE)
+    large = sizes.where(~few)
     if large.head(1):
-        parts = parts.unionByName(_large_groups(groups.join(large.select("grp"), "grp"), alike, sources, width, percent, n_tasks))
-    member = real.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "node"), ["d1", "d2"])
-    member = member.join(parts, "node", "left").select("doc_id", "n_shingles", F.coalesce("part", "node").alias("component_id"))
+        parts = parts.unionByName(_large_groups(groups.join(large.select("grp"), "grp"), alike, sources, width, percent, n_tasks, tables))
+    parts = tables.cut(parts)
+    named = tables.cut(classes.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("part", "node").alias("component_id")))
+    tables.drop(*[t for t, _ in tables.written if t is not rows and t is not named])
+    member = real.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return member.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """The rows of docs, all columns, that near_groups() keeps: one document of each group."""
-    gone = near_groups(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(cut(gone), docs[id_col].cast("long") == F.col("_gone_id"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_groups() keeps: one document of each group.
+
+    Rows without an id or without words all stay; rows that share an id are one document, so they stay or go
+    together. An empty table gives no rows.
+    """
+    its_id = free_name(docs, "gone")
+    gone = near_groups(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias(its_id)).distinct()
+    return docs.join(Tables(docs.sparkSession).cut(gone), F.col(f"`{id_col}`").cast("long") == F.col(its_id), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, partitions, texts
+from .store import Tables, partitions, texts
 from .words import column
 
 #: Groups of the large lengths, and what part of the capacity a large one exceeds.
@@ -317,11 +317,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     an empty table gives no rows. Sequences are numbered from 0 and have no gaps.
     """
     spark = docs.sparkSession
-    pieces = cut(texts(docs, id_col, text_col).mapInArrow(_cut_up(tokenizer, capacity, end, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    tables = Tables(spark)
+    pieces = tables.cut(texts(docs, id_col, text_col).mapInArrow(_cut_up(tokenizer, capacity, end, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     # the rank of a piece among those of its length: places before its bucket, and within it
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(8 * partitions(spark))))
     counts = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    counts = tables.cut(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}  # capacity rows at most
     table = places(plan(lengths, capacity))
     own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32"))

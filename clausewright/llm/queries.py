@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
+from .store import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,7 +34,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_groups(_table(spark, sf_dir))
+    return near.near_groups(_table(spark, sf_dir), percent=85)
 
 
 @query

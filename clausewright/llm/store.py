@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,37 +9,73 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (as in tests on one machine) a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which all machines share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="clausewright-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cut"
+
+
+class Tables:
+    """Tables of one run of an operator, in a folder of its own below the shared one.
+
+    Later steps start from these files, so they survive a lost executor. What no later step reads is dropped;
+    tables that the operator's result reads stay, as checkpoint files would.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Writes df once and reads it back."""
+        path = f"{self.folder}/{len(self.written)}"
+        df.write.parquet(path)
+        self.written.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.written[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for name in [path for df, path in self.written if any(df is t for t in tables)]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later steps start from files that survive a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once to the shared folder and reads it back."""
+    return Tables(df.sparkSession).cut(df)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts travel to Python in batches of a few MB: two settings of the session, for rows whose size nobody knows."""
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For applications, before they run an operator: texts then travel to Python in batches of a few MB, whatever their size.
+
+    Operators themselves change no setting of a session, and are right with any.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return spark
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, neither clash nor travel; null texts become empty."""
-    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(rows: DataFrame, each: int = 128 << 20) -> int:
+    """How many parts texts are dealt into: as many as Spark shuffles into, and more where a part would have over `each` bytes."""
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    return max(partitions(rows.sparkSession), -(-total // each))
+
+
 def remainder(modulus: int, column: str = "doc_id"):
     """crc32 of the id written as text, modulo a number; ids that are null count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

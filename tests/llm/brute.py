@@ -44,7 +44,7 @@ def kept_words(rows, window=35):
     return out
 
 
-def components(rows, width=5, percent=85):
+def components(rows, width=5, percent=80):
     """doc_id, n_shingles, component_id, kept; ids are unique and not null."""
     sets = {}
     for i, t in rows:

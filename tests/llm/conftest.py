@@ -9,7 +9,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from samples import ODD  # noqa: E402
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row long, block int, key long, node long, part int, score double, h long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row long, block int, key long, node long, part int, score double, h long, " \
+    "gone int, sha string, time int, maybe boolean, _gone_id long, _time int, _maybe boolean, kept_id long, kept_sha string, text_sha256 string, e int, d int"
+REST = (1, 2, 3, 4, 5, 6, 0.5, 7, 8, "h", 9, True, 10, 11, False, 12, "k", "t", 13, 14)
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +27,7 @@ def pairs(documents):
 @pytest.fixture(scope="session")
 def odd(spark):
     """ODD with columns whose names the operators use inside."""
-    rows = [(i, t, "en", ["s", None, ""][k % 3], 1, 2, 3, 4, 5, 6, 0.5, 7) for k, (i, t) in enumerate(ODD)]
+    rows = [(i, t, "en", ["s", None, ""][k % 3], *REST) for k, (i, t) in enumerate(ODD)]
     return spark.createDataFrame(rows, COLUMNS).repartition(3)
 
 
@@ -37,7 +39,7 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def twice(odd, spark):
     """Every row twice, and two rows without an id."""
-    none = spark.createDataFrame([(None, "a b c d e f g h", "en", "s", 1, 2, 3, 4, 5, 6, 0.5, 7), (None, None, "en", None, 1, 2, 3, 4, 5, 6, 0.5, 7)], COLUMNS)
+    none = spark.createDataFrame([(None, "a b c d e f g h", "en", "s", *REST), (None, None, "en", None, *REST)], COLUMNS)
     return odd.unionByName(odd).unionByName(none)
 
 

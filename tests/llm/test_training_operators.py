@@ -93,9 +93,10 @@ def family(n: int, seed: int = 0) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("tile", [8, 512])
-def test_near_groups_lose_no_link_of_a_large_group(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "weight"), [(8, 1 << 21), (512, 1 << 21), (512, 1000)])
+def test_near_groups_lose_no_link_of_a_large_group(spark, monkeypatch, tile, weight):
     monkeypatch.setattr(near, "TILE", tile)
+    monkeypatch.setattr(near, "WEIGHT", weight)
     rows = family(120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     wanted = brute.components(rows)
@@ -103,6 +104,48 @@ def test_near_groups_lose_no_link_of_a_large_group(spark, monkeypatch, tile):
     assert got(near.near_groups(df), "doc_id", "n_shingles", "component_id", "kept") == same(wanted)
 
 
+def short_families(seed: int, n: int) -> list[tuple[int, str]]:
+    """Texts of 1 to 200 words in families of several subfamilies, so that a bucket's members are alike to all degrees."""
+    rng = np.random.default_rng(seed)
+    out: list[str] = []
+    while len(out) < n:
+        length, i = int(rng.choice([1, 5, 6, 7, 9, 12, 14, 20, 30, 60, 120, 200])), len(out)
+        subs = []
+        for s in range(int(rng.integers(3, 7))):
+            subs.append([f"f{i}_{k}" for k in range(length)])
+            for at in rng.integers(0, length, int(rng.integers(0, max(2, length // 12)))):
+                subs[-1][at] = f"s{i}_{s}_{at}"
+        for m in range(int(rng.integers(5, 25))):
+            own = list(subs[int(rng.integers(len(subs)))])
+            for at in rng.integers(0, length, int(rng.integers(0, max(2, length // 25 + 1)))):
+                own[at] = f"m{i}_{m}_{at}"
+            out.append(" ".join(own[: int(rng.integers(max(1, length - 3), length + 1))] if rng.random() < 0.3 else own))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+W14 = [f"w{k}" for k in range(14)]
+#: The first of a bucket is loosely related to two texts that are linked to each other.
+LOOSE_HUB = [(1, " ".join([*W14[:3], "x", *W14[4:]])), (2, " ".join([*W14[:9], "y", "z", *W14[11:]])), (3, " ".join(W14[:13])), (4, " ".join(W14))]
+
+
+@pytest.mark.parametrize(("percent", "rows"), [(85, LOOSE_HUB), (80, short_families(1, 800)), (85, short_families(2, 800))], ids=["hub", "families 1", "families 2"])
+def test_near_groups_of_short_texts(spark, percent, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(near.near_groups(df, percent=percent), "doc_id", "n_shingles", "component_id", "kept") == same(brute.components(rows, percent=percent))
+
+
+def test_bands_propose_nearly_all_links():
+    rows = short_families(3, 1500)
+    sets = [near.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5)[0] for _, t in rows]
+    bands = near.signatures(sets).reshape(-1, near.BANDS, near.BAND)
+    held = near.common(sets)
+    size = np.array([len(x) for x in sets])
+    links = [(i, j) for i, j in np.argwhere(np.triu(100 * held >= 80 * (size[:, None] + size - held), 1) & (held > 0))]
+    met = [((bands[i] == bands[j]).all(-1) & (bands[i] > 0).any(-1)).any() for i, j in links]
+    assert len(links) > 1000 and np.mean(met) > 0.9999
+
+
 def holders(n: int) -> list[tuple[int, str]]:
     """n long texts that hold one passage, and after them two short ones that are little more than the passage."""
     passage = [f"p{k}" for k in range(100)]
@@ -154,7 +197,27 @@ def test_exact(table):
     wanted = [(i, least[norm(t)], len(groups[norm(t)]), i == least[norm(t)]) for i, t in rows]
     assert got(exact.copies(table), "doc_id", "keep_id", "group_size", "kept") == same(wanted)
     kept = exact.keep_first(table)
-    assert kept.columns == table.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _, _, k in wanted if k)
+    own = {(norm(t), i) for i, t in rows if i == least[norm(t)]}
+    assert kept.columns == table.columns
+    assert same((norm(r.text), r.doc_id) for r in kept.collect()) == same(own)
+
+
+def test_first_copies_are_told_by_id_and_text(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "b"), (4, "c"), (None, "c"), (None, "d"), (None, "d"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(exact.keep_first(df), "doc_id", "text") == same([(1, "a"), (2, "b"), (4, "c"), (None, "d"), (5, None)])
+
+
+def test_stages_keep_all_columns_of_all_tables(spark, table, labels):
+    data = table if "source" in table.columns else table.selectExpr("*", "concat('s', doc_id % 7) as source")
+    n = data.count()
+    for stage in (lambda x: crf.keep_good(x, labels), exact.keep_first, near.keep_one, mixing.take):
+        out = stage(data)
+        assert out.columns == data.columns
+        assert out.count() <= 2 * n and out.exceptAll(data.unionAll(data)).count() == 0
+    one = near.keep_one(data)
+    near_ids = {i for i, _, _, k in brute.components([(i, t) for i, t in {(i, t) for i, t in plain(data)} if i is not None]) if k}
+    assert {r.doc_id for r in one.collect()} - {None} == near_ids and one.where("doc_id is null").count() == data.where("doc_id is null").count()
 
 
 def test_the_filter_only_passes_what_is_alone(spark, monkeypatch):

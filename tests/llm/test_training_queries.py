@@ -29,6 +29,12 @@ def test_query_has_its_columns(spark, data, name):
     assert df.count() >= 200
 
 
+def test_near_links_start_at_the_contracts_share(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    wanted = brute.components(sorted((r.doc_id, r.text) for r in documents.collect()), percent=85)
+    assert sorted(map(tuple, queries.QUERIES["op3_near_dedup"](spark, data).collect())) == wanted
+
+
 def test_every_number_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
