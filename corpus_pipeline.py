@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausewright.llm import crf, exact, mixing, near, packing
-from clausewright.llm.store import cut
+from clausewright.llm.store import cut, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near links reach, the one with the smallest doc_id; texts without words all stay."""
-    return near.keep_one(docs)
+    """Of documents that near links (five words, a similarity of 0.8) reach, the one with the smallest doc_id; texts without words all stay."""
+    return near.keep_one(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
