@@ -1,10 +1,11 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes the maximum-likelihood estimates of a token after the token before it, of the token by
-itself, and of any token at all. The weights depend on how often the context was seen (buckets by powers
-of two) and are learned by expectation-maximisation on counts of held-out tokens.
+The model mixes the maximum-likelihood estimates of a token after the two tokens before it, after the one
+before it, of the token by itself, and of any token at all. The weights depend on how often the context was
+seen (buckets by powers of two) and are learned by expectation-maximisation on counts of held-out tokens:
+first those of the shorter contexts, then how much of the longest one goes with what these say together.
 
-Documents are dealt into blocks. A block asks for the counts of the distinct words and word pairs in it,
+Documents are dealt into blocks. A block asks for the counts of the distinct words, pairs and triples in it,
 and its question carries how often its own training documents have them; the parts into which hashes are
 dealt add up what all blocks say and answer each. A frequent word is thus sent once a block, and no
 vocabulary is ever gathered in one place.
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, partitions, remainder, texts
+from .store import Tables, parts_for, remainder, texts
 from .words import BLANK_SEPARATED, U, column, find, mix, pair, pieces
 
 #: Stand for the end of a text, and for what comes before its first token.
@@ -31,10 +32,12 @@ BUCKETS = 16
 HELD_OUT = 8
 #: Held-out tokens are summed by bucket and by the two estimates, to this many steps a factor of ten.
 STEPS = 8
+#: Single tokens, pairs and triples.
+ORDERS = 3
 
 
-def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens of all texts (words, then one end), of their pairs with the token before, and where each text begins."""
+def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of all texts (words, then one end), of each with the one and with the two before it, and where each text begins."""
     words = find(data, bounds, BLANK_SEPARATED, fold=True)
     n = len(bounds) - 1
     first = words.first[:-1] + np.arange(n)
@@ -45,30 +48,24 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out[inside], out[last] = words.hash, END
     before = np.empty_like(out)
     before[1:], before[first] = out[:-1], BEGIN
-    return out, pair(before, out), np.append(first, len(out))
+    two = pair(before, out)
+    before[1:], before[first] = two[:-1], BEGIN
+    return out, two, pair(before, out + U(1)), np.append(first, len(out))
 
 
-def _block(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
-    """All tokens of one block's documents."""
+def _block(batches: Iterator[pa.RecordBatch]) -> dict | None:
+    """All tokens of one block's documents: their hashes by order (single, pair, triple), and of each document its number of tokens, kind and id."""
     got: list[tuple] = []
     for batch in batches:
         data, bounds = column(batch)
         kind, ids = batch.column("kind").to_numpy(), batch.column("doc_id")
         for a, z, own, cuts in pieces(data, bounds):
-            one, two, first = tokens(own, cuts)
-            n = np.diff(first)
-            got.append((one, two, n, kind[a:z], ids.slice(a, z - a)))
+            *orders, first = tokens(own, cuts)
+            got.append((*orders, np.diff(first), kind[a:z], ids.slice(a, z - a)))
     if not got:
         return None
-    one, two, n, kind = (np.concatenate([g[k] for g in got]) for k in range(4))
-    return {"one": one, "two": two, "n": n, "kind": kind, "ids": pa.chunked_array([g[4] for g in got]).combine_chunks()}
-
-
-def _unique(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's distinct hashes by order (single, pair) with each token's place among them."""
-    ones, at_one = np.unique(block["one"], return_inverse=True)
-    twos, at_two = np.unique(block["two"], return_inverse=True)
-    return ones, at_one, twos, at_two, np.repeat(block["kind"], block["n"])
+    *orders, n, kind = (np.concatenate([g[k] for g in got]) for k in range(ORDERS + 2))
+    return {"orders": orders, "n": n, "kind": kind, "ids": pa.chunked_array([g[-1] for g in got]).combine_chunks()}
 
 
 #: kind of a document: 0 isn't learned from, 1 is, 2 is and is held out when the weights are learned
@@ -76,13 +73,9 @@ ASK = "block int, part int, order int, hashes binary, learned binary"
 ANSWER = "block int, part int, order int, learned binary, held binary, total long, held_total long, distinct long"
 
 
-def _sums(at: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
-    return np.bincount(at, weight, n).astype(np.int32)
-
-
-#: Bytes by which hashes of single tokens and of pairs travel; the part a hash belongs to adds to these. A pair that
-#: wasn't learned is thus taken for another about once in a million times, at any size, as parts grow with the data.
-WIDTH = (8, 5)
+#: Bytes by which hashes of single tokens, of pairs and of triples travel; the part a hash belongs to adds to these. A pair
+#: that wasn't learned is thus taken for another about once in a million times, at any size, as parts grow with the data.
+WIDTH = (8, 5, 5)
 
 
 def _routes(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +99,13 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those from 255 on follow as 32-bit numbers."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int32).tobytes()
+    """Counts as bytes; those from 255 on follow as 64-bit numbers."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
 
 
 def _large(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int32)
-    out[out == 255] = np.frombuffer(raw, np.int32, (len(raw) - n) // 4, n)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[n:], "<i8")
     return out
 
 
@@ -137,9 +130,10 @@ def _asks(parts: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, own in _grouped(batches, "block"):
             block = _block(own)
-            ones, at_one, twos, at_two, kind = _unique(block)
-            for order, (hashes, at) in enumerate(((ones, at_one), (twos, at_two))):
-                learned = _sums(at, len(hashes), kind > 0)
+            learns = np.repeat(block["kind"], block["n"]) > 0
+            for order in range(ORDERS):
+                hashes, at = np.unique(block["orders"][order], return_inverse=True)
+                learned = np.bincount(at[learns], minlength=len(hashes))
                 by_part, cuts = _routes(hashes, parts)
                 own = [(k, by_part[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
                 same = [pa.array(np.full(len(own), x, np.int32)) for x in (number, order)]
@@ -149,6 +143,11 @@ def _asks(parts: int):
     return apply
 
 
+def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place; exact below 2 ** 53, more than any corpus has tokens."""
+    return np.bincount(at, counts, n).astype(np.int64)
+
+
 def _answers(n_blocks: int):
     """For each part and order: the sums over all blocks, in the order each block asked; totals and distinct counts with the first answer.
 
@@ -165,8 +164,7 @@ def _answers(n_blocks: int):
             del every
             said = [_large(x, n) for x, n in zip(t.column("learned").to_pylist(), sizes, strict=True)]
             is_held = t.column("block").to_numpy() >= n_blocks
-            learned = np.bincount(at, np.concatenate(said), len(hashes)).astype(np.int64)
-            held = np.bincount(at, np.concatenate([x * h for x, h in zip(said, is_held, strict=True)]), len(hashes)).astype(np.int64)
+            learned, held = _added(at, np.concatenate(said), len(hashes)), _added(at, np.concatenate([x * h for x, h in zip(said, is_held, strict=True)]), len(hashes))
             cuts = np.cumsum([0, *sizes])
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             totals = (int(learned.sum()), int(held.sum()), int((learned > 0).sum()))
@@ -183,35 +181,43 @@ def _answers(n_blocks: int):
     return apply
 
 
-def _counts(block: dict[str, np.ndarray], answers: list[tuple], parts: int, sides: tuple[int, ...]) -> list[np.ndarray]:
-    """Per token: how often it and then its pair were learned (side 0), or learned from held-out documents (side 1)."""
-    ones, at_one, twos, at_two, _ = _unique(block)
+def _counts(block: dict, answers: list[tuple], parts: int, side: int) -> list[np.ndarray]:
+    """By order, per token: how often its run was learned (side 0), or learned from held-out documents (side 1)."""
     found = {(part, order): x for part, order, *x in answers}
     out = []
-    for order, (hashes, at) in enumerate(((ones, at_one), (twos, at_two))):
+    for order in range(ORDERS):
+        hashes, at = np.unique(block["orders"][order], return_inverse=True)
         by_part, cuts = _routes(hashes, parts)
-        for side in sides:
-            n = np.zeros(len(hashes), np.int32)
-            for k in range(parts):
-                if (k, order) in found:
-                    n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k, order][side], cuts[k + 1] - cuts[k])
-            out.append(n[at])
+        n = np.zeros(len(hashes), np.int64)
+        for k in range(parts):
+            if (k, order) in found:
+                n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k, order][side], cuts[k + 1] - cuts[k])
+        out.append(n[at])
     return out
 
 
-def _context(one: np.ndarray, n: np.ndarray, texts_: int) -> np.ndarray:
-    """How often the token before was learned; before the first token, how many texts were."""
-    before = np.empty_like(one)
-    before[1:], before[np.cumsum(n) - n] = one[:-1], texts_
-    return before
+def _contexts(one: np.ndarray, two: np.ndarray, n: np.ndarray, texts_: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often the token before, and the pair before, was learned; before the first token, how many texts were."""
+    first, out = np.cumsum(n) - n, []
+    for counts in (one, two):
+        before = np.empty_like(counts)
+        before[1:], before[first] = counts[:-1], texts_
+        out.append(before)
+    return out[0], out[1]
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _estimates(one: np.ndarray, two: np.ndarray, context: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    return one / max(total, 1), two / np.maximum(context, 1)
+def _shares(counts: list[np.ndarray], contexts: tuple[np.ndarray, np.ndarray], total: int) -> list[np.ndarray]:
+    """The maximum-likelihood estimates by order."""
+    return [counts[0] / max(total, 1), *(c / np.maximum(context, 1) for c, context in zip(counts[1:], contexts, strict=True))]
+
+
+def value_of(step: np.ndarray) -> np.ndarray:
+    """The middle of a step; -1 stands for none."""
+    return np.where(step >= 0, 10.0 ** (-(step + 0.5) / STEPS), 0.0)
 
 
 def learned_weights(sums: list[tuple[int, int, int, float]], distinct: int, rounds: int = 60) -> np.ndarray:
@@ -220,8 +226,7 @@ def learned_weights(sums: list[tuple[int, int, int, float]], distinct: int, roun
     if not sums:
         return weights
     bucket, single, double, n = (np.array(x) for x in zip(*sums, strict=True))
-    value = lambda step: np.where(step >= 0, 10.0 ** (-(step + 0.5) / STEPS), 0.0)
-    p = np.stack([value(double), value(single), np.full(len(n), 1 / (distinct + 1))], 1)
+    p = np.stack([value_of(double), value_of(single), np.full(len(n), 1 / (distinct + 1))], 1)
     for _ in range(rounds):
         part = weights[bucket] * p
         part *= (n / part.sum(1))[:, None]
@@ -233,40 +238,71 @@ def learned_weights(sums: list[tuple[int, int, int, float]], distinct: int, roun
     return weights
 
 
-def _joined(batches: Iterator[pa.RecordBatch], parts: int, sides: tuple[int, ...]) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
-    """Blocks with the counts of their tokens: rows of one block come together, answers among its documents."""
+def learned_trust(sums: list[tuple[int, int, int, float]], rounds: int = 60) -> np.ndarray:
+    """sums: bucket of the pair before, step of what shorter contexts say, step of the triple's estimate (or -1), tokens. The triple's weight by bucket."""
+    trust = np.full(BUCKETS, 0.3)
+    if sums:
+        bucket, lower, triple, n = (np.array(x) for x in zip(*sums, strict=True))
+        high, low = value_of(triple), value_of(lower)
+        for _ in range(rounds):
+            own = trust[bucket] * high
+            part = n * own / (own + (1 - trust[bucket]) * low)
+            trust = (np.bincount(bucket, part, BUCKETS) + 0.3) / (np.bincount(bucket, n, BUCKETS) + 1)
+    trust[0] = 0  # a context never seen has no triples
+    return trust
+
+
+def _joined(batches: Iterator[pa.RecordBatch], parts: int, sides: tuple[int, ...]) -> Iterator[tuple[dict, list[list[np.ndarray]]]]:
+    """Blocks with the counts of their tokens by side: rows of one block come together, answers among its documents."""
     for _, rows in _grouped(batches, "block"):
         block = _block(b.filter(pc.is_null(b.column("part"))) for b in rows)
         if block is not None:
             answers = [x for b in rows for x in zip(*(b.filter(pc.is_valid(b.column("part"))).column(c).to_pylist() for c in ("part", "order", "learned", "held")), strict=True)]
             rows.clear()
-            yield block, _counts(block, answers, parts, sides)
+            yield block, [_counts(block, answers, parts, side) for side in sides]
+
+
+#: Buckets of the two contexts, steps of the three estimates, and how many tokens have these.
+STEPPED = "b1 long, b2 long, single long, double long, triple long, n long"
 
 
 def _summed(parts: int, total: int, docs: int):
-    """Of held-out documents' tokens: bucket, steps of the two estimates from what isn't held out, how many."""
+    """Of held-out documents' tokens: what the documents that aren't held out say of them."""
+
+    def step(p: np.ndarray) -> np.ndarray:
+        return np.where(p > 0, np.floor(-np.log10(np.where(p > 0, p, 1)) * STEPS), -1).astype(np.int64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (one, one_held, two, two_held) in _joined(batches, parts, (0, 1)):
-            single, double = one - one_held, two - two_held
-            context = _context(single, block["n"], docs)
+        for block, (every, held) in _joined(batches, parts, (0, 1)):
+            counts = [a - b for a, b in zip(every, held, strict=True)]
+            contexts = _contexts(counts[0], counts[1], block["n"], docs)
             own = np.repeat(block["kind"], block["n"]) == 2
-            p1, p2 = _estimates(single[own], double[own], context[own], total)
-            step = lambda p: np.where(p > 0, np.floor(-np.log10(np.where(p > 0, p, 1)) * STEPS), -1).astype(np.int64)
-            key = (bucket_of(context[own]) * 1000 + step(p1) + 1) * 1000 + step(p2) + 1
+            columns = [bucket_of(c) for c in contexts] + [step(p) + 1 for p in _shares(counts, contexts, total)]
+            key = np.zeros(own.sum(), np.int64)
+            for x in columns:
+                key = key * 256 + x[own]
             values, n = np.unique(key, return_counts=True)
-            yield pa.record_batch({"bucket": pa.array(values // 10**6), "single": pa.array(values // 1000 % 1000 - 1), "double": pa.array(values % 1000 - 1), "n": pa.array(n, pa.int64())})
+            split = [values >> (8 * k) & 255 for k in (4, 3, 2, 1, 0)]
+            yield pa.record_batch([*map(pa.array, split[:2]), *(pa.array(x - 1) for x in split[2:]), pa.array(n, pa.int64())], ["b1", "b2", "single", "double", "triple", "n"])
 
     return apply
 
 
-def _scored(parts: int, total: int, distinct: int, docs: int, weights: np.ndarray):
+def _mixed(weights: np.ndarray, distinct: int) -> Column:
+    """What the shorter contexts say of a row of STEPPED, as a step."""
+    weight = lambda k: F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), (F.col("b1") + 1).cast("int"))
+    value = lambda c: F.when(F.col(c) >= 0, F.pow(F.lit(10.0), -(F.col(c) + 0.5) / STEPS)).otherwise(0.0)
+    return F.floor(-F.log10(weight(0) * value("double") + weight(1) * value("single") + weight(2) / (distinct + 1)) * STEPS)
+
+
+def _scored(parts: int, total: int, distinct: int, docs: int, weights: np.ndarray, trust: np.ndarray):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (one, two) in _joined(batches, parts, (0,)):
-            first = np.cumsum(block["n"]) - block["n"]
-            context = _context(one, block["n"], docs)
-            p1, p2 = _estimates(one, two, context, total)
-            w = weights[bucket_of(context)]
+        for block, (counts,) in _joined(batches, parts, (0,)):
+            first, one = np.cumsum(block["n"]) - block["n"], counts[0]
+            contexts = _contexts(one, counts[1], block["n"], docs)
+            p1, p2, p3 = _shares(counts, contexts, total)
+            w, t = weights[bucket_of(contexts[0])], trust[bucket_of(contexts[1])]
+            lower = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (distinct + 1)
             by_text = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has its end
             yield pa.record_batch(
                 {
@@ -276,7 +312,7 @@ def _scored(parts: int, total: int, distinct: int, docs: int, weights: np.ndarra
                     "n_known": pa.array(by_text((one > 0).astype(np.int64))),
                     "train_tokens": pa.array(np.full(len(first), total, np.int64)),
                     "base_score": pa.array(by_text(np.log10((one + 1) / (total + distinct + 1)))),
-                    "score": pa.array(by_text(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (distinct + 1)))),
+                    "score": pa.array(by_text(np.log10(t * p3 + (1 - t) * lower))),
                 }
             )
 
@@ -286,27 +322,30 @@ def _scored(parts: int, total: int, distinct: int, docs: int, weights: np.ndarra
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, left_out: int = 2) -> DataFrame:
+def scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, left_out: int = 2, part_bytes: int = 64 << 20, mixture: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) modulo `modulus` isn't `left_out` (a null id counts as
     the empty text). A-Z are lower-cased; tokens are words `[^\\x20\\x09-\\x0D]+` and one end, so a null or
     empty text is its end alone. base_score adds one to every count; score is the interpolated model's. Both
     are base-10 logarithms of the text's probability. An empty table gives no rows; where nothing is learned
-    from, every token counts as new.
+    from, every token counts as new. part_bytes: text whose tokens one task may hold. mixture: weights learned
+    before (of learned_weights and learned_trust), instead of learning them here.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    tables = Tables(docs.sparkSession)
     kind = F.when(remainder(modulus) == left_out, 0).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HELD_OUT)) == 0, 2).otherwise(1).cast("int")
     own = texts(docs, id_col, text_col).withColumn("kind", kind)
+    parts = parts_for(own, part_bytes)
     # held-out documents have blocks of their own, so that learning the weights reads no others
     n_blocks = 2 * parts
     few, dealt = -(-n_blocks // HELD_OUT), F.xxhash64("doc_id", "text")
     block = F.when(F.col("kind") == 2, n_blocks + F.pmod(dealt, F.lit(few))).otherwise(F.pmod(dealt, F.lit(n_blocks))).cast("int")
     blocks = own.withColumn("block", block).repartition(parts, "block").sortWithinPartitions("block")
     asked = blocks.mapInArrow(_asks(parts), ASK)
-    keyed = asked.withColumn("key", F.col("part") * 2 + F.col("order")).repartition(parts, "key").sortWithinPartitions("key")
-    answers = cut(keyed.mapInArrow(_answers(n_blocks), ANSWER))
+    keyed = asked.withColumn("key", F.col("part") * ORDERS + F.col("order")).repartition(parts, "key").sortWithinPartitions("key")
+    answers = tables.cut(keyed.mapInArrow(_answers(n_blocks), ANSWER))
     known = {r.order: r for r in answers.groupBy("order").agg(F.sum("total").alias("total"), F.sum("held_total").alias("held"), F.sum("distinct").alias("distinct")).collect()}
     learned_docs = {r.kind: r["count"] for r in own.groupBy("kind").count().collect()}
     total, held, distinct = (known[0].total, known[0].held, known[0].distinct) if 0 in known else (0, 0, 0)
@@ -319,8 +358,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         )
         return asking.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block")
 
-    sums = with_answers(own.where("kind = 2"), said.where(F.col("block") >= n_blocks)).mapInArrow(_summed(parts, total - held, learned_docs.get(1, 0)), "bucket long, single long, double long, n long")
-    sums = sums.groupBy("bucket", "single", "double").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS times the squared number of steps
-    weights = learned_weights([tuple(r) for r in sums], distinct)
-    return with_answers(own, said.withColumn("held", F.lit(None).cast("binary"))).mapInArrow(_scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), weights), SCORES)
-
+    if mixture is None:
+        sums = with_answers(own.where("kind = 2"), said.where(F.col("block") >= n_blocks)).mapInArrow(_summed(parts, total - held, learned_docs.get(1, 0)), STEPPED)
+        sums = tables.cut(sums.groupBy("b1", "b2", "single", "double", "triple").agg(F.sum("n").alias("n")))
+        # what reaches the driver has at most BUCKETS times the squared number of steps rows
+        short = sums.groupBy("b1", "single", "double").agg(F.sum("n").alias("n")).collect()
+        weights = learned_weights([tuple(r) for r in short], distinct)
+        long = sums.groupBy("b2", _mixed(weights, distinct).alias("lower"), "triple").agg(F.sum("n").alias("n")).collect()
+        mixture = weights, learned_trust([tuple(r) for r in long])
+        tables.drop(sums)
+    scored = _scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), *mixture)
+    return with_answers(own, said.withColumn("held", F.lit(None).cast("binary"))).mapInArrow(scored, SCORES)

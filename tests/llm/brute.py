@@ -103,6 +103,29 @@ def base_scores(rows, modulus=7, left_out=2):
     return [(i, crc(i, modulus) == left_out, len(w), sum(seen[x] > 0 for x in w), total, sum(math.log10((seen[x] + 1) / (total + distinct + 1)) for x in w)) for i, w in docs]
 
 
+def interpolated(rows, mixture, bucket_of, modulus=7, left_out=2):
+    """doc_id and score under given weights: triples, then pairs, single tokens and any token."""
+    weights, trust = mixture
+    docs = [(i, [*WORD.findall(low(t)), None]) for i, t in rows]
+    taught = [w for i, w in docs if crc(i, modulus) != left_out]
+    begin = object()
+    runs = [Counter(tuple([begin, begin, *w][k + 2 - n : k + 3]) for w in taught for k in range(len(w))) for n in range(3)]
+    total, distinct = sum(runs[0].values()), len(runs[0])
+    out = []
+    for i, w in docs:
+        score, padded = 0.0, [begin, begin, *w]
+        for k in range(len(w)):
+            u, v, x = padded[k : k + 3]
+            before1 = runs[0][v,] if k else len(taught)
+            before2 = runs[1][u, v] if k else len(taught)
+            w2, w1, w0 = weights[bucket_of(before1)]
+            lower = w2 * runs[1][v, x] / max(before1, 1) + w1 * runs[0][x,] / max(total, 1) + w0 / (distinct + 1)
+            t = trust[bucket_of(before2)]
+            score += math.log10(t * runs[2][u, v, x] / max(before2, 1) + (1 - t) * lower)
+        out.append((i, score))
+    return out
+
+
 def gapless(places):
     """places: (offset, length) of one sequence."""
     places = sorted(places)

@@ -331,6 +331,41 @@ def test_language_model(table):
     assert all(r.score < 0 or r.score == pytest.approx(0) for v in every.values() for r in v)
 
 
+def test_language_model_scores_under_given_weights(table):
+    rng = np.random.default_rng(8)
+    weights, trust = rng.dirichlet((1, 1, 1), interpolation.BUCKETS), rng.random(interpolation.BUCKETS)
+    bucket = lambda n: int(interpolation.bucket_of(np.array([n]))[0])
+    wanted = defaultdict(list)
+    for i, score in brute.interpolated(plain(table), (weights, trust), bucket):
+        wanted[i].append(score)
+    scored = defaultdict(list)
+    for r in interpolation.scores(table, mixture=(weights, trust)).collect():
+        scored[r.doc_id].append(r.score)
+    assert {k: len(v) for k, v in wanted.items()} == {k: len(v) for k, v in scored.items()}
+    assert all(np.allclose(sorted(v), sorted(scored[k]), rtol=1e-9) for k, v in wanted.items())
+
+
+def test_counts_beyond_32_bits_stay_whole():
+    counts = np.array([0, 254, 255, 3_000_000_000, 1 << 52])
+    assert interpolation._large(interpolation._small(counts), 5).tolist() == counts.tolist()
+    assert interpolation._added(np.array([0, 1, 0]), np.array([3_000_000_000, 1, 1 << 50]), 2).tolist() == [3_000_000_000 + (1 << 50), 1]
+    one, two = interpolation._contexts(counts, counts + 1, np.array([2, 3]), 5_000_000_000)
+    assert one.tolist() == [5_000_000_000, 0, 5_000_000_000, 255, 3_000_000_000] and two[4] == 3_000_000_001
+    assert (interpolation.bucket_of(counts) >= 0).all() and (interpolation._shares([counts, counts, counts], (one, two), 1 << 53)[0] >= 0).all()
+
+
+def test_weights_reach_the_likeliest_mixture():
+    # three tokens in four follow the triple's estimate: its share of the likelihood is found again
+    rng = np.random.default_rng(2)
+    sums = [(3, 16, 1 if rng.random() < 0.75 else -1, 1.0) for _ in range(4000)]
+    trust = interpolation.learned_trust(sums)
+    lower, high = interpolation.value_of(np.array([16, 1]))
+    hits = sum(t >= 0 for _, _, t, _ in sums) / len(sums)
+    likelihood = lambda t: hits * np.log(t * high + (1 - t) * lower) + (1 - hits) * np.log((1 - t) * lower)
+    best = max(np.linspace(0.01, 0.99, 981), key=likelihood)
+    assert abs(trust[3] - best) < 0.01 and trust[0] == 0
+
+
 def test_language_model_is_a_distribution_and_better_than_its_base(documents):
     rows = interpolation.scores(documents).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").head()
     assert rows.s > rows.b
