@@ -1,9 +1,13 @@
 """Substring dedup by level-wise doubling.
 
 A window of `window` words is removed where its words start anywhere else too. Windows are found level
-by level: short seeds first, and only those that are repeated are extended to twice their length, up to
-the window. Seeds are chosen by content (in every window the one with the least hash), so equal windows
-have equal seeds and few positions are shuffled at the first level.
+by level: short seeds first, and only runs that are repeated at one length are extended to twice that length,
+to either side, until they are half a window; then the windows around what survives are asked for. Seeds are
+chosen by content (in every window the one with the least hash), so equal windows have equal seeds and few
+positions are shuffled at the first level. A level without survivors asks for nothing.
+
+Every window holds a chosen seed, and of a run that it holds one of the two extensions to half its length or
+less; so a repeated window is met at every level.
 
 A level asks one question of many hashes: which are there more than once? Each batch answers for what it
 holds twice itself and sends every other hash once, so a passage that a third of all documents share is
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, texts
+from .store import parts_for, texts
 from .words import U, column, find, grams, mix, pieces, starts
 
+#: Words of a seed, at most.
+SEED = 12
 #: part: the hashes' share of the work; hashes, rows, places: packed 64-bit, 64-bit and 32-bit numbers; sure: 1 where the
 #: sender has the hash twice, and nobody waits for an answer. Without hashes it is no question: rows and places of a
 #: block that are certain already.
@@ -170,24 +177,32 @@ def _with_places(docs: pa.Table, found: pa.Table):
 ASK_TABLE = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "rows", "places", "sure"))])
 
 
-def _twice(window: int, seed: int, parts: int):
-    """The two windows of twice a repeated seed's length that end with it or start with it: place * 2 and place * 2 + 1."""
+def lengths(window: int) -> list[int]:
+    """Lengths of the levels below the window: each is twice the one before or one less, the last half the window, rounded up."""
+    out = [-(-window // 2)]
+    while out[0] > SEED:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _doubled(length: int, longer: int, parts: int):
+    """The runs of `longer` words that start or end with a repeated run of `length` words."""
 
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         asking, out = Asking(parts), []
         for _, _, _, words, each in _with_places(docs, found):
-            double = grams(words.hash, 2 * seed)
+            runs = grams(words.hash, longer)
             for k, row, place in each:
-                for side, at in ((0, place - seed), (1, place)):
-                    ok = (at >= 0) & (at + 2 * seed <= words.counts[k])
-                    out += asking.add(double[words.first[k] + at[ok]], np.full(ok.sum(), row), place[ok] * 2 + side)
+                at = np.unique(np.concatenate((place, place + (length - longer))))
+                at = at[(at >= 0) & (at + longer <= words.counts[k])]
+                out += asking.add(runs[words.first[k] + at], np.full(len(at), row), at)
         return pa.Table.from_batches([*out, *asking.send()], ASK_TABLE)
 
     return apply
 
 
-def _windows(window: int, seed: int, parts: int):
-    """All windows around seeds whose extensions, as far as a window holds them, are repeated too."""
+def _windows(window: int, length: int, parts: int):
+    """All windows that hold a repeated run of `length` words."""
 
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         asking, out = Asking(parts), []
@@ -197,13 +212,9 @@ def _windows(window: int, seed: int, parts: int):
                 n = words.counts[k] - window + 1
                 if n <= 0 or not len(place):
                     continue
-                right, left = place[place % 2 == 1] // 2, place[place % 2 == 0] // 2
-                both = np.intersect1d(left, right, assume_unique=True)
-                # a window at place - o holds the seed; the extension to the right if o <= window - 2 * seed, to the left if o >= seed
                 mark = np.zeros(n + 1, np.int32)
-                for at, low, high in ((both, 0, window - seed), (right, 0, seed - 1), (left, window - 2 * seed + 1, window - seed)):
-                    np.add.at(mark, np.clip(at - high, 0, n), 1)
-                    np.add.at(mark, np.clip(at - low + 1, 0, n), -1)
+                np.add.at(mark, np.clip(place - (window - length), 0, n), 1)
+                np.add.at(mark, np.clip(place + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(mark)[:n] > 0)
                 out += asking.add(whole[words.first[k] + at], np.full(len(at), row), at)
         return pa.Table.from_batches([*out, *asking.send()], ASK_TABLE)
@@ -236,26 +247,28 @@ def _kept(window: int, keep_text: bool):
     return apply
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_text: bool = True, part_bytes: int = 64 << 20) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Every word goes that is covered by a window of `window`
-    words (4 at least) which also starts elsewhere, in another document or the same. A null text has no
+    words (2 at least) which also starts elsewhere, in another document or the same. A null text has no
     words; texts shorter than the window stay whole; of repeated rows, each repeats the other. An empty
-    table gives no rows. Sequences are compared by 64-bit hashes of hashes of words.
+    table gives no rows. Sequences are compared by 64-bit hashes of hashes of words. part_bytes: text that
+    one task may hold.
     """
-    if window < 4:
-        raise ValueError("window must be 4 or more")
-    seed, spark = window // 4, docs.sparkSession
-    parts = partitions(spark)
+    if window < 2:
+        raise ValueError("window must be 2 or more")
     rows = texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    by_block = rows.withColumn("block", F.pmod("row", F.lit(parts)).cast("int")).groupBy("block")  # one exchange, which the three steps below share
+    parts = parts_for(rows, part_bytes)
+    by_block = rows.withColumn("block", F.pmod("row", F.lit(parts)).cast("int")).groupBy("block")  # one exchange, which the steps below share
 
     def with_found(found: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         # rows that are equal in id and text have the places of all of them
         return by_block.cogroup(found.groupBy("block")).applyInArrow(step, schema)
 
-    found = answered(rows.select("row", "text").mapInArrow(_seeds(window, seed, parts), ASK), parts)
-    found = answered(with_found(found, _twice(window, seed, parts), ASK), parts)
-    found = answered(with_found(found, _windows(window, seed, parts), ASK), parts)
+    levels = lengths(window)
+    found = answered(rows.select("row", "text").mapInArrow(_seeds(window, levels[0], parts), ASK), parts)
+    for length, longer in pairwise(levels):
+        found = answered(with_found(found, _doubled(length, longer, parts), ASK), parts)
+    found = answered(with_found(found, _windows(window, levels[-1], parts), ASK), parts)
     return with_found(found, _kept(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

@@ -51,12 +51,35 @@ def test_fingerprints_follow_content(spark):
     assert 0.45 < first.near_edited < 0.55 and first.near_next < 0.05
 
 
-@pytest.mark.parametrize("window", [4, 9, 35])
+@pytest.mark.parametrize("window", [4, 35, 100])
 def test_substrings(table, window):
     rows = substring.remove_repeats(table, window=window)
     assert got(rows, "doc_id", "n_words", "n_removed", "kept_sha256") == same(brute.kept_words(plain(table), window))
 
 
+def test_levels_double_up_to_the_window():
+    for window in range(2, 300):
+        levels = [*substring.lengths(window), window]
+        assert levels[0] <= substring.SEED and all(2 * a - 1 <= b <= 2 * a for a, b in zip(levels[:-1], levels[1:], strict=True))
+    assert substring.lengths(35) == [9, 18] and substring.lengths(100) == [7, 13, 25, 50]
+
+
+@pytest.mark.parametrize("window", [2, 9, 50])
+def test_substrings_planted_at_all_places(spark, window):
+    rng = np.random.default_rng(window)
+    shared = [[f"s{k}_{j}" for j in range(int(window * f))] for k, f in enumerate((0.9, 1, 1.1, 2, 5))]
+    rows = []
+    for i in range(60):
+        words: list[str] = []
+        for _ in range(int(rng.integers(1, 6))):
+            words += [f"o{i}_{len(words) + j}" for j in range(int(rng.integers(0, 2 * window)))]
+            run = shared[int(rng.integers(len(shared)))]
+            words += run[int(rng.integers(0, len(run))) :] if rng.random() < 0.5 else run
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(substring.remove_repeats(df, window=window), "doc_id", "n_words", "n_removed", "kept_sha256") == same(brute.kept_words(rows, window))
+
+
 def test_substrings_in_one_text_and_at_edges(spark):
     run = [f"a{k}" for k in range(40)]
     texts = [" ".join([*run, "x", *run]), " ".join(run[:34]), " ".join(["y", *run[2:37], "z"]), " ".join(["same"] * 36), " ".join(["other"] * 35)]
