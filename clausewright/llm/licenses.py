@@ -2,15 +2,17 @@
 
 Every run of three words of every text is joined with the runs of the license templates. Matches that lie
 on one diagonal (place in the text minus place in the template) belong to one copy; diagonals a few words
-apart, as insertions and deletions leave them, are merged; a span counts when enough of its template's
-runs are found in it.
+apart, as insertions and deletions leave them, are merged, up to a drift that the template's length bounds.
+What gets enough votes is verified on its words: a span counts when enough of the template's words stand in
+it in their order, and few others between them.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The base is a phrase's words
-standing consecutively; templates of notices add labels of their own.
+standing consecutively; templates of notices and short forms add labels of their own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,44 +20,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, texts
+from .store import Tables, texts
 from .words import ALPHANUMERIC, column, find, grams, pieces, starts
 
 GRAM = 3
-#: Words by which diagonals of one copy may differ, and the share of a template's runs that must be found in a span;
-#: of templates of fewer runs than SHORT, and of the base, all of them.
-DRIFT, ENOUGH, SHORT = 6, 0.6, 10
+#: Words by which neighbouring diagonals of one copy may differ; the share of a template's runs that must vote for a span;
+#: the share of its words that must stand there in order, which must also be that share of the span's words. Of templates
+#: of fewer words than SHORT, and of the base, all words must stand there alone.
+DRIFT, VOTED, ENOUGH, SHORT = 6, 0.4, 0.6, 12
 
 #: The phrases of the base with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices of common licenses, in short, by label; the method looks for these besides the phrases.
+#: Short forms by which licenses are named.
+SHORT_FORMS = [
+    ("mit", "the MIT license"), ("mit", "MIT license MIT"), ("apache-2", "Apache License 2.0"), ("apache-2", "Apache Software License 2"),
+    ("bsd", "BSD 2-Clause"), ("bsd", "BSD 3-Clause"), ("bsd", "the BSD license"), ("isc", "the ISC license"), ("zlib", "the zlib license"),
+    ("gpl", "GNU General Public License"), ("lgpl", "GNU Lesser General Public License"), ("agpl", "GNU Affero General Public License"), ("mpl-2", "Mozilla Public License"),
+    ("cc0", "CC0 1.0"), ("cc-by", "CC BY 3.0"), ("cc-by", "CC BY 4.0"), ("cc-by-sa", "CC BY-SA"), ("cc-by-nd", "CC BY-ND"), ("cc-by", "Creative Commons Attribution License"),
+    ("cc-by", "Creative Commons Attribution 4.0"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike"), ("cc-by-nc", "Creative Commons Attribution-NonCommercial"),
+]
+
+#: SPDX identifiers, each a short form after "SPDX-License-Identifier:".
+SPDX = {
+    "mit": ["MIT"], "apache-2": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "zlib": ["Zlib"], "unlicense": ["Unlicense"], "gpl": ["GPL-2.0", "GPL-3.0"],
+    "lgpl": ["LGPL-2.1", "LGPL-3.0"], "agpl": ["AGPL-3.0"], "mpl-2": ["MPL-2.0"], "cc0": ["CC0-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+}
+
+_GNU = (
+    "This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, "
+    "or (at your option) any later version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this {thing}."
+)
+_NO_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Notices of common licenses by label: whole, and the passages that are quoted alone.
 NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+     "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+     "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+     "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+     "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License"),
-    ("gpl", "under the GNU General Public License"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+     "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the GNU Lesser General Public License"),
-    ("agpl", "under the GNU Affero General Public License"),
+    ("gpl", _GNU.format(thing="program", kind="General Public License", version="3")),
+    ("lgpl", _GNU.format(thing="library", kind="Lesser General Public License", version="2.1")),
+    ("agpl", _GNU.format(thing="program", kind="Affero General Public License", version="3")),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-sa", "licensed under CC BY-SA"),
-    ("cc-by-nc", "licensed under CC BY-NC"),
-    ("cc-by", "licensed under a Creative Commons Attribution License"),
-]
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+     "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+     "the following disclaimer in the documentation and/or other materials provided with the distribution. " + _NO_WARRANTY),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+     "appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission "
+     "is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+     "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+]
 
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-def _runs(text: str) -> list[int]:
-    data = np.frombuffer(text.encode(), np.uint8)
-    words = find(data, np.array([0, len(data)]), ALPHANUMERIC, fold=True)
-    return grams(words.hash, GRAM).view(np.int64).tolist()
 
+def words_of(text: str) -> list[bytes]:
+    return _WORD.findall(text.encode().lower())  # of bytes: A-Z alone
 
-def templates() -> list[tuple[int, str, bool, int, int, int]]:
-    """template, label, whether it is of the base, number of runs, place, run: a few hundred rows, fixed by the lists above."""
-    every = [(label, text, True) for text, label in PHRASES.items()] + [(label, text, False) for label, text in NOTICES]
-    return [(t, label, base, len(runs), at, run) for t, (label, text, base) in enumerate(every) for runs in [_runs(text)] for at, run in enumerate(runs)]
+
+def every_template() -> list[tuple[str, list[bytes], bool]]:
+    """Label, words and whether all words must stand alone, of phrases of the base first, then of short forms and notices."""
+    forms = [*SHORT_FORMS, *((label, f"SPDX-License-Identifier: {name}") for label, names in SPDX.items() for name in names), *NOTICES]
+    every = [(label, words_of(text)) for text, label in PHRASES.items()] + [(label, words_of(text)) for label, text in forms]
+    return [(label, words, k < len(PHRASES) or len(words) < SHORT) for k, (label, words) in enumerate(every)]
 
 
 def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,30 +124,77 @@ def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WHOLE = 0x5EED
 
 
+def _runs(words: list[bytes]) -> list[int]:
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    return grams(find(data, np.array([0, len(data)]), ALPHANUMERIC, fold=True).hash, GRAM).view(np.int64).tolist()
+
+
 def matches(rolled: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, template, label, base, size, place (in the template), word (where the run starts in the text).
+    """row, doc_id, n_words, template, strict, size (runs of the template), place (in the template), word (where the run starts in the text).
 
     The join of all runs of all texts with the templates, whose number is fixed; template is -1 once a text.
     """
-    known = rolled.sparkSession.createDataFrame([*templates(), (-1, "", False, 1, 0, WHOLE)], "template int, label string, base boolean, size int, place int, run long")
+    known = [(t, strict, len(words) - GRAM + 1, at, run) for t, (_, words, strict) in enumerate(every_template()) for at, run in enumerate(_runs(words))]
+    known = rolled.sparkSession.createDataFrame([*known, (-1, True, 1, 0, WHOLE)], "template int, strict boolean, size int, place int, run long")
     every = rolled.select("row", "doc_id", "n_words", F.posexplode(F.array_append("runs", F.lit(WHOLE).cast("long"))).alias("word", "run"))
     return every.join(F.broadcast(known), "run").drop("run")
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """row, template, label, base, first_word, last_word (where its last run starts), coverage: one row a copy of a template.
+def voted(found: DataFrame) -> DataFrame:
+    """row, template, first, last (where its first and last run start): one row a place that enough of a template's runs vote for.
 
-    Diagonals vote first, so a text that repeats a notice has a row a copy here, not a row a match.
+    Diagonals vote first, so a text that repeats a notice has a row a copy here, not a row a match. Diagonals of
+    one template are neighbours while each is at most DRIFT words from the one before, and all are no farther
+    from the first than a span of ENOUGH density can be longer than the template.
     """
     diagonals = found.withColumn("diagonal", F.col("word") - F.col("place"))
-    votes = diagonals.groupBy("row", "template", "label", "base", "size", "diagonal").agg(F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
-    # phrases of the base stand word by word, so their diagonal is alone; those of notices merge with neighbours
-    by_place = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > DRIFT, F.lit(True))
-    merged = votes.withColumn("copy", F.sum(new.cast("int")).over(by_place)).groupBy("row", "template", "label", "base", "size", "copy")
-    merged = merged.agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first_word"), F.max("last").alias("last_word"))
-    out = merged.select("row", "template", "label", "base", "size", "first_word", "last_word", (F.size("places") / F.col("size")).alias("coverage"))
-    return out.where(F.col("coverage") >= F.when(F.col("base") | (F.col("size") < SHORT), 1.0).otherwise(ENOUGH)).drop("size")
+    votes = diagonals.groupBy("row", "template", "strict", "size", "diagonal").agg(F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
+    # phrases and short forms stand word by word, so their diagonal is alone; those of notices merge with neighbours
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
+    new = F.col("strict") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > DRIFT, F.lit(True))
+    chained = votes.withColumn("chain", F.sum(new.cast("int")).over(by_diagonal))
+    low = F.min("diagonal").over(Window.partitionBy("row", "template", "chain"))
+    reach = F.ceil(F.col("size") * (1 / ENOUGH - 1)) + DRIFT
+    copies = chained.withColumn("copy", F.floor((F.col("diagonal") - low) / reach)).groupBy("row", "template", "strict", "size", "chain", "copy")
+    copies = copies.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return copies.where(F.col("n") >= F.when(F.col("strict"), F.col("size")).otherwise(F.col("size") * VOTED)).select("row", "template", "first", "last")
+
+
+def in_order(template: list[bytes], span: list[bytes]) -> int:
+    """How many of a template's words stand in a span in their order, at most (the longest common subsequence)."""
+    own = np.array(span, object)
+    best = np.zeros(len(span) + 1, np.int64)
+    for word in template:
+        with_it = np.where(own == word, best[:-1] + 1, 0)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], with_it))
+    return int(best[-1])
+
+
+def coverage(template: list[bytes], span: list[bytes], strict: bool) -> float:
+    """The share of the template's words that a span verifies; 0 where that isn't enough."""
+    if strict:
+        return float(template == span)
+    n = in_order(template, span)
+    return n / len(template) if n >= ENOUGH * len(template) and n >= ENOUGH * len(span) else 0.0
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the spans that were voted for; returns those that their words confirm."""
+    known = every_template()
+    for batch in batches:
+        data, bounds = column(batch)
+        out: list[tuple] = []
+        for row, spans, a, z in zip(batch.column("row").to_pylist(), batch.column("spans").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = data[a:z]
+            words, raw = find(own, np.array([0, z - a]), ALPHANUMERIC), own.tobytes().lower()
+            for span in spans:
+                label, template, strict = known[span["template"]]
+                at = range(span["first"], span["last"] + GRAM)
+                share = coverage(template, [raw[words.start[k] : words.end[k]] for k in at], strict)
+                if share:
+                    out.append((row, label, span["template"] < len(PHRASES), span["first"], share))
+        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["row", "label", "base", "first_word", "coverage"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,16 +202,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     n_base counts all places of all phrases; first_word and last_word are their smallest and largest start,
     null where there is none; labels are distinct, sorted and comma-joined, empty where there is none; score
-    is the best coverage of a template that was accepted, 0 without one. Null and empty texts have no words;
+    is the best coverage of a template that was verified, 0 without one. Null and empty texts have no words;
     repeated rows are scanned each; an empty table gives no rows.
     """
+    tables = Tables(docs.sparkSession)
     rows = texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     rolled = rows.mapInArrow(_rolled, "row long, doc_id long, n_words long, runs array<long>")
-    every = cut(matches(rolled))
+    every = tables.cut(matches(rolled))
     sized = every.where("template < 0").select("row", "doc_id", "n_words")
     found = every.where("template >= 0").drop("doc_id", "n_words").distinct()  # equal rows have equal matches
+    spans = voted(found).groupBy("row").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
+    # written, so that Spark knows whether it is small enough to send to the texts; if not, texts go to their spans
+    spans = tables.cut(spans)
+    confirmed = rows.join(spans, "row").select("row", "text", "spans").mapInArrow(_verified, "row long, label string, base boolean, first_word long, coverage double")
     base = F.col("base")
-    by_row = spans(found).groupBy("row").agg(
+    by_row = confirmed.distinct().groupBy("row").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first_word"))).cast("long").alias("last_word"),

@@ -79,6 +79,48 @@ def phrases(rows, known):
     return out
 
 
+def longest_common(a, b):
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        rows.append([0])
+        for k, y in enumerate(b):
+            rows[-1].append(rows[-2][k] + 1 if x == y else max(rows[-2][k + 1], rows[-1][k]))
+    return rows[-1][-1]
+
+
+def license_labels(rows, templates, gram, drift, voted, enough):
+    """doc_id, labels and score of each text. templates: label, words, strict."""
+    out = []
+    for i, t in rows:
+        words = [w.encode() for w in ALNUM.findall(low(t))]
+        at = defaultdict(list)
+        for k in range(len(words) - gram + 1):
+            at[tuple(words[k : k + gram])].append(k)
+        found = {}
+        for label, own, strict in templates:
+            votes = defaultdict(list)
+            size = len(own) - gram + 1
+            for place in range(size):
+                for k in at[tuple(own[place : place + gram])]:
+                    votes[k - place].append((place, k))
+            reach = math.ceil(size * (1 / enough - 1)) + drift
+            copies, last, low_, chain = defaultdict(list), None, None, -1
+            for d in sorted(votes):
+                if strict or last is None or d - last > drift:
+                    low_, chain = d, chain + 1
+                last = d
+                copies[chain, (d - low_) // reach] += votes[d]
+            for v in copies.values():
+                if len({p for p, _ in v}) < (size if strict else size * voted):
+                    continue
+                span = words[min(k for _, k in v) : max(k for _, k in v) + gram]
+                n = longest_common(own, span)
+                if (span == own) if strict else (n >= enough * len(own) and n >= enough * len(span)):
+                    found[label] = max(found.get(label, 0), 1 if strict else n / len(own))
+        out.append((i, ",".join(sorted(found)), max(found.values(), default=0)))
+    return out
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     """By source: the share, with what capped sources leave dealt again until none is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -252,22 +252,43 @@ def test_the_filter_only_passes_what_is_alone(spark, monkeypatch):
     assert rows.where("group_size > 1").count() == df.groupBy("text").count().where("count > 1").selectExpr("sum(count)").head()[0]
 
 
+def labels_of(rows):
+    return brute.license_labels(rows, licenses.every_template(), licenses.GRAM, licenses.DRIFT, licenses.VOTED, licenses.ENOUGH)
+
+
 def test_licenses(table):
     rows = plain(table)
-    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
-    scan = licenses.scan(table)
-    assert got(scan, *columns) == same(brute.phrases(rows, licenses.PHRASES))
+    scan = licenses.scan(table).cache()
+    assert got(scan, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == same(brute.phrases(rows, licenses.PHRASES))
+    assert got(scan.selectExpr("doc_id", "labels", "round(score, 9) as score"), "doc_id", "labels", "score") == same((i, x, round(float(n), 9)) for i, x, n in labels_of(rows))
     for r in scan.collect():
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
-def test_notices_with_words_put_in_or_left_out(spark):
-    words = next(t for label, t in licenses.NOTICES if label == "bsd").split()
-    changed = words[:5] + ["indeed"] + words[5:12] + words[13:]
-    df = spark.createDataFrame([(1, "x " * 50 + " ".join(changed) + " y"), (2, " ".join(words[:5])), (3, " ".join(reversed(words))), (4, "licensed under CC BY-NC 4")], "doc_id long, text string")
-    got_ = {r.doc_id: r for r in licenses.scan(df).collect()}
-    assert got_[1].labels == "bsd" and 0.6 <= got_[1].score < 1 and got_[1].n_base == 0
-    assert got_[2].labels == got_[3].labels == "" and got_[4].labels == "cc-by-nc"
+def test_notices_changed_cut_up_repeated_and_named(spark):
+    rng = np.random.default_rng(9)
+    whole = {label: text for label, text in licenses.NOTICES if len(text.split()) > 20}
+    bsd = next(t for label, t in licenses.NOTICES if label == "bsd").split()
+    foreign = lambda n: [f"f{int(k)}" for k in rng.integers(0, 10**6, n)]
+    pieces_ = [w for k in range(0, len(bsd), 5) for w in [*bsd[k : k + 5], *foreign(6)]]
+    texts = [
+        "x " * 50 + " ".join([*bsd[:5], "indeed", *bsd[5:12], *bsd[13:]]) + " y", " ".join(bsd[:5]), " ".join(reversed(bsd)), "licensed under CC BY-NC 4", " ".join(pieces_),
+        "The MIT License (MIT)", "SPDX-License-Identifier: Apache-2.0", "GNU General Public License version 3", "released under CC-BY-SA 4.0", "the license of a driver, and terms of the bank",
+    ]
+    for text in whole.values():
+        words = text.split()
+        texts.append(" ".join([*foreign(20), *words, *foreign(7), *words]))
+        for share in (0.03, 0.1, 0.2, 0.4):
+            changed: list[str] = []
+            for w in words:
+                changed += [w] if rng.random() > share else [[], ["new"], [w, "more"]][int(rng.integers(3))]
+            texts.append(" ".join([*foreign(5), *changed, *foreign(5)]))
+    rows = list(enumerate(texts))
+    scanned = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [(i, r.labels, round(r.score, 9)) for i, r in sorted(scanned.items())] == [(i, x, round(float(n), 9)) for i, x, n in labels_of(rows)]
+    assert scanned[0].labels == "bsd" and 0.6 <= scanned[0].score < 1 and scanned[0].n_base == 0
+    assert [scanned[k].labels for k in range(1, 10)] == ["", "", "cc-by-nc", "", "mit", "apache-2", "gpl", "cc-by-sa", ""]
+    assert all(label in scanned[10 + 5 * k + c].labels.split(",") for k, label in enumerate(whole) for c in (0, 1, 2))
 
 
 def test_packing(table):
