@@ -4,7 +4,8 @@ Every line is good or bad. Its features are its own, and its neighbours', measur
 of capitals, symbols, repeats and so on, never words), and neighbouring labels are tied. Forward-backward
 gives each line's chance of being good; the mean of these, weighted by length, is the text's quality.
 
-The field is fitted on a bounded sample of labelled documents, whose lines all take their document's label.
+The field is fitted on a bounded sample of labelled documents, whose lines all take their document's label;
+every document weighs the same, whatever its number of lines.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import remainder, texts
+from .sampling import labelled
+from .store import Tables, remainder, texts
 from .words import U, column, find, mix, pieces
 
-#: Labelled documents to fit on, at most: those with the least hash of their id. Rounds and rate of the fit.
-SAMPLE, ROUNDS, RATE = 4000, 150, 0.15
+#: Labelled documents to fit on, at most, those with the least hash of their id, and lines of all of them. Rounds and rate of the fit.
+SAMPLE, LINES, ROUNDS, RATE = 4000, 1 << 18, 150, 0.15
 
 _CLASSES = {
     "upper": lambda c: "A" <= c <= "Z",
@@ -130,21 +132,22 @@ def marginals(good: np.ndarray, ties: np.ndarray, first: np.ndarray) -> tuple[np
 
 
 def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights by gradient ascent (Adam) on the conditional likelihood of all lines' labels; label: of each text."""
+    """Weights by gradient ascent (Adam) on the conditional likelihood of all lines' labels, a text's divided by its lines; label: of each text."""
     mean, spread = features.mean(0), features.std(0) + 1e-6
     x = with_neighbours((features - mean) / spread, first)
     y = np.repeat(label, np.diff(first)).astype(float)
+    share = np.repeat(1 / np.diff(first), np.diff(first))
     pair_n = np.zeros((2, 2))
     inner = np.ones(len(y), bool)
     inner[first[1:] - 1] = False
     for k in (0, 1):
-        pair_n[k, k] = (y[inner] == k).sum()
-    # every text weighs the same, whatever its number of lines, up to a point
+        pair_n[k, k] = share[inner][y[inner] == k].sum()
     weights, ties = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
     for t in range(1, ROUNDS + 1):
         chance, pairs, _ = marginals(x @ weights, ties, first)
-        slope = np.concatenate([x.T @ (y - np.exp(chance)) - 0.1 * weights, (pair_n - np.exp(pairs[inner]).sum(0) - 0.1 * ties).ravel()]) / max(len(label), 1)
+        own, two = x.T @ (share * (y - np.exp(chance))), (share[inner, None, None] * np.exp(pairs[inner])).sum(0)
+        slope = np.concatenate([own - 0.1 * weights, (pair_n - two - 0.1 * ties).ravel()]) / max(len(label), 1)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = RATE * (1 - t / (ROUNDS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         weights, ties = weights + move[:-4], ties + move[-4:].reshape(2, 2)
@@ -158,14 +161,11 @@ def quality(features: np.ndarray, length: np.ndarray, first: np.ndarray, model:
     return np.clip(np.add.reduceat(np.exp(chance) * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, left_out: int = 2, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The model, from at most `sample` labelled documents whose crc32(doc_id as text) modulo `modulus` isn't `left_out`.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, left_out: int = 2, sample: int = SAMPLE, most_lines: int = LINES) -> dict[str, np.ndarray]:
+    """The model, from at most `sample` labelled documents of at most `most_lines` lines, as sampling.labelled() chooses them.
 
-    Labels that are null are passed over; where a document has several, the largest counts. Without any
-    labelled document the model scores every text 0.5.
+    Without any labelled document the model scores every text 0.5.
     """
-    usable = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != left_out))
-    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 rows = [x.tobytes() for x in np.split(features, first[1:-1])]
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, z - a), "label": batch.column("label").slice(a, z - a), "features": pa.array(rows, pa.binary())})
 
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").mapInArrow(measured, "doc_id long, label int, features binary")
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.features))
+    tables, n_lines = Tables(docs.sparkSession), F.regexp_count("text", F.lit("\n")) + 1
+    chosen = labelled(docs, labels, label, id_col, text_col, modulus, left_out, sample, n_lines, most_lines, tables)
+    got = sorted(chosen.mapInArrow(measured, "doc_id long, label int, features binary").toLocalIterator(), key=lambda r: r.doc_id)
+    tables.drop(*[t for t, _ in tables.written])
     width = lines(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
     if not got:
         return {"mean": np.zeros(width), "spread": np.ones(width), "weights": np.zeros(3 * width + 3), "ties": np.zeros((2, 2))}

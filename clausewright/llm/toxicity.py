@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import remainder, texts
+from .sampling import labelled
+from .store import Tables, remainder, texts
 from .words import ALPHANUMERIC, U, column, find, mix, pieces
 
-#: Labelled documents to fit on, at most: those with the least hash of their id. Slots of hashed terms; terms that are
-#: kept; length of a term's vector; rounds of the fit.
-SAMPLE, SLOTS, TERMS, FACTORS, ROUNDS = 8000, 1 << 22, 4096, 4, 200
+#: Labelled documents to fit on, at most, those with the least hash of their id, and bytes of all of them. Slots of hashed
+#: terms; terms that are kept; length of a term's vector; rounds of the fit.
+SAMPLE, BYTES, SLOTS, TERMS, FACTORS, ROUNDS = 8000, 1 << 25, 1 << 22, 4096, 4, 200
 #: Terms that are paired, at most, the most frequent ones; terms kept for their pairs, at most; terms in one product.
 PAIRED, TERMS_OF_PAIRS, COLUMNS = 8192, 4096, 2048
 #: Bytes of a word's head that are terms of their own.
@@ -172,16 +173,15 @@ def toxicity(data: np.ndarray, bounds: np.ndarray, model: dict[str, np.ndarray],
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, left_out: int = 0, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The model, from at most `sample` labelled documents whose crc32(doc_id as text) modulo `modulus` isn't `left_out`.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, left_out: int = 0, sample: int = SAMPLE, most_bytes: int = BYTES) -> dict[str, np.ndarray]:
+    """The model, from at most `sample` labelled documents of at most `most_bytes` bytes, as sampling.labelled() chooses them.
 
-    Labels that are null are passed over; where a document has several, the largest counts. Without any
-    labelled document the model scores every text 0.5.
+    Without any labelled document the model scores every text 0.5.
     """
-    usable = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != left_out))
-    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, label int, slots binary")
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.slots))
+    tables = Tables(docs.sparkSession)
+    chosen = labelled(docs, labels, label, id_col, text_col, modulus, left_out, sample, F.octet_length("text"), most_bytes, tables)
+    got = sorted(chosen.mapInArrow(_sampled, "doc_id long, label int, slots binary").toLocalIterator(), key=lambda r: r.doc_id)
+    tables.drop(*[t for t, _ in tables.written])
     return fit([np.frombuffer(r.slots, np.int32) for r in got], np.array([r.label for r in got], int))
 
 

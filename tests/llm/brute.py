@@ -168,6 +168,55 @@ def interpolated(rows, mixture, bucket_of, modulus=7, left_out=2):
     return out
 
 
+def line_features(text):
+    """What crf.lines() measures of each line, a line at a time."""
+    out, lines = [], text.split("\n")
+    words = [WORD.findall(low(x)) for x in lines]
+    times = Counter(tuple(sorted(w)) for w in words)
+    for line, own in zip(lines, words, strict=True):
+        raw, n = line.encode(), len(own)
+        size, upper, lower = max(len(raw), 1), sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+        letters, again = max(upper + lower, 1), sum(a == b for a, b in pairwise(own))
+        count = lambda signs, raw=raw: sum(b in signs for b in raw)
+        out.append([
+            math.log1p(len(raw)), math.log1p(n), len(raw) / max(n, 1) / 10, upper / letters, upper / letters > 0.7, count(b"0123456789") / size, 5 * count(b"|") / size, 5 * count(b"!") / size,
+            5 * count(b"#$%&*@^~_=+<>{}[]\\/`") / size, 5 * count(b".,;:'\"()-?") / size, sum(b >= 128 for b in raw) / size, again / max(n, 1), again / max(n, 1) > 0.2,
+            times[tuple(sorted(own))] > 1 and n > 1, raw[-1:] in (b".", b"!", b"?", b":"), not raw,
+        ])
+    return [[float(x) for x in row] for row in out], [len(x.encode()) for x in lines]
+
+
+def line_quality(text, model):
+    """The length-weighted chance that lines are good, by sums of products along the chain."""
+    rows, size = line_features(text)
+    scaled = [[(v - m) / s for v, m, s in zip(r, model["mean"], model["spread"], strict=True)] for r in rows]
+    none, n = [0.0] * len(scaled[0]), len(scaled)
+    good = []
+    for k, own in enumerate(scaled):
+        before, after = scaled[k - 1] if k else none, scaled[k + 1] if k + 1 < n else none
+        x = [*own, *before, *after, float(not k), float(k + 1 == n), 1.0]
+        good.append(math.exp(sum(a * b for a, b in zip(x, model["weights"], strict=True))))
+    tie = [[math.exp(v) for v in row] for row in model["ties"]]
+    own = [[1.0, g] for g in good]
+    forward, backward = [own[0]], [[1.0, 1.0]]
+    for k in range(1, n):
+        forward.append([own[k][y] * sum(forward[-1][x] * tie[x][y] for x in (0, 1)) for y in (0, 1)])
+        forward[-1] = [v / sum(forward[-1]) for v in forward[-1]]
+    for k in range(n - 1, 0, -1):
+        backward.insert(0, [sum(tie[x][y] * own[k][y] * backward[0][y] for y in (0, 1)) for x in (0, 1)])
+        backward[0] = [v / sum(backward[0]) for v in backward[0]]
+    chance = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+    return sum(c * (s + 1) for c, s in zip(chance, size, strict=True)) / sum(s + 1 for s in size)
+
+
+def machine_chance(terms, model):
+    """A factorization machine's chance for a set of known terms, pair by pair."""
+    at = [k for k, slot in enumerate(model["kept"].tolist()) if slot in terms]
+    total = float(model["w0"][0]) + sum(float(model["w"][k]) for k in at)
+    total += sum(float(sum(model["v"][a] * model["v"][b])) for n, a in enumerate(at) for b in at[:n])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
 def gapless(places):
     """places: (offset, length) of one sequence."""
     places = sorted(places)

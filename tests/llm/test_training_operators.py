@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import ODD
 
-from clausewright.llm import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
+from clausewright.llm import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, sampling, store, substring, toxicity
+from clausewright.llm import words as W
 
 P = pytest.importorskip("public_tokenizers")
 TOKENIZER = P.path("word_bpe_49k.json")
@@ -439,6 +441,29 @@ def test_quality(spark, data, odd, twice, empty, labels):
     assert {r.score for r in crf.scores(odd, known.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_equal_a_plain_version(spark, documents, labels, table):
+    model = crf.learn(documents, labels)
+    rows = [(i, t or "") for i, t in plain(table) if len(t or "") < 20_000]
+    odd_lines = ["A B\n\nb a\nA b b b.", "\n", "x|y | z!\n" * 30 + "ÉCOLE ß 12%", "WE SHOUT\nwe shout\n" * 3]
+    rows += [(1000 + k, t) for k, t in enumerate(odd_lines)]
+    data, bounds = W.column(pa.record_batch({"text": pa.array([t for _, t in rows], pa.string())}))
+    scored = crf.quality(*crf.lines(data, bounds), model) if rows else []
+    assert np.allclose(scored, [brute.line_quality(t, model) for _, t in rows], atol=1e-9)
+
+
+def test_samples_are_bounded_by_lines_and_bytes(spark, documents, labels):
+    tables = store.Tables(spark)
+    n_lines = crf.F.regexp_count("text", crf.F.lit("\n")) + 1
+    every = sampling.labelled(documents, labels, "quality", "doc_id", "text", 4, 2, 4000, n_lines, 1 << 18, tables).collect()
+    some = sampling.labelled(documents, labels, "quality", "doc_id", "text", 4, 2, 4000, n_lines, 640, tables).collect()
+    few = sampling.labelled(documents, labels, "quality", "doc_id", "text", 4, 2, 7, n_lines, 1 << 18, tables).collect()
+    size = {r.doc_id: r.text.count("\n") + 1 for r in every}
+    assert len(few) == 7 and sum(r.text.count("\n") + 1 for r in some) <= 640 and all(size[r.doc_id] <= 10 for r in some)
+    assert {r.doc_id for r in few} | {r.doc_id for r in some} <= set(size) and all(brute.crc(i, 4) != 2 for i in size)
+    hot = documents.crossJoin(spark.range(3).select("id")).drop("id")
+    assert sorted(sampling.labelled(hot, labels, "quality", "doc_id", "text", 4, 2, 4000, n_lines, 1 << 18, tables).collect()) == sorted(every)
+
+
 def test_marginals_agree_with_counting_all_labellings():
     import itertools
 
@@ -470,6 +495,27 @@ def test_toxicity(spark, data, odd, twice, empty):
     assert {r.score for r in toxicity.scores(odd, known.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_scores_equal_a_plain_version(documents, labels, table):
+    model = toxicity.learn(documents, labels)
+    assert len(model["kept"]) > 10
+    rows = [t or "" for _, t in plain(table) if len(t or "") < 20_000]
+    data, bounds = W.column(pa.record_batch({"text": pa.array(rows, pa.string())}))
+    known = np.zeros(toxicity.SLOTS, bool)
+    known[model["kept"]] = True
+    scored = toxicity.toxicity(data, bounds, model, known)
+    for text, score in zip(rows, scored, strict=True):
+        words = brute.ALNUM.findall(brute.low(text))
+        slots = {s for w in set(words) for s in toxicity.terms(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].tolist()}
+        assert score == pytest.approx(brute.machine_chance(slots, model), abs=1e-9)
+
+
+def test_terms_are_words_and_their_first_bytes():
+    slots = lambda t: toxicity.terms(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
+    assert [len(slots("x" * n)) for n in (1, 4, 5, 6, 7, 40)] == [1, 1, 2, 3, 4, 4]
+    assert slots("Abcdefgh")[1:] == slots("abcdefxyz")[1:] and slots("abcdefgh")[0] != slots("abcdefxyz")[0]
+    assert len({*slots("abcdefgh")}) == 4 and slots("a-b") == slots("A") + slots("b")
+
+
 def test_the_machine_learns_what_two_terms_mean_together():
     rng = np.random.default_rng(5)
     slots, label = [], []
