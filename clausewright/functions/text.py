@@ -65,8 +65,18 @@ def definition_list(definitions: Column) -> Column:
     return F.array_join(F.transform(definitions, lambda d: F.concat(F.lit('"'), F.coalesce(d["term"], F.lit("")), F.lit('" : '), F.coalesce(d["definition"], F.lit("")))), " | ")
 
 
+def field_descriptions(fields: Column) -> Column:
+    """`name: description` of each (structs), a blank line apart; missing descriptions are empty."""
+    return F.array_join(F.transform(fields, lambda f: F.concat(F.coalesce(f["name"], F.lit("")), F.lit(": "), F.coalesce(f["description"], F.lit("")))), "\n\n")
+
+
+def is_definition(text: Column) -> Column:
+    """Whether a text looks like one that defines a term: it has a colon and says that something means something."""
+    return F.coalesce(text.contains(":") & text.contains("means"), F.lit(False))
+
+
 def context_line(number: Column, label: Column, category: Column, content: Column, query: Column | None = None) -> Column:
-    """`[n] label [Category: c] (Related to: q): content` and a blank line; the parts in brackets only where there is something."""
+    """Fixed format: `[n] label [Category: c] (Related to: q): content` and a blank line; the parts in brackets only where there is something."""
     some = lambda before, x, after: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(before), x, F.lit(after))).otherwise("")
     about = some(" (Related to: ", query, ")") if query is not None else F.lit("")
     return F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.coalesce(label, F.lit("")), some(" [Category: ", category, "]"), about, F.lit(": "), F.coalesce(content, F.lit("")), F.lit("\n\n"))

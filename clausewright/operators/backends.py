@@ -32,7 +32,14 @@ class Extractor(Protocol):
 
 
 class Generator(Protocol):
-    def answer(self, question: Column, context: Column) -> Column: ...
+    def answer(self, question: Column, context: Column, history: Column | None = None) -> Column:
+        """history: what was said before, an array of role and content in order, as functions.prompts.chat takes it."""
+        ...
+
+
+def strict(categories: Column, allowed: list[str]) -> Column:
+    """Of the categories a model named, those that there are, each once, in its order. Without this, all are kept."""
+    return F.array_intersect(categories, F.array(*[F.lit(a) for a in allowed]).cast("array<string>"))
 
 
 @dataclass
@@ -88,10 +95,13 @@ class FirstSentence:
 
 @dataclass
 class TopLines:
-    """The first lines of the context, as an answer."""
+    """The first lines of the context, as an answer; where there are none, of what was said before, the last first."""
 
     lines: int = 3
 
-    def answer(self, question: Column, context: Column) -> Column:
+    def answer(self, question: Column, context: Column, history: Column | None = None) -> Column:
+        if history is not None:
+            said = F.array_join(F.transform(F.reverse(history), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+            context = F.when(F.coalesce(context, F.lit("")) != "", context).otherwise(said)
         some = F.filter(F.split(F.coalesce(context, F.lit("")), "\n"), lambda x: x != "")
         return F.array_join(F.slice(some, 1, self.lines), "\n")

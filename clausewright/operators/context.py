@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import context_line
 
-#: Between texts that are put together for one field.
+#: Fixed value: what stands between texts that are put together for one field.
 RULE = "\n\n" + "-" * 40 + "\n\n"
 
 

@@ -21,6 +21,11 @@ def reason(name: Column, cik: Column) -> Column:
     return F.when(missing(name), NO_NAME).when(missing(cik) | (F.trim(cik) == "Not Found"), NO_CIK)
 
 
+def has_either(one: Column, other: Column) -> Column:
+    """Whether at least one of two inputs is there."""
+    return F.coalesce(one, other).isNotNull()
+
+
 def finite(value: Column) -> Column:
     """NaN and the infinities become null."""
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

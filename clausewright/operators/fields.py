@@ -20,8 +20,8 @@ def read_schema(raw: DataFrame, max_sections: int | None = None, max_fields: int
     return rows if max_fields is None else rows.where(F.col("field_ord") < max_fields)
 
 
-def matched(fields: DataFrame, chunks: DataFrame, k: int | None = 15) -> DataFrame:
-    """deal_id, section, field_name, chunk_index, text: for each deal and field the first k clauses that share a category.
+def matched(fields: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """deal_id, section, field_name, chunk_index, text: for each deal and field the clauses that share a category, all or the first k.
 
     fields: section, field_name, categories; chunks: deal_id, chunk_index, text, categories. Joined category by
     category, so a hash join takes the place of comparing every field with every clause.
@@ -41,7 +41,7 @@ def field_texts(met: DataFrame) -> DataFrame:
     return once.groupBy("deal_id", "section", "field_name").agg(joined_texts(F.col("chunk_index"), F.col("text")).alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-def extract(fields: DataFrame, chunks: DataFrame, deals: DataFrame, backend: Extractor, k: int | None = 15) -> DataFrame:
+def extract(fields: DataFrame, chunks: DataFrame, deals: DataFrame, backend: Extractor, k: int | None = None) -> DataFrame:
     """deal_id, section_ord, section, field_ord, field_name, answer, error, categories_used: a row for every deal and field.
 
     A field without categories, or of which no clause is found, has what the backend says of an empty text.

@@ -2,7 +2,8 @@
 
 Vectors and queries are packed into blocks, a row each; every query block meets every vector block (or those
 of its own filter value) in one matrix product, which keeps the best k; the last window sees k rows a block
-and query. Nothing is broadcast unless Spark finds it small enough.
+and query. Nothing is broadcast unless Spark finds it small enough. A filter value with many vectors has many
+blocks, which are dealt over tasks; the value itself travels with a block and is what is joined on.
 """
 
 from __future__ import annotations
@@ -16,28 +17,59 @@ from pyspark.sql import functions as F
 
 #: Rows of a packed block of queries and of vectors.
 QUERIES, VECTORS = 512, 4096
-_BLOCK = "grp long, ids binary, vectors binary"
-_PAIR = "query_id long, vec_id long, cosine double"
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> bytes:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if isinstance(lists, pa.Array) else _matrix(lists.combine_chunks())
 
 
 def _packed(size: int):
+    """Blocks of `size` rows of one task, whatever the batches they come in."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        return pa.record_batch({"ids": pa.array([t.column("id").to_pylist()], pa.list_(t.schema.field("id").type)), "vectors": pa.array([_matrix(t.column("v"))], pa.binary())})
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            group, ids = batch.column("grp").to_numpy(), batch.column("id").to_numpy()
-            lists = batch.column("v")
-            lists = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
-            for g in np.unique(group):
-                own = np.flatnonzero(group == g)
-                for k in range(0, len(own), size):
-                    at = own[k : k + size]
-                    yield pa.record_batch({"grp": pa.array([g], pa.int64()), "ids": pa.array([ids[at].tobytes()], pa.binary()), "vectors": pa.array([lists[at].tobytes()], pa.binary())})
+            at = 0
+            while at < len(batch):
+                part = batch.slice(at, size - n)
+                held.append(part)
+                at, n = at + len(part), n + len(part)
+                if n == size:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
 
     return apply
 
 
-def _blocks(df: DataFrame, id_col: str, vector_col: str, group: Column, size: int) -> DataFrame:
-    slim = df.where(df[vector_col].isNotNull()).select(group.alias("grp"), df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"))
-    return slim.mapInArrow(_packed(size), _BLOCK)
+def _group_packed(key: tuple, rows: pa.Table) -> pa.Table:
+    ids = pa.array([rows.column("id").to_pylist()], pa.list_(rows.schema.field("id").type))
+    return pa.table({"grp": pa.array([key[0].as_py()], rows.schema.field("grp").type), "salt": pa.array([key[1].as_py()], pa.int32()), "ids": ids, "vectors": pa.array([_matrix(rows.column("v"))], pa.binary())})
+
+
+def _slim(df: DataFrame, id_col: str, vector_col: str, same: str | None) -> DataFrame:
+    own = df.where(F.col(vector_col).isNotNull())
+    own = own.where(F.col(same).isNotNull()) if same else own
+    return own.select(*([F.col(same).alias("grp")] if same else []), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+
+def _n_blocks(slim: DataFrame, size: int) -> DataFrame:
+    return slim.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+
+
+def _blocks(slim: DataFrame, size: int) -> DataFrame:
+    """ids, vectors; with a column grp, of each value apart: grp, salt (the block's number in its value), ids, vectors."""
+    kind = slim.schema["id"].dataType.simpleString()
+    if "grp" not in slim.columns:
+        return slim.mapInArrow(_packed(size), f"ids array<{kind}>, vectors binary")
+    dealt = slim.join(_n_blocks(slim, size), "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("salt"), "id", "v")
+    return dealt.groupBy("grp", "salt").applyInArrow(_group_packed, f"grp {slim.schema['grp'].dataType.simpleString()}, salt int, ids array<{kind}>, vectors binary")
 
 
 def _best(k: int):
@@ -48,36 +80,42 @@ def _best(k: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qi, qv, vi, vv in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
-                queries, ids = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
+            kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "ids")]
+            for queries, qv, own, vv in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
+                ids = np.array(own)
                 a, b = unit(np.frombuffer(qv).reshape(len(queries), -1)), unit(np.frombuffer(vv).reshape(len(ids), -1))
                 # ties within 9 decimals go by id, so that results don't hang on the order of additions
                 score = np.round(a @ b.T, 9)
                 rank = np.where(np.isnan(score), -np.inf, score)
                 top = min(k, len(ids))
                 edge = np.partition(rank, len(ids) - top, axis=1)[:, len(ids) - top]
-                for q in range(len(queries)):
+                for q, name in enumerate(queries):
                     at = np.flatnonzero(rank[q] >= edge[q])
                     at = at[np.lexsort((ids[at], -rank[q][at]))][:top]
                     found = score[q][at]
-                    yield pa.record_batch({"query_id": pa.array(np.full(len(at), queries[q])), "vec_id": pa.array(ids[at]), "cosine": pa.array(found, mask=np.isnan(found))})
+                    yield pa.record_batch({"query_id": pa.array([name] * len(at), kinds[0]), "vec_id": pa.array(ids[at].tolist(), kinds[1]), "cosine": pa.array(found, mask=np.isnan(found))})
 
     return apply
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", same: str | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", same: str | None = None, query_col: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, cosine (9 decimals): for each query the k nearest vectors, ties by id.
 
-    same: a column on which query and vector must agree (nulls agree with nothing); without it, all vectors
-    are searched. A vector of zeros has a null cosine and ranks last; null vectors aren't found.
+    Ids are numbers or texts; query_col: the queries' id, if it has another name. same: a column on which
+    query and vector must agree (nulls agree with nothing); without it, all vectors are searched. A vector of
+    zeros has a null cosine and ranks last; null vectors aren't found.
     """
-    group = F.xxhash64(same) if same else F.lit(0).cast("long")
+    slim = _slim(vectors, id_col, vector_col, same)
+    of_vectors = _blocks(slim, VECTORS)
+    of_queries = _blocks(_slim(queries, query_col or id_col, vector_col, same), QUERIES).withColumnRenamed("ids", "q_ids").withColumnRenamed("vectors", "q_vectors")
     if same:
-        vectors, queries = vectors.where(F.col(same).isNotNull()), queries.where(F.col(same).isNotNull())
-    of_vectors = _blocks(vectors, id_col, vector_col, group, VECTORS)
-    of_queries = _blocks(queries, id_col, vector_col, group, QUERIES).select("grp", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = of_queries.join(of_vectors, "grp") if same else of_queries.drop("grp").crossJoin(of_vectors.drop("grp"))
-    best = met.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(_best(k), _PAIR)
+        # a query block goes to each block of its value, so that these may be in as many tasks
+        sent = of_queries.drop("salt").join(_n_blocks(slim, VECTORS), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        met = sent.join(of_vectors, ["grp", "salt"])
+    else:
+        met = of_queries.crossJoin(of_vectors)
+    kinds = [met.schema[c].dataType.elementType.simpleString() for c in ("q_ids", "ids")]
+    best = met.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(_best(k), f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine double")
     by_query = Window.partitionBy("query_id").orderBy(F.col("cosine").desc_nulls_last(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
 

@@ -11,30 +11,52 @@ def content(parts: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(parts, lambda p: p["type"] == "text"), F.lit(1))["text"], F.lit(""))
 
 
+def _by(messages: DataFrame, at: str, newest: bool, tie: str) -> list[Column]:
+    """Order by time, messages of one time by their id if they have one."""
+    columns = [at, *([tie] if tie in messages.columns and tie != at else [])]
+    return [F.col(c).desc() if newest else F.col(c).asc() for c in columns]
+
+
 def threads(rows: DataFrame, user: str | None = None) -> DataFrame:
     """Newest first, of one user if one is named."""
     own = rows if user is None else rows.where(F.col("user_id") == user)
     return own.orderBy(F.col("created_at").desc(), "thread_id")
 
 
-def page(messages: DataFrame, thread: str, limit: int, order: str = "desc", thread_col: str = "thread_id", at: str = "created_at") -> DataFrame:
+def page(messages: DataFrame, thread: str, limit: int, order: str = "desc", thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:
     """The first `limit` messages of a thread in the given order, then reversed: desc gives the newest, oldest first."""
     own = messages.where(F.col(thread_col) == thread)
-    first, then = (F.col(at).desc(), F.col(at).asc()) if order == "desc" else (F.col(at).asc(), F.col(at).desc())
-    return own.orderBy(first).limit(limit).orderBy(then)
+    first, then = _by(messages, at, order == "desc", tie), _by(messages, at, order != "desc", tie)
+    return own.orderBy(*first).limit(limit).orderBy(*then)
 
 
-def pages(messages: DataFrame, limit: int, order: str = "desc", thread_col: str = "thread_id", at: str = "created_at") -> DataFrame:
+def pages(messages: DataFrame, limit: int, order: str = "desc", thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:
     """page() of every thread at once; place: 1, 2, ... as shown."""
-    first, then = (F.col(at).desc(), F.col(at).asc()) if order == "desc" else (F.col(at).asc(), F.col(at).desc())
+    first, then = _by(messages, at, order == "desc", tie), _by(messages, at, order != "desc", tie)
     by_thread = Window.partitionBy(thread_col)
-    some = messages.withColumn("_n", F.row_number().over(by_thread.orderBy(first))).where(F.col("_n") <= limit)
-    return some.withColumn("place", F.row_number().over(by_thread.orderBy(then))).drop("_n")
+    some = messages.withColumn("_n", F.row_number().over(by_thread.orderBy(*first))).where(F.col("_n") <= limit)
+    return some.withColumn("place", F.row_number().over(by_thread.orderBy(*then))).drop("_n")
 
 
-def after_send(messages: DataFrame, thread: str, thread_col: str = "thread_id", at: str = "created_at") -> DataFrame:
+def after_send(messages: DataFrame, thread: str, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:
     """What a thread shows after a message was sent: newest first."""
-    return messages.where(F.col(thread_col) == thread).orderBy(F.col(at).desc())
+    return messages.where(F.col(thread_col) == thread).orderBy(*_by(messages, at, True, tie))
+
+
+def asked(messages: DataFrame, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id", content_col: str = "content", limit: int | None = None) -> DataFrame:
+    """thread, question, history: each thread's last message of a user, and what was said before it, in order (the last `limit`, if given).
+
+    Threads in which no user has spoken have no row. An aggregate a thread: its messages come together.
+    """
+    order = [c for c in (at, tie) if c in messages.columns]
+    each = F.struct(*dict.fromkeys(order), "role", F.col(content_col).alias("content"))
+    said = messages.groupBy(thread_col).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    last = F.array_max(F.transform(F.col("_all"), lambda m, i: F.when(m["role"] == "user", i)))
+    met = said.withColumn("_last", last).where(F.col("_last").isNotNull())
+    start = F.lit(0) if limit is None else F.greatest(F.col("_last") - limit, F.lit(0))
+    before = F.slice("_all", start + 1, F.col("_last") - start)
+    history = F.transform(before, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return met.select(thread_col, F.element_at("_all", F.col("_last") + 1)["content"].alias("question"), history.alias("history"))
 
 
 def opened(messages: DataFrame, thread_col: str = "thread_id", at: str = "created_at") -> DataFrame:

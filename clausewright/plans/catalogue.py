@@ -92,7 +92,7 @@ once as (
 @query(f"{_CONTEXTS} select label, vec_id, query_id, rank, row_number() over (partition by label order by query_id, rank) as place from once")
 def multi_query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses found for all queries of a label, each text once, in the order they were found."""
-    found = _contexts(spark, sf_dir).withColumn("order", F.col("query_id") * 16 + F.col("rank"))
+    found = _contexts(spark, sf_dir).withColumn("order", F.col("query_id") * 3 + F.col("rank") - 1)  # of three ranks a query
     numbered = numbering.number_within(found.select("label", "vec_id", "query_id", "rank", "order"), "label", "order", "place")
     return numbered.select("label", "vec_id", "query_id", F.col("rank").cast("long").alias("rank"), (F.col("place") + 1).alias("place"))
 
@@ -155,23 +155,25 @@ once as (select * from first_few qualify row_number() over (partition by deal_id
 @query(f"{_MATCHED} select deal_id, section, field_name, string_agg(text, chr(10) || chr(10) || repeat('-', 40) || chr(10) || chr(10) order by chunk_index) as text, count(*) as n from once group by all")
 def category_field_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each deal and field, the texts of the first 15 clauses of its categories, put together."""
-    return fields.field_texts(fields.matched(_schema(spark), _clauses(spark, sf_dir)))
+    return fields.field_texts(fields.matched(_schema(spark), _clauses(spark, sf_dir), 15))
 
 
 @query(
-    f"""{_MATCHED}, joined as (select deal_id, field_name, count(*) as n from once group by all),
+    f"""{_MATCHED}, joined as (select deal_id, field_name, string_agg(text, chr(10) || chr(10) || repeat('-', 40) || chr(10) || chr(10) order by chunk_index) as text from once group by all),
+told as (select *, case field_name when 'licence' then ['which', 'license', 'applies'] when 'languages' then ['which', 'languages'] else [] end as words from joined),
 every as (select distinct source as deal_id, f.section_ord, f.section, f.field_ord, f.field_name from documents,
   (values (0, 'Parties', 0, 'licence'), (0, 'Parties', 1, 'languages'), (1, 'Terms', 0, 'nothing')) f(section_ord, section, field_ord, field_name))
-select deal_id, e.section_ord::int as section_ord, section, e.field_ord::int as field_ord, field_name, j.n is not null as has_text,
+select deal_id, e.section_ord::int as section_ord, section, e.field_ord::int as field_ord, field_name,
+  case when j.text is null then 'No relevant sections found'
+    else coalesce(trim(list_filter(regexp_extract_all(j.text, '[^.\n]+'), lambda s: len(list_filter(j.words, lambda w: contains(lower(s), w))) > 0)[1]), 'NA') end as answer,
   case field_name when 'nothing' then 'field has no categories' end as error,
   case field_name when 'licence' then 'licensing' when 'languages' then 'french,german' else '' end as categories_used
-from every e left join joined j using (deal_id, field_name)"""
+from every e left join told j using (deal_id, field_name)"""
 )
 def field_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for every deal and field of the schema, and whether clauses were found for it."""
-    backend = FirstSentence()
-    rows = fields.extract(_schema(spark), _clauses(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("source").alias("deal_id")), backend)
-    return rows.select("deal_id", "section_ord", "section", "field_ord", "field_name", (F.col("answer") != backend.nothing).alias("has_text"), "error", F.array_join("categories_used", ",").alias("categories_used"))
+    """A row for every deal and field of the schema, with the stand-in's answer from the first 15 clauses of its categories."""
+    rows = fields.extract(_schema(spark), _clauses(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("source").alias("deal_id")), FirstSentence(), 15)
+    return rows.select("deal_id", "section_ord", "section", "field_ord", "field_name", "answer", "error", F.array_join("categories_used", ",").alias("categories_used"))
 
 
 _NUMBERED = "select doc_id, source as deal_id, row_number() over (partition by source order by doc_id) - 1 as chunk_index, text from documents"
@@ -242,7 +244,7 @@ def explode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event's open properties as columns."""
     parsed = F.try_parse_json("props")
     k = F.try_variant_get(parsed, "$.k", "string")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.try_to_number(k, F.lit("999999999")).cast("long").alias("k_number"), replies.is_object(F.col("props")).alias("is_object"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), replies.whole_number(k).alias("k_number"), replies.is_object(F.col("props")).alias("is_object"))
 
 
 #: Replies by remainder of an event's id: fenced, without an answer, junk around one, none, no object.

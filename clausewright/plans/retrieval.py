@@ -10,6 +10,7 @@ from ..operators.backends import Classifier, Embedding, Generator
 from ..operators.context import context_block, first_of
 from ..operators.flatten import flatten
 from ..operators.search import top_k
+from ..operators.threads import asked
 from ..operators.trim import LIMIT, trim
 
 #: What a summary asks, when nothing else is given.
@@ -36,21 +37,33 @@ def vectors_of(files: DataFrame, classifier: Classifier, embedding: Embedding, l
 
 def retrieve(vectors: DataFrame, questions: DataFrame, embedding: Embedding, k: int = 5, per_deal: bool = True) -> DataFrame:
     """questions: query_id (long), query, deal_id. The k nearest clauses of each, of its own deal if per_deal: query_id, query, rank, cosine and the clause's columns."""
-    asked = questions.withColumn("embedding", embedding.embed(F.col("query")))
-    numbered = vectors.withColumn("vec_id", F.xxhash64("chunk_id"))
-    found = top_k(numbered, asked.select(F.col("query_id").alias("vec_id"), "embedding", "deal_id"), k, same="deal_id" if per_deal else None)
-    return found.join(questions.select("query_id", "query"), "query_id").join(numbered.drop("embedding"), "vec_id").drop("vec_id")
+    embedded = questions.withColumn("embedding", embedding.embed(F.col("query")))
+    found = top_k(vectors, embedded.select("query_id", "embedding", "deal_id"), k, "chunk_id", same="deal_id" if per_deal else None, query_col="query_id").withColumnRenamed("vec_id", "chunk_id")
+    return found.join(questions.select("query_id", "query"), "query_id").join(vectors.drop("embedding"), "chunk_id")
 
 
-def answers(found: DataFrame, generator: Generator) -> DataFrame:
-    """query_id, query, answer, context, usage (approximate): one row a question."""
+def answers(found: DataFrame, generator: Generator, histories: DataFrame | None = None) -> DataFrame:
+    """query_id, query, answer, context, usage (approximate): one row a question.
+
+    histories: query_id and history (an array of role and content, in order), what was said before some of the questions.
+    """
     category = F.array_join("categories", ", ")
     blocks = found.groupBy("query_id", "query").agg(context_block(F.col("rank"), F.col("label"), category, F.col("combined_text")).alias("context"))
-    out = blocks.withColumn("answer", generator.answer(F.col("query"), F.col("context")))
+    if histories is None:
+        out = blocks.withColumn("answer", generator.answer(F.col("query"), F.col("context")))
+    else:
+        met = blocks.join(histories.select("query_id", "history"), "query_id", "left")
+        out = met.withColumn("answer", generator.answer(F.col("query"), F.col("context"), F.col("history")))
     sent, got = words_used(F.concat("query", F.lit(" "), "context")), words_used(F.col("answer"))
     return out.select("query_id", "query", "answer", "context", F.struct(sent.alias("prompt_tokens"), got.alias("completion_tokens"), (sent + got).alias("total_tokens")).alias("usage"))
 
 
+def thread_replies(messages: DataFrame, generator: Generator, thread_col: str = "thread_id", at: str = "created_at", content_col: str = "content", limit: int | None = None) -> DataFrame:
+    """thread, question, answer: to the last message of a user in every thread, one reply from what was said before it."""
+    met = asked(messages, thread_col, at, content_col=content_col, limit=limit)
+    return met.select(thread_col, "question", generator.answer(F.col("question"), F.lit(""), F.col("history")).alias("answer"))
+
+
 def summaries(found: DataFrame, generator: Generator) -> DataFrame:
     """deal_id, summary, context: clauses found for several questions, each text once, under the question that found it first."""
     once = first_of(found, ["deal_id", "combined_text"], ["query_id", "rank"])

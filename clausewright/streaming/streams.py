@@ -33,5 +33,5 @@ def log_windows(log: DataFrame, at: str = "ts", kind: str = "event_type", width:
 
 
 def last_states(log: DataFrame, key: str, state: str, at: str) -> DataFrame:
-    """The last state of every key; as a stream, write it in complete or update mode."""
-    return log.groupBy(key).agg(F.max_by(state, at).alias(state), F.max(at).alias(at))
+    """The last state of every key, of those of one time the greatest; as a stream, write it in complete or update mode."""
+    return log.groupBy(key).agg(F.max(F.struct(at, state)).alias("last")).select(key, f"last.{state}", f"last.{at}")

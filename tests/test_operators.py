@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clausewright.functions import replies, text
+from clausewright.functions import prompts, replies, text
 from clausewright.operators import backends, context, deals, fields, numbering, search, threads, trim, updates
 from clausewright.plans import retrieval
 from clausewright.sources import files as sources
@@ -51,6 +51,63 @@ def test_classification(spark, reply, wanted):
     assert (got.categories, got.clause_summary) == wanted
 
 
+def test_whole_numbers(spark):
+    rows = spark.createDataFrame([(t,) for t in ("12345678901", "-7", " 8 ", "+9", "1.5", "1e3", "x", "", None, "9" * 19)], "t string")
+    assert [r.n for r in rows.select(replies.whole_number(F.col("t")).alias("n")).collect()] == [12345678901, -7, 8, 9, None, None, None, None, None, None]
+
+
+def test_fences(spark):
+    rows = spark.createDataFrame([("```json\n{}\n```",), ("a ``` b ``` c",), ("```one",), ("none",), ("``````",)], "t string")
+    assert [r.x for r in rows.select(replies.unfenced(F.col("t")).alias("x")).collect()] == ["{}", "b", "```one", "none", "``````"]
+
+
+def test_prompts_hold_what_was_said_before(spark):
+    history = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("b").alias("content")), F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content")))
+    told = one(spark, prompts.chat(F.lit("q"), F.lit("c"), history))
+    assert [m.role for m in told] == ["system", "assistant", "user", "user"] and told[0].content.endswith("\n\nc") and told[-1].content == "q"
+    assert len(one(spark, prompts.chat(F.lit("q"), F.lit("c"), F.lit(None).cast("array<struct<role:string,content:string>>")))) == 2
+    assert one(spark, prompts.summary(F.lit("c")))[0].content.endswith("c")
+
+
+def test_threads_of_equal_times_go_by_id(spark):
+    rows = [("t", 1, k, "user" if k < 3 else "assistant", f"m{k}") for k in (3, 1, 2, 0)] + [("u", 1, 9, "assistant", "x")]
+    m = spark.createDataFrame(rows, "thread_id string, created_at int, message_id int, role string, content string").repartition(3)
+    assert [r.message_id for r in threads.page(m, "t", 2).collect()] == [2, 3]
+    assert [r.message_id for r in threads.pages(m, 3, "asc").where("thread_id = 't'").orderBy("place").collect()] == [2, 1, 0]
+    (row,) = threads.asked(m).collect()
+    assert (row.thread_id, row.question, [h.content for h in row.history]) == ("t", "m2", ["m0", "m1"])
+    assert [h.content for h in threads.asked(m, limit=1).head().history] == ["m1"]
+    assert retrieval.thread_replies(m, backends.TopLines(1)).head().answer == "m1"
+
+
+def test_answers_know_what_was_said_before(spark):
+    found = spark.createDataFrame([(1, "q", 1, "l", ["c"], "text"), (2, "r", 1, "l", ["c"], "other")], "query_id long, query string, rank int, label string, categories array<string>, combined_text string")
+    said = spark.createDataFrame([(1, [("user", "before")])], "query_id long, history array<struct<role:string,content:string>>")
+
+    class Echo:
+        def answer(self, question, context, history=None):
+            return F.concat(question, F.coalesce(F.array_join(history["content"], ","), F.lit("")))
+
+    assert {r.query_id: r.answer for r in retrieval.answers(found, Echo(), said).collect()} == {1: "qbefore", 2: "r"}
+
+
+def test_search_by_text_ids_and_values_with_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "VECTORS", 7)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    x = np.random.default_rng(1).normal(size=(120, 5))
+    rows = [(f"v{i:03}", "hot" if i % 4 else f"k{i % 3}", r.tolist()) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "name string, deal string, embedding array<double>").repartition(4)
+    q = v.where("name like '%0'").withColumnRenamed("name", "q")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.top_k(v, q, 4, "name", same="deal", query_col="q").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 120, 10):
+        score = np.round(unit[i] @ unit.T, 9)
+        own = sorted((j for j in range(120) if rows[j][1] == rows[i][1]), key=lambda j: (-score[j], j))[:4]
+        assert [got[rows[i][0], k + 1] for k in range(len(own))] == [rows[j][0] for j in own]
+
+
 def test_metadata_and_decoded(spark):
     assert one(spark, replies.metadata(F.lit('text {"a": 1} more'))) == '{"a": 1}'
     assert one(spark, replies.metadata(F.lit("none"))) is None
@@ -189,6 +246,15 @@ def test_question_to_answer(spark):
     assert block.context.count("The price is one dollar") == 1
 
 
+def test_contract_files_are_read_and_listed(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a_b.json").write_text('[{"title":"T",\n"text":"x"}]')
+    (tmp_path / "deep" / "c.json").write_text("[]")
+    (tmp_path / "d.txt").write_text("no contract")
+    assert sorted((r.deal_id, r.raw) for r in sources.contracts(spark, str(tmp_path)).collect()) == [("a_b", '[{"title":"T",\n"text":"x"}]'), ("c", "[]")]
+    assert sorted(r.length for r in sources.listing(spark, str(tmp_path)).collect()) == [2, 27]
+
+
 def test_sheet_keeps_zeros(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Target Name,CIK Number,More\nA,0000123,x\n")
     row = sources.sheet(spark, str(tmp_path / "s.csv")).head()
