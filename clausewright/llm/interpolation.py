@@ -55,22 +55,27 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _block(batches: Iterator[pa.RecordBatch]) -> dict | None:
     """All tokens of one block's documents: their hashes by order (single, pair, triple), and of each document its number of tokens, kind and id."""
-    got: list[tuple] = []
+    got: list[list] = [[] for _ in range(ORDERS + 3)]
     for batch in batches:
         data, bounds = column(batch)
         kind, ids = batch.column("kind").to_numpy(), batch.column("doc_id")
         for a, z, own, cuts in pieces(data, bounds):
             *orders, first = tokens(own, cuts)
-            got.append((*orders, np.diff(first), kind[a:z], ids.slice(a, z - a)))
-    if not got:
+            for held, x in zip(got, (*orders, np.diff(first), kind[a:z], ids.slice(a, z - a)), strict=True):
+                held.append(x)
+    if not got[-1]:
         return None
-    *orders, n, kind = (np.concatenate([g[k] for g in got]) for k in range(ORDERS + 2))
-    return {"orders": orders, "n": n, "kind": kind, "ids": pa.chunked_array([g[-1] for g in got]).combine_chunks()}
+    ids = pa.chunked_array(got.pop()).combine_chunks()
+    whole = []
+    while got:  # one by one, so that no two copies of all of them are there at once
+        whole.append(np.concatenate(got.pop(0)))
+    return {"orders": whole[:ORDERS], "n": whole[ORDERS], "kind": whole[ORDERS + 1], "ids": ids}
 
 
 #: kind of a document: 0 isn't learned from, 1 is, 2 is and is held out when the weights are learned
-ASK = "block int, part int, order int, hashes binary, learned binary"
-ANSWER = "block int, part int, order int, learned binary, held binary, total long, held_total long, distinct long"
+ASK = "block int, part int, hashes array<binary>, learned array<binary>"
+#: Arrays are by order; totals come with a part's first answer.
+ANSWER = "block int, part int, learned array<binary>, held array<binary>, total array<long>, held_total array<long>, distinct array<long>"
 
 
 #: Bytes by which hashes of single tokens, of pairs and of triples travel; the part a hash belongs to adds to these. A pair
@@ -127,18 +132,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int,
 
 
 def _asks(parts: int):
+    """One row a block and part, with the block's hashes of all orders that belong to the part, and how often its documents teach each."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, own in _grouped(batches, "block"):
             block = _block(own)
             learns = np.repeat(block["kind"], block["n"]) > 0
+            packed: list[list] = [[], []]
             for order in range(ORDERS):
                 hashes, at = np.unique(block["orders"][order], return_inverse=True)
+                block["orders"][order] = None
                 learned = np.bincount(at[learns], minlength=len(hashes))
                 by_part, cuts = _routes(hashes, parts)
-                own = [(k, by_part[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
-                same = [pa.array(np.full(len(own), x, np.int32)) for x in (number, order)]
-                packed = [[_packed(hashes[i], WIDTH[order]) for _, i in own], [_small(learned[i]) for _, i in own]]
-                yield pa.record_batch([same[0], pa.array([k for k, _ in own], pa.int32()), same[1], *(pa.array(x, pa.binary()) for x in packed)], ["block", "part", "order", "hashes", "learned"])
+                own = [by_part[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                packed[0].append([_packed(hashes[i], WIDTH[order]) for i in own])
+                packed[1].append([_small(learned[i]) for i in own])
+            some = [k for k in range(parts) if any(x[k] for x in packed[0])]
+            arrays = [pa.array([[x[k] for x in by_order] for k in some], pa.list_(pa.binary())) for by_order in packed]
+            yield pa.record_batch([pa.array(np.full(len(some), number, np.int32)), pa.array(some, pa.int32()), *arrays], ["block", "part", "hashes", "learned"])
 
     return apply
 
@@ -149,33 +160,40 @@ def _added(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _answers(n_blocks: int):
-    """For each part and order: the sums over all blocks, in the order each block asked; totals and distinct counts with the first answer.
+    """For each part: the sums over all blocks, in the order each block asked; totals and distinct counts with the first answer.
 
     Blocks from n_blocks on hold the held-out documents; only they are told what was learned from these.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, "key"):
-            t = pa.Table.from_batches(rows).combine_chunks()
+        for part, rows in _grouped(batches, "part"):
+            block = np.concatenate([b.column("block").to_numpy() for b in rows])
+            asked, said_ = ([x for b in rows for x in b.column(c).to_pylist()] for c in ("hashes", "learned"))
             rows.clear()
-            every = [_unpacked(x, WIDTH[o]) for x, o in zip(t.column("hashes").to_pylist(), t.column("order").to_pylist(), strict=True)]
-            sizes = [len(x) for x in every]
-            hashes, at = np.unique(np.concatenate(every), return_inverse=True)
-            del every
-            said = [_large(x, n) for x, n in zip(t.column("learned").to_pylist(), sizes, strict=True)]
-            is_held = t.column("block").to_numpy() >= n_blocks
-            learned, held = _added(at, np.concatenate(said), len(hashes)), _added(at, np.concatenate([x * h for x, h in zip(said, is_held, strict=True)]), len(hashes))
-            cuts = np.cumsum([0, *sizes])
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            totals = (int(learned.sum()), int(held.sum()), int((learned > 0).sum()))
+            is_held = block >= n_blocks
+            learned_of: list[list] = [[] for _ in block]
+            held_of: list[list] = [[] for _ in block]
+            totals: list[list[int]] = [[], [], []]
+            for order in range(ORDERS):
+                every = [_unpacked(x[order], WIDTH[order]) for x in asked]
+                cuts = np.cumsum([0, *map(len, every)])
+                hashes, at = np.unique(np.concatenate(every), return_inverse=True)
+                n = len(hashes)
+                del every, hashes
+                said = np.concatenate([_large(x[order], k) for x, k in zip(said_, np.diff(cuts).tolist(), strict=True)])
+                of_held = np.repeat(is_held, np.diff(cuts))
+                learned, held = _added(at, said, n), _added(at[of_held], said[of_held], n)
+                for out, total in zip(totals, (learned.sum(), held.sum(), (learned > 0).sum()), strict=True):
+                    out.append(int(total))
+                for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    learned_of[k].append(_small(learned[at[a:z]]))
+                    if is_held[k]:
+                        held_of[k].append(_small(held[at[a:z]]))
+            none = [None] * (len(block) - 1)
+            lists = pa.list_(pa.binary())
             yield pa.record_batch(
-                [t.column(c).combine_chunks() for c in ("block", "part", "order")]
-                + [
-                    pa.array([_small(learned[at[a:z]]) for a, z in spans], pa.binary()),
-                    pa.array([_small(held[at[a:z]]) if h else None for (a, z), h in zip(spans, is_held, strict=True)], pa.binary()),
-                ]
-                + [pa.array([v, *[0] * (len(spans) - 1)], pa.int64()) for v in totals],
-                ["block", "part", "order", "learned", "held", "total", "held_total", "distinct"],
+                [pa.array(block, pa.int32()), pa.array(np.full(len(block), part, np.int32)), pa.array(learned_of, lists), pa.array([x or None for x in held_of], lists)] + [pa.array([t, *none], pa.list_(pa.int64())) for t in totals],
+                ["block", "part", "learned", "held", "total", "held_total", "distinct"],
             )
 
     return apply
@@ -183,15 +201,15 @@ def _answers(n_blocks: int):
 
 def _counts(block: dict, answers: list[tuple], parts: int, side: int) -> list[np.ndarray]:
     """By order, per token: how often its run was learned (side 0), or learned from held-out documents (side 1)."""
-    found = {(part, order): x for part, order, *x in answers}
+    found = {part: x[side] for part, *x in answers}
     out = []
     for order in range(ORDERS):
         hashes, at = np.unique(block["orders"][order], return_inverse=True)
         by_part, cuts = _routes(hashes, parts)
         n = np.zeros(len(hashes), np.int64)
         for k in range(parts):
-            if (k, order) in found:
-                n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k, order][side], cuts[k + 1] - cuts[k])
+            if k in found:
+                n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k][order], cuts[k + 1] - cuts[k])
         out.append(n[at])
     return out
 
@@ -257,7 +275,7 @@ def _joined(batches: Iterator[pa.RecordBatch], parts: int, sides: tuple[int, ...
     for _, rows in _grouped(batches, "block"):
         block = _block(b.filter(pc.is_null(b.column("part"))) for b in rows)
         if block is not None:
-            answers = [x for b in rows for x in zip(*(b.filter(pc.is_valid(b.column("part"))).column(c).to_pylist() for c in ("part", "order", "learned", "held")), strict=True)]
+            answers = [x for b in rows for x in zip(*(b.filter(pc.is_valid(b.column("part"))).column(c).to_pylist() for c in ("part", "learned", "held")), strict=True)]
             rows.clear()
             yield block, [_counts(block, answers, parts, side) for side in sides]
 
@@ -344,17 +362,16 @@ def scores(
     block = F.when(F.col("kind") == 2, n_blocks + F.pmod(dealt, F.lit(few))).otherwise(F.pmod(dealt, F.lit(n_blocks))).cast("int")
     blocks = own.withColumn("block", block).repartition(parts, "block").sortWithinPartitions("block")
     asked = blocks.mapInArrow(_asks(parts), ASK)
-    keyed = asked.withColumn("key", F.col("part") * ORDERS + F.col("order")).repartition(parts, "key").sortWithinPartitions("key")
-    answers = tables.cut(keyed.mapInArrow(_answers(n_blocks), ANSWER))
-    known = {r.order: r for r in answers.groupBy("order").agg(F.sum("total").alias("total"), F.sum("held_total").alias("held"), F.sum("distinct").alias("distinct")).collect()}
+    answers = tables.cut(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers(n_blocks), ANSWER))
+    sums = lambda c: F.sum(F.coalesce(F.col(c)[0], F.lit(0)))  # noqa: E731  of single tokens
+    total, held, distinct = answers.where("total is not null").agg(*[F.coalesce(sums(c), F.lit(0)) for c in ("total", "held_total", "distinct")]).head()
     learned_docs = {r.kind: r["count"] for r in own.groupBy("kind").count().collect()}
-    total, held, distinct = (known[0].total, known[0].held, known[0].distinct) if 0 in known else (0, 0, 0)
-    said = answers.select("block", "part", "order", "learned", "held", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("kind"))
+    null = F.lit(None)
+    said = answers.select("block", "part", "learned", "held", null.cast("long").alias("doc_id"), null.cast("string").alias("text"), null.cast("int").alias("kind"))
 
     def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
-        null = F.lit(None)
         asking = rows.withColumn("block", block).select(
-            "block", null.cast("int").alias("part"), null.cast("int").alias("order"), null.cast("binary").alias("learned"), null.cast("binary").alias("held"), "doc_id", "text", "kind"
+            "block", null.cast("int").alias("part"), null.cast("array<binary>").alias("learned"), null.cast("array<binary>").alias("held"), "doc_id", "text", "kind"
         )
         return asking.unionByName(answers).repartition(parts, "block").sortWithinPartitions("block")
 
@@ -368,4 +385,4 @@ def scores(
         mixture = weights, learned_trust([tuple(r) for r in long])
         tables.drop(sums)
     scored = _scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), *mixture)
-    return with_answers(own, said.withColumn("held", F.lit(None).cast("binary"))).mapInArrow(scored, SCORES)
+    return with_answers(own, said.withColumn("held", null.cast("array<binary>"))).mapInArrow(scored, SCORES)
