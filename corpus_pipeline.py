@@ -1,7 +1,8 @@
 """A training corpus from documents: quality, exact copies, near copies, the mix of sources, packing.
 
 Each stage works on what the one before it kept, written as Parquet and read again. All but the last return
-the columns of documents. The tables are those of sf_dir; labels teaches the quality classifier.
+the columns of documents. The tables are those of sf_dir; labels teaches the quality classifier. A stage has
+texts travel to Python in small batches: a setting of the session, which is the pipeline's.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the conditional random field finds good; a null text is one empty line."""
-    return crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return crf.keep_good(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to blanks, the one with the smallest doc_id; null counts as empty."""
+    small_batches(spark)
     return exact.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near links (five words, a similarity of 0.8) reach, the one with the smallest doc_id; texts without words all stay."""
+    small_batches(spark)
     return near.keep_one(docs, width=5, percent=80)
 
 
@@ -40,6 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048; a document that is there twice is packed twice."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -56,7 +60,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
