@@ -85,10 +85,12 @@ class Ids:
 
     def learn(self, words: set[bytes]) -> None:
         split, others, ascii_cores, wide_cores = [], [], set(), set()
+        together = b" ".join(words)
+        special = [t for t in self.special if t in together]
         for w in words:
             core = w.rstrip(_SIGNS)
             tail = w[len(core) :]
-            if any(t in w for t in self.special):
+            if special and any(t in w for t in special):
                 others.append(w)
                 continue
             if core.isalpha():  # of bytes: ASCII letters
