@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Tables, free_name, partitions, texts
@@ -264,36 +264,33 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     """links: a, b (long). node, part: the least node that can be reached, for every node of a link.
 
     A round points all larger neighbours of a node at the least one around it, then all smaller ones and the
-    node itself; it is written to the shared folder in place of the round before. Rounds go on until nothing changes.
+    node itself; it is written to the shared folder in place of the round before. Rounds go on until every
+    node has one link down, to a node that has none.
     """
 
-    def state(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+    def done(links: DataFrame) -> bool:
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")
+        by_node = links.select(ends).groupBy("e.node").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+        return not by_node.where("down > 1 or (down = 1 and up = 1)").head(1)
 
     links = tables.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = state(links)
-    while before[0]:
+    while not done(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # a node with very many neighbours meets its least in several tasks
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        large = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        links, last = tables.cut(large.join(low, "a").select(ends).select("e.a", "e.b").where("a <> b").distinct()), links
+        links, last = tables.cut(low.select(ends).select("e.a", "e.b").where("a <> b").distinct()), links
         tables.drop(last)
-        after = state(links)
-        if after == before:
-            break
-        before = after
     return links.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())
 
 
-def _left_over(shared: DataFrame, stars: DataFrame, classes: DataFrame, least: float, n_tasks: int, tables: Tables) -> DataFrame:
-    """shared: band, node, hub; stars: a, b, settled. a, b: pairs that join what the hubs leave apart in a bucket.
+def _left_over(shared: DataFrame, stars: DataFrame, parts: DataFrame, classes: DataFrame, least: float, n_tasks: int, tables: Tables) -> DataFrame:
+    """shared: band, node, hub; stars: a, b, settled; parts: what stars join. a, b: pairs that join what the hubs leave apart in a bucket.
 
     Members that their hub doesn't settle meet each other wherever they are in two parts or more, in tiles of two blocks.
     """
-    parts = components(stars.select("a", "b"), tables)
     settled = stars.where("settled").select(F.col("a").alias("hub"), F.col("b").alias("node"))
     rest = shared.where("node <> hub").join(settled, ["hub", "node"], "left_anti").select("band", "node")
     rest = tables.cut(rest.join(parts, "node", "left").select("band", "node", F.coalesce("part", "node").alias("part")))
@@ -365,11 +362,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # groups are what the alike of them join
     stars = shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     stars = tables.cut(_with(_with(stars, "a", classes, "registers", "ra"), "b", classes, "registers", "rb").mapInArrow(_alike(least), "a long, b long, bands long, settled boolean"))
-    more = _left_over(shared, stars, classes, least, n_tasks, tables)
-    alike = tables.cut(stars.drop("settled").unionByName(more.withColumn("bands", F.lit(1).cast("long"))))
-    tables.drop(shared, stars)
+    parts = components(stars.select("a", "b"), tables)
+    more = tables.cut(_left_over(shared, stars, parts, classes, least, n_tasks, tables))
+    alike = stars.drop("settled").unionByName(more.withColumn("bands", F.lit(1).cast("long")))
+    tables.drop(shared)
+    if more.head(1):
+        parts = components(parts.select(F.col("node").alias("a"), F.col("part").alias("b")).unionByName(more), tables)
     weights = classes.groupBy("node").agg(F.sum("weight").alias("weight"))
-    groups = tables.cut(components(alike.select("a", "b"), tables).withColumnRenamed("part", "grp").join(weights, "node"))
+    groups = tables.cut(parts.withColumnRenamed("part", "grp").join(weights, "node"))
     # the texts that later steps compare, once
     sources = tables.cut(plain.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     sizes = tables.cut(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
