@@ -84,13 +84,29 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (equal / np.maximum(used, 1) - COLLISION) / (1 - COLLISION), used
 
 
+def digests(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingle sets, and 128 bits of each that come from hashes of their own, so that texts are one class only if their words are equal."""
+    one, two = (find(data, bounds, BLANK_SEPARATED, fold=True, lane=k) for k in (0, 1))
+    whole = [grams(w.hash, width) for w in (one, two)]
+    sets, out = [], np.zeros((len(bounds) - 1, 2), U)
+    for k, (first, end) in enumerate(zip(one.first[:-1].tolist(), one.first[1:].tolist(), strict=True)):
+        n = end - first
+        if n >= width:
+            own, at = np.unique(whole[0][first : end - width + 1], return_index=True)
+            other = whole[1][first + at]
+        else:
+            own, other = (grams(w.hash[first:end], n) if n else np.zeros(0, U) for w in (one, two))
+        sets.append(own)
+        out[k] = mix(own ^ U(0x11)).sum(dtype=U), mix(other ^ U(0x22)).sum(dtype=U)
+    return sets, out
+
+
 def _signed(width: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = column(batch)
             for a, z, own, cuts in pieces(data, bounds):
-                sets = shingle_sets(own, cuts, width)
-                digest = np.array([[mix(s ^ U(k)).sum(dtype=U) for k in (0x11, 0x22)] for s in sets], U).reshape(-1, 2)
+                sets, digest = digests(own, cuts, width)
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(a, z - a),

@@ -31,10 +31,12 @@ from .words import U, column, find, grams, mix, pieces, starts
 
 #: Words of a seed, at most.
 SEED = 12
-#: part: the hashes' share of the work; hashes, rows, places: packed 64-bit, 64-bit and 32-bit numbers; sure: 1 where the
+#: part: the hashes' share of the work; hashes, rows, places: packed 64-bit, 64-bit and 32-bit numbers; checks: further 64
+#: bits of each hash, where an answer decides what is removed, else null; sure: 1 where the
 #: sender has the hash twice, and nobody waits for an answer. Without hashes it is no question: rows and places of a
 #: block that are certain already.
-ASK = "part int, block int, hashes binary, rows binary, places binary, sure binary"
+ASK = "part int, block int, hashes binary, checks binary, rows binary, places binary, sure binary"
+ASK_TABLE = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "checks", "rows", "places", "sure"))])
 #: Of the documents of one block: packed 64-bit numbers of documents and, for each, a 32-bit place.
 FOUND = "block int, rows binary, places binary"
 
@@ -55,8 +57,8 @@ class Asking:
     def __init__(self, parts: int, enough: int = 1 << 20):
         self.parts, self.enough, self.held, self.n = parts, enough, [], 0
 
-    def add(self, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((hashes, rows, places.astype(np.int32)))
+    def add(self, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        self.held.append((hashes, rows, places.astype(np.int32), np.zeros(0, U) if checks is None else checks))
         self.n += len(hashes)
         if self.n >= self.enough:
             yield from self.send()
@@ -64,29 +66,39 @@ class Asking:
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        hashes, rows, places = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        hashes, rows, places, checks = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        order = np.argsort(hashes, kind="stable")
+        checked = len(checks) == len(hashes)
+        order, at = _runs(hashes, checks if checked else None)
         hashes, rows, places = hashes[order], rows[order], places[order]
-        first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        at = np.flatnonzero(first)
         many = np.diff(np.append(at, len(hashes))) > 1
         twice = np.repeat(many, np.diff(np.append(at, len(hashes))))
         if twice.any():
             yield _certain(_packed(rows[twice], places[twice], self.parts))
-        hashes, rows, places = hashes[at], rows[at], places[at]
-        part = (mix(hashes + U(7)) % U(self.parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
-        own = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
-        packed = [pa.array([x[i].tobytes() for _, i in own], pa.binary()) for x in (hashes, rows, places, many)]
-        none = pa.nulls(len(own), pa.int32())
-        yield pa.record_batch([pa.array([k for k, _ in own], pa.int32()), none, *packed], ["part", "block", "hashes", "rows", "places", "sure"])
+        part = (mix(hashes[at] + U(7)) % U(self.parts)).astype(np.int32)
+        by_part = np.argsort(part, kind="stable")
+        part = part[by_part]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        own = [by_part[a:z] for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)]
+        packed = [pa.array([x[i].tobytes() for i in own], pa.binary()) for x in (hashes[at], checks[order][at] if checked else checks, rows[at], places[at], many) if len(x)]
+        if not checked:
+            packed.insert(1, pa.nulls(len(own), pa.binary()))
+        yield pa.record_batch([pa.array(part[cut], pa.int32()), pa.nulls(len(own), pa.int32()), *packed], ASK_TABLE.names)
+
+
+def _runs(hashes: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes, and where in it each run of equal ones (checks included) begins."""
+    order = np.argsort(hashes, kind="stable") if checks is None else np.lexsort((checks, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    if checks is not None:
+        new[1:] |= checks[order][1:] != checks[order][:-1]
+    return order, np.flatnonzero(new)
 
 
 def _certain(found: pa.RecordBatch) -> pa.RecordBatch:
     none = pa.nulls(len(found), pa.binary())
-    return pa.record_batch([found.column("block"), found.column("block"), none, found.column("rows"), found.column("places"), none], ["part", "block", "hashes", "rows", "places", "sure"])
+    return pa.record_batch([found.column("block"), found.column("block"), none, none, found.column("rows"), found.column("places"), none], ASK_TABLE.names)
 
 
 def _answers(blocks: int):
@@ -97,13 +109,12 @@ def _answers(blocks: int):
         for batch in batches:
             yield batch.filter(pc.is_null(batch.column("hashes"))).select(["block", "rows", "places"])
             asked = batch.filter(pc.is_valid(batch.column("hashes")))
-            for k, *x in zip(*(asked.column(c).to_pylist() for c in ("part", "hashes", "rows", "places", "sure")), strict=True):
+            for k, *x in zip(*(asked.column(c).to_pylist() for c in ("part", "hashes", "checks", "rows", "places", "sure")), strict=True):
                 parts.setdefault(k, []).append(tuple(x))
         for k in list(parts):
             got = parts.pop(k)
-            hashes, rows, places, sure = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in enumerate((U, np.int64, np.int32, bool)))
-            order = np.argsort(hashes, kind="stable")
-            at = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+            hashes, checks, rows, places, sure = (np.frombuffer(b"".join(x[i] or b"" for x in got), kind) for i, kind in enumerate((U, U, np.int64, np.int32, bool)))
+            order, at = _runs(hashes, checks if len(checks) else None)
             n = np.diff(np.append(at, len(hashes)))
             again = np.repeat((n > 1) | np.logical_or.reduceat(sure[order], at), n) & ~sure[order]
             if again.any():
@@ -166,15 +177,12 @@ class Places:
 
 
 def _with_places(docs: pa.Table, found: pa.Table):
-    """Pieces of a block's documents, with each one's number in the block, id and places."""
+    """Pieces of a block's documents (bytes, bounds, words), with each document's number in the piece, row and places."""
     places = Places(found)
     data, bounds = column(docs)
     rows = docs.column("row").to_pylist()
     for a, z, own, cuts in pieces(data, bounds):
-        yield a, z, own, find(own, cuts), [(k - a, rows[k], places.of(rows[k])) for k in range(a, z)]
-
-
-ASK_TABLE = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "rows", "places", "sure"))])
+        yield own, cuts, find(own, cuts), [(k - a, rows[k], places.of(rows[k])) for k in range(a, z)]
 
 
 def lengths(window: int) -> list[int]:
@@ -190,7 +198,7 @@ def _doubled(length: int, longer: int, parts: int):
 
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         asking, out = Asking(parts), []
-        for _, _, _, words, each in _with_places(docs, found):
+        for _, _, words, each in _with_places(docs, found):
             runs = grams(words.hash, longer)
             for k, row, place in each:
                 at = np.unique(np.concatenate((place, place + (length - longer))))
@@ -202,12 +210,15 @@ def _doubled(length: int, longer: int, parts: int):
 
 
 def _windows(window: int, length: int, parts: int):
-    """All windows that hold a repeated run of `length` words."""
+    """All windows that hold a repeated run of `length` words, asked about with 128 bits."""
 
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         asking, out = Asking(parts), []
-        for _, _, _, words, each in _with_places(docs, found):
+        for own, cuts, words, each in _with_places(docs, found):
+            if not any(len(place) for _, _, place in each):
+                continue
             whole = grams(words.hash, window)
+            check = grams(find(own, cuts, lane=1).hash, window)
             for k, row, place in each:
                 n = words.counts[k] - window + 1
                 if n <= 0 or not len(place):
@@ -216,7 +227,7 @@ def _windows(window: int, length: int, parts: int):
                 np.add.at(mark, np.clip(place - (window - length), 0, n), 1)
                 np.add.at(mark, np.clip(place + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-                out += asking.add(whole[words.first[k] + at], np.full(len(at), row), at)
+                out += asking.add(whole[words.first[k] + at], np.full(len(at), row), at, check[words.first[k] + at])
         return pa.Table.from_batches([*out, *asking.send()], ASK_TABLE)
 
     return apply
@@ -228,7 +239,7 @@ KEPT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "k
 def _kept(window: int, keep_text: bool):
     def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in KEPT}
-        for _, _, own, words, each in _with_places(docs, found):
+        for own, _, words, each in _with_places(docs, found):
             raw = own.tobytes()
             for k, _, place in each:
                 n = int(words.counts[k])
@@ -253,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Every word goes that is covered by a window of `window`
     words (2 at least) which also starts elsewhere, in another document or the same. A null text has no
     words; texts shorter than the window stay whole; of repeated rows, each repeats the other. An empty
-    table gives no rows. Sequences are compared by 64-bit hashes of hashes of words. part_bytes: text that
+    table gives no rows. Windows are compared by 128 bits of hashes of their words. part_bytes: text that
     one task may hold.
     """
     if window < 2:

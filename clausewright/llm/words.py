@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes of text that are hashed together: small enough for the arrays to stay in cache.
 PIECE = 1 << 19
-_STEP = U(0x9E3779B97F4A7C13)  # odd, 3 modulo 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,27 +40,24 @@ BLANK_SEPARATED = letters()
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` before A-Z are lower-cased
 ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
-_EXACT = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
-_powers = [np.ones(0, U), np.ones(0, U)]
+#: A byte's number by lane. Lanes hash alike but from other numbers, so that two together make 128 bits.
+_EXACT = [mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407) + U(k << 60)) for k in (0, 1)]
+_FOLDED = [table.copy() for table in _EXACT]
+for _table, _exact in zip(_FOLDED, _EXACT, strict=True):
+    _table[65:91] = _exact[97:123]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        inverse = U(pow(int(_STEP), -1, 1 << 64))
-        for k, base in enumerate((_STEP, inverse)):
-            x = np.full(n, base, U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0], _powers[1]
+def _hashed(total: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """The hash of bytes from the sum of their numbers; the length keeps words of summands that cancel apart."""
+    return mix(total + np.asarray(length).astype(U) * U(0x9FB21C651E98DF25))
 
 
 @dataclass
 class Words:
     """start, end: bytes of each word in the piece; hash: of its bytes; first: for each text, and once more, its first word's number.
 
-    sums: running sums from which the hash of any bytes within a word follows.
+    sums: running sums of numbers that each depend on a byte and its place in its word, and not linearly on
+    either: sums of powers, say, would take long words of a certain build for each other.
     """
 
     start: np.ndarray
@@ -74,7 +70,7 @@ class Words:
         """Hashes of the first n bytes of words that are longer, and those words' numbers."""
         long = np.flatnonzero(self.end - self.start > n)
         at = self.start[long]
-        return mix((self.sums[at + n] - self.sums[at]) * _power(len(self.sums))[1][at] + U(n << 32)), long
+        return _hashed(self.sums[at + n] - self.sums[at], n), long
 
     @property
     def counts(self) -> np.ndarray:
@@ -85,8 +81,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def find(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = BLANK_SEPARATED, fold: bool = False) -> Words:
-    """bounds: where each text begins in data, and where the last ends. fold: A-Z count as a-z."""
+def find(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = BLANK_SEPARATED, fold: bool = False, lane: int = 0) -> Words:
+    """bounds: where each text begins in data, and where the last ends. fold: A-Z count as a-z. lane: 0 or 1."""
     inside = table[data]
     before = np.empty_like(inside)
     before[:1], before[1:] = False, inside[:-1]
@@ -97,11 +93,15 @@ def find(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = BLANK_SEPARAT
     after[-1:], after[:-1] = False, inside[1:]
     after[full[full > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power(len(data) + 1)
+    place = np.arange(len(data), dtype=U)
+    begun = np.zeros(len(data), U)
+    begun[start] = start
+    place -= np.maximum.accumulate(begun)
+    number = (_FOLDED if fold else _EXACT)[lane][data] + place * U(0x9E3779B97F4A7C15)
+    number = (number ^ (number >> U(32))) * U(0xD6E8FEB86659FD93)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((_FOLDED if fold else _EXACT)[data] * power[: len(data)], out=sums[1:])
-    value = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(U)
-    return Words(start, end, mix(value), np.searchsorted(start, bounds), sums)
+    np.cumsum(number ^ (number >> U(29)), out=sums[1:])
+    return Words(start, end, _hashed(sums[end] - sums[start], end - start), np.searchsorted(start, bounds), sums)
 
 
 def grams(one: np.ndarray, n: int) -> np.ndarray:

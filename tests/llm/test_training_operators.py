@@ -18,7 +18,7 @@ TOKENIZER = P.path("word_bpe_49k.json")
 
 
 def got(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
 def same(rows):
@@ -544,3 +544,17 @@ def test_the_machine_learns_a_pair_whose_terms_are_balanced_alone():
     model = toxicity.fit(slots[:1500], label[:1500])
     score = toxicity.machine(toxicity.present(slots[1500:], model["kept"]).astype(float), model["w0"][0], model["w"], model["v"])
     assert np.mean((score > 0) == label[1500:]) > 0.95
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    """Thue-Morse words and their complements are different words to every operator that hashes words."""
+    from test_words import thue_morse
+
+    x, y = (f"{thue_morse(1024, *ab)}" for ab in ("ab", "ba"))
+    rows = [(1, f"{x} b c d e f"), (2, f"{y} b c d e f"), (3, f"{x} " * 3 + "u v w"), (4, f"{y} " * 3 + "u v w"), (5, f"{x} {y} z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substring.remove_repeats(df, window=3, keep_text=False)) == same(brute.kept_words(rows, 3))
+    assert got(near.near_groups(df, percent=80)) == same(brute.components(rows, percent=80))
+    found = interpolation.scores(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()
+    wanted = {r[0]: r for r in brute.base_scores(rows)}
+    assert all(tuple(r)[:5] == wanted[r.doc_id][:5] and abs(r.base_score - wanted[r.doc_id][5]) < 1e-6 for r in found)

@@ -38,3 +38,18 @@ def test_grams_tell_sequences_apart(items, n):
     wanted = [tuple(items[k : k + n]) for k in range(len(items) - n + 1)]
     assert len(got) == len(wanted)
     assert len(set(got.tolist())) == len(set(wanted)) == len(set(zip(got.tolist(), wanted, strict=True)))
+
+
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+def test_long_words_of_any_build_have_hashes_of_their_own():
+    """Sequences whose differences a sum of powers can't see, their complements, and changes of one bit."""
+    made = [thue_morse(n, *ab) for n in (512, 1024, 2048, 4096, 65_536) for ab in ("ab", "ba", "aq")]
+    made += [w[:k] + chr(ord(w[k]) ^ bit) + w[k + 1 :] for w in made[:6] for k in (0, 100, 511) for bit in (1, 2, 4)]
+    made += [w * k for w in ("ab", "ba", "a", "b") for k in range(300, 320)]
+    made = sorted(set(made))
+    for lane in (0, 1):
+        data, bounds = W.column(pa.record_batch({"text": pa.array([" ".join(made)])}))
+        assert len(set(W.find(data, bounds, lane=lane).hash.tolist())) == len(made)
