@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity
+from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity, trie
 from .store import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.scores(_table(spark, sf_dir))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"), family=5)
+
+
+ORACLE_SQL["op13_conversation_trie"] = trie.TRIE_SQL.format(conversations="conversations", family=5, longest=8)

@@ -34,8 +34,23 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for name in [path for df, path in self.written if any(df is t for t in tables)]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(name)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all but these."""
+        self.drop(*[df for df, _ in self.written if not any(df is t for t in tables)])
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, failed: type | None, *_: object) -> None:
+        """Leaves nothing behind where a step fails."""
+        if failed:
+            self._delete(self.folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,6 +58,16 @@ def cut(df: DataFrame) -> DataFrame:
     return Tables(df.sparkSession).cut(df)
 
 
+def looked_up(many: DataFrame, one: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """many with the columns of the row of `one` that has its key, but for the weight: as an inner join.
+
+    weight: how many rows of many a key has at most; total: what they add up to. Keys with a thousandth of
+    all or more are a thousand at most and are sent to all tasks, so no key has more than that in a shuffle.
+    """
+    large = F.col(weight) * 1000 >= total
+    return many.join(F.broadcast(one.where(large).drop(weight)), key).unionByName(many.join(one.where(~large).drop(weight), key))
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """For applications, before they run an operator: texts then travel to Python in batches of a few MB, whatever their size.
 

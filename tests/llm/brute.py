@@ -221,3 +221,37 @@ def gapless(places):
     """places: (offset, length) of one sequence."""
     places = sorted(places)
     return places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in pairwise(places))
+
+
+def sizes_of(text):
+    return len((text or "").encode())
+
+
+def rebuilt_conversations(rows, family=5, longest=8):
+    """rows: conv_id, turn, role, text. For each conversation the list of (role, text), its beginning taken from its family's first."""
+    own = defaultdict(list)
+    key = lambda r: (r[1] is not None, r[1] or 0, hashlib.sha256(f"{sizes_of(r[2])}:".encode() + (r[2] or "").encode() + (r[3] or "").encode()).digest())
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=key):
+        own[c].append((role or "", text or ""))
+    out = {}
+    for c, said in own.items():
+        h = zlib.crc32(str(c).encode()) % (longest + 1)
+        out[c] = own.get(c - int(math.fmod(c, family)), [])[:h] + said[h:]
+    return out
+
+
+def trie_nodes(conversations):
+    """Rows of the trie of conversations (id to list of turns), each node from its members."""
+    members = defaultdict(set)
+    for c, said in conversations.items():
+        for d in range(len(said) + 1):
+            members[tuple(said[:d])].add(c)
+    out = []
+    for node, who in members.items():
+        d = len(node)
+        below = [x for x in members if x[:d] == node]
+        ends = ",".join(str(c) for c in sorted(who) if len(conversations[c]) == d)
+        childless = [x for x in below if not any(len(y) == len(x) + 1 and y[: len(x)] == x for y in below)]
+        saved = sum((len(members[x]) - 1) * sizes_of(x[-1][1]) for x in below if x)
+        out.append((min(who), d, min(members[node[:-1]]) if d else None, len(who), sum(len(x) == d + 1 for x in below), len(childless), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
