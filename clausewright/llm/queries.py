@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity, trie
+from . import alignment, crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity, trie
 from .store import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,13 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.scores(_table(spark, sf_dir))
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"), family=5)

@@ -255,3 +255,40 @@ def trie_nodes(conversations):
         saved = sum((len(members[x]) - 1) * sizes_of(x[-1][1]) for x in below if x)
         out.append((min(who), d, min(members[node[:-1]]) if d else None, len(who), sum(len(x) == d + 1 for x in below), len(childless), saved, hashlib.sha256(ends.encode()).hexdigest()))
     return sorted(out, key=repr)
+
+
+def alignments(rows, tokenizer, pieces):
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_best_a by two pointers. tokenizer, pieces: the libraries' own."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(x for x in range(256) if x not in shown)}
+    done = []
+    for i, t in rows:
+        a, b = tokenizer.encode(" " + (t or ""), add_special_tokens=False).ids, pieces.encode(t or "")
+        of_a = [bytes(letter[c] for c in tokenizer.id_to_token(x)) for x in a]
+        of_b = [bytes.fromhex(p[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(pieces.id_to_piece, b)]
+        if not t or b"".join(of_a) != (" " + t).encode() or b"".join(of_b) != (" " + t).encode():
+            done.append((i, [], [], [], []))
+            continue
+        links, groups, x, y, end_a, end_b, own = [], [], 0, 0, len(of_a[0]), len(of_b[0]), ([a[0]], [b[0]])
+        while True:
+            links.append((a[x], b[y]))
+            if end_a == end_b:
+                groups.append(",".join(map(str, own[0])) + "|" + ",".join(map(str, own[1])))
+                own = ([], [])
+            step_a, step_b = end_a <= end_b, end_b <= end_a
+            x, y = x + step_a, y + step_b
+            if x == len(a):
+                break
+            if step_a:
+                end_a += len(of_a[x])
+                own[0].append(a[x])
+            if step_b:
+                end_b += len(of_b[y])
+                own[1].append(b[y])
+        done.append((i, a, b, links, groups))
+    count = Counter(pair for *_, links, _ in done for pair in links)
+    most: dict = defaultdict(int)
+    for (a, b), n in count.items():
+        most["a", a], most["b", b] = max(most["a", a], n), max(most["b", b], n)
+    best = lambda links, side: sum(count[p] == most["ab"[side], p[side]] for p in links)
+    return [(i, len(a), len(b), len(g), len(ls), best(ls, 1), sum(count[p] for p in ls), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "", best(ls, 0)) for i, a, b, ls, g in done]
