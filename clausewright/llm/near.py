@@ -206,7 +206,11 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
 def joining(part: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Confirmed links of one tile that join its parts, one for each two that become one; and for each member the part's first member."""
     both, size = common(sets), np.array([len(s) for s in sets], np.float32)
-    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+    return joined(part, side, (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both)))
+
+
+def joined(part: np.ndarray, side: np.ndarray, linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """What joining() returns, of a square of the members' links."""
     _, of = np.unique(part, return_inverse=True)
     top = list(range(of.max() + 1))
 
@@ -263,10 +267,18 @@ def _met(least: float):
 def _tiled(width: int, percent: int, keys: list[str], settle: bool):
     """Returns the links of a tile that join parts, or with settle every node and the least one of its part."""
 
+    def compared(t: pa.Table, part: np.ndarray, side: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        return joining(part, side, [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)], percent)
+
+    return tiled(compared, keys, settle)
+
+
+def tiled(compared, keys: list[str], settle: bool):
+    """Of each tile what compared() says of its rows: the links that join parts, or with settle every node and the least one of its part."""
+
     def done(t: pa.Table) -> pa.RecordBatch:
-        sets = [s for _, _, own, cuts in pieces(*column(t)) for s in shingle_sets(own, cuts, width)]
         node, part, side = (t.column(c).to_numpy() for c in ("node", "part", "side"))
-        links, top = joining(part, side, sets, percent)
+        links, top = compared(t, part, side)
         if settle:
             least = np.full(top.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, top, node)
@@ -329,12 +341,15 @@ def _blocks_of(n: str, weight: str):
     return F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(weight) / WEIGHT)).cast("int")
 
 
-def _large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, width: int, percent: int, n_tasks: int, tables: Tables) -> DataFrame:
-    """groups: grp, node, weight. node, part for each: every node is compared with the one it shares most bands with, then parts with parts."""
+def large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, confirmed, tile, n_tasks: int, tables: Tables) -> DataFrame:
+    """groups: grp, node, weight. node, part for each: every node is compared with the one it shares most bands with, then parts with parts.
+
+    sources: node, text (or what else is compared). confirmed: of rows a, b, ta, tb leaves the links; tile: of sorted rows of tiles returns links.
+    """
     own = alike.join(groups.select(F.col("node").alias("b")), "b", "left_semi")
     nearest = own.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
     pairs = _with(_with(nearest, "a", sources, "text", "ta"), "b", sources, "text", "tb").select("a", "b", "ta", "tb")
-    links = tables.cut(pairs.mapInArrow(_confirmed(width, percent), "a long, b long"))
+    links = tables.cut(pairs.mapInArrow(confirmed, "a long, b long"))
     members = tables.cut(groups.join(components(links, tables), "node", "left").select("grp", "node", "weight", F.coalesce("part", "node").alias("part")))
     sizes = members.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "part")).alias("most")).where("n > most.n")
@@ -348,7 +363,7 @@ def _large_groups(groups: DataFrame, alike: DataFrame, sources: DataFrame, width
     block = F.when(F.col("in_most"), F.col("n_rest") + F.col("k")).otherwise(F.col("k"))  # blocks of the largest part are numbered after the others
     dealt = dealt.select("grp", "node", "part", F.least(block, "o").alias("i"), F.greatest(block, "o").alias("j"), F.when(block == F.col("o"), 0).when(block < F.col("o"), 1).otherwise(2).alias("side"))
     held = _with(dealt, "node", sources, "text", "text").repartition(n_tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    more = tables.cut(held.mapInArrow(_tiled(width, percent, ["grp", "i", "j"], False), "a long, b long"))
+    more = tables.cut(held.mapInArrow(tile, "a long, b long"))
     if not more.head(1):
         return members.select("node", "part")
     # what the tiles join, between the parts there were
@@ -395,7 +410,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = small.mapInArrow(_tiled(width, percent, ["grp"], True), "node long, part long").distinct()
     large = sizes.where(~few)
     if large.head(1):
-        parts = parts.unionByName(_large_groups(groups.join(large.select("grp"), "grp"), alike, sources, width, percent, n_tasks, tables))
+        tile = _tiled(width, percent, ["grp", "i", "j"], False)
+        parts = parts.unionByName(large_groups(groups.join(large.select("grp"), "grp"), alike, sources, _confirmed(width, percent), tile, n_tasks, tables))
     parts = tables.cut(parts)
     named = tables.cut(classes.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("part", "node").alias("component_id")))
     tables.drop(*[t for t, _ in tables.written if t is not rows and t is not named])
@@ -413,3 +429,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     its_id = free_name(docs, "gone")
     gone = near_groups(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias(its_id)).distinct()
     return docs.join(Tables(docs.sparkSession).cut(gone), F.col(f"`{id_col}`").cast("long") == F.col(its_id), "left_anti")
+
+
+#: doc_id, n_shingles, component_id by DuckDB: every shingle with every one that equals it, links by counts, and what links reach.
+GROUPS_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from {documents}),
+sets as (
+  select doc_id, case when len(w) >= {width} then list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i : i + {width} - 1], ' ')))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= {percent} * (max(a.n) + max(b.n) - count(*))),
+reach as (select doc_id, doc_id as other from sets union select r.doc_id, l.b from reach r join links l on l.a = r.other),
+components as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, len(s)::bigint as n_shingles, component_id{more} from sets join components using (doc_id)"""

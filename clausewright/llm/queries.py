@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, substring, toxicity, trie
+from . import alignment, crf, exact, fingerprint, interpolation, jaccard, licenses, mixing, near, packing, substring, toxicity, trie
 from .store import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,11 +32,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir), keep_text=False)
 
 
+ORACLE_SQL["op2_substring_dedup"] = substring.REPEATS_SQL.format(documents="documents", window=35)
+
+
 @query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(_table(spark, sf_dir), percent=85)
 
 
+ORACLE_SQL["op3_near_dedup"] = near.GROUPS_SQL.format(documents="documents", width=5, percent=85, more=", doc_id = component_id as kept")
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(_table(spark, sf_dir))
@@ -87,6 +93,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(_table(spark, sf_dir))
+
+
+ORACLE_SQL["op12_ngram_jaccard_join"] = near.GROUPS_SQL.format(documents="documents", width=5, percent=80, more="")
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"), family=5)

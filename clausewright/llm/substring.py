@@ -283,3 +283,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = answered(with_found(found, _doubled(length, longer, parts), ASK), parts)
     found = answered(with_found(found, _windows(window, levels[-1], parts), ASK), parts)
     return with_found(found, _kept(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+
+
+#: doc_id, n_words, n_removed, kept_sha256 by DuckDB: all windows as texts, and the words that repeated ones cover.
+REPEATS_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from {documents}),
+windows as (select doc_id, unnest(range(1, len(w) - {window} + 2)) as k, w from words where len(w) >= {window}),
+told as (select doc_id, k, count(*) over (partition by md5(array_to_string(w[k : k + {window} - 1], ' '))) as times from windows),
+gone as (select distinct doc_id, k + i as k from told, range({window}) t(i) where times > 1),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from words),
+kept as (select e.doc_id, count(*) as n, string_agg(e.word, ' ' order by e.k) as text from each e anti join gone g on g.doc_id = e.doc_id and g.k = e.k group by e.doc_id)
+select doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from words left join kept using (doc_id)"""

@@ -27,6 +27,7 @@ def test_query_has_its_columns(spark, data, name):
         4: "doc_id keep_id group_size kept text_sha256", 5: "doc_id n_words n_base first_word last_word base_labels labels score", 6: "doc_id piece start length ids_crc32 sequence_id offset",
         7: "doc_id size source_size target taken", 8: "doc_id held_out score predicted", 9: "doc_id held_out score predicted", 10: "doc_id held_out n_tokens n_known train_tokens base_score score",
         11: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256 n_best_a",
+        12: "doc_id n_shingles component_id",
         13: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     }
     df = queries.QUERIES[name](spark, data)
@@ -41,7 +42,7 @@ def test_near_links_start_at_the_contracts_share(spark, data):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 12), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, data):
