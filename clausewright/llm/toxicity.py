@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import labelled
+from .sampling import labelled, some_letters
 from .store import Tables, remainder, texts
 from .words import ALPHANUMERIC, U, column, find, mix, pieces
 
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     Without any labelled document the model scores every text 0.5.
     """
     tables = Tables(docs.sparkSession)
-    chosen = labelled(docs, labels, label, id_col, text_col, modulus, left_out, sample, F.octet_length("text"), most_bytes, tables)
+    chosen = labelled(docs, labels, label, id_col, text_col, modulus, left_out, sample, F.octet_length("text"), most_bytes, tables, some_letters)
     got = sorted(chosen.mapInArrow(_sampled, "doc_id long, label int, slots binary").toLocalIterator(), key=lambda r: r.doc_id)
     tables.drop(*[t for t, _ in tables.written])
     return fit([np.frombuffer(r.slots, np.int32) for r in got], np.array([r.label for r in got], int))

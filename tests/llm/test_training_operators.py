@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from samples import ODD
 
 from clausewright.llm import crf, exact, fingerprint, interpolation, licenses, mixing, near, packing, sampling, store, substring, toxicity
@@ -458,7 +459,9 @@ def test_samples_are_bounded_by_lines_and_bytes(spark, documents, labels):
     some = sampling.labelled(documents, labels, "quality", "doc_id", "text", 4, 2, 4000, n_lines, 640, tables).collect()
     few = sampling.labelled(documents, labels, "quality", "doc_id", "text", 4, 2, 7, n_lines, 1 << 18, tables).collect()
     size = {r.doc_id: r.text.count("\n") + 1 for r in every}
-    assert len(few) == 7 and sum(r.text.count("\n") + 1 for r in some) <= 640 and all(size[r.doc_id] <= 10 for r in some)
+    assert len(few) == 7 and sum(r.text.count("\n") + 1 for r in some) <= 640 and all(r.text.count("\n") < 10 for r in some)
+    whole = {r.doc_id: r.text.split("\n") for r in every}
+    assert any(size[r.doc_id] > 10 for r in some) and all(set(r.text.split("\n")) <= set(whole[r.doc_id]) for r in some)
     assert {r.doc_id for r in few} | {r.doc_id for r in some} <= set(size) and all(brute.crc(i, 4) != 2 for i in size)
     hot = documents.crossJoin(spark.range(3).select("id")).drop("id")
     assert sorted(sampling.labelled(hot, labels, "quality", "doc_id", "text", 4, 2, 4000, n_lines, 1 << 18, tables).collect()) == sorted(every)
@@ -558,3 +561,33 @@ def test_words_that_sums_of_powers_confuse(spark):
     found = interpolation.scores(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()
     wanted = {r[0]: r for r in brute.base_scores(rows)}
     assert all(tuple(r)[:5] == wanted[r.doc_id][:5] and abs(r.base_score - wanted[r.doc_id][5]) < 1e-6 for r in found)
+
+
+def test_labels_of_documents_that_are_not_there_change_no_model(spark, documents, labels):
+    foreign = spark.range(10**7, 10**7 + 400_000).selectExpr("id as doc_id", "int(id % 2) as quality", "int(id % 2) as toxic")
+    more = labels.select("doc_id", "quality", "toxic").unionByName(foreign)
+    for learn in (crf.learn, toxicity.learn):
+        a, b = learn(documents, labels), learn(documents, more)
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_models_from_long_texts_alone(spark):
+    """Texts above their share of the sample are learned from in stretches, and short ones are then told apart."""
+    good = lambda k: "\n".join(f"The {j % 7} quiet rivers of town {k} run to the sea, and people walk there." for j in range(5000))
+    bad = lambda k: "\n".join(f"$$$ {j} {j} BUY!!! ||| {k} @@@" for j in range(5000))
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad)(k)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    probe = spark.createDataFrame([(100, good(3)[:600]), (101, bad(3)[:600])], "doc_id long, text string")
+    every = docs.unionByName(probe)
+    quality = {r.doc_id: r.score for r in crf.scores(every, labels).collect()}
+    assert quality[100] > 0.7 > 0.3 > quality[101]
+    model = toxicity.learn(docs.withColumn("text", F.repeat("text", 4)), labels)
+    assert len(model["kept"]) > 0
+
+
+@pytest.mark.parametrize("shorten, size", [(sampling.some_lines, lambda t: t.count("\n") + 1), (sampling.some_letters, lambda t: len(t.encode()))])
+def test_stretches(spark, shorten, size):
+    texts = ["\n".join(f"line {k} é" * (k % 5) for k in range(300)), "x" * 5000, "\n" * 400, "é☃\n" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("text", shorten(F.col("text"), 64, F.col("doc_id")).alias("some")).collect():
+        assert 0 < size(r.some) <= max(64, 8 if shorten is sampling.some_letters else 64) and set(r.some) <= set(r.text) | {" "}
