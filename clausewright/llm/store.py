@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which all machines share as well."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse.
+
+    A warehouse on a local disk is shared by nobody but the threads of a local master, so on a cluster without
+    either setting this fails rather than have each executor write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cut"
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is on a local disk")
+    return f"{warehouse}/cut"
+
+
+#: Of each run of collected() that is under way, the tables it has made.
+_made: list[list[Tables]] = []
 
 
 class Tables:
     """Tables of one run of an operator, in a folder of its own below the shared one.
 
-    Later steps start from these files, so they survive a lost executor. What no later step reads is dropped;
-    tables that the operator's result reads stay, as checkpoint files would.
+    Later steps start from these files, so they survive a lost executor. What no later step reads is dropped,
+    and everything where a step fails; tables that the operator's result reads stay, as checkpoint files would.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.written: list[tuple[DataFrame, str]] = []
+        for made in _made:
+            made.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Writes df once and reads it back."""
         path = f"{self.folder}/{len(self.written)}"
-        df.write.parquet(path)
+        try:
+            df.write.parquet(path)
+        except BaseException:
+            self.drop_all()
+            raise
         self.written.append((self.spark.read.schema(df.schema).parquet(path), path))
         return self.written[-1][0]
 
@@ -50,7 +74,21 @@ class Tables:
     def __exit__(self, failed: type | None, *_: object) -> None:
         """Leaves nothing behind where a step fails."""
         if failed:
-            self._delete(self.folder)
+            self.drop_all()
+
+    def drop_all(self) -> None:
+        self._delete(self.folder)
+
+
+@contextmanager
+def collected() -> Iterator[None]:
+    """Drops in the end all tables that operators made meanwhile: for applications that have written a result by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for tables in _made.pop():
+            tables.drop_all()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -591,3 +591,42 @@ def test_stretches(spark, shorten, size):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in df.select("text", shorten(F.col("text"), 64, F.col("doc_id")).alias("some")).collect():
         assert 0 < size(r.some) <= max(64, 8 if shorten is sampling.some_letters else 64) and set(r.some) <= set(r.text) | {" "}
+
+
+def files_in(spark):
+    from pathlib import Path
+
+    return sorted(Path(store.shared_dir(spark)).glob("*/*"))
+
+
+def test_tables_go_where_a_step_fails_and_once_a_result_is_written(spark, documents):
+    before = files_in(spark)
+    with pytest.raises(Exception, match="no more"):
+        store.Tables(spark).cut(documents.select(F.when(F.col("doc_id") > 3, F.raise_error(F.lit("no more"))).otherwise("a")))
+    assert files_in(spark) == before
+    kept = store.Tables(spark)
+    with store.collected():
+        result = kept.cut(exact.copies(documents))
+        assert len(files_in(spark)) > len(before) + 1
+    kept.drop(result)
+    assert len(files_in(spark)) == len(before)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, name, default=None):
+            return default if name == "spark.checkpoint.dir" else spark.conf.get(name)
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext, _jvm, _jsc = Conf(), Context(), spark._jvm, spark._jsc
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        store.shared_dir(Session())
+    Context.master = "local[4]"
+    assert store.shared_dir(Session()).endswith("/cut")
