@@ -12,35 +12,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clausewright.llm import crf, exact, mixing, near, packing
-from clausewright.llm.store import cut, small_batches
+from clausewright.llm.store import Tables, collected, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines the conditional random field finds good; a null text is one empty line."""
+    """Documents whose lines the conditional random field finds good; a null text is one empty line. Rows of one id, and repeated rows, are scored each."""
     return crf.keep_good(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to blanks, the one with the smallest doc_id; null counts as empty."""
+    """Of texts that are equal up to blanks, the one with the smallest doc_id; null counts as empty. Of repeated rows one stays; an id with several texts keeps those that are first of theirs."""
     small_batches(spark)
     return exact.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near links (five words, a similarity of 0.8) reach, the one with the smallest doc_id; texts without words all stay."""
+    """Of documents that near links (five words, a similarity of 0.8) reach, the one with the smallest doc_id; null texts and those without words all stay. Rows of one id are one document, and stay or go together."""
     small_batches(spark)
     return near.keep_one(docs, width=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document goes, stays, or is there twice."""
+    """Sources at their target weights: a document goes, stays, or is there twice. A null source is one of its own, a null text has no words; repeated rows are taken each."""
     return mixing.take(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of at most 2048; a document that is there twice is packed twice."""
+    """Token pieces with their places in sequences of at most 2048; a document that is there twice is packed twice. A null text is its end alone."""
     import public_tokenizers
 
     small_batches(spark)
@@ -60,9 +60,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order. What a stage reads goes once its result is written, so one copy of the corpus is there at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = cut(docs)
-    return docs
+    with Tables(spark) as between:
+        for _, stage in STAGES[:-1]:
+            with collected():
+                last, docs = docs, between.cut(stage(spark, docs, sf_dir))
+            between.drop(last)
+        return STAGES[-1][1](spark, docs, sf_dir)
