@@ -87,6 +87,17 @@ def _classed(width: int):
 #: Of one sender, for a part of the columns: keys of rows, how many columns each asks about, and how many of its own the
 #: sender has in two rows (packed 64, 32 and 32 bits); asked: columns row by row, known: those the sender has in two rows (32 bits of hash).
 SENT = "part int, keys binary, n binary, sure binary, asked binary, known binary"
+#: What parts tell of rows: keys (64 bits) and numbers of columns that others have, too, to be added up; rows are dealt by key into shares.
+TOLD = "share int, keys binary, n binary"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, of which the upper are mostly zero and cost a shuffle nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 class _Sender:
@@ -125,7 +136,9 @@ class _Sender:
         for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(begin)], strict=True):
             here = slice(begin[a], begin[z] if z < len(begin) else len(row))
             out["part"].append(int(part[begin[a]]))
-            for c, x in (("keys", keys[row[begin[a:z]]]), ("n", n[a:z]), ("sure", sure[a:z]), ("asked", short[here][~many[here]]), ("known", short[here][many[here] & new[here]])):
+            for c, x in (("n", n[a:z]), ("sure", sure[a:z])):
+                out[c].append(_planes(x))
+            for c, x in (("keys", keys[row[begin[a:z]]]), ("asked", short[here][~many[here]]), ("known", short[here][many[here] & new[here]])):
                 out[c].append(x.tobytes())
         yield pa.record_batch({c: pa.array(x, pa.int32() if c == "part" else pa.binary()) for c, x in out.items()})
 
@@ -143,33 +156,55 @@ def _sent(width: int, parts: int):
     return apply
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n: how many columns of one part a row shares with others; rows that share none are left out. Rows of a part come together."""
-    parts: dict[int, list[tuple]] = {}
+def _shared(shares: int):
+    """TOLD: how many columns of one part each row shares with others; rows that share none are left out. Messages of a part come together."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "n", "sure", "asked", "known")), strict=True):
+                parts.setdefault(part, []).append(tuple(x))
+        for part in list(parts):
+            got = parts.pop(part)
+            keys, asked, known = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in ((0, np.int64), (3, np.uint32), (4, np.uint32)))
+            n, sure = (np.concatenate([_numbers(x[i]) for x in got]).astype(np.int64) for i in (1, 2))
+            key_of = np.repeat(keys, n)
+            order = np.argsort(asked)
+            values, owner = asked[order], key_of[order]
+            begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+            count = np.diff(np.append(begin, len(values)))
+            # copies of a row are one row
+            others = np.logical_or.reduceat(owner != np.repeat(owner[begin], count), begin) if len(begin) else np.zeros(0, bool)
+            hit = np.zeros(len(asked), np.int64)
+            hit[order] = np.repeat(others | np.isin(values[begin], known), count)
+            total = np.concatenate(([0], np.cumsum(hit)))
+            end = np.cumsum(n)
+            has = total[end] - total[end - n] + sure
+            # every sender of a row counts all of its columns in this part
+            own, at = np.unique(keys[has > 0], return_inverse=True)
+            most = np.zeros(len(own), np.int64)
+            np.maximum.at(most, at, has[has > 0])
+            to = (mix(own.view(U)) % U(shares)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            own, most, to = own[order], most[order], to[order]
+            cut = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+            runs = list(zip(cut, [*cut[1:], len(to)][: len(cut)], strict=True))
+            yield pa.record_batch({"share": pa.array(to[cut], pa.int32()), "keys": pa.array([own[a:z].tobytes() for a, z in runs], pa.binary()), "n": pa.array([_planes(most[a:z]) for a, z in runs], pa.binary())})
+
+    return apply
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d1, shares: what all parts tell of each row. TOLD of a share come together."""
+    keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        for part, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "n", "sure", "asked", "known")), strict=True):
-            parts.setdefault(part, []).append(tuple(x))
-    for part in list(parts):
-        got = parts.pop(part)
-        keys, n, sure, asked, known = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32, np.uint32)))
-        key_of = np.repeat(keys, n)
-        order = np.argsort(asked)
-        values, owner = asked[order], key_of[order]
-        begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-        count = np.diff(np.append(begin, len(values)))
-        # copies of a row are one row
-        others = np.logical_or.reduceat(owner != np.repeat(owner[begin], count), begin) if len(begin) else np.zeros(0, bool)
-        hit = np.zeros(len(asked), np.int64)
-        hit[order] = np.repeat(others | np.isin(values[begin], known), count)
-        total = np.concatenate(([0], np.cumsum(hit)))
-        end = np.cumsum(n.astype(np.int64))
-        shares = total[end] - total[end - n] + sure
-        some = shares > 0
-        # every sender of a row counts all of its columns in this part
-        own, at = np.unique(keys[some], return_inverse=True)
-        most = np.zeros(len(own), np.int64)
-        np.maximum.at(most, at, shares[some])
-        yield pa.record_batch({"key": pa.array(own), "n": pa.array(most)})
+        for k, x in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            keys.append(np.frombuffer(k, np.int64))
+            n.append(_numbers(x).astype(np.int64))
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, np.concatenate(n))
+    yield pa.record_batch({"d1": pa.array(own), "shares": pa.array(total)})
 
 
 def _sets(width: int):
@@ -189,16 +224,14 @@ def _sets(width: int):
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each row and column of the incidence: gram, node, d1, size."""
+    """One row for each row and column of the incidence: gram, d1."""
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column("text").to_pylist()]
         at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         if len(at):
-            # a few at a time
             grams = np.concatenate(sets)
-            for k in range(0, len(at), 1 << 17):
-                own = pa.array(at[k : k + (1 << 17)])
-                yield pa.record_batch({"gram": pa.array(grams[k : k + (1 << 17)]), **{c: batch.column(c).take(own) for c in ("node", "d1", "size")}})
+            for k in range(0, len(at), 1 << 17):  # a few at a time
+                yield pa.record_batch({"gram": pa.array(grams[k : k + (1 << 17)]), "d1": batch.column("d1").take(pa.array(at[k : k + (1 << 17)]))})
 
 
 def _confirmed(percent: int):
@@ -221,14 +254,13 @@ def _tile(percent: int, keys: list[str], settle: bool):
     return tiled(compared, keys, settle)
 
 
-def first_columns(incidence: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """incidence: gram, node, d1, size. gram, node: each row's columns, rarest first, of which two linked rows share one."""
-    entries = tables.cut(incidence)
+def first_columns(sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """sets: node, d1, size, text. gram, node: each set's columns, rarest first, of which two linked sets share one."""
+    entries = tables.cut(sets.select("d1", "text").mapInArrow(_columns, "gram long, d1 long"))
     df = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = looked_up(entries, df.withColumn("w", F.col("df")), "gram", "w", entries.count())
-    by_row = Window.partitionBy("node", "d1")
-    # columns that no other row has come first of all
-    rank = F.col("size") - F.count(F.lit(1)).over(by_row) + F.row_number().over(by_row.orderBy("df", "gram"))
+    met = looked_up(entries, df.withColumn("w", F.col("df")), "gram", "w", entries.count()).join(sets.select("d1", "node", "size"), "d1")
+    # columns that no other set has come first of all
+    rank = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("d1")) + F.row_number().over(Window.partitionBy("d1").orderBy("df", "gram"))
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     out = tables.cut(met.withColumn("rank", rank).where(F.col("rank") <= first).select("gram", "node"))
     tables.drop(entries)
@@ -254,12 +286,12 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # rows that share enough of their columns
         parts = parts_for(plain, part_bytes)
         asked = plain.where("doc_id is not null").mapInArrow(_sent(width, parts), SENT).repartition(parts, "part")
-        shares = asked.mapInArrow(_shared, "key long, n long").groupBy(F.col("key").alias("d1")).agg(F.sum("n").alias("shares"))
+        shares = asked.mapInArrow(_shared(n_tasks), TOLD).repartition(n_tasks, "share").mapInArrow(_added, "d1 long, shares long")
         left = tables.cut(classes.join(shares, "d1").where(F.col("shares") * 100 >= F.col("size") * percent).select("node", "d1", "d2"))
         own = plain.join(left.withColumn("doc_id", F.col("node")), "doc_id").select("node", "d1", "d2", "text")
         sets = own.mapInArrow(_sets(width), "node long, d1 long, d2 long, size long, text binary").groupBy("node", "d1", "d2").agg(F.first("size").alias("size"), F.first("text").alias("text"))
         sets = tables.cut(sets)
-        first = first_columns(sets.select("node", "d1", "size", "text").mapInArrow(_columns, "gram long, node long, d1 long, size long"), percent, tables)
+        first = first_columns(sets, percent, tables)
         hubs = first.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
         alike = looked_up(first, hubs, "gram", "n", first.count()).where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
         alike = tables.cut(alike)

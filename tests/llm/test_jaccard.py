@@ -83,7 +83,7 @@ def test_columns_that_senders_share():
         batches += sender.send()
     sent = {k for b in batches for x in b.column("keys").to_pylist() for k in np.frombuffer(x, np.int64).tolist()}
     total = dict.fromkeys(sent, 0)
-    for b in jaccard._shared(iter(batches)):
-        for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True):
+    for b in jaccard._added(jaccard._shared(5)(iter(batches))):
+        for k, n in zip(b.column("d1").to_pylist(), b.column("shares").to_pylist(), strict=True):
             total[k] += n
     assert total == {k: sum(len(sent & set(many[g])) > 1 for g in sets[k].tolist()) for k in sent}
