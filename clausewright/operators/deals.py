@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import day, second
+from .updates import free
 
 NO_NAME, NO_CIK = "missing target name", "missing or unknown CIK"
 
@@ -41,10 +42,11 @@ def roll_up(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
 
     results: key, deal_id, file_url, status, message. Rows without results are kept, with status false.
     """
+    some, n = free("some", rows), free("n", rows)
     file = F.struct("deal_id", "file_url", "status", "message")
-    by_row = results.groupBy(key).agg(F.bool_or(F.col("status") == "success").alias("_any"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(file)).alias("processed_files"))
+    by_row = results.groupBy(key).agg(F.bool_or(F.col("status") == "success").alias(some), F.count(F.lit(1)).alias(n), F.array_sort(F.collect_list(file)).alias("processed_files"))
     met = rows.join(by_row, key, "left")
-    return met.withColumn("status", F.coalesce("_any", F.lit(False))).withColumn("n_results", F.coalesce("_n", F.lit(0)).cast("long")).drop("_any", "_n")
+    return met.withColumn("status", F.coalesce(some, F.lit(False))).withColumn("n_results", F.coalesce(n, F.lit(0)).cast("long")).drop(some, n)
 
 
 def listed(jobs: DataFrame, created: str = "created_at", key: str = "deal_id") -> DataFrame:

@@ -47,7 +47,7 @@ def extract(fields: DataFrame, chunks: DataFrame, deals: DataFrame, backend: Ext
     A field without categories, or of which no clause is found, has what the backend says of an empty text.
     """
     texts = field_texts(matched(fields, chunks, k))
-    every = deals.select("deal_id").distinct().crossJoin(F.broadcast(fields))  # the schema is one file's few fields
+    every = deals.select("deal_id").distinct().crossJoin(fields)  # a row for each is what is asked for; Spark sends the side that it measures small
     met = every.join(texts, ["deal_id", "section", "field_name"], "left")
     none = F.array().cast("array<string>")
     empty = F.size(F.coalesce("categories", none)) == 0

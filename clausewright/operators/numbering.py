@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .updates import free
+
 
 def number_within(rows: DataFrame, key: str, order: str, name: str = "chunk_index") -> DataFrame:
     """Adds 0, 1, ... within each key by order (numeric, unique within a key).
@@ -15,9 +17,10 @@ def number_within(rows: DataFrame, key: str, order: str, name: str = "chunk_inde
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select(F.percentile_approx(order, [k / n for k in range(1, n)], 10 * n)).head()[0] if n > 1 else None
     known = F.array(*[F.lit(b) for b in sorted(set(bounds or []))]).cast("array<double>")
-    ranged = rows.withColumn("_range", F.size(F.filter(known, lambda b: b < F.col(order))))
-    counts = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
-    met = own.alias("l").join(before.alias("r"), F.expr(f"l.`{key}` <=> r.`{key}` and l._range = r._range"))
-    return met.select(*[F.col(f"l.`{c}`").alias(c) for c in rows.columns], (F.col("r._before") + F.col("l._own") - 1).cast("long").alias(name))
+    part, n_, before_, own_ = (free(c, rows) for c in ("range", "n", "before", "own"))
+    ranged = rows.withColumn(part, F.size(F.filter(known, lambda b: b < F.col(order))))
+    counts = ranged.groupBy(key, part).agg(F.count(F.lit(1)).alias(n_))
+    before = counts.withColumn(before_, F.coalesce(F.sum(n_).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = ranged.withColumn(own_, F.row_number().over(Window.partitionBy(key, part).orderBy(order)))
+    met = own.alias("l").join(before.alias("r"), F.expr(f"l.`{key}` <=> r.`{key}` and l.`{part}` = r.`{part}`"))
+    return met.select(*[F.col(f"l.`{c}`").alias(c) for c in rows.columns], (F.col(f"r.`{before_}`") + F.col(f"l.`{own_}`") - 1).cast("long").alias(name))

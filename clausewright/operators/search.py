@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,13 @@ QUERIES, VECTORS = 512, 4096
 
 
 def _matrix(lists: pa.Array | pa.ChunkedArray) -> bytes:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if isinstance(lists, pa.Array) else _matrix(lists.combine_chunks())
+    """Fails where lists differ in length."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    length = pc.min_max(pc.list_value_length(lists)).as_py()
+    if length["min"] != length["max"]:
+        raise ValueError(f"vectors of {length['min']} and of {length['max']} numbers")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
 
 
 def _packed(size: int):
@@ -53,10 +60,18 @@ def _group_packed(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"grp": pa.array([key[0].as_py()], rows.schema.field("grp").type), "salt": pa.array([key[1].as_py()], pa.int32()), "ids": ids, "vectors": pa.array([_matrix(rows.column("v"))], pa.binary())})
 
 
-def _slim(df: DataFrame, id_col: str, vector_col: str, same: str | None) -> DataFrame:
+def _slim(df: DataFrame, id_col: str, vector_col: str, same: list[str], any_of: str | None = None) -> DataFrame:
+    """id, v, and what must agree as grp: the columns of same, and each of the values of the array any_of (a row for each)."""
     own = df.where(F.col(vector_col).isNotNull())
-    own = own.where(F.col(same).isNotNull()) if same else own
-    return own.select(*([F.col(same).alias("grp")] if same else []), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    for c in same:
+        own = own.where(F.col(c).isNotNull())
+    parts = [F.col(c).alias(f"s{k}") for k, c in enumerate(same)]
+    own = own.select(*parts, *([F.explode(F.array_distinct(any_of)).alias("any")] if any_of else []), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    parts = [f"s{k}" for k in range(len(same))] + ["any"] * bool(any_of)
+    if not parts:
+        return own.select("id", "v")
+    own = own.where(F.col("any").isNotNull()) if any_of else own
+    return own.select((F.col(parts[0]) if len(parts) == 1 else F.struct(*parts)).alias("grp"), "id", "v")
 
 
 def _n_blocks(slim: DataFrame, size: int) -> DataFrame:
@@ -84,6 +99,8 @@ def _best(k: int):
             for queries, qv, own, vv in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
                 ids = np.array(own)
                 a, b = unit(np.frombuffer(qv).reshape(len(queries), -1)), unit(np.frombuffer(vv).reshape(len(ids), -1))
+                if a.shape[1] != b.shape[1]:
+                    raise ValueError(f"queries of {a.shape[1]} numbers and vectors of {b.shape[1]}")
                 # ties within 9 decimals go by id, so that results don't hang on the order of additions
                 score = np.round(a @ b.T, 9)
                 rank = np.where(np.isnan(score), -np.inf, score)
@@ -98,24 +115,36 @@ def _best(k: int):
     return apply
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", same: str | None = None, query_col: str | None = None) -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", same: str | list[str] | None = None, query_col: str | None = None,
+    any_of: tuple[str, str] | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, cosine (9 decimals): for each query the k nearest vectors, ties by id.
 
-    Ids are numbers or texts; query_col: the queries' id, if it has another name. same: a column on which
-    query and vector must agree (nulls agree with nothing); without it, all vectors are searched. A vector of
-    zeros has a null cosine and ranks last; null vectors aren't found.
+    Ids are numbers or texts; query_col: the queries' id, if it has another name. same: columns on which
+    query and vector must agree (nulls agree with nothing). any_of: array columns of vectors and of queries that
+    must have a value in common: a vector is posted under each of its values, met under those that a query
+    names, and kept once. Without either, all vectors are searched. A vector of zeros has a null cosine and
+    ranks last; null vectors aren't found. Fails where vectors, or vectors and queries, differ in length.
     """
-    slim = _slim(vectors, id_col, vector_col, same)
-    of_vectors = _blocks(slim, VECTORS)
-    of_queries = _blocks(_slim(queries, query_col or id_col, vector_col, same), QUERIES).withColumnRenamed("ids", "q_ids").withColumnRenamed("vectors", "q_vectors")
-    if same:
+    same = [same] if isinstance(same, str) else same or []
+    own, wanted = any_of or (None, None)
+    return nearest(_slim(vectors, id_col, vector_col, same, own), _slim(queries, query_col or id_col, vector_col, same, wanted), k, once=any_of is not None)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """top_k() of columns id, v and maybe grp, on which both sides agree. once: a vector, or a query, may be there under several values of grp."""
+    of_vectors = _blocks(vectors, VECTORS)
+    of_queries = _blocks(queries, QUERIES).withColumnRenamed("ids", "q_ids").withColumnRenamed("vectors", "q_vectors")
+    if "grp" in vectors.columns:
         # a query block goes to each block of its value, so that these may be in as many tasks
-        sent = of_queries.drop("salt").join(_n_blocks(slim, VECTORS), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        sent = of_queries.drop("salt").join(_n_blocks(vectors, VECTORS), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         met = sent.join(of_vectors, ["grp", "salt"])
     else:
         met = of_queries.crossJoin(of_vectors)
     kinds = [met.schema[c].dataType.elementType.simpleString() for c in ("q_ids", "ids")]
     best = met.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(_best(k), f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine double")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("cosine").alias("cosine")) if once else best
     by_query = Window.partitionBy("query_id").orderBy(F.col("cosine").desc_nulls_last(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
 

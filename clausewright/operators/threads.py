@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .updates import free
+
 
 def content(parts: Column) -> Column:
     """A message's first text part; empty where there is none."""
@@ -34,8 +36,9 @@ def pages(messages: DataFrame, limit: int, order: str = "desc", thread_col: str
     """page() of every thread at once; place: 1, 2, ... as shown."""
     first, then = _by(messages, at, order == "desc", tie), _by(messages, at, order != "desc", tie)
     by_thread = Window.partitionBy(thread_col)
-    some = messages.withColumn("_n", F.row_number().over(by_thread.orderBy(*first))).where(F.col("_n") <= limit)
-    return some.withColumn("place", F.row_number().over(by_thread.orderBy(*then))).drop("_n")
+    n = free("n", messages)
+    some = messages.withColumn(n, F.row_number().over(by_thread.orderBy(*first))).where(F.col(n) <= limit)
+    return some.withColumn("place", F.row_number().over(by_thread.orderBy(*then))).drop(n)
 
 
 def after_send(messages: DataFrame, thread: str, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:

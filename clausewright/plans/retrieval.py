@@ -11,7 +11,7 @@ from ..operators.context import context_block, first_of
 from ..operators.flatten import flatten
 from ..operators.search import top_k
 from ..operators.threads import asked
-from ..operators.trim import LIMIT, trim
+from ..operators.trim import LIMIT, within
 
 #: What a summary asks, when nothing else is given.
 QUESTIONS = (
@@ -27,12 +27,12 @@ QUESTIONS = (
 def vectors_of(files: DataFrame, classifier: Classifier, embedding: Embedding, limit: int = LIMIT) -> DataFrame:
     """VECTOR rows of contract files: flattened, classified, embedded, trimmed; clauses without text are left out but keep their number."""
     rows = flatten(files).where(F.length("combined_text") > 0)
-    rows = rows.withColumn("_c", classifier.classify(F.col("combined_text"))).withColumn("embedding", embedding.embed(F.col("combined_text")))
+    rows = rows.withColumn("found", classifier.classify(F.col("combined_text"))).withColumn("embedding", embedding.embed(F.col("combined_text")))
     rows = rows.select(
         chunk_id(F.col("deal_id"), F.col("chunk_index")).alias("chunk_id"), "embedding", "deal_id", "deal_name", "label", "original_text", "combined_text",
-        F.col("_c.categories").alias("categories"), "chunk_index", F.col("_c.clause_summary").alias("clause_summary"), F.create_map().cast("map<string,string>").alias("extra"),
+        F.col("found.categories").alias("categories"), "chunk_index", F.col("found.clause_summary").alias("clause_summary"), F.create_map().cast("map<string,string>").alias("extra"),
     )
-    return trim(rows, limit, fixed=("chunk_id", "deal_id", "deal_name", "label", "clause_summary"))
+    return within(rows, limit, apart=("chunk_id", "embedding"))
 
 
 def retrieve(vectors: DataFrame, questions: DataFrame, embedding: Embedding, k: int = 5, per_deal: bool = True) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Needed for right results: UTC everywhere, and a patch that repeats a metadata key wins over the stored value.
@@ -20,3 +23,29 @@ def settle(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it: for what Spark's readers and writers don't do, anywhere."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, one in the warehouse.
+
+    A warehouse on a local disk is shared by nobody but the threads of a local master, so on a cluster without
+    either setting this fails rather than have each executor write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if filesystem(spark, warehouse)[0].getUri().getScheme() == "file" and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is on a local disk")
+    return f"{warehouse}/cut"
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared one."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
