@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,18 +208,47 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"d1": pa.array(own), "shares": pa.array(total)})
 
 
-def _sets(width: int):
-    """node, d1, d2, size, text (the set, packed) of texts that have the digests of their class."""
+#: Bits of a bitmap of ids: 16 an id, and no more than MOST, 8 MB, which is sent to all tasks. Beyond 4 million rows that are
+#: left after the count it tells ever less, until the sets of all rows are shuffled.
+MOST = 1 << 26
+
+
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U) + U(0x33)) & U(bits - 1)).astype(np.int64)
+
+
+def bitmap(left: DataFrame) -> np.ndarray:
+    """A bit for each node of left; words of it are put together where the nodes are, so the driver sees MOST bits at most."""
+    bits = 1 << max(10, min(MOST, 16 * left.count()).bit_length() - 1)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bit(batch.column("node").to_numpy(), bits))
+            yield pa.record_batch({"word": pa.array(at >> 6), "bit": pa.array((np.uint64(1) << (at & 63).astype(U)).view(np.int64))})
+
+    words = left.select("node").mapInArrow(marked, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sets(width: int, maybe: Broadcast):
+    """node, d1, d2, size, text (the set, packed) of rows whose id is in the bitmap."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z, own, cuts in pieces(*column(batch)):
+            some = batch.filter(pa.array(maybe.value[_bit(batch.column("doc_id").to_numpy(), len(maybe.value))]))
+            for a, z, own, cuts in pieces(*column(some)):
                 sets, digest = digests(own, cuts, width)
-                part = batch.slice(a, z - a)
-                wanted = np.stack([part.column(c).to_numpy() for c in ("d1", "d2")], 1)
-                keep = (digest.view(np.int64) == wanted).all(1)
-                rows = part.select(["node", "d1", "d2"]).append_column("size", pa.array([len(s) for s in sets], pa.int64())).append_column("text", pa.array([s.tobytes() for s in sets], pa.binary()))
-                yield rows.filter(pa.array(keep))
+                yield pa.record_batch(
+                    {
+                        "node": some.column("doc_id").slice(a, z - a),
+                        "d1": pa.array(digest[:, 0].view(np.int64)),
+                        "d2": pa.array(digest[:, 1].view(np.int64)),
+                        "size": pa.array([len(s) for s in sets], pa.int64()),
+                        "text": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    }
+                )
 
     return apply
 
@@ -288,9 +318,11 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         asked = plain.where("doc_id is not null").mapInArrow(_sent(width, parts), SENT).repartition(parts, "part")
         shares = asked.mapInArrow(_shared(n_tasks), TOLD).repartition(n_tasks, "share").mapInArrow(_added, "d1 long, shares long")
         left = tables.cut(classes.join(shares, "d1").where(F.col("shares") * 100 >= F.col("size") * percent).select("node", "d1", "d2"))
-        own = plain.join(left.withColumn("doc_id", F.col("node")), "doc_id").select("node", "d1", "d2", "text")
-        sets = own.mapInArrow(_sets(width), "node long, d1 long, d2 long, size long, text binary").groupBy("node", "d1", "d2").agg(F.first("size").alias("size"), F.first("text").alias("text"))
-        sets = tables.cut(sets)
+        # sets of documents that are among them, for all one can tell from a bitmap of ids, then of those that are; one for each class
+        maybe = spark.sparkContext.broadcast(bitmap(left))
+        own = plain.where("doc_id is not null").mapInArrow(_sets(width, maybe), "node long, d1 long, d2 long, size long, text binary")
+        own = own.join(left.select("node", "d1", "d2"), ["node", "d1", "d2"], "left_semi")
+        sets = tables.cut(own.groupBy("node", "d1", "d2").agg(F.first("size").alias("size"), F.first("text").alias("text")))
         first = first_columns(sets, percent, tables)
         hubs = first.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
         alike = looked_up(first, hubs, "gram", "n", first.count()).where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
