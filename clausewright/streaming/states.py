@@ -98,7 +98,7 @@ def steps(log: DataFrame, key: str, status: str = "status", at: str = "at", seco
 @contextmanager
 def large_state(spark: SparkSession) -> Iterator[None]:
     """While a query is started: its states are kept by RocksDB, as keyed processors need. Afterwards the session is as before."""
-    name, had = "spark.sql.streaming.stateStore.providerClass", None
+    name = "spark.sql.streaming.stateStore.providerClass"
     had = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -108,14 +108,17 @@ def large_state(spark: SparkSession) -> Iterator[None]:
 
 
 def steps_to(log: DataFrame, path: str, checkpoint: str, key: str, status: str = "status", at: str = "at", seconds: float | None = None) -> StreamingQuery:
-    """Judges what has arrived and stops. Steps are appended below path, a folder a batch, which a repeated batch writes over."""
+    """Judges what has arrived and stops; with seconds it goes on, as timers need, until it is stopped.
+
+    Steps are appended below path, a folder a batch, which a repeated batch writes over.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    judged_ = steps(log, key, status, at, seconds)
+    writer = steps(log, key, status, at, seconds).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     with large_state(log.sparkSession):
-        return judged_.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime="1 second")).start()
 
 
 def accepted(found: DataFrame) -> DataFrame:

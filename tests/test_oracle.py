@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import rows
 
-from clausewright.plans import catalogue, further  # noqa: F401  further adds its queries to the catalogue
+from clausewright.plans import catalogue, further, stores  # noqa: F401  the others add their queries to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
