@@ -71,7 +71,7 @@ def _slim(df: DataFrame, id_col: str, vector_col: str, same: list[str], any_of:
     if not parts:
         return own.select("id", "v")
     own = own.where(F.col("any").isNotNull()) if any_of else own
-    return own.select((F.col(parts[0]) if len(parts) == 1 else F.struct(*parts)).alias("grp"), "id", "v")
+    return own.select((F.col(parts[0]) if len(parts) == 1 else F.to_json(F.struct(*parts))).alias("grp"), "id", "v")
 
 
 def _n_blocks(slim: DataFrame, size: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..session import own_folder
 from ..sources import files
 from ..sources.stored import KeyedTable
 from ..streaming import ingest, states
+from ..streaming.streams import table_stream
 from .catalogue import _SCORED, _TAGS, RULES, _found, _tagged, _vectors, query, table
 
 
@@ -150,7 +151,7 @@ select user_id, coalesce(nullif(e.s, ''), 'none') as status, coalesce(strftime(e
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where jobs stand after a stream of statuses of which many don't follow: the events, a user being a job."""
     events = table(spark, sf_dir, "events")
-    log = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet").select("user_id", _status(F.col("event_id")).alias("status"), F.col("ts").alias("at"))
+    log = table_stream(spark, f"{sf_dir}/events.parquet", events.schema).select("user_id", _status(F.col("event_id")).alias("status"), F.col("ts").alias("at"))
     path = own_folder(spark)
     states.steps_to(log, f"{path}/steps", f"{path}/state", "user_id").awaitTermination()
     rows = states.jobs(spark.read.parquet(f"{path}/steps").drop("batch"), "user_id")

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.flatten import flatten
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table as a stream; it may be one file, which a stream takes by a pattern alone."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def contract_stream(spark: SparkSession, path: str) -> DataFrame:
     """deal_id, path, raw of JSON files as they arrive."""
     files = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("pathGlobFilter", "*.json").load(path)
