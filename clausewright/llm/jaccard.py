@@ -31,7 +31,7 @@ from .store import Tables, looked_up, partitions, parts_for, texts
 from .words import U, column, mix, pieces
 
 #: Columns multiplied at a time; n-grams that a task gathers before it sends them.
-COLUMNS, ENOUGH = 4096, 1 << 21
+COLUMNS, ENOUGH = 4096, 1 << 19
 
 
 def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
