@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -53,12 +54,13 @@ class HashedWords:
 
         @F.pandas_udf("array<float>")
         def counted(texts: pd.Series) -> pd.Series:
-            def one(t: str | None) -> np.ndarray:
-                slots = [zlib.crc32(w.encode()) % size for w in (t or "").lower().split()]
-                v = np.bincount(slots, minlength=size).astype(np.float32) if slots else np.zeros(size, np.float32)
-                return v / max(float(np.sqrt((v * v).sum())), 1e-12)
-
-            return texts.map(one)
+            words = [(t or "").lower().split() for t in texts]
+            every = list(chain.from_iterable(words))
+            slot = {w: zlib.crc32(w.encode()) % size for w in set(every)}  # a word of many texts is hashed once a batch
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            at = row * size + np.fromiter(map(slot.__getitem__, every), np.int64, len(every))
+            v = np.bincount(at, minlength=len(words) * size).reshape(-1, size).astype(np.float32)
+            return pd.Series(list(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)))
 
         return counted(text)
 

@@ -41,9 +41,10 @@ def pages(messages: DataFrame, limit: int, order: str = "desc", thread_col: str
     return some.withColumn("place", F.row_number().over(by_thread.orderBy(*then))).drop(n)
 
 
-def after_send(messages: DataFrame, thread: str, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:
-    """What a thread shows after a message was sent: newest first."""
-    return messages.where(F.col(thread_col) == thread).orderBy(*_by(messages, at, True, tie))
+def after_send(messages: DataFrame, thread: str | None = None, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id") -> DataFrame:
+    """What a thread shows after a message was sent: newest first. Without a thread, all threads, one after another."""
+    own = messages if thread is None else messages.where(F.col(thread_col) == thread)
+    return own.orderBy(thread_col, *_by(messages, at, True, tie))
 
 
 def asked(messages: DataFrame, thread_col: str = "thread_id", at: str = "created_at", tie: str = "message_id", content_col: str = "content", limit: int | None = None) -> DataFrame:

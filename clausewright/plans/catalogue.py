@@ -392,25 +392,26 @@ def hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 64).cast("int").alias("slot"), text.is_object_id(digest).alias("is_id"))
 
 
-#: Contract files of all five shapes, with what the rules say of each.
-CONTRACTS = [
-    ("d1", "h/acme_TARGET_2024-01-02.json", '[{"article":"I","title":"Merger","text":" Body "}]'),
-    ("d2", "h/b_c.json", '{"article":"I","title":"M","text":"A","sections":[{"section":"1.1","title":"S","text":" b "}]}'),
-    ("d3", "h/x.json", '{"data":[{"article":"Definitions","definitions":[{"term":"Material Adverse Effect","definition":"d"},{"term":"Person","definition":"p"}]}]}'),
-    ("d4", "h/y.json", '{"z":{"title":"Z","text":"z"},"a":[{"title":"A","text":"a"},3],"m":5}'),
-    ("d5", "h/w.json", '{"articles":[{"article":"II","text":"","sections":[{"section":"2","title":"Definitions","definitions":[{"term":"Company Material Adverse Effect","definition":"e"}]}]}]}'),
-]
-
-
 @query(
-    """select * from (values
-  ('d1', 0::int, 'ARTICLE I Merger', 'Body', 'Body', 'Acme Target'),
-  ('d2', 0, 'ARTICLE I M > Section 1.1 S', ' b ', 'A' || chr(10) || chr(10) || ' b ', 'B C'),
-  ('d3', 0, 'Definition > Material Adverse Effect', 'Material Adverse Effect d', 'Material Adverse Effect d', 'X'),
-  ('d4', 0, 'ARTICLE  Z', 'z', 'z', 'Y'), ('d4', 1, 'ARTICLE  A', 'a', 'a', 'Y'),
-  ('d5', 0, 'ARTICLE II > Section 2 Definitions > Company Material Adverse Effect', 'Company Material Adverse Effect e', 'Company Material Adverse Effect e', 'W'))
-as t(deal_id, chunk_index, label, original_text, combined_text, deal_name)"""
+    """with f as (select r_name, n_name, n_nationkey, row_number() over (partition by r_name order by n_nationkey) - 1 as k from nation join region on r_regionkey = n_regionkey),
+held as (
+  select r_name, k, 0 as place, 'ARTICLE ' || n_nationkey || ' ' || n_name as label, n_name as original, n_name as combined from f where n_nationkey % 3 = 0
+  union all select r_name, k, s, 'ARTICLE ' || n_nationkey || ' ' || n_name || ' > Section ' || s || ' S', ' b ' || s, n_name || chr(10) || chr(10) || ' b ' || s from f, range(2) r(s) where n_nationkey % 3 = 1
+  union all select r_name, k, 0, 'Definition > ' || n_name || ' Material Adverse Effect', n_name || ' Material Adverse Effect d', n_name || ' Material Adverse Effect d' from f where n_nationkey % 3 = 2)
+select r_name as deal_id, (row_number() over (partition by r_name order by k, place) - 1)::int as chunk_index, label, original as original_text, combined as combined_text,
+  upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) || ' Target' as deal_name from held"""
 )
 def flatten_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract files of five shapes to clauses."""
-    return flatten.flatten(settle(spark).createDataFrame(CONTRACTS, "deal_id string, path string, raw string"))
+    """A contract file for each region, its nations being articles of three kinds: with text alone, with sections, and with definitions."""
+    met = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    name, number = F.col("n_name"), F.col("n_nationkey").cast("string")
+    section = lambda k: F.struct(F.lit(str(k)).alias("section"), F.lit("S").alias("title"), F.lit(f" b {k}").alias("text"))
+    defined = F.array(F.struct(F.concat(name, F.lit(" Material Adverse Effect")).alias("term"), F.lit("d").alias("definition")), F.struct(name.alias("term"), F.lit("p").alias("definition")))
+    kind = F.col("n_nationkey") % 3
+    article = F.struct(
+        F.when(kind == 2, "Definitions").otherwise(number).alias("article"), name.alias("title"), name.alias("text"),
+        F.when(kind == 1, F.array(section(0), section(1))).alias("sections"), F.when(kind == 2, defined).alias("definitions"),
+    )
+    files = met.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("o"), article.alias("a")))).alias("l"))
+    raw = F.to_json(F.struct(F.transform("l", lambda x: x["a"]).alias("data")))
+    return flatten.flatten(files.select(F.col("r_name").alias("deal_id"), F.concat("r_name", F.lit("_TARGET_2024-01-02.json")).alias("path"), raw.alias("raw")))

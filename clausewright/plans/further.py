@@ -100,10 +100,10 @@ def message_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", threads.content(parts).alias("content"))
 
 
-@query("select turn, role, text from conversations where conv_id = 1")
+@query("select conv_id, turn, role, text from conversations")
 def page_after_send(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a thread shows after a message was sent."""
-    return threads.after_send(table(spark, sf_dir, "conversations"), 1, "conv_id", "turn").select("turn", "role", "text")
+    """What threads show after a message was sent."""
+    return threads.after_send(table(spark, sf_dir, "conversations"), None, "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
 @query(
@@ -126,10 +126,19 @@ def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.is_definition(F.col("text")).alias("is_definition"), deals.has_either(one, other).alias("has_input"))
 
 
-@query("select * from (values (0::int, 'Parties', 0::int, 'licence', 'Which license applies?', 'licensing')) as t(section_ord, section, field_ord, field_name, instructions, categories)")
+@query(
+    """with f as (select *, row_number() over (partition by r_regionkey order by n_nationkey) - 1 as k from nation join region on r_regionkey = n_regionkey where r_regionkey < 3)
+select r_regionkey::int as section_ord, r_name as section, k::int as field_ord, n_name as field_name, 'Where is ' || n_name || '?' as instructions, r_name || ',' || n_nationkey as categories from f where k < 2"""
+)
 def first_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A schema's first section, and of it the first field."""
-    rows = fields.read_schema(table(spark, sf_dir, "region").limit(1).select(F.lit(SCHEMA).alias("raw")), 1, 1)
+    """Of a schema of regions (sections) and nations (fields), written as one file's JSON, the first three sections and of each the first two fields."""
+    met = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    category = lambda c: F.struct(c.cast("string").alias("category"))
+    field = F.struct(F.col("n_name").alias("field_name"), F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("instructions"), F.array(category(F.col("r_name")), category(F.col("n_nationkey"))).alias("category_mapping"))
+    sections = met.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("o"), field.alias("f")))).alias("l"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("r_regionkey").alias("o"), F.concat(F.to_json(F.array("r_name")), F.lit(":"), F.to_json(F.transform("l", lambda x: x["f"]))).alias("t"))))
+    text_ = F.array_join(F.transform(entries, lambda x: F.regexp_replace(x["t"], r'^\[("[^"]*")\]', "$1")), ",")
+    rows = fields.read_schema(sections.agg(F.concat(F.lit("{"), text_, F.lit("}")).alias("raw")), 3, 2)
     return rows.select("section_ord", "section", "field_ord", "field_name", "instructions", F.array_join("categories", ",").alias("categories"))
 
 

@@ -5,15 +5,18 @@ What they write goes to a folder of their own below the shared one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search, trim
+from ..operators import calls, metadata, search, trim
 from ..operators.backends import HashedWords, Keywords
 from ..operators.index import VectorIndex
 from ..schemas import STATUSES
 from ..session import own_folder
-from ..sources import files
+from ..sources import files, workbook
 from ..sources.stored import KeyedTable
 from ..streaming import ingest, states
 from ..streaming.streams import table_stream
@@ -205,3 +208,60 @@ def contract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = F.from_json(F.get_json_object("raw", "$.articles"), "array<struct<text:string>>")
     rows = read.join(files.listing(spark, came).where("length > 0").select("path"), "path", "left_semi")
     return rows.select("deal_id", F.size(articles).cast("long").alias("n_articles"), F.aggregate(articles, F.lit(0).cast("long"), lambda n, a: n + F.length(a["text"])).alias("n_chars"))
+
+
+def _shout(some: list[str]) -> list[str]:
+    """Stands for a remote model: upper case, and a failure for requests in Spanish."""
+    if any(x.startswith("es ") for x in some):
+        raise ValueError("no Spanish")
+    return [x.upper() for x in some]
+
+
+@query(
+    """with asked as (select doc_id, lang || ' ' || source as request from documents)
+select doc_id, case when not starts_with(request, 'es ') then upper(request) end as reply, case when starts_with(request, 'es ') then 'ValueError: no Spanish' end as error from asked"""
+)
+def replies_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model replies to a request of every document, few of which differ; asked for twice, but sent once unless it fails."""
+    requests = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("request"))
+    path = own_folder(spark)
+    for _ in range(2):
+        rows = calls.answer(requests, _shout, path, wait=0, buckets=8, tasks=4)
+    return rows.select("doc_id", "reply", "error")
+
+
+_PROPS = """case event_id % 5 when 0 then '{"k": ' || user_id || ', "name": "n' || event_id || '"}' when 1 then '{"k": ' || user_id || '.5, "ok": ' || (event_id % 2 = 0) || '}'
+  when 2 then '{"k": "text", "list": [1, 2]}' when 3 then '{"name": ' || event_id || '}' else props end"""
+
+
+@query(
+    f"""with e as (select event_id, user_id, props, {_PROPS} as p from events)
+select event_id, case event_id % 5 when 0 then user_id when 1 then user_id + 0.5 when 4 then (props->>'$.k')::double end::double as k, case when event_id % 5 = 1 then (event_id % 2 = 0)::varchar end as ok,
+  case when event_id % 5 = 0 then 'n' || event_id end as name, case when event_id % 5 = 2 then '[1,2]' end as list,
+  case event_id % 5 when 2 then 'k="text"' when 3 then 'name=' || event_id else '' end as rest from e"""
+)
+def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key of events' properties as a column, nobody having named them; what doesn't fit its column's type beside."""
+    n, user = F.col("event_id"), F.col("user_id")
+    made = F.when(n % 5 == 0, F.format_string('{"k": %d, "name": "n%d"}', user, n)).when(n % 5 == 1, F.format_string('{"k": %d.5, "ok": %s}', user, (n % 2 == 0).cast("string")))
+    made = made.when(n % 5 == 2, F.lit('{"k": "text", "list": [1, 2]}')).when(n % 5 == 3, F.format_string('{"name": %d}', n)).otherwise(F.col("props"))
+    rows = metadata.spread(table(spark, sf_dir, "events").select("event_id", made.alias("p")), "p").drop("p")
+    rest = F.array_join(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.withColumn("rest", rest).withColumn("ok", F.col("ok").cast("string"))
+
+
+def _books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [[["Target Name", "CIK Number", "Balance"], *([c["name"], c["cik"], c["balance"]] for c in some)] for some in batch.column("rows").to_pylist()]
+        yield pa.record_batch({"path": batch.column("path"), "content": pa.array([workbook.write(r) for r in rows], pa.binary())})
+
+
+@query("select c_name as target_name, '000' || c_custkey as cik, case when c_acctbal >= 0 then c_acctbal end as balance from customer")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written into a workbook for each nation and segment, and read back from its cells; numbers keep their zeros."""
+    cik = F.concat(F.lit("000"), F.col("c_custkey").cast("string"))
+    row = F.struct(F.col("c_name").alias("name"), cik.alias("cik"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).alias("balance"))
+    books = table(spark, sf_dir, "customer").groupBy(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("path")).agg(F.collect_list(row).alias("rows"))
+    cells = workbook.cells(books.mapInArrow(_books, "path string, content binary"))
+    cell = lambda c: F.try_element_at("cells", F.lit(c))
+    return cells.select(cell("Target Name").alias("target_name"), cell("CIK Number").alias("cik"), cell("Balance").cast("double").alias("balance"))
