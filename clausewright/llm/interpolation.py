@@ -83,11 +83,13 @@ ANSWER = "block int, part int, learned array<binary>, held array<binary>, total
 WIDTH = (8, 5, 5)
 
 
-def _routes(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by part, ascending in each, and where each part's hashes begin in it."""
+def _routes(hashes: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    """By part, of those that have any: which hashes belong to it, ascending."""
     part = (mix(hashes + U(3)) % U(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    part = part[order]
+    at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return {int(part[a]): order[a:z] for a, z in zip(at, [*at[1:], len(part)][: len(at)], strict=True)}
 
 
 def _packed(hashes: np.ndarray, width: int) -> bytes:
@@ -138,17 +140,16 @@ def _asks(parts: int):
         for number, own in _grouped(batches, "block"):
             block = _block(own)
             learns = np.repeat(block["kind"], block["n"]) > 0
-            packed: list[list] = [[], []]
+            packed: dict[int, tuple[list[bytes], list[bytes]]] = {}
             for order in range(ORDERS):
                 hashes, at = np.unique(block["orders"][order], return_inverse=True)
                 block["orders"][order] = None
                 learned = np.bincount(at[learns], minlength=len(hashes))
-                by_part, cuts = _routes(hashes, parts)
-                own = [by_part[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                packed[0].append([_packed(hashes[i], WIDTH[order]) for i in own])
-                packed[1].append([_small(learned[i]) for i in own])
-            some = [k for k in range(parts) if any(x[k] for x in packed[0])]
-            arrays = [pa.array([[x[k] for x in by_order] for k in some], pa.list_(pa.binary())) for by_order in packed]
+                for k, own in _routes(hashes, parts).items():
+                    said = packed.setdefault(k, ([b""] * ORDERS, [b""] * ORDERS))
+                    said[0][order], said[1][order] = _packed(hashes[own], WIDTH[order]), _small(learned[own])
+            some = sorted(packed)
+            arrays = [pa.array([packed[k][side] for k in some], pa.list_(pa.binary())) for side in (0, 1)]
             yield pa.record_batch([pa.array(np.full(len(some), number, np.int32)), pa.array(some, pa.int32()), *arrays], ["block", "part", "hashes", "learned"])
 
     return apply
@@ -205,11 +206,10 @@ def _counts(block: dict, answers: list[tuple], parts: int, side: int) -> list[np
     out = []
     for order in range(ORDERS):
         hashes, at = np.unique(block["orders"][order], return_inverse=True)
-        by_part, cuts = _routes(hashes, parts)
         n = np.zeros(len(hashes), np.int64)
-        for k in range(parts):
+        for k, own in _routes(hashes, parts).items():
             if k in found:
-                n[by_part[cuts[k] : cuts[k + 1]]] = _large(found[k][order], cuts[k + 1] - cuts[k])
+                n[own] = _large(found[k][order], len(own))
         out.append(n[at])
     return out
 
@@ -386,3 +386,15 @@ def scores(
         tables.drop(sums)
     scored = _scored(parts, total, distinct, learned_docs.get(1, 0) + learned_docs.get(2, 0), *mixture)
     return with_answers(own, said.withColumn("held", null.cast("array<binary>"))).mapInArrow(scored, SCORES)
+
+
+#: The columns of scores() that come from counts alone, by DuckDB; {crc} is crc32 of the id in decimals.
+BASE_SQL = r"""
+with docs as (
+  select doc_id, {crc} % 7 = 2 as held_out,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from {documents}),
+tokens as (select doc_id, held_out, unnest(list_append(list_transform(w, lambda x: 'w' || x), 'end')) as token from docs),
+counts as (select token, count(*) as c from tokens where not held_out group by token),
+totals as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from counts)
+select doc_id, bool_or(held_out) as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) as base_score
+from tokens left join counts using (token), totals group by doc_id"""

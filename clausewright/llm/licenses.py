@@ -229,3 +229,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+#: doc_id, n_words, n_base, first_word, last_word, base_labels by DuckDB: all places where a phrase's words stand consecutively.
+PHRASES_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {documents}),
+phrases(phrase, label) as (values """ + ", ".join(f"({words_of(p)!r}, '{label}')".replace("b'", "'") for p, label in PHRASES.items()) + r"""),
+places as (select doc_id, w, unnest(range(len(w))) as k from words),
+hits as (select doc_id, k, label from places join phrases on w[k + 1] = phrase[1] and w[k + 1 : k + len(phrase)] = phrase),
+found as (select doc_id, count(*) as n, min(k) as first_word, max(k) as last_word, array_to_string(list_sort(list_distinct(list(label))), ',') as labels from hits group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_base, coalesce(first_word, -1) as first_word, coalesce(last_word, -1) as last_word, coalesce(labels, '') as base_labels from words left join found using (doc_id)"""

@@ -1,10 +1,11 @@
-"""The ten registered queries: each applies one operator, with its production parameters, to its whole table."""
+"""The registered queries: each applies one operator, with its production parameters, to its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import alignment, crf, exact, fingerprint, interpolation, jaccard, licenses, mixing, near, packing, substring, toxicity, trie
 from .store import small_batches
@@ -107,3 +108,23 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op13_conversation_trie"] = trie.TRIE_SQL.format(conversations="conversations", family=5, longest=8)
+
+
+@query
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base of op5, by its operator: places of the phrases (-1 where there is none)."""
+    place = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return licenses.scan(_table(spark, sf_dir)).select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
+
+
+ORACLE_SQL["license_phrases"] = licenses.PHRASES_SQL.format(documents="documents")
+
+
+@query
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base of op10, by its operator: what follows from counts alone."""
+    rows = interpolation.scores(_table(spark, sf_dir))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+ORACLE_SQL["lm_base_scores"] = interpolation.BASE_SQL.format(documents="documents", crc=trie.CRC_SQL.format(text="doc_id::varchar"))

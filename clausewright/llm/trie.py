@@ -212,13 +212,13 @@ def conversation_trie(conversations: DataFrame, id_col: str = "conv_id", turn_co
 
 
 #: crc32 of a text of ASCII in DuckDB's SQL, byte by byte and bit by bit.
-_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)),
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)),
     lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda p, q: case when p % 2 = 1 then xor(p // 2, 3988292384::bigint) else p // 2 end)), 4294967295::bigint)"""
 
 TRIE_SQL = f"""
 with own as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 as place, coalesce(role, '') as role, coalesce(text, '') as text from {{conversations}} where conv_id is not null),
-known as (select conv_id, count(*) as n, conv_id - conv_id % {{family}} as base, {_CRC.format(text="conv_id::varchar")} % ({{longest}} + 1) as h from own group by conv_id),
+known as (select conv_id, count(*) as n, conv_id - conv_id % {{family}} as base, {CRC_SQL.format(text="conv_id::varchar")} % ({{longest}} + 1) as h from own group by conv_id),
 turns as (
   select k.conv_id, o.place + 1 as depth, o.role, o.text from known k join own o on o.conv_id = k.base where o.place < k.h
   union all

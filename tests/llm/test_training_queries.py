@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, data, duck, name):
     assert rows(plain(df.collect(), df.columns)) == rows(plain(wanted.fetchall(), wanted.columns))
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("op")))
 def test_query_has_its_columns(spark, data, name):
     wanted = {
         1: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", 2: "doc_id n_words n_removed kept_sha256", 3: "doc_id n_shingles component_id kept",
@@ -42,7 +42,7 @@ def test_near_links_start_at_the_contracts_share(spark, data):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_pipeline(spark, data):
