@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped
+from .text import once, stripped
 
 #: What stands around a block of code, and how an answer stands in a reply that isn't JSON.
 FENCE, LANGUAGE = "```", "json"
@@ -21,7 +21,7 @@ def fenced(reply: Column) -> Column:
 
 def unfenced(reply: Column) -> Column:
     """The first fenced block, else the reply."""
-    return F.when(fenced(reply) != "", fenced(reply)).otherwise(reply)
+    return F.coalesce(F.nullif(fenced(reply), F.lit("")), reply)
 
 
 def _parsed(text: Column) -> Column:
@@ -38,13 +38,10 @@ def is_list(text: Column) -> Column:
 
 def classification(reply: Column) -> Column:
     """categories (never null) and clause_summary (never null); empty where the reply is no object."""
-    read = F.from_json(unfenced(F.coalesce(reply, F.lit(""))), "categories array<string>, clause_summary string")
     none = F.array().cast("array<string>")
-    ok = is_object(unfenced(F.coalesce(reply, F.lit(""))))
-    return F.struct(
-        F.when(ok, F.coalesce(read["categories"], none)).otherwise(none).alias("categories"),
-        F.when(ok, F.coalesce(read["clause_summary"], F.lit(""))).otherwise("").alias("clause_summary"),
-    )
+    read = lambda text: F.when(is_object(text), F.from_json(text, "categories array<string>, clause_summary string"))
+    told = lambda r: F.struct(F.coalesce(r["categories"], none).alias("categories"), F.coalesce(r["clause_summary"], F.lit("")).alias("clause_summary"))
+    return once(once(unfenced(F.coalesce(reply, F.lit(""))), read), told)
 
 
 def answer(reply: Column) -> Column:

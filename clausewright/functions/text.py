@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What body() makes of a value that is computed once a row, however often body() names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def straight_quotes(text: Column) -> Column:
     """Curly quotes become straight ones, long dashes hyphens; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), "“”‘’–—", "\"\"''--")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import breadcrumb, deal_name, path_of, stripped, straight_quotes
+from ..functions.text import breadcrumb, deal_name, once, path_of, stripped, straight_quotes
 from ..schemas import ARTICLE
 
 #: Of definitions, those whose term contains this are clauses.
@@ -32,14 +32,14 @@ def articles(raw: Column) -> Column:
     A list; an object that is an article itself; one with a list under data, or under articles; or one whose
     values are articles or lists of them. Of the last, values that are no objects are passed over.
     """
-    entries = F.from_json(raw, "map<string,string>")
-    is_article = F.exists(F.map_keys(entries), lambda k: k.isin(*_KEYS))
     of_value = lambda v: F.when(_begins(v, "{"), F.array(v)).when(_begins(v, "["), F.filter(_elements(v), lambda e: _begins(e, "{"))).otherwise(F.array().cast("array<string>"))
-    data, own = F.try_element_at(entries, F.lit("data")), F.try_element_at(entries, F.lit("articles"))
-    shape = F.when(_begins(raw, "["), _elements(raw)).when(
-        _begins(raw, "{"),
-        F.when(is_article, F.array(raw)).when(_begins(data, "["), _elements(data)).when(_begins(own, "["), _elements(own)).otherwise(F.flatten(F.transform(F.map_values(entries), of_value))),
-    )
+
+    def of_object(entries: Column) -> Column:
+        is_article = F.exists(F.map_keys(entries), lambda k: k.isin(*_KEYS))
+        data, own = F.try_element_at(entries, F.lit("data")), F.try_element_at(entries, F.lit("articles"))
+        return F.when(is_article, F.array(raw)).when(_begins(data, "["), _elements(data)).when(_begins(own, "["), _elements(own)).otherwise(F.flatten(F.transform(F.map_values(entries), of_value)))
+
+    shape = F.when(_begins(raw, "["), _elements(raw)).when(_begins(raw, "{"), once(F.from_json(raw, "map<string,string>"), of_object))
     return F.when(F.try_parse_json(raw).isNotNull(), shape)
 
 
@@ -94,7 +94,7 @@ def flatten(files: DataFrame, term: str = TERM, strict: bool = False) -> DataFra
     good = F.filter(items, lambda e: _begins(e, "{"))
     if strict:
         good = F.when(items.isNull() | (F.size(good) < F.size(items)), F.raise_error(F.concat(F.lit("not a contract: "), files["path"])).cast("array<string>")).otherwise(good)
-    rows = F.flatten(F.transform(good, lambda e: clauses(F.from_json(e, ARTICLE), term)))
+    rows = F.flatten(F.transform(F.transform(good, lambda e: F.from_json(e, ARTICLE)), lambda a: clauses(a, term)))  # each article is parsed once
     each = files.select("deal_id", deal_name(files["path"]).alias("deal_name"), F.posexplode(rows).alias("chunk_index", "c"))
     return each.select("deal_id", "chunk_index", "c.label", "c.original_text", "c.combined_text", "deal_name")
 
