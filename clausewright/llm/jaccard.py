@@ -169,18 +169,22 @@ def _shared(shares: int):
             got = parts.pop(part)
             keys, asked, known = (np.frombuffer(b"".join(x[i] for x in got), kind) for i, kind in ((0, np.int64), (3, np.uint32), (4, np.uint32)))
             n, sure = (np.concatenate([_numbers(x[i]) for x in got]).astype(np.int64) for i in (1, 2))
-            key_of = np.repeat(keys, n)
-            order = np.argsort(asked)
-            values, owner = asked[order], key_of[order]
-            begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-            count = np.diff(np.append(begin, len(values)))
-            # copies of a row are one row
-            others = np.logical_or.reduceat(owner != np.repeat(owner[begin], count), begin) if len(begin) else np.zeros(0, bool)
-            hit = np.zeros(len(asked), np.int64)
-            hit[order] = np.repeat(others | np.isin(values[begin], known), count)
-            total = np.concatenate(([0], np.cumsum(hit)))
             end = np.cumsum(n)
-            has = total[end] - total[end - n] + sure
+            order = np.argsort(asked).astype(np.uint32)
+            values = asked[order]
+            begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+            values, count = values[begin], np.diff(np.append(begin, len(values)))
+            # of columns that several ask about, whether it is more than one row: copies of a row are one
+            some, several = order[np.repeat(count > 1, count)], count[count > 1]
+            hit = np.isin(values, known)
+            if len(several):
+                owner = keys[np.searchsorted(end, some, "right")]
+                at = np.concatenate(([0], np.cumsum(several)[:-1]))
+                hit[count > 1] |= np.logical_or.reduceat(owner != np.repeat(owner[at], several), at)
+            shared = np.zeros(len(asked) + 1, np.int32)
+            shared[1:][order] = np.repeat(hit, count)
+            np.cumsum(shared, out=shared)
+            has = shared[end].astype(np.int64) - shared[end - n] + sure
             # every sender of a row counts all of its columns in this part
             own, at = np.unique(keys[has > 0], return_inverse=True)
             most = np.zeros(len(own), np.int64)
