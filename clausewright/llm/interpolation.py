@@ -145,6 +145,7 @@ def _asks(parts: int):
                 hashes, at = np.unique(block["orders"][order], return_inverse=True)
                 block["orders"][order] = None
                 learned = np.bincount(at[learns], minlength=len(hashes))
+                del at
                 for k, own in _routes(hashes, parts).items():
                     said = packed.setdefault(k, ([b""] * ORDERS, [b""] * ORDERS))
                     said[0][order], said[1][order] = _packed(hashes[own], WIDTH[order]), _small(learned[own])
@@ -277,7 +278,9 @@ def _joined(batches: Iterator[pa.RecordBatch], parts: int, sides: tuple[int, ...
         if block is not None:
             answers = [x for b in rows for x in zip(*(b.filter(pc.is_valid(b.column("part"))).column(c).to_pylist() for c in ("part", "learned", "held")), strict=True)]
             rows.clear()
-            yield block, [_counts(block, answers, parts, side) for side in sides]
+            counts = [_counts(block, answers, parts, side) for side in sides]
+            block["orders"] = answers = None  # what counted isn't needed any more
+            yield block, counts
 
 
 #: Buckets of the two contexts, steps of the three estimates, and how many tokens have these.
