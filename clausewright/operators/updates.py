@@ -54,7 +54,7 @@ def merged_updates(updates: DataFrame, key: str, version: list[str] | None = Non
 
 
 def patch(stored: DataFrame, updates: DataFrame, key: str, extra: str | None = None, version: list[str] | None = None) -> DataFrame:
-    """Columns that an update has (not null) replace the stored ones, all others stay; a map column extra is merged key by key.
+    """Columns that an update has (not null) replace the stored ones, all others stay; a map column extra is merged key by key, and is empty rather than null.
 
     Of several updates of a key, each column's last value that isn't null counts, by version (a column of the updates; see merged_updates).
     """
@@ -69,7 +69,8 @@ def patch(stored: DataFrame, updates: DataFrame, key: str, extra: str | None = N
             # the update's entries, then stored ones whose key it hasn't: no setting decides which of two stays
             names = F.coalesce(F.map_keys(new), F.array().cast(f"array<{stored.schema[c].dataType.keyType.simpleString()}>"))
             kept = F.map_filter(own, lambda k, _: ~F.array_contains(names, k))
-            return F.coalesce(F.map_concat(kept, new), new, own).alias(c)
+            empty = F.create_map().cast(stored.schema[c].dataType.simpleString())
+            return F.coalesce(F.map_concat(kept, new), new, own, empty).alias(c)
         return F.coalesce(new, own).alias(c)
 
     return met.select(*[value(c) for c in stored.columns])
