@@ -33,5 +33,9 @@ def write_clauses(clauses: DataFrame, path: str, kind: str = "parquet") -> None:
     clauses.write.mode("overwrite").partitionBy("deal_id").format(kind).save(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Adds rows to a log. With a batch's number they have a folder of their own, which the batch writes over if it comes again: it is then there once."""
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")

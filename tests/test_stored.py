@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clausewright.operators import search
 from clausewright.operators.index import VectorIndex, recall
+from clausewright.sources import files
 from clausewright.sources.stored import KeyedTable
 
 
@@ -52,6 +53,12 @@ def test_changes_are_read_back_and_touch_their_buckets_alone(spark, tmp_path):
         KeyedTable(spark, str(tmp_path / "nowhere"), "v")
 
 
+def test_a_batch_is_appended_once(spark, tmp_path):
+    for batch, n in ((0, 3), (1, 4), (1, 4), (0, 3)):
+        files.append(spark.range(n), str(tmp_path / "log"), batch)
+    assert sorted((r.batch, r.id) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(b, k) for b, n in ((0, 3), (1, 4)) for k in range(n)]
+
+
 def test_all_keys_of_a_bucket_may_go(spark, tmp_path):
     t = table(spark, tmp_path, 3, 2)
     t.delete(spark.range(3).withColumnRenamed("id", "k"))
