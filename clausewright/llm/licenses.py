@@ -1,19 +1,23 @@
 """License scans by diagonal voting.
 
-Every run of three words of every text is joined with the runs of the license templates. Matches that lie
-on one diagonal (place in the text minus place in the template) belong to one copy; diagonals a few words
-apart, as insertions and deletions leave them, are merged, up to a drift that the template's length bounds.
-What gets enough votes is verified on its words: a span counts when enough of the template's words stand in
-it in their order, and few others between them.
+Every run of three, two and one words of every text is joined with the runs of the license templates, each of
+three words, or of all where a template has fewer. Matches that lie on one diagonal (place in the text minus
+place in the template) belong to one copy; diagonals a few words apart, as insertions and deletions leave
+them, are merged, up to a drift that the template's length bounds. What gets enough votes is verified on its
+words: a span counts when enough of the template's words stand in it in their order, and few others between
+them.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The base is a phrase's words
-standing consecutively; templates of notices and short forms add labels of their own.
+standing consecutively; templates of notices, statements and names add labels of their own. A score says how
+sure it is that a license applies: a name alone says little, a statement more, a notice the more the more of its
+words are verified.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +33,36 @@ GRAM = 3
 #: of fewer words than SHORT, and of the base, all words must stand there alone.
 DRIFT, VOTED, ENOUGH, SHORT = 6, 0.4, 0.6, 12
 
+#: The score of a license that is merely named, of one that is stated to apply, and the verified words by which a notice's
+#: score comes half the way from there to 1.
+NAMED, STATED, HALF_WAY = 0.3, 0.7, 10
+
 #: The phrases of the base with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
+#: Phrases of the base that state a license; the others name one.
+STATING = {"under the mit license"}
+
 #: Short forms by which licenses are named.
 SHORT_FORMS = [
-    ("mit", "the MIT license"), ("mit", "MIT license MIT"), ("apache-2", "Apache License 2.0"), ("apache-2", "Apache Software License 2"),
-    ("bsd", "BSD 2-Clause"), ("bsd", "BSD 3-Clause"), ("bsd", "the BSD license"), ("isc", "the ISC license"), ("zlib", "the zlib license"),
+    ("mit", "MIT license"), ("apache-2", "Apache License 2.0"), ("apache-2", "Apache 2 license"), ("apache-2", "Apache Software License 2"),
+    ("bsd", "BSD 2-Clause"), ("bsd", "BSD 3-Clause"), ("bsd", "BSD license"), ("isc", "ISC license"), ("zlib", "zlib license"),
     ("gpl", "GNU General Public License"), ("lgpl", "GNU Lesser General Public License"), ("agpl", "GNU Affero General Public License"), ("mpl-2", "Mozilla Public License"),
     ("cc0", "CC0 1.0"), ("cc-by", "CC BY 3.0"), ("cc-by", "CC BY 4.0"), ("cc-by-sa", "CC BY-SA"), ("cc-by-nd", "CC BY-ND"), ("cc-by", "Creative Commons Attribution License"),
+    ("gpl", "GPLv2"), ("gpl", "GPLv3"), ("gpl", "GPL v2"), ("gpl", "GPL v3"), ("lgpl", "LGPLv2"), ("lgpl", "LGPLv3"), ("agpl", "AGPLv3"), ("mpl-2", "MPL v2"), ("mpl-2", "MPL 2.0"),
     ("cc-by", "Creative Commons Attribution 4.0"), ("cc-by-sa", "Creative Commons Attribution-ShareAlike"), ("cc-by-nc", "Creative Commons Attribution-NonCommercial"),
 ]
 
-#: SPDX identifiers, each a short form after "SPDX-License-Identifier:".
-SPDX = {
-    "mit": ["MIT"], "apache-2": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "zlib": ["Zlib"], "unlicense": ["Unlicense"], "gpl": ["GPL-2.0", "GPL-3.0"],
-    "lgpl": ["LGPL-2.1", "LGPL-3.0"], "agpl": ["AGPL-3.0"], "mpl-2": ["MPL-2.0"], "cc0": ["CC0-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+#: Names that a statement may give a license: its identifier, or what people write.
+GIVEN = {
+    "mit": ["MIT"], "apache-2": ["Apache-2", "Apache-2.0", "Apache License 2", "Apache License 2.0", "Apache v2"], "bsd": ["BSD", "2-Clause BSD", "3-Clause BSD"], "isc": ["ISC"], "zlib": ["Zlib"], "unlicense": ["Unlicense"],
+    "gpl": ["GPL", "GNU GPL", "GPLv2", "GPLv3"], "lgpl": ["LGPL", "GNU LGPL", "LGPLv2", "LGPLv3"], "agpl": ["AGPL", "GNU AGPL", "AGPLv3"], "mpl-2": ["MPL-2", "MPL-2.0", "MPLv2"], "cc0": ["CC0", "CC0 1.0"],
+    "cc-by": ["CC-BY-3", "CC-BY-4", "CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA"], "cc-by-nc": ["CC-BY-NC"], "cc-by-nd": ["CC-BY-ND"],
 }
 
+#: Statements that a license applies. The words beside a name are few, so that no run of three words is in many of them.
+STATEMENTS = ["SPDX-License-Identifier: {}", "License: {}", "license is {}", "{} licensed", "licensed under {}", "released under {}", "distributed under {}", "under the {} license", "project uses {}"]
+
 _GNU = (
     "This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, "
     "or (at your option) any later version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
@@ -101,32 +117,43 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())  # of bytes: A-Z alone
 
 
-def every_template() -> list[tuple[str, list[bytes], bool]]:
-    """Label, words and whether all words must stand alone, of phrases of the base first, then of short forms and notices."""
-    forms = [*SHORT_FORMS, *((label, f"SPDX-License-Identifier: {name}") for label, names in SPDX.items() for name in names), *NOTICES]
-    every = [(label, words_of(text)) for text, label in PHRASES.items()] + [(label, words_of(text)) for label, text in forms]
-    return [(label, words, k < len(PHRASES) or len(words) < SHORT) for k, (label, words) in enumerate(every)]
+@cache
+def every_template() -> list[tuple[str, list[bytes], bool, float]]:
+    """Label, words, whether all words must stand alone, and the least score, of phrases of the base first, then of names, statements and notices."""
+    stated = [(label, form.format(name)) for label, names in GIVEN.items() for name in names for form in STATEMENTS]
+    base = [(label, text, STATED if text in STATING else NAMED) for text, label in PHRASES.items()]
+    forms = [(label, text, NAMED) for label, text in SHORT_FORMS] + [(label, text, STATED) for label, text in stated + NOTICES]
+    every = [(label, words_of(text), least) for label, text, least in base + forms]
+    return [(label, words, k < len(PHRASES) or len(words) < SHORT, least) for k, (label, words, least) in enumerate(every)]
 
 
 def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text and each number of words in a run, 1 to GRAM, the hashes of its runs in order."""
     for batch in batches:
         data, bounds = column(batch)
         for a, z, own, cuts in pieces(data, bounds):
             words = find(own, cuts, ALPHANUMERIC, fold=True)
-            at = starts(words, GRAM)
-            runs = grams(words.hash, GRAM)[at] if len(at) else np.zeros(0, np.uint64)
-            n = np.maximum(words.counts - GRAM + 1, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(runs.view(np.int64)))
-            yield pa.record_batch({"row": batch.column("row").slice(a, z - a), "doc_id": batch.column("doc_id").slice(a, z - a), "n_words": pa.array(words.counts, pa.int64()), "runs": lists})
+            for length in range(1, GRAM + 1):
+                at = starts(words, length)
+                runs = grams(words.hash, length)[at] if len(at) else np.zeros(0, np.uint64)
+                n = np.maximum(words.counts - length + 1, 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(runs.view(np.int64)))
+                alike = {c: batch.column(c).slice(a, z - a) for c in ("row", "doc_id")}
+                yield pa.record_batch({**alike, "n_words": pa.array(words.counts, pa.int64()), "length": pa.array(np.full(z - a, length, np.int32)), "runs": lists})
 
 
 #: Stands for a text as a whole: every text has one such run, so that one pass also tells its number of words.
 WHOLE = 0x5EED
 
 
+def run_length(words: list[bytes]) -> int:
+    """Words in a run of a template: GRAM, or all where there are fewer."""
+    return min(GRAM, len(words))
+
+
 def _runs(words: list[bytes]) -> list[int]:
     data = np.frombuffer(b" ".join(words), np.uint8)
-    return grams(find(data, np.array([0, len(data)]), ALPHANUMERIC, fold=True).hash, GRAM).view(np.int64).tolist()
+    return grams(find(data, np.array([0, len(data)]), ALPHANUMERIC, fold=True).hash, run_length(words)).view(np.int64).tolist()
 
 
 def matches(rolled: DataFrame) -> DataFrame:
@@ -134,10 +161,14 @@ def matches(rolled: DataFrame) -> DataFrame:
 
     The join of all runs of all texts with the templates, whose number is fixed; template is -1 once a text.
     """
-    known = [(t, strict, len(words) - GRAM + 1, at, run) for t, (_, words, strict) in enumerate(every_template()) for at, run in enumerate(_runs(words))]
-    known = rolled.sparkSession.createDataFrame([*known, (-1, True, 1, 0, WHOLE)], "template int, strict boolean, size int, place int, run long")
-    every = rolled.select("row", "doc_id", "n_words", F.posexplode(F.array_append("runs", F.lit(WHOLE).cast("long"))).alias("word", "run"))
-    return every.join(F.broadcast(known), "run").drop("run")
+    known = []
+    for t, (_, words, strict, _) in enumerate(every_template()):
+        runs = _runs(words)
+        known += [(run_length(words), t, strict, len(runs), at, run) for at, run in enumerate(runs)]
+    known = rolled.sparkSession.createDataFrame([*known, (1, -1, True, 1, 0, WHOLE)], "length int, template int, strict boolean, size int, place int, run long")
+    whole = F.when(F.col("length") == 1, F.lit(WHOLE).cast("long"))  # else null, which meets nothing
+    every = rolled.select("row", "doc_id", "n_words", "length", F.posexplode(F.array_append("runs", whole)).alias("word", "run"))
+    return every.join(F.broadcast(known), ["run", "length"]).drop("run", "length")
 
 
 def voted(found: DataFrame) -> DataFrame:
@@ -170,12 +201,16 @@ def in_order(template: list[bytes], span: list[bytes]) -> int:
     return int(best[-1])
 
 
-def coverage(template: list[bytes], span: list[bytes], strict: bool) -> float:
-    """The share of the template's words that a span verifies; 0 where that isn't enough."""
+def certainty(template: list[bytes], span: list[bytes], strict: bool, least: float) -> float:
+    """The score of a template at a span: from `least` towards 1 with the words verified, if the template may be a notice, times the share of its words that they are; 0 where that isn't enough."""
     if strict:
-        return float(template == span)
+        return _raised(least, len(template)) if template == span else 0.0
     n = in_order(template, span)
-    return n / len(template) if n >= ENOUGH * len(template) and n >= ENOUGH * len(span) else 0.0
+    return _raised(least, n) * n / len(template) if n >= ENOUGH * len(template) and n >= ENOUGH * len(span) else 0.0
+
+
+def _raised(least: float, verified: int) -> float:
+    return least if verified < SHORT else 1 - (1 - least) * 0.5 ** (verified / HALF_WAY)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +223,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = data[a:z]
             words, raw = find(own, np.array([0, z - a]), ALPHANUMERIC), own.tobytes().lower()
             for span in spans:
-                label, template, strict = known[span["template"]]
-                at = range(span["first"], span["last"] + GRAM)
-                share = coverage(template, [raw[words.start[k] : words.end[k]] for k in at], strict)
-                if share:
-                    out.append((row, label, span["template"] < len(PHRASES), span["first"], share))
+                label, template, strict, least = known[span["template"]]
+                at = range(span["first"], span["last"] + run_length(template))
+                sure = certainty(template, [raw[words.start[k] : words.end[k]] for k in at], strict, least)
+                if sure:
+                    out.append((row, label, span["template"] < len(PHRASES), span["first"], sure))
         kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())
-        yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["row", "label", "base", "first_word", "coverage"])
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["row", "label", "base", "first_word", "score"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,19 +237,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     n_base counts all places of all phrases; first_word and last_word are their smallest and largest start,
     null where there is none; labels are distinct, sorted and comma-joined, empty where there is none; score
-    is the best coverage of a template that was verified, 0 without one. Null and empty texts have no words;
+    is the best of a template that was verified (NAMED for a name, STATED for a statement, more for a notice of
+    many words, times the share of it that stands there), 0 without one. Null and empty texts have no words;
     repeated rows are scanned each; an empty table gives no rows.
     """
     tables = Tables(docs.sparkSession)
     rows = texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    rolled = rows.mapInArrow(_rolled, "row long, doc_id long, n_words long, runs array<long>")
+    rolled = rows.mapInArrow(_rolled, "row long, doc_id long, n_words long, length int, runs array<long>")
     every = tables.cut(matches(rolled))
     sized = every.where("template < 0").select("row", "doc_id", "n_words")
     found = every.where("template >= 0").drop("doc_id", "n_words").distinct()  # equal rows have equal matches
     spans = voted(found).groupBy("row").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
     # written, so that Spark knows whether it is small enough to send to the texts; if not, texts go to their spans
     spans = tables.cut(spans)
-    confirmed = rows.join(spans, "row").select("row", "text", "spans").mapInArrow(_verified, "row long, label string, base boolean, first_word long, coverage double")
+    confirmed = rows.join(spans, "row").select("row", "text", "spans").mapInArrow(_verified, "row long, label string, base boolean, first_word long, score double")
     base = F.col("base")
     by_row = confirmed.distinct().groupBy("row").agg(
         F.count_if(base).alias("n_base"),
@@ -222,7 +258,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.max(F.when(base, F.col("first_word"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("coverage").alias("score"),
+        F.max("score").alias("score"),
     )
     none = F.lit("")
     return sized.join(by_row, "row", "left").select(

@@ -88,17 +88,18 @@ def longest_common(a, b):
     return rows[-1][-1]
 
 
-def license_labels(rows, templates, gram, drift, voted, enough):
-    """doc_id, labels and score of each text. templates: label, words, strict."""
+def license_labels(rows, templates, most, drift, voted, enough, short, half_way):
+    """doc_id, labels and score of each text. templates: label, words, strict, least score."""
     out = []
     for i, t in rows:
         words = [w.encode() for w in ALNUM.findall(low(t))]
         at = defaultdict(list)
-        for k in range(len(words) - gram + 1):
-            at[tuple(words[k : k + gram])].append(k)
+        for gram in range(1, most + 1):
+            for k in range(len(words) - gram + 1):
+                at[tuple(words[k : k + gram])].append(k)
         found = {}
-        for label, own, strict in templates:
-            votes = defaultdict(list)
+        for label, own, strict, least in templates:
+            votes, gram = defaultdict(list), min(most, len(own))
             size = len(own) - gram + 1
             for place in range(size):
                 for k in at[tuple(own[place : place + gram])]:
@@ -116,7 +117,9 @@ def license_labels(rows, templates, gram, drift, voted, enough):
                 span = words[min(k for _, k in v) : max(k for _, k in v) + gram]
                 n = longest_common(own, span)
                 if (span == own) if strict else (n >= enough * len(own) and n >= enough * len(span)):
-                    found[label] = max(found.get(label, 0), 1 if strict else n / len(own))
+                    right = len(own) if strict else n
+                    sure = least if right < short else 1 - (1 - least) / 2 ** (right / half_way)
+                    found[label] = max(found.get(label, 0), sure * right / len(own))
         out.append((i, ",".join(sorted(found)), max(found.values(), default=0)))
     return out
 
