@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Tables, parts_for, remainder, texts
+from .store import Tables, parts_for, remainder, texts, told_apart
 from .words import BLANK_SEPARATED, U, column, find, mix, pair, pieces
 
 #: Stand for the end of a text, and for what comes before its first token.
@@ -357,13 +357,13 @@ def scores(
     """
     tables = Tables(docs.sparkSession)
     kind = F.when(remainder(modulus) == left_out, 0).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(HELD_OUT)) == 0, 2).otherwise(1).cast("int")
-    own = texts(docs, id_col, text_col).withColumn("kind", kind)
+    own = told_apart(texts(docs, id_col, text_col), tables).withColumn("kind", kind)
     parts = parts_for(own, part_bytes)
     # held-out documents have blocks of their own, so that learning the weights reads no others
     n_blocks = 2 * parts
-    few, dealt = -(-n_blocks // HELD_OUT), F.xxhash64("doc_id", "text")
+    few, dealt = -(-n_blocks // HELD_OUT), F.col("row")
     block = F.when(F.col("kind") == 2, n_blocks + F.pmod(dealt, F.lit(few))).otherwise(F.pmod(dealt, F.lit(n_blocks))).cast("int")
-    blocks = own.withColumn("block", block).repartition(parts, "block").sortWithinPartitions("block")
+    blocks = own.withColumn("block", block).drop("row").repartition(parts, "block").sortWithinPartitions("block")
     asked = blocks.mapInArrow(_asks(parts), ASK)
     answers = tables.cut(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answers(n_blocks), ANSWER))
     sums = lambda c: F.sum(F.coalesce(F.col(c)[0], F.lit(0)))  # noqa: E731  of single tokens

@@ -121,6 +121,22 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def told_apart(rows: DataFrame, tables: Tables) -> DataFrame:
+    """rows (doc_id and text) with a column row, by which they can be dealt evenly: also those that are equal to each other have numbers of their own.
+
+    Only hashes are counted to find them; equal rows are then combined before they are shuffled, and are as many
+    again afterwards, each with its number among them (and a word first: nulls are left out of a hash).
+    """
+    hashed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    many = tables.cut(hashed.groupBy("row").count().where("count > 1").select("row"))
+    if many.isEmpty():
+        tables.drop(many)
+        return hashed
+    copies = hashed.join(many, "row", "left_semi").groupBy("doc_id", "text").count()
+    each = copies.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    return hashed.join(many, "row", "left_anti").unionByName(each.select("doc_id", "text", F.xxhash64(F.lit("copy"), "copy", "doc_id", "text").alias("row")))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import parts_for, texts
+from .store import Tables, parts_for, texts, told_apart
 from .words import U, column, find, grams, mix, pieces, starts
 
 #: Words of a seed, at most.
@@ -269,12 +269,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
-    rows = texts(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = told_apart(texts(docs, id_col, text_col), Tables(docs.sparkSession))
     parts = parts_for(rows, part_bytes)
     by_block = rows.withColumn("block", F.pmod("row", F.lit(parts)).cast("int")).groupBy("block")  # one exchange, which the steps below share
 
     def with_found(found: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        # rows that are equal in id and text have the places of all of them
         return by_block.cogroup(found.groupBy("block")).applyInArrow(step, schema)
 
     levels = lengths(window)
