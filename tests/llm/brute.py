@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -33,6 +35,40 @@ def edited(rows):
     return out
 
 
+def chunk_digests(text, gear, least, usual, most, rare, common):
+    """Digest and bytes of each distinct chunk: hashes byte by byte, and from each bound the next by trying every end."""
+    data, hashes, h = text.encode(), [], 0
+    for b in data:
+        h = (2 * h + int(gear[b])) % 2**32
+        hashes.append(h)
+    mark = lambda end, bits: hashes[end - 1] < 2 ** (32 - bits)
+    at, out = 0, {}
+    while at < len(data):
+        end = len(data)
+        if end - at > least:
+            soon = [e for e in range(at + least, min(at + usual, end) + 1) if mark(e, rare)]
+            late = [e for e in range(at + usual + 1, min(at + most, end) + 1) if mark(e, common)]
+            end = (soon + late + [min(at + most, end)])[0]
+        out[xxhash.xxh3_64(data[at:end]).hexdigest()[:12]] = end - at
+        at = end
+    return out
+
+
+def fingerprints(rows, *rule):
+    """doc_id, fingerprint, edited_fingerprint, near_edited, near_next, in the order of edited()."""
+    def shared(a, b):
+        return sum(a[d] for d in set(a) & set(b)) / sum(a.values()) if a and b else float(a == b)
+
+    own = sorted(((i is not None, i or 0, t or ""), i) for i, t in rows)
+    texts, out = [k[2] for k, _ in own], []
+    for n, (t, (_, i)) in enumerate(zip(texts, own, strict=True)):
+        after, half = texts[(n + 1) % len(texts)], len(t) // 2
+        mine, other, following = (chunk_digests(x, *rule) for x in (t, t[: len(t) - half] + after[:half], after))
+        said = [" ".join(f"{d}:{k}" for d, k in sorted(x.items())) for x in (mine, other)]
+        out.append((i, *said, round(shared(mine, other), 9), round(shared(mine, following), 9)))
+    return out
+
+
 def kept_words(rows, window=35):
     docs = [(i, WORD.findall(t or "")) for i, t in rows]
     seen = Counter(tuple(w[k : k + window]) for _, w in docs for k in range(len(w) - window + 1))

@@ -42,6 +42,12 @@ def test_fingerprints(table):
     assert all(0 <= x <= 1 for r in every for x in (r.near_edited, r.near_next))
 
 
+def test_fingerprints_by_a_plain_rule(table):
+    rule = (fingerprint._GEAR, fingerprint.LEAST, fingerprint.USUAL, fingerprint.MOST, fingerprint.RARE, fingerprint.COMMON)
+    rows = fingerprint.fingerprints(table).selectExpr("doc_id", "fingerprint", "edited_fingerprint", "round(near_edited, 9)", "round(near_next, 9)")
+    assert got(rows) == same(brute.fingerprints(plain(table), *rule))
+
+
 def test_fingerprints_follow_content(spark):
     body = " ".join(f"word{k * k % 7919}" for k in range(2000)).encode()
     a, b = fingerprint.chunks(body), fingerprint.chunks(b"some words before " + body[:5000] + b" an insertion " + body[5000:])
