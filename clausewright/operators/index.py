@@ -133,7 +133,7 @@ class VectorIndex(Folders):
         held = sorted(r[0] for r in self.rows(with_part=True).select("list").distinct().collect())
         told = self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "list int, centre array<double>")
         told.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_centres")
-        self.rewrite(self._spread(self._listed(own, centres)), sorted({*held, *range(len(centres))}))
+        self.rewrite(self._listed(own, centres), sorted({*held, *range(len(centres))}))
         probes = self._measured(centres)
         self.spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_probes")
         return self
@@ -155,10 +155,6 @@ class VectorIndex(Folders):
     def _probes(self) -> int:
         return self.spark.read.parquet(f"{self.path}/_probes").head()[0]
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """A list's rows come from several tasks, so that a list that holds many is no task of its own."""
-        return rows.repartition("list", F.pmod(F.xxhash64(self.id_col), F.lit(8)))
-
     def _where(self, ids: DataFrame) -> list[int]:
         """Lists that hold one of these ids; of the files only ids are read."""
         there = self.rows(with_part=True).select(self.id_col, "list").join(ids.select(self.id_col), self.id_col, "left_semi")
@@ -170,7 +166,7 @@ class VectorIndex(Folders):
         listed = self._listed(fresh, self._centres())
         touched = sorted({*self._where(fresh), *[r[0] for r in listed.select("list").distinct().collect()]})
         old = self.rows(touched, with_part=True).join(fresh.select(self.id_col), self.id_col, "left_anti")
-        self.rewrite(self._spread(old.unionByName(listed)), touched)
+        self.rewrite(old.unionByName(listed), touched)
         return len(touched)
 
     def patch(self, updates: DataFrame, extra: str | None = None, version: list[str] | None = None) -> int:
@@ -179,12 +175,12 @@ class VectorIndex(Folders):
         touched = self._where(merged_updates(own, self.id_col, version, extra))
         mark = free("held", own)
         old = self.rows(touched, with_part=True).withColumnRenamed("list", mark)
-        self.rewrite(self._spread(patch(old, own, self.id_col, extra, version).withColumnRenamed(mark, "list")), touched)
+        self.rewrite(patch(old, own, self.id_col, extra, version).withColumnRenamed(mark, "list"), touched)
         return len(touched)
 
     def delete(self, ids: DataFrame) -> int:
         touched = self._where(ids)
-        self.rewrite(self._spread(self.rows(touched, with_part=True).join(ids.select(self.id_col).distinct(), self.id_col, "left_anti")), touched)
+        self.rewrite(self.rows(touched, with_part=True).join(ids.select(self.id_col).distinct(), self.id_col, "left_anti"), touched)
         return len(touched)
 
     def _slim(self, lists: list[int] | None = None) -> DataFrame:

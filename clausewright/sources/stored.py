@@ -65,23 +65,44 @@ class Folders:
         """Puts the rows of new (with the part column) in place of all rows of these folders, and of nothing else."""
         if not parts:
             return
-        at = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        new.write.partitionBy(self.part).parquet(f"{at}/rows")
+        at = self.stage()
+        self._even(new).write.partitionBy(self.part).parquet(f"{at}/rows")
+        fs, rows = filesystem(self.spark, f"{at}/rows")
+        filled = {int(str(x.getPath().getName()).split("=")[1]) for x in fs.listStatus(rows) if "=" in x.getPath().getName()}
         # the list is the sign that the stage is complete
-        self.spark.createDataFrame([(p,) for p in sorted(parts)], "part int").coalesce(1).write.parquet(f"{at}/parts")
+        self.spark.createDataFrame([(p, p in filled) for p in sorted(parts)], "part int, filled boolean").coalesce(1).write.parquet(f"{at}/parts")
         self._apply(at)
 
+    def stage(self) -> str:
+        """A new folder for a change; one without a list of parts is dropped by whoever opens the table next."""
+        return f"{self.path}/_staged/{uuid.uuid4().hex}"
+
+    def kept(self, rows: DataFrame, at: str) -> DataFrame:
+        """Rows that a change reads several times, made once."""
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _even(self, rows: DataFrame) -> DataFrame:
+        """A folder's rows together, as few files, but those of a large folder in several tasks: Spark splits it by its measured size."""
+        return rows.hint("rebalance", self.part)
+
     def _apply(self, at: str) -> None:
-        parts = {r.part for r in self.spark.read.parquet(f"{at}/parts").collect()}
-        fs, rows = filesystem(self.spark, f"{at}/rows")
-        filled = {int(str(x.getPath().getName()).split("=")[1]) for x in fs.listStatus(rows) if "=" in x.getPath().getName()}
-        if filled:
-            every = StructType([*self.schema.fields, StructField(self.part, IntegerType())])
-            staged = self.spark.read.schema(every).parquet(f"{at}/rows")
-            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path)
-        for p in parts - filled:  # of which no row is left
-            fs.delete(filesystem(self.spark, f"{self.path}/{self.part}={p}")[1], True)
-        fs.delete(filesystem(self.spark, at)[1], True)
+        """Moves staged folders to their places, one after another; where that has begun, those that are still staged."""
+        for r in self.spark.read.parquet(f"{at}/parts").collect():
+            name = f"{self.part}={r.part}"
+            fs, new = filesystem(self.spark, f"{at}/rows/{name}")
+            old = filesystem(self.spark, f"{self.path}/{name}")[1]
+            if not r.filled:  # of which no row is left
+                fs.delete(old, True)
+            elif fs.exists(new):
+                fs.delete(old, True)
+                if not fs.rename(new, old):
+                    raise OSError(f"can't move {new.toString()} to {old.toString()}")
+        self.drop_stage(at)
+
+    def drop_stage(self, at: str) -> None:
+        fs, folder = filesystem(self.spark, at)
+        fs.delete(folder, True)
 
     def _recover(self) -> None:
         fs, at = filesystem(self.spark, f"{self.path}/_staged/*")
@@ -112,7 +133,7 @@ class KeyedTable(Folders):
     def _change(self, batch: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
         """Buckets that hold a key of the batch get the rows that change() makes of theirs; how many these are."""
         touched = self._touched(batch)
-        self.rewrite(change(self.rows(touched)).select(*self.schema.names).withColumn("bucket", self._bucket()).repartition("bucket"), touched)
+        self.rewrite(change(self.rows(touched)).select(*self.schema.names).withColumn("bucket", self._bucket()), touched)
         return len(touched)
 
     def upsert(self, new: DataFrame, version: list[str] | None = None) -> int:
@@ -123,10 +144,15 @@ class KeyedTable(Folders):
         """
         own = new.where(F.col(self.key).isNotNull())
         fresh = latest(own, self.key, [*(version or []), *[c for c in self.schema.names if c != self.key and _ordered(self.schema[c].dataType)]]).select(*self.schema.names)
-        mark = free("digest", fresh)
-        stored = self.rows(self._touched(fresh)).select(self.key, self._digest().alias(mark))
-        changed = fresh.withColumn(mark, self._digest()).join(stored, [self.key, mark], "left_anti").drop(mark)
-        return self._change(changed, lambda old: old.join(changed.select(self.key), self.key, "left_anti").unionByName(changed))
+        at = self.stage()
+        try:
+            fresh = self.kept(fresh, f"{at}/fresh")
+            mark = free("digest", fresh)
+            stored = self.rows(self._touched(fresh)).select(self.key, self._digest().alias(mark))
+            changed = self.kept(fresh.withColumn(mark, self._digest()).join(stored, [self.key, mark], "left_anti").drop(mark), f"{at}/changed")
+            return self._change(changed, lambda old: old.join(changed.select(self.key), self.key, "left_anti").unionByName(changed))
+        finally:
+            self.drop_stage(at)
 
     def _digest(self) -> Column:
         """Equal rows have equal ones, nulls included."""

@@ -165,3 +165,75 @@ def test_search_under_a_deal_and_categories(spark):
         near = lambda v, q=q: -round(sum(a * b for a, b in zip(v["embedding"], q.embedding)) / (sum(a * a for a in v["embedding"]) * sum(b * b for b in q.embedding)) ** 0.5, 9)  # noqa: E731, B905
         wanted += [(q.vec_id, n + 1, v["vec_id"], -near(v)) for n, v in enumerate(sorted(some, key=lambda v: (near(v), v["vec_id"]))[:4])]
     assert found(got) == sorted(wanted) and len(wanted) == 8
+
+
+def test_a_change_that_died_while_folders_moved_is_finished(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path, 20, 4)
+    before = held(t)
+    moves: list[str] = []
+
+    def moved(self, at):
+        part = next(iter((Path(at) / "rows").glob("bucket=*"))).name  # one folder was moved, then the job died
+        for old in (tmp_path / part).iterdir():
+            old.unlink()
+        (tmp_path / part).rmdir()
+        (Path(at) / "rows" / part).rename(tmp_path / part)
+        moves.append(part)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(KeyedTable, "_apply", moved)
+    with pytest.raises(RuntimeError, match="killed"):
+        t.upsert(spark.range(20).selectExpr("id as k", "'new' as v", "id as w", "cast(null as map<string,bigint>) as m"))
+    monkeypatch.undo()
+    assert moves and held(KeyedTable(spark, str(tmp_path))) == {k: ("new", k, None) for k in before}
+
+
+def test_new_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    t = table(spark, tmp_path, 50, 4)
+    assert t.upsert(spark.range(30).selectExpr("id + 40 as k", "'x' as v", "id as w", "map('a', id) as m").mapInArrow(seen, t.schema)) > 0
+    assert made.value == 30 and t.rows().count() == 70
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    t = table(spark, tmp_path, 10, 1)
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        t.upsert(spark.range(0, 20_000, 1, 4).selectExpr("id as k", "sha2(string(id), 512) as v", "id as w", "map('a', id) as m"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert len(stamps(tmp_path)) > 1 and t.rows().count() == 20_000
+
+
+def test_pairs_of_blocks_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    q, v = rng.integers(-2, 3, (512, 4)).astype(float), rng.integers(-2, 3, (4096, 4)).astype(float)
+    ids = rng.permutation(4096)
+    n = 8
+    batch = pa.record_batch({"q_ids": pa.array([list(range(512))] * n), "q_vectors": pa.array([q.tobytes()] * n, pa.binary()), "ids": pa.array([ids.tolist()] * n), "vectors": pa.array([v.tobytes()] * n, pa.binary())})
+    tracemalloc.start()
+    got: dict[int, list] = {}
+    for b in search._best(5)(iter([batch])):
+        for r in b.slice(0, 5).to_pylist():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["cosine"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 << 20
+    for name, found in got.items():
+        norm = np.sqrt((q[name] ** 2).sum()) * np.sqrt((v**2).sum(1))
+        with np.errstate(invalid="ignore"):
+            score = np.round(v @ q[name] / norm, 9)
+        wanted = sorted(range(4096), key=lambda k: (-score[k] if score[k] == score[k] else 9, ids[k]))[:5]
+        assert [x for x, _ in found[:5]] == [int(ids[k]) for k in wanted]
