@@ -88,6 +88,7 @@ def clauses(article: Column, term: str = TERM) -> Column:
 def flatten(files: DataFrame, term: str = TERM, strict: bool = False) -> DataFrame:
     """files: deal_id, path, raw. One row a clause: deal_id, chunk_index (in file order from 0), label, original_text, combined_text, deal_name.
 
+    A deal that comes in several files has their clauses numbered on where files have a column first_chunk, the number of a file's first clause.
     What rejects() lists is left out; with strict, the job fails on it instead.
     """
     items = articles(files["raw"])
@@ -95,8 +96,9 @@ def flatten(files: DataFrame, term: str = TERM, strict: bool = False) -> DataFra
     if strict:
         good = F.when(items.isNull() | (F.size(good) < F.size(items)), F.raise_error(F.concat(F.lit("not a contract: "), files["path"])).cast("array<string>")).otherwise(good)
     rows = F.flatten(F.transform(F.transform(good, lambda e: F.from_json(e, ARTICLE)), lambda a: clauses(a, term)))  # each article is parsed once
-    each = files.select("deal_id", deal_name(files["path"]).alias("deal_name"), F.posexplode(rows).alias("chunk_index", "c"))
-    return each.select("deal_id", "chunk_index", "c.label", "c.original_text", "c.combined_text", "deal_name")
+    first = F.coalesce(files["first_chunk"], F.lit(0)) if "first_chunk" in files.columns else F.lit(0)
+    each = files.select("deal_id", deal_name(files["path"]).alias("deal_name"), first.cast("int").alias("first"), F.posexplode(rows).alias("place", "c"))
+    return each.select("deal_id", (F.col("first") + F.col("place")).alias("chunk_index"), "c.label", "c.original_text", "c.combined_text", "deal_name")
 
 
 def rejects(files: DataFrame) -> DataFrame:

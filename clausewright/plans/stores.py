@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calls, metadata, search, trim
+from ..operators import calls, metadata, numbering, search, trim
 from ..operators.backends import HashedWords, Keywords
 from ..operators.index import VectorIndex
 from ..schemas import STATUSES
@@ -162,17 +162,27 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.coalesce("status", F.lit("none")).alias("status"), at.alias("at"), "n_accepted", "n_refused")
 
 
-#: A document's contract has one article a document; a source's documents are dealt into files.
+#: A contract has one article a document; a source's documents are dealt into deals, and a deal's into files.
 _FILES = "select source || '_' || (doc_id % 4) as deal_id, doc_id, lang as title, text from documents"
 
 
+#: Articles of a file at most, so that a deal of any size comes in files that a task can hold.
+ARTICLES = 500
+
+
 def _contract_files(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as contract files, a folder a deal; the folder they are in."""
+    """Documents as contract files, below a folder a deal; the folder they are in.
+
+    A file's folder names its first clause's number. Articles without text, which give no clause, have files of their own.
+    """
     path = own_folder(spark)
     article = F.struct(F.lit("I").alias("article"), F.col("lang").alias("title"), "text", F.col("doc_id").alias("number"))
     deal = F.concat("source", F.lit("_"), (F.col("doc_id") % 4).cast("string"))
-    deals = table(spark, sf_dir, "documents").groupBy(deal.alias("deal_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("o"), article.alias("a")))).alias("l"))
-    deals.select("deal_id", F.transform("l", lambda x: x["a"]).alias("articles")).write.partitionBy("deal_id").json(path)
+    docs = table(spark, sf_dir, "documents").withColumn("deal_id", deal).withColumn("told", F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
+    numbered = numbering.number_within(docs.select("deal_id", "told", F.concat_ws("/", "deal_id", "told").alias("kind"), "doc_id", "lang", "text"), "kind", "doc_id", "place")
+    first = F.floor(F.col("place") / ARTICLES) * ARTICLES
+    held = numbered.groupBy("deal_id", "told", first.alias("first")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("o"), article.alias("a")))).alias("l"))
+    held.select("deal_id", "told", "first", F.transform("l", lambda x: x["a"]).alias("articles")).write.partitionBy("deal_id", "told", "first").json(path)
     return path
 
 
@@ -180,6 +190,10 @@ def _deal_of_folder() -> Column:
     return F.regexp_extract("path", "deal_id=([^/]*)/", 1)
 
 
+def _first_of_folder() -> Column:
+    return F.regexp_extract("path", "/first=([0-9]+)/", 1).cast("int")
+
+
 _CLAUSES = f"""files as ({_FILES}), clauses as (
   select deal_id, row_number() over (partition by deal_id order by doc_id) - 1 as chunk_index, 'ARTICLE I ' || title as label, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') as combined_text
   from files where regexp_replace(text, '\\s+', '', 'g') <> '')"""
@@ -193,8 +207,9 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract files that arrive in several batches, to a vector table; the stream is started again at the end, and finds nothing new."""
     came = _contract_files(spark, sf_dir)
     path = own_folder(spark)
+    at_once = max(40, -(-files.listing(spark, came).count() // 3))  # a few batches, each of which rewrites what is there
     for _ in range(2):
-        stream = ingest.contract_stream(spark, came, _deal_of_folder(), files=40)
+        stream = ingest.contract_stream(spark, came, _deal_of_folder(), at_once, _first_of_folder())
         ingest.ingest(stream, f"{path}/vectors", f"{path}/state", Keywords(RULES), HashedWords(), 1 << 20, 8).awaitTermination()
     rows = ingest.vector_table(spark, f"{path}/vectors").rows()
     return rows.select("chunk_id", "deal_id", "chunk_index", "label", F.md5(F.col("combined_text").cast("binary")).alias("text_md5"), F.array_join("categories", ",").alias("categories"), F.size("embedding").alias("dimension"))
@@ -207,7 +222,8 @@ def contract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files.contracts(spark, came, _deal_of_folder())
     articles = F.from_json(F.get_json_object("raw", "$.articles"), "array<struct<text:string>>")
     rows = read.join(files.listing(spark, came).where("length > 0").select("path"), "path", "left_semi")
-    return rows.select("deal_id", F.size(articles).cast("long").alias("n_articles"), F.aggregate(articles, F.lit(0).cast("long"), lambda n, a: n + F.length(a["text"])).alias("n_chars"))
+    of_file = rows.select("deal_id", F.size(articles).cast("long").alias("n_articles"), F.aggregate(articles, F.lit(0).cast("long"), lambda n, a: n + F.length(a["text"])).alias("n_chars"))
+    return of_file.groupBy("deal_id").agg(F.sum("n_articles").alias("n_articles"), F.sum("n_chars").alias("n_chars"))
 
 
 def _shout(some: list[str]) -> list[str]:

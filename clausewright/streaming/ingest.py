@@ -40,10 +40,14 @@ def ingest_batch(files: DataFrame, number: int, path: str, classifier: Classifie
     if ledger(spark, path).where(F.col("number") == number).head(1):
         return False
     table = vector_table(spark, path, buckets)
-    rows = vectors_of(files, classifier, embedding, limit)
-    table.upsert(rows)
-    done = files.agg(F.count(F.lit(1)).alias("files")).crossJoin(rows.agg(F.count(F.lit(1)).alias("rows")))
-    done.select(F.lit(number).cast("long").alias("number"), "files", "rows").coalesce(1).write.mode("overwrite").parquet(f"{path}/_ledger/batch={number}")
+    at = table.stage()
+    try:
+        rows = table.kept(vectors_of(files, classifier, embedding, limit), f"{at}/rows")
+        table.upsert(rows)
+        done = files.agg(F.count(F.lit(1)).alias("files")).crossJoin(rows.agg(F.count(F.lit(1)).alias("rows")))
+        done.select(F.lit(number).cast("long").alias("number"), "files", "rows").coalesce(1).write.mode("overwrite").parquet(f"{path}/_ledger/batch={number}")
+    finally:
+        table.drop_stage(at)
     return True
 
 
@@ -53,23 +57,22 @@ def forget(spark: SparkSession, path: str, deals: DataFrame) -> int:
     return table.delete(table.rows().select("chunk_id", "deal_id").join(deals.select("deal_id").distinct(), "deal_id", "left_semi"))
 
 
-def contract_stream(spark: SparkSession, path: str, deal_id: Column | None = None, files: int = 1000) -> DataFrame:
-    """deal_id, path, raw of JSON files as they arrive, at most `files` a batch. Without deal_id (an expression of path) the file's name is it."""
+def contract_stream(spark: SparkSession, path: str, deal_id: Column | None = None, files: int = 1000, first_chunk: Column | None = None) -> DataFrame:
+    """deal_id, path, raw of JSON files as they arrive, at most `files` a batch. Without deal_id (an expression of path) the file's name is it.
+
+    first_chunk, too, is an expression of path: where a deal comes in several files, the number of a file's first clause.
+    A batch rewrites the buckets of its clauses, as a rule all, so many files want large batches.
+    """
     raw = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files).load(path)
     named = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.json$", "")
-    return named.select((name if deal_id is None else deal_id).alias("deal_id"), "path", "raw")
+    return named.select((name if deal_id is None else deal_id).alias("deal_id"), "path", "raw", *([] if first_chunk is None else [first_chunk.alias("first_chunk")]))
 
 
 def ingest(files: DataFrame, path: str, checkpoint: str, classifier: Classifier, embedding: Embedding, limit: int = LIMIT, buckets: int = 64) -> StreamingQuery:
     """Takes in what has arrived, batch by batch, and stops."""
 
     def take(batch: DataFrame, number: int) -> None:
-        # the batch is read several times: kept, if the executors hold it
-        batch.persist()
-        try:
-            ingest_batch(batch, number, path, classifier, embedding, limit, buckets)
-        finally:
-            batch.unpersist()
+        ingest_batch(batch, number, path, classifier, embedding, limit, buckets)
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

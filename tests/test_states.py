@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.operators.backends import HashedWords, Keywords
+from clausewright.plans import stores
 from clausewright.plans.retrieval import vectors_of
 from clausewright.sources import files as sources
 from clausewright.streaming import ingest, states
@@ -105,3 +108,21 @@ def test_a_batch_that_died_within_is_taken_in_again(spark, tmp_path, monkeypatch
     monkeypatch.undo()
     assert take_in(spark, tmp_path).awaitTermination(120)
     assert [r.chunk_id for r in ingest.vector_table(spark, str(tmp_path / "v")).rows().collect()] == ["a_0"]
+
+
+def test_a_deal_in_several_files_is_numbered_on(spark, tmp_path):
+    for name, raw in (("first=0", '[{"title":"T","text":"a"},{"title":"T","text":" "},{"title":"T","text":"b"}]'), ("first=2", '{"title":"T","text":"c"}')):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "x.json").write_text(raw)
+    first = F.regexp_extract("path", "/first=([0-9]+)/", 1).cast("int")
+    stream = ingest.contract_stream(spark, str(tmp_path / "in"), F.lit("d"), 1, first)
+    assert ingest.ingest(stream, str(tmp_path / "v"), str(tmp_path / "state"), CLASSIFIER, EMBEDDING, buckets=4).awaitTermination(120)
+    rows = ingest.vector_table(spark, str(tmp_path / "v")).rows()
+    assert sorted((r.chunk_id, r.chunk_index, r.combined_text) for r in rows.collect()) == [("d_0", 0, "a"), ("d_1", 1, "b"), ("d_2", 2, "c")]
+
+
+def test_contract_files_have_few_articles(spark, data, monkeypatch):
+    monkeypatch.setattr(stores, "ARTICLES", 7)
+    read = sources.contracts(spark, stores._contract_files(spark, data), stores._deal_of_folder())
+    n = [len(json.loads(r.raw)["articles"]) for r in read.collect()]
+    assert max(n) == 7 and sum(n) == spark.read.parquet(f"{data}/documents.parquet").count()
