@@ -87,30 +87,42 @@ def _blocks(slim: DataFrame, size: int) -> DataFrame:
     return dealt.groupBy("grp", "salt").applyInArrow(_group_packed, f"grp {slim.schema['grp'].dataType.simpleString()}, salt int, ids array<{kind}>, vectors binary")
 
 
+#: Queries of a block that are compared at a time: the scores of these and a block of vectors are 4 MB.
+AT_ONCE = 128
+
+
 def _best(k: int):
-    def unit(x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
+    def unit(raw: memoryview, n: int) -> np.ndarray:
+        x = np.frombuffer(raw).reshape(n, -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         with np.errstate(invalid="ignore", divide="ignore"):
             return x / norm
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "ids")]
-            for queries, qv, own, vv in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
-                ids = np.array(own)
-                a, b = unit(np.frombuffer(qv).reshape(len(queries), -1)), unit(np.frombuffer(vv).reshape(len(ids), -1))
+            # pairs are read where they lie in the batch, one by one: a worker holds the batch and one pair's unit vectors
+            for p in range(len(batch)):
+                names, own = (batch.column(c)[p].values for c in ("q_ids", "ids"))
+                ids = np.array(own.to_pylist())
+                a, b = unit(batch.column("q_vectors")[p].as_buffer(), len(names)), unit(batch.column("vectors")[p].as_buffer(), len(ids))
                 if a.shape[1] != b.shape[1]:
                     raise ValueError(f"queries of {a.shape[1]} numbers and vectors of {b.shape[1]}")
-                # ties within 9 decimals go by id, so that results don't hang on the order of additions
-                score = np.round(a @ b.T, 9)
-                rank = np.where(np.isnan(score), -np.inf, score)
                 top = min(k, len(ids))
-                edge = np.partition(rank, len(ids) - top, axis=1)[:, len(ids) - top]
-                for q, name in enumerate(queries):
-                    at = np.flatnonzero(rank[q] >= edge[q])
-                    at = at[np.lexsort((ids[at], -rank[q][at]))][:top]
-                    found = score[q][at]
-                    yield pa.record_batch({"query_id": pa.array([name] * len(at), kinds[0]), "vec_id": pa.array(ids[at].tolist(), kinds[1]), "cosine": pa.array(found, mask=np.isnan(found))})
+                by_id = np.argsort(ids, kind="stable")
+                place = np.empty(len(ids), np.int64)
+                place[by_id] = np.arange(len(ids))
+                for q in range(0, len(names), AT_ONCE):
+                    # ties within 9 decimals go by id, so that results don't hang on the order of additions
+                    score = np.round(a[q : q + AT_ONCE] @ b.T, 9)
+                    rank = np.where(np.isnan(score), -np.inf, score)
+                    edge = np.partition(rank, len(ids) - top, axis=1)[:, len(ids) - top]
+                    row, at = np.nonzero(rank >= edge[:, None])
+                    order = np.lexsort((place[at], -rank[row, at], row))
+                    row, at = row[order], at[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < top
+                    row, at = row[first], at[first]
+                    found = score[row, at]
+                    yield pa.record_batch({"query_id": names.take(pa.array(row + q)), "vec_id": own.take(pa.array(at)), "cosine": pa.array(found, mask=np.isnan(found))})
 
     return apply
 
