@@ -344,7 +344,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, left_out: int = 2, part_bytes: int = 64 << 20, mixture: tuple[np.ndarray, np.ndarray] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, left_out: int = 2, part_bytes: int = 16 << 20, mixture: tuple[np.ndarray, np.ndarray] | None = None
 ) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

@@ -654,3 +654,9 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         store.shared_dir(Session())
     Context.master = "local[4]"
     assert store.shared_dir(Session()).endswith("/cut")
+
+
+def test_parts_of_a_language_model_are_small():
+    import inspect
+
+    assert inspect.signature(interpolation.scores).parameters["part_bytes"].default <= 16 << 20
