@@ -237,3 +237,8 @@ def test_pairs_of_blocks_take_little_memory():
             score = np.round(v @ q[name] / norm, 9)
         wanted = sorted(range(4096), key=lambda k: (-score[k] if score[k] == score[k] else 9, ids[k]))[:5]
         assert [x for x, _ in found[:5]] == [int(ids[k]) for k in wanted]
+
+
+def test_a_small_list_is_one_file(index):
+    lists = {p.split("/list=")[1].split("/")[0] for p in stamps(index.path)}
+    assert len(stamps(index.path)) == len(lists) > 1
