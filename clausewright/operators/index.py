@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.stored import Folders
-from .search import nearest, top_k
+from .search import AT_ONCE, nearest, top_k
 from .updates import free, latest, merged_updates, patch
 
 #: Lists at most (their centres are sent to all tasks: 25 MB at 1,536 numbers); vectors that centres are fitted on, a list; rounds of the fit.
@@ -44,20 +45,33 @@ def nearest_list(vector: Column, centres: np.ndarray) -> Column:
 
     @F.pandas_udf("list int, cosine double")
     def found(v: pd.Series) -> pd.DataFrame:
-        score = _rows(v, centres.shape[1]) @ centres.T
-        at = score.argmax(1)
-        return pd.DataFrame({"list": at.astype(np.int32), "cosine": score[np.arange(len(at)), at]})
+        return _nearest_lists(v, centres)
 
     return found(vector)
 
 
+def _nearest_lists(v: pd.Series, centres: np.ndarray) -> pd.DataFrame:
+    at, cosine = np.zeros(len(v), np.int32), np.zeros(len(v))
+    for a in range(0, len(v), AT_ONCE):
+        score = _rows(v[a : a + AT_ONCE], centres.shape[1]) @ centres.T
+        at[a : a + AT_ONCE], cosine[a : a + AT_ONCE] = score.argmax(1), score.max(1)
+    return pd.DataFrame({"list": at, "cosine": cosine})
+
+
+def _slices(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """AT_ONCE rows at a time and their vectors (column v), so that what is made of them and all centres stays small, whatever the batches and lists."""
+    for batch in batches:
+        for a in range(0, len(batch), AT_ONCE):
+            part = batch.slice(a, AT_ONCE)
+            yield part, _rows(part.column("v").to_pylist(), dimension)
+
+
 def _sums(centres: np.ndarray):
     """Within a task: of each list the sum and the number of its vectors."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-        for batch in batches:
-            x = _rows(batch.column("v").to_pylist(), centres.shape[1])
+        for _, x in _slices(batches, centres.shape[1]):
             at = (x @ centres.T).argmax(1)
             np.add.at(total, at, x)
             n += np.bincount(at, minlength=len(centres))
@@ -72,6 +86,36 @@ def _added(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"list": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
 
+def _asked_lists(part: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch({"lists": pa.array(lists, pa.list_(pa.int32())), "id": part.column("id"), "v": part.column("v")})
+
+
+def _first(centres: np.ndarray, probes: int):
+    """Within a task: of each query (columns id, v) the lists whose centres are nearest."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _slices(batches, centres.shape[1]):
+            yield _asked_lists(part, [np.argsort(-s, kind="stable")[:probes].astype(np.int32) for s in x @ centres.T])
+
+    return apply
+
+
+def _others(centres: np.ndarray, probes: int, width: np.ndarray):
+    """Within a task: of each query (columns id, v, least) the lists beyond the first that could hold a vector of cosine `least` or more (any, where that is null)."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _slices(batches, centres.shape[1]):
+            score = x @ centres.T
+            angle = np.arccos(np.clip(score, -1, 1))
+            # no vector of the list is nearer than this; a query of zeros asks all lists
+            near = np.maximum(angle - width, 0) * np.any(x != 0, axis=1, keepdims=True)
+            least = pc.fill_null(part.column("least"), -2.0).to_numpy()
+            open_ = (np.cos(near) >= least[:, None] - 1e-6) & np.isfinite(width)
+            yield _asked_lists(part, [np.setdiff1d(np.flatnonzero(o), np.argsort(-s, kind="stable")[:probes]).astype(np.int32) for o, s in zip(open_, score, strict=True)])
+
+    return apply
+
+
 def fit(vectors: DataFrame, lists: int, dimension: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
     """Centres by k-means on directions, of `sample` vectors a list at most (columns id, v): those with the least hash of their id.
 
@@ -209,31 +253,18 @@ class VectorIndex(Folders):
         probes = probes or self._probes()
         own = self._asking(queries, query_col)
 
-        size = self.dimension
-
-        @F.pandas_udf("array<int>")
-        def first(v: pd.Series) -> pd.Series:
-            score = _rows(v, size) @ centres.T
-            return pd.Series([np.argsort(-s, kind="stable")[:probes].astype(np.int32) for s in score])
-
-        found = nearest(self._slim(), own.select(F.explode(first("v")).alias("grp"), "id", "v"), k, once=True)
+        kinds = f"lists array<int>, id {own.schema['id'].dataType.simpleString()}, v array<double>"
+        asked = own.mapInArrow(_first(centres, probes), kinds).select(F.explode("lists").alias("grp"), "id", "v")
+        found = nearest(self._slim(), asked, k, once=True)
         if not exact:
             return found
         width = np.full(len(centres), -np.inf)
         for at, angle in self.widths().items():
             width[at] = angle
 
-        @F.pandas_udf("array<int>")
-        def others(v: pd.Series, least: pd.Series) -> pd.Series:
-            x = _rows(v, size)
-            angle = np.arccos(np.clip(x @ centres.T, -1, 1))
-            # no vector of the list is nearer than this; a query of zeros asks all lists
-            near = np.maximum(angle - width, 0) * np.any(x != 0, axis=1, keepdims=True)
-            open_ = np.cos(near) >= least.fillna(-2).to_numpy()[:, None] - 1e-6
-            return pd.Series([np.setdiff1d(np.flatnonzero(o & np.isfinite(width)), np.argsort(-s, kind="stable")[:probes]).astype(np.int32) for o, s in zip(open_, x @ centres.T, strict=True)])
-
         least = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.max("rank") == k, F.min("cosine")).alias("least"), F.count_if(F.col("cosine").isNull()).alias("none"))
-        asked = own.join(least, "id", "left").select(F.explode(others("v", F.when(F.col("none") == 0, F.col("least")))).alias("grp"), "id", "v")
+        open_ = own.join(least, "id", "left").select("id", "v", F.when(F.col("none") == 0, F.col("least")).alias("least"))
+        asked = open_.mapInArrow(_others(centres, probes, width), kinds).select(F.explode("lists").alias("grp"), "id", "v")
         more = nearest(self._slim(), asked, k, once=True)
         both = found.unionByName(more)
         by_query = Window.partitionBy("query_id").orderBy(F.col("cosine").desc_nulls_last(), "vec_id")

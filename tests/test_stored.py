@@ -242,3 +242,41 @@ def test_pairs_of_blocks_take_little_memory():
 def test_a_small_list_is_one_file(index):
     lists = {p.split("/list=")[1].split("/")[0] for p in stamps(index.path)}
     assert len(stamps(index.path)) == len(lists) > 1
+
+
+def test_comparing_with_all_centres_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from clausewright.operators import index as of_index
+
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    centres, v, n = unit(rng.normal(size=(1024, 8))), unit(rng.normal(size=(4000, 8))), 4000
+    width, least = np.where(np.arange(1024) % 7, 0.2, -np.inf), rng.uniform(0.8, 1, n)
+    batch = pa.record_batch({"id": pa.array(range(n)), "v": pa.array(list(v)), "least": pa.array(least, mask=np.arange(n) % 50 == 0)})
+    series, peaks = pd.Series(list(v)), []
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+        return out
+
+    listed = peak(lambda: of_index._nearest_lists(series, centres))
+    sums = peak(lambda: list(of_index._sums(centres)(iter([batch]))))[0]
+    first = [set(x) for b in peak(lambda: list(of_index._first(centres, 3)(iter([batch])))) for x in b.column("lists").to_pylist()]
+    others = [set(x) for b in peak(lambda: list(of_index._others(centres, 3, width)(iter([batch])))) for x in b.column("lists").to_pylist()]
+    assert max(peaks) < 16, peaks  # a score of each vector and centre would be 33 MB
+    score = v @ centres.T
+    assert listed["list"].tolist() == score.argmax(1).tolist() and np.allclose(listed["cosine"], score.max(1))
+    assert sum(sums.column("n").to_pylist()) == n
+    assert first == [set(np.argsort(-s)[:3]) for s in score]
+    for k in range(n):
+        near = np.cos(np.maximum(np.arccos(np.clip(score[k], -1, 1)) - width, 0))
+        open_ = np.isfinite(width) & ((near >= least[k] - 1e-6) | (k % 50 == 0))
+        assert others[k] == set(np.flatnonzero(open_)) - first[k]
