@@ -21,3 +21,14 @@ def test_entry_has_a_query_and_sql_for_each(spark):
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(catalogue.SQL) == set(catalogue.QUERIES)
     assert entry.entry(spark).count() > 0
+
+
+def test_normalize_text_matches_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    blanks = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u2003\u2028\u200b\u3000\ufeff"
+    texts = [None, "", " ", "\n\t ", "“q” ‘s’ – —", " a\n b \r\n", "a" + " " * 100_000 + "b", *[f"a{b}" for b in blanks], *[f"a {b} \n" for b in blanks]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert rows(catalogue.QUERIES["normalize_text"](spark, str(tmp_path)).toPandas()) == rows(con.sql(catalogue.SQL["normalize_text"]).df())
