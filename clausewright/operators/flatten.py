@@ -97,7 +97,7 @@ def flatten(files: DataFrame, term: str = TERM, strict: bool = False) -> DataFra
         good = F.when(items.isNull() | (F.size(good) < F.size(items)), F.raise_error(F.concat(F.lit("not a contract: "), files["path"])).cast("array<string>")).otherwise(good)
     rows = F.flatten(F.transform(F.transform(good, lambda e: F.from_json(e, ARTICLE)), lambda a: clauses(a, term)))  # each article is parsed once
     first = F.coalesce(files["first_chunk"], F.lit(0)) if "first_chunk" in files.columns else F.lit(0)
-    each = files.select("deal_id", deal_name(files["path"]).alias("deal_name"), first.cast("int").alias("first"), F.posexplode(rows).alias("place", "c"))
+    each = files.select("deal_id", deal_name(F.regexp_replace(files["path"], r"\.gz$", "")).alias("deal_name"), first.cast("int").alias("first"), F.posexplode(rows).alias("place", "c"))
     return each.select("deal_id", (F.col("first") + F.col("place")).alias("chunk_index"), "c.label", "c.original_text", "c.combined_text", "deal_name")
 
 

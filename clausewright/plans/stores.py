@@ -15,7 +15,7 @@ from ..operators import calls, metadata, numbering, search, trim
 from ..operators.backends import HashedWords, Keywords
 from ..operators.index import VectorIndex
 from ..schemas import STATUSES
-from ..session import own_folder
+from ..session import own_folder, shuffles_dropped
 from ..sources import files, workbook
 from ..sources.stored import KeyedTable
 from ..streaming import ingest, states
@@ -174,15 +174,15 @@ def _contract_files(spark: SparkSession, sf_dir: str) -> str:
     """Documents as contract files, below a folder a deal; the folder they are in.
 
     A file's folder names its first clause's number. Articles without text, which give no clause, have files of their own.
+    Texts are shuffled once, to their files, which are packed.
     """
     path = own_folder(spark)
     article = F.struct(F.lit("I").alias("article"), F.col("lang").alias("title"), "text", F.col("doc_id").alias("number"))
     deal = F.concat("source", F.lit("_"), (F.col("doc_id") % 4).cast("string"))
     docs = table(spark, sf_dir, "documents").withColumn("deal_id", deal).withColumn("told", F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
-    numbered = numbering.number_within(docs.select("deal_id", "told", F.concat_ws("/", "deal_id", "told").alias("kind"), "doc_id", "lang", "text"), "kind", "doc_id", "place")
-    first = F.floor(F.col("place") / ARTICLES) * ARTICLES
-    held = numbered.groupBy("deal_id", "told", first.alias("first")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("o"), article.alias("a")))).alias("l"))
-    held.select("deal_id", "told", "first", F.transform("l", lambda x: x["a"]).alias("articles")).write.partitionBy("deal_id", "told", "first").json(path)
+    placed = numbering.block_within(docs.select("deal_id", "told", F.concat_ws("/", "deal_id", "told").alias("kind"), "doc_id", "lang", "text"), "kind", "doc_id", ARTICLES, own_folder(spark))
+    held = placed.groupBy("deal_id", "told", "first").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("o"), article.alias("a")))).alias("l"))
+    held.select("deal_id", "told", "first", F.transform("l", lambda x: x["a"]).alias("articles")).write.partitionBy("deal_id", "told", "first").json(path, compression="gzip")
     return path
 
 
@@ -205,12 +205,13 @@ select deal_id || '_' || chunk_index as chunk_id, deal_id, chunk_index::int as c
 )
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract files that arrive in several batches, to a vector table; the stream is started again at the end, and finds nothing new."""
-    came = _contract_files(spark, sf_dir)
     path = own_folder(spark)
-    at_once = max(40, -(-files.listing(spark, came).count() // 3))  # a few batches, each of which rewrites what is there
-    for _ in range(2):
-        stream = ingest.contract_stream(spark, came, _deal_of_folder(), at_once, _first_of_folder())
-        ingest.ingest(stream, f"{path}/vectors", f"{path}/state", Keywords(RULES), HashedWords(), 1 << 20, 8).awaitTermination()
+    with shuffles_dropped(spark):
+        came = _contract_files(spark, sf_dir)
+        at_once = max(40, -(-files.listing(spark, came).count() // 3))  # a few batches
+        for _ in range(2):
+            stream = ingest.contract_stream(spark, came, _deal_of_folder(), at_once, _first_of_folder())
+            ingest.ingest(stream, f"{path}/vectors", f"{path}/state", Keywords(RULES), HashedWords(), 1 << 20, 8).awaitTermination()
     rows = ingest.vector_table(spark, f"{path}/vectors").rows()
     return rows.select("chunk_id", "deal_id", "chunk_index", "label", F.md5(F.col("combined_text").cast("binary")).alias("text_md5"), F.array_join("categories", ",").alias("categories"), F.size("embedding").alias("dimension"))
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of contract files; Spark's readers unpack those that are packed.
+JSON = "*{.json,.json.gz}"
+
 
 def contracts(spark: SparkSession, path: str | list[str], deal_id: Column | None = None) -> DataFrame:
-    """deal_id, path, raw: one row a JSON file, whole. Without deal_id the file's name is it."""
-    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.json$", "")
+    """deal_id, path, raw: one row a JSON file (plain, or with .gz), whole. Without deal_id the file's name is it."""
+    files = spark.read.option("pathGlobFilter", JSON).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.json(\.gz)?$", "")
     return files.select((deal_id if deal_id is not None else name).alias("deal_id"), "path", "raw")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """path, length, modified of all JSON files, however many there are; their content isn't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", JSON).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 

@@ -16,13 +16,14 @@ from ..operators.trim import LIMIT
 from ..plans.retrieval import vectors_of
 from ..schemas import VECTOR
 from ..session import filesystem
+from ..sources.files import JSON
 from ..sources.stored import KeyedTable
 
 LEDGER = "number long, files long, rows long"
 
 
 def vector_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
-    return KeyedTable(spark, path, "chunk_id", spark.createDataFrame([], VECTOR).schema, buckets)
+    return KeyedTable(spark, path, "chunk_id", spark.createDataFrame([], VECTOR).schema, buckets, "zstd")  # a clause's text is there twice
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +43,12 @@ def ingest_batch(files: DataFrame, number: int, path: str, classifier: Classifie
     table = vector_table(spark, path, buckets)
     at = table.stage()
     try:
-        rows = table.kept(vectors_of(files, classifier, embedding, limit), f"{at}/rows")
-        table.upsert(rows)
-        done = files.agg(F.count(F.lit(1)).alias("files")).crossJoin(rows.agg(F.count(F.lit(1)).alias("rows")))
-        done.select(F.lit(number).cast("long").alias("number"), "files", "rows").coalesce(1).write.mode("overwrite").parquet(f"{path}/_ledger/batch={number}")
+        n = table.receive(vectors_of(files, classifier, embedding, limit), at).count()
+        table.take(at)
+        done = files.agg(F.count(F.lit(1)).alias("files"))
+        done.select(F.lit(number).cast("long").alias("number"), "files", F.lit(n).cast("long").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/_ledger/batch={number}")
     finally:
-        table.drop_stage(at)
+        table.leave_stage(at)
     return True
 
 
@@ -58,14 +59,14 @@ def forget(spark: SparkSession, path: str, deals: DataFrame) -> int:
 
 
 def contract_stream(spark: SparkSession, path: str, deal_id: Column | None = None, files: int = 1000, first_chunk: Column | None = None) -> DataFrame:
-    """deal_id, path, raw of JSON files as they arrive, at most `files` a batch. Without deal_id (an expression of path) the file's name is it.
+    """deal_id, path, raw of JSON files (plain, or with .gz) as they arrive, at most `files` a batch. Without deal_id (an expression of path) the file's name is it.
 
     first_chunk, too, is an expression of path: where a deal comes in several files, the number of a file's first clause.
-    A batch rewrites the buckets of its clauses, as a rule all, so many files want large batches.
+    A batch adds files to the buckets of its clauses, as a rule all, or rewrites those where it changes clauses, so many files want large batches.
     """
-    raw = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files).load(path)
+    raw = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", JSON).option("maxFilesPerTrigger", files).load(path)
     named = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.json$", "")
+    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.json(\.gz)?$", "")
     return named.select((name if deal_id is None else deal_id).alias("deal_id"), "path", "raw", *([] if first_chunk is None else [first_chunk.alias("first_chunk")]))
 
 

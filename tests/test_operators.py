@@ -169,6 +169,29 @@ def test_numbering(spark):
     assert all(v == list(range(len(v))) for v in by_key.values()) and len(got) == 100
 
 
+def test_blocks_begin_where_their_first_row_does(spark, tmp_path):
+    import random
+
+    random.seed(2)
+    for repeats in (0, 3):
+        rows = [(i, k) for k, n in (("a", 300), ("b", 35), ("c", 1), (None, 14)) for i in random.sample(range(3000), n) for _ in range(1 + repeats * (i % 4 == 0))]
+        got = numbering.block_within(spark.createDataFrame(rows, "id long, key string").repartition(5), "key", "id", 7, str(tmp_path / f"b{repeats}")).collect()
+        assert sorted(map(str, rows)) == sorted(str((r.id, r.key)) for r in got)
+        for k in ("a", "b", "c", None):
+            blocks: dict[int, list[int]] = {}
+            for i, first in sorted((r.id, r.first) for r in got if r.key == k):
+                blocks.setdefault(first, []).append(i)
+            n = 0
+            for first, ids in blocks.items():  # gapless, in order, and rows of one id together
+                assert first == n and len(ids) <= 7 + 2 * repeats
+                n += len(ids)
+            assert sorted(i for ids in blocks.values() for i in ids) == sorted(i for i, x in rows if x == k)
+            assert sum(len(set(ids)) for ids in blocks.values()) == len({i for i, x in rows if x == k})
+            if not repeats:
+                assert all(len(ids) == 7 for ids in list(blocks.values())[:-1])
+
+
+
 def test_updates(spark):
     stored = spark.createDataFrame([("d_0", 1, {"a": "1", "b": "2"}), ("d_1", 2, None)], "id string, v int, extra map<string,string>")
     new = spark.createDataFrame([("d_0", 5, None), ("d_2", 6, None)], "id string, v int, extra map<string,string>")

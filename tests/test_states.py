@@ -126,3 +126,47 @@ def test_contract_files_have_few_articles(spark, data, monkeypatch):
     read = sources.contracts(spark, stores._contract_files(spark, data), stores._deal_of_folder())
     n = [len(json.loads(r.raw)["articles"]) for r in read.collect()]
     assert max(n) == 7 and sum(n) == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_packed_files_are_taken_in(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json.gz").write_bytes(gzip.compress(b'[{"title":"T","text":"x"},{"title":"T","text":"y"}]'))
+    (tmp_path / "in" / "b.json").write_text('{"title":"T","text":"z"}')
+    (tmp_path / "in" / "c.json").write_text('{"title":"T","text":" "}')
+    assert take_in(spark, tmp_path).awaitTermination(120)
+    rows = ingest.vector_table(spark, str(tmp_path / "v")).rows().collect()
+    assert sorted((r.chunk_id, r.deal_name, r.combined_text) for r in rows) == [("a_0", "A", "x"), ("a_1", "A", "y"), ("b_0", "B", "z")]
+    assert sorted((r.deal_id) for r in sources.contracts(spark, str(tmp_path / "in")).collect()) == ["a", "b", "c"]
+    assert sorted(r["rows"] for r in ingest.ledger(spark, str(tmp_path / "v")).collect()) == [0, 1, 2]
+
+
+def test_batches_of_new_clauses_leave_what_is_there(spark, data, monkeypatch, tmp_path):
+    """Disk: a batch's rows are staged once, and the table isn't written again."""
+    monkeypatch.setattr(stores, "ARTICLES", 7)
+    staged, before, apply = [], [], ingest.KeyedTable._apply
+    size = lambda at: sum(p.stat().st_size for p in at.rglob("part-*") if p.is_file())
+
+    def seen(self, at):
+        there = {str(p) for p in (tmp_path / "v").glob("bucket=*/part-*")}
+        staged.append(size(tmp_path / "v" / "_staged"))
+        before.append(there)
+        apply(self, at)
+        assert there <= {str(p) for p in (tmp_path / "v").glob("bucket=*/part-*")}
+
+    monkeypatch.setattr(ingest.KeyedTable, "_apply", seen)
+    stream = ingest.contract_stream(spark, stores._contract_files(spark, data), stores._deal_of_folder(), 8, stores._first_of_folder())
+    assert ingest.ingest(stream, str(tmp_path / "v"), str(tmp_path / "state"), CLASSIFIER, EMBEDDING, buckets=2).awaitTermination(300)
+    table = sum(p.stat().st_size for p in (tmp_path / "v").glob("bucket=*/part-*"))
+    assert len(before) > 1 and all(before[1:]) and sum(staged) < 1.2 * table + 10_000 * len(staged)
+
+
+def test_shuffles_are_dropped_only_where_asked(spark):
+    from clausewright.session import shuffles_dropped
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true" and spark.range(9).groupBy((F.col("id") % 2).alias("k")).count().count() == 2
+    assert spark.conf.get(name) == before

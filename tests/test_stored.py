@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clausewright.operators import search
 from clausewright.operators.index import VectorIndex, recall
-from clausewright.sources import files
+from clausewright.sources import files, stored
 from clausewright.sources.stored import KeyedTable
 
 
@@ -188,6 +188,61 @@ def test_a_change_that_died_while_folders_moved_is_finished(spark, tmp_path, mon
     assert moves and held(KeyedTable(spark, str(tmp_path))) == {k: ("new", k, None) for k in before}
 
 
+def test_new_keys_are_added_and_nothing_is_rewritten(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path, 200, 4)
+    before, staged = stamps(tmp_path), []
+    apply = KeyedTable._apply
+
+    def seen(self, at):
+        staged.extend({p.relative_to(at).parts[0] for p in Path(at).rglob("part-*")})
+        apply(self, at)
+
+    monkeypatch.setattr(KeyedTable, "_apply", seen)
+    assert t.upsert(spark.range(200, 300).selectExpr("id as k", "'x' as v", "id as w", "map('a', id) as m")) == 4
+    after = stamps(tmp_path)
+    assert before.items() <= after.items() and len(after) > len(before) and t.rows().count() == 300
+    assert sorted(staged) == ["new", "parts"]  # new rows lie there once
+
+
+def test_files_that_were_being_added_are_added_once(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path, 20, 2)
+    move, moves = KeyedTable._move, []
+
+    def killed(fs, new, old):
+        if moves:
+            raise RuntimeError("killed")
+        moves.append(move(fs, new, old))
+
+    new = spark.range(20, 60).selectExpr("id as k", "'x' as v", "id as w", "map('a', id) as m")
+    monkeypatch.setattr(KeyedTable, "_move", staticmethod(killed))
+    with pytest.raises(RuntimeError, match="killed"):
+        t.upsert(new)
+    monkeypatch.undo()
+    t = KeyedTable(spark, str(tmp_path))
+    assert moves and t.rows().count() == 60 == len(held(t)) and not list((tmp_path / "_staged").iterdir())
+    assert t.upsert(new) == 0 and t.upsert(new.where("k < 0")) == 0 and t.rows().count() == 60
+
+
+def test_a_folder_of_many_small_files_is_rewritten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "MANY", 3)
+    t = table(spark, tmp_path, 20, 1)
+    n = []
+    for k in range(6):
+        t.upsert(spark.range(100 + k, 101 + k).selectExpr("id as k", "'x' as v", "id as w", "map('a', id) as m"))
+        n.append(len(stamps(tmp_path)))
+    assert max(n) == 3 and min(n[3:]) == 1 and t.rows().count() == 26
+
+
+def test_repeated_and_stored_keys_of_a_received_batch(spark, tmp_path):
+    t = table(spark, tmp_path, 6, 2)
+    at = t.stage()
+    new = spark.createDataFrame([(1, "v1", 1, {"a": 1}), (2, "b", 5, None), (2, "a", 9, None), (7, "c", 1, None), (None, "d", 1, None)], t.schema)
+    assert t.receive(new, at).count() == 4 and t.take(at) >= 1
+    t.leave_stage(at)
+    got = held(t)
+    assert got[1] == ("v1", 1, {"a": 1}) and got[2] == ("b", 5, None) and got[7] == ("c", 1, None) and len(got) == t.rows().count() == 7
+
+
 def test_new_rows_are_made_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
